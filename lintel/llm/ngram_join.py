@@ -260,3 +260,16 @@ def _links(spark, keep: Scratch, rows: DataFrame, shared: DataFrame, words: int,
         return near
     more = verified(rest, "more")
     return keep.keep(near.union(more), "links")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of docs whose id is its component's, each id once; rows without an id or without words stay as they are."""
+    spark: SparkSession = docs.sparkSession
+    keep = Scratch(spark, "firsts")
+    found = keep.keep(near_duplicates(docs, id_col, text_col, words, similarity), "found")
+    gone = keep.keep(found.where("doc_id is not null and component_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("c")).where("c < doc_id").select(F.col("doc_id").alias("lintel_gone")), "gone")
+    n = gone.count()
+    left = docs.join(F.broadcast(gone) if n <= BROADCAST_KEYS else gone, docs[id_col] == F.col("lintel_gone"), "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    return left.where(F.col(id_col).isNull()).unionByName(left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))

@@ -22,3 +22,66 @@ WITH RECURSIVE words AS (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.y) AS component_id
 FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
+
+DECONTAMINATION = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS m, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g
+  FROM items WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT m FROM windows
+), starts AS (
+  SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS p, w FROM docs JOIN sizes ON len(w) >= m
+), hits AS (
+  SELECT s.doc_id, s.p, s.m, x.item_id FROM (SELECT doc_id, m, p, array_to_string(w[p:p + m - 1], ' ') AS g FROM starts) s JOIN windows x ON x.m = s.m AND x.g = s.g
+), words AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(p, p + m)) AS p FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(k.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN words k USING (doc_id) LEFT JOIN named i USING (doc_id)
+"""
+
+
+def _places(kind: str, pattern: str, group: int = 0) -> str:
+    """Matches of a pattern with their places, from the pieces between them. DuckDB's split takes the same leftmost matches."""
+    return rf"""
+  SELECT doc_id, '{kind}' AS kind, s AS start, s + length(m) AS "end", part FROM (
+    SELECT doc_id, m, part, sum(length(g)) OVER w + sum(length(m)) OVER w - length(m) AS s FROM (
+      SELECT doc_id, generate_subscripts(regexp_extract_all(t, {pattern}), 1) AS i, unnest(regexp_extract_all(t, {pattern})) AS m, unnest(regexp_extract_all(t, {pattern}, {group})) AS part,
+             unnest(regexp_split_to_array(t, {pattern})[1:len(regexp_extract_all(t, {pattern}))]) AS g
+      FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE regexp_matches(t, {pattern})
+    ) WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  )"""
+
+
+_ASSIGN = r"""'(?i:(?:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+
+SECRET_SCAN = rf"""
+WITH base AS (
+  SELECT *, 0 AS rank FROM ({_places("assign", _ASSIGN, 1)}) WHERE length(part) >= 6
+  UNION ALL SELECT *, 1 FROM ({_places("access", r"'AKIA[A-Z0-9]+'")}) WHERE length(part) >= 20
+  UNION ALL SELECT *, 2 FROM ({_places("hex", "'[0-9a-f]+'")}) WHERE length(part) >= 24
+), more AS (
+  SELECT *, 3 AS rank FROM ({_places("github", r"'\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}'")})
+  UNION ALL SELECT *, 4 FROM ({_places("jwt", r"'\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}'")})
+  UNION ALL SELECT *, 5 FROM ({_places("pem", r"'-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----'")})
+  UNION ALL SELECT *, 6 FROM ({_places("slack", r"'\bxox[abprs]-[A-Za-z0-9-]{10,}'")})
+), spans AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND b.start < m."end" AND m.start < b."end")
+), named AS (
+  SELECT doc_id, rank, kind, start, concat(kind, ':', CAST(start AS BIGINT), ':', CAST("end" AS BIGINT)) AS s FROM spans
+), by_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h,
+         string_agg(s, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(s, ',' ORDER BY start, rank) AS spans
+  FROM named GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(k, 0) AS BIGINT) AS n_access, CAST(coalesce(h, 0) AS BIGINT) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN by_doc USING (doc_id)
+"""
