@@ -13,8 +13,9 @@ least 0.8.  The plan:
 3. In every group of texts with a prefix shingle the most central text is the
    pivot; (pivot, member) pairs are verified first and their components taken.
    This is linear in the group.  Only pairs whose ends are then in different
-   components are joined, under the length bound and a parity-sketch bound
-   (|A ^ B| is at least the Hamming distance of two 512-bit parity sketches).
+   components are joined.  All pairs are held against the length bound and a
+   parity-sketch bound (|A ^ B| is at least the Hamming distance of two 1024-bit
+   parity sketches) before any text is fetched.
 4. A pair that reaches verification must also share prefix shingles under
    ``ORDERS`` further global orders; the intersection is verified exactly.
 
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -39,9 +40,10 @@ from .scratch import Scratch
 
 WORDS = 5
 SIMILARITY = 80
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
 ORDERS = 3
-SKETCH = 8
+#: Longs of a parity sketch.
+SKETCH = 16
 #: Most keys sent to every executor; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 SEEN = 200_000
@@ -55,25 +57,35 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(U64).view(np.int64))
 
 
+SKETCHED = ", ".join(f"s{i} long" for i in range(SKETCH))
+
+
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """Bit i is the parity of the number of shingles that a hash sends to i."""
+    bits = np.bincount((mix(s) >> U64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _profile(words: int):
+    """A row for each text (bucket 0), then at a task's end one for each bucket of shingle counts."""
+    names = ["doc_id", "key", "n", "bucket", *(f"s{i}" for i in range(SKETCH))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            keys, sizes = np.zeros(batch.num_rows, dtype=U64), np.zeros(batch.num_rows, dtype=np.int64)
+            rows = batch.num_rows
+            keys, sizes, bits = np.zeros(rows, dtype=U64), np.zeros(rows, dtype=np.int64), np.zeros((rows, SKETCH), dtype=np.int64)
             for c in chunks(batch.column("text"), SPACED):
                 windows = c.windows(words)
                 for r in range(len(c)):
                     s = c.shingles(r, words, windows)
-                    sizes[c.first + r] = len(s)
                     if len(s):
-                        keys[c.first + r] = c.sequence(r)
-                        counts += np.bincount((s & U64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if len(s) > BUCKETS else 0
-                        if len(s) <= BUCKETS:
-                            np.add.at(counts, (s & U64(BUCKETS - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _signed(keys), pa.array(sizes), pa.array([0] * len(sizes), pa.int64())], ["doc_id", "key", "n", "bucket"])
+                        sizes[c.first + r], keys[c.first + r], bits[c.first + r] = len(s), c.sequence(r), _sketch(s)
+                        np.add.at(counts, (s & U64(BUCKETS - 1)).astype(np.int64), 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _signed(keys), pa.array(sizes), pa.array(np.zeros(rows, np.int64)), *(pa.array(bits[:, i]) for i in range(SKETCH))], names)
         full = np.flatnonzero(counts)
-        if len(full):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int64()), pa.array(np.zeros(len(full), np.int64)), pa.array(counts[full]), pa.array(full + 1)], ["doc_id", "key", "n", "bucket"])
+        none = pa.nulls(len(full), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(counts[full]), pa.array(full + 1), *[none] * SKETCH], names)
 
     return run
 
@@ -119,12 +131,6 @@ def _postings(tokens, keys, sizes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), _signed(np.concatenate(keys)), pa.array(np.concatenate(sizes))], ["token", "key", "n"])
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * SKETCH, dtype=np.uint8)
-    np.bitwise_xor.at(bits, (mix(s) % U64(64 * SKETCH)).astype(np.int64), np.uint8(1))
-    return np.packbits(bits).view(np.int64)
-
-
 def _texts(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Key and text of each row, copies within a task once."""
@@ -144,19 +150,6 @@ def _texts(words: int):
     return run
 
 
-def _sketches(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for c in chunks(batch.column("text"), SPACED):
-                windows = c.windows(words)
-                rows += [_sketch(c.shingles(r, words, windows)) for r in range(len(c))]
-            bits = np.array(rows, dtype=np.int64).reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(bits[:, i]) for i in range(SKETCH))], ["key", *(f"s{i}" for i in range(SKETCH))])
-
-    return run
-
-
 def _under(s: np.ndarray, order: int, p: int) -> np.ndarray:
     if p >= len(s):
         return s
@@ -196,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark: SparkSession = docs.sparkSession
     keep = Scratch(spark, "ngram")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = keep.keep(rows.mapInArrow(_profile(words), "doc_id long, key long, n long, bucket long"), "profile")
+    profile = keep.keep(rows.mapInArrow(_profile(words), f"doc_id long, key long, n long, bucket long, {SKETCHED}"), "profile")
     members = profile.where("bucket = 0").select("doc_id", "key", "n")
     counts = np.zeros(BUCKETS, dtype=np.int64)
     for bucket, total in profile.where("bucket > 0").groupBy("bucket").agg(F.sum("n")).collect():  # BUCKETS rows at most
@@ -207,7 +200,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_token = Window.partitionBy("token")
     met = postings.withColumns({"lo": F.min("key").over(by_token), "hi": F.max("key").over(by_token)}).where("lo < hi").select("token", "key", "n").distinct()
     shared = keep.keep(met, "shared")
-    links = _links(spark, keep, rows, shared, words, similarity)
+    sketches = profile.where("bucket = 0 and n > 0").select("key", *(f"s{i}" for i in range(SKETCH)))
+    links = _links(keep, rows, shared, sketches, words, similarity)
     if links is None:
         return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     roots = components(links, keep, "all")
@@ -222,44 +216,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return full.union(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _links(spark, keep: Scratch, rows: DataFrame, shared: DataFrame, words: int, similarity: int) -> DataFrame | None:
+def _apart(x: str, y: str) -> Column:
+    """The Hamming distance of two sketches."""
+    return sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(SKETCH)), F.lit(0))
+
+
+def _near(x: str, y: str, similarity: int) -> Column:
+    """What sizes and sketches allow: |A ^ B| <= (100 - s) / (100 + s) * (|A| + |B|) for a similarity of s in 100."""
+    sizes = F.lit(100) * F.least(f"{x}.n", f"{y}.n") >= F.lit(similarity) * F.greatest(f"{x}.n", f"{y}.n")
+    return sizes & (F.lit(100 + similarity) * _apart(x, y) <= F.lit(100 - similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
+
+
+def _links(keep: Scratch, rows: DataFrame, shared: DataFrame, sketches: DataFrame, words: int, similarity: int) -> DataFrame | None:
     """Verified pairs of keys, enough of them to connect every two texts that any links connect."""
     weights = shared.groupBy("token").agg(F.count("*").alias("w")).where("w > 1")
-    weighed = shared.join(weights, "token").groupBy("key").agg(F.sum("w").alias("central"))
-    nodes = keep.keep(weighed, "nodes")
-    n = nodes.count()
-    if not n:
+    weighed = shared.join(weights, "token").groupBy("key").agg(F.sum("w").alias("central"), F.first("n").alias("n"))
+    nodes = keep.keep(weighed.join(sketches, "key").dropDuplicates(["key"]), "nodes")
+    if nodes.isEmpty():
         return None
-    ids = nodes.select("key")
-    texts = rows.select("text").mapInArrow(_texts(words), "key long, text string")
-    texts = texts.join(F.broadcast(ids) if n <= BROADCAST_KEYS else ids, "key").groupBy("key").agg(F.min("text").alias("text"))
-    texts = keep.keep(texts, "texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Of pairs that sizes and sketches allow, those that are similar."""
+        ids = keep.keep(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), f"{name}-ids")
+        texts = rows.select("text").mapInArrow(_texts(words), "key long, text string")
+        texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, "key").groupBy("key").agg(F.min("text").alias("text"))
+        texts = keep.keep(texts, f"{name}-texts")
         ta, tb = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
         return keep.keep(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(words, similarity), "a long, b long"), name)
 
-    ranked = shared.join(nodes, "key")
-    pivots = ranked.groupBy("token").agg(F.max(F.struct("central", "key", "n")).alias("p")).select("token", F.col("p.key").alias("a"), F.col("p.n").alias("na"))
+    pivots = shared.join(nodes.select("key", "central"), "key").groupBy("token").agg(F.max(F.struct("central", "key", "n")).alias("p")).select("token", F.col("p.key").alias("a"), F.col("p.n").alias("na"))
     fits = f"100 * least(n, na) >= {similarity} * greatest(n, na)"
-    stars = keep.keep(shared.join(pivots, "token").where(f"key <> a and {fits}").select("a", F.col("key").alias("b")).distinct(), "stars")
-    near = verified(stars, "near")
+    stars = shared.join(pivots, "token").where(f"key <> a and {fits}").select("a", F.col("key").alias("b")).distinct()
+    x, y = nodes.alias("x"), nodes.alias("y")
+    stars = stars.join(x, F.col("a") == F.col("x.key")).join(y, (F.col("b") == F.col("y.key")) & _near("x", "y", similarity)).select("a", "b")
+    near = verified(keep.keep(stars, "stars"), "near")
     roots = components(near, keep, "star")
-    sketches = texts.mapInArrow(_sketches(words), "key long, " + ", ".join(f"s{i} long" for i in range(SKETCH)))
-    comp = ids.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root")) if roots is not None else ids.select("key", F.col("key").alias("root"))
-    described = keep.keep(sketches.join(comp, "key"), "described")
-    open_tokens = shared.select("token", "key", "n").join(described.select("key", "root"), "key").groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    described = nodes.drop("central", "n")
+    described = described.withColumn("root", F.col("key")) if roots is None else described.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    described = keep.keep(described, "described")
+    open_tokens = shared.join(described.select("key", "root"), "key").groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     left = keep.keep(shared.join(open_tokens, "token").join(described, "key"), "open")
     x, y = left.alias("x"), left.alias("y")
-    apart = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH)), F.lit(0))
-    # similarity s as the share of 100: |A ^ B| <= (100 - s) / (100 + s) * (|A| + |B|)
-    bound = (F.lit(100 + similarity) * apart <= F.lit(100 - similarity) * (F.col("x.n") + F.col("y.n"))) & (F.lit(100) * F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n"))
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & bound)
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _near("x", "y", similarity))
     rest = keep.keep(rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "rest")
+    keep.drop("open", "shared")
     if rest.isEmpty():
         return near
-    more = verified(rest, "more")
-    return keep.keep(near.union(more), "links")
+    return keep.keep(near.union(verified(rest, "more")), "links")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
