@@ -6,6 +6,7 @@ possessively: long strings and comments need neither stack nor retries.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -57,10 +58,7 @@ def code(line: Column) -> Column:
 
 def keyword(x: Column, *words: str) -> Column:
     """Whether x is one of the words or begins with one and a space."""
-    out = F.lit(False)
-    for w in words:
-        out = out | (x == w) | x.startswith(f"{w} ")
-    return out
+    return x.rlike("^(?:" + "|".join(map(re.escape, words)) + r")(?: |\z)")
 
 
 def has(x: Column, needle: str) -> Column:

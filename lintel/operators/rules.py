@@ -12,6 +12,7 @@ at depth zero takes none.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -397,9 +398,15 @@ LINE_RULES = {
 }
 
 
+@lru_cache(maxsize=256)
+def built(rule: str, application: str) -> Rule:
+    """A rule's columns, made once in each Spark application."""
+    return LINE_RULES[rule]()
+
+
 def line_findings(lines: DataFrame, ids: list[str]) -> DataFrame:
     """object_key and the findings of the chosen line rules, from one pass over the lines."""
-    rules = [LINE_RULES[i]() for i in ids]
+    rules = [built(i, lines.sparkSession.sparkContext.applicationId) for i in ids]
     rows = lines
     for k in range(max((len(r.levels) for r in rules), default=0)):
         level: dict[str, Column] = {}

@@ -244,3 +244,22 @@ def all_findings(ids: tuple[str, ...], corpus: str = EVENTS) -> str:
 
 
 CATEGORY = ", ".join(f"('{r.id}', '{r.category}', '{r.version}', {str(not r.abstract).lower()}, {str(r.default).lower()}, {i})" for i, r in enumerate(RULES))
+
+#: The semantic model: stmts has a row for each line with tokens, tokens one for each token.
+_TOKEN = rf"""(?s)&\w*|{_STRING}|[0-9][0-9.]*|[a-zA-Z_]\w*|[<>=!][=>]?|[^\s]"""
+_KEYS = ", ".join(_quoted(k) for k in ("for", "each", "endfor", "if", "elseif", "else", "endif", "do", "case", "otherwise", "endcase", "sub", "endsub", "where", "defined", "by", "order", "parm", "in", "out", "inout", "not", "and", "or", "like", "true", "false", "nullvalue", "new", "is"))
+_STMT = """CASE WHEN a = 'for' AND b = 'each' THEN 'ForEach' WHEN a = 'endfor' THEN 'EndFor' WHEN a = 'if' THEN 'If' WHEN a = 'elseif' OR (a = 'else' AND b = 'if') THEN 'ElseIf' WHEN a = 'else' THEN 'Else' WHEN a = 'endif' THEN 'EndIf'
+ WHEN a = 'do' AND b = 'case' THEN 'DoCase' WHEN a = 'case' THEN 'Case' WHEN a = 'otherwise' THEN 'Otherwise' WHEN a = 'endcase' THEN 'EndCase' WHEN a = 'sub' THEN 'Sub' WHEN a = 'endsub' THEN 'EndSub' WHEN a = 'where' THEN 'Where'
+ WHEN a = 'defined' AND b = 'by' THEN 'DefinedBy' WHEN a = 'order' THEN 'Order' WHEN a = 'parm' THEN 'Parm' WHEN starts_with(a, '&') AND b = '=' THEN 'Assignment' WHEN a = 'do' OR (regexp_matches(a, '^[a-z_]') AND NOT a IN (""" + _KEYS + """) AND b = '(') THEN 'Call' ELSE 'Other' END"""
+MODEL = rf"""sources AS (SELECT object_key, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS raw FROM objects),
+lexed AS (SELECT *, regexp_extract_all(regexp_replace(raw, '(?s)({_STRING})|//.*|/\*.*?(?:\*/|\z)', '\1', 'g'), '{_TOKEN}') AS toks FROM sources),
+stmts AS (SELECT object_key, line_no, raw, toks, {_STMT} AS stmt FROM (SELECT *, lower(toks[1]) AS a, coalesce(lower(toks[2]), '') AS b FROM lexed WHERE len(toks) > 0)),
+tokens AS (SELECT object_key, line_no, row_number() OVER (PARTITION BY object_key ORDER BY line_no, i) - 1 AS tok_order, text,
+  CASE WHEN starts_with(text, '&') THEN 'variable' WHEN text[1] IN ('''', '"') THEN 'string' WHEN regexp_matches(text, '^[0-9]') THEN 'number' WHEN lower(text) IN ({_KEYS}) THEN 'keyword' WHEN regexp_matches(text, '^[a-zA-Z_]') THEN 'ident' WHEN text[1] IN ('<', '>', '=', '!', '+', '-', '*', '/') THEN 'operator' ELSE 'punct' END AS kind
+  FROM (SELECT object_key, line_no, unnest(toks) AS text, unnest(range(1, len(toks) + 1)) AS i FROM stmts))"""
+_OPENS, _CLOSES = "stmt IN ('ForEach', 'If', 'DoCase', 'Sub')", "stmt IN ('EndFor', 'EndIf', 'EndCase', 'EndSub')"
+NESTED = _depth(f"CASE WHEN {_OPENS} THEN 1 WHEN {_CLOSES} THEN -1 ELSE 0 END", source="stmts") + f""",
+leveled AS (SELECT *, CASE WHEN {_OPENS} THEN d ELSE p END AS lvl FROM deep),
+matched AS (SELECT *, {_CLOSES} AND (p = 0 OR last_value(CASE stmt WHEN 'ForEach' THEN 'EndFor' WHEN 'If' THEN 'EndIf' WHEN 'DoCase' THEN 'EndCase' WHEN 'Sub' THEN 'EndSub' END IGNORE NULLS) OVER (PARTITION BY object_key, lvl ORDER BY line_no) <> stmt) AS bad FROM leveled)"""
+ACCESSES = """accesses AS (SELECT object_key, lower(text) AS name, line_no, tok_order, CASE WHEN stmt = 'Assignment' AND row_number() OVER (PARTITION BY object_key, line_no ORDER BY tok_order) = 1 THEN 'Write' ELSE 'Read' END AS access, stmt IN ('If', 'ElseIf', 'Case', 'Where') AS in_condition
+  FROM tokens JOIN stmts USING (object_key, line_no) WHERE kind = 'variable')"""
