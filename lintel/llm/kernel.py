@@ -60,7 +60,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Chunk:
     """Words of some rows: row r has the words ``off[r]:off[r + 1]``; ``start`` and ``end`` are byte places in ``data``."""
 
-    def __init__(self, first: int, data: np.ndarray, rows: np.ndarray, word: np.ndarray):
+    def __init__(self, first: int, data: np.ndarray, rows: np.ndarray, word: np.ndarray, cut=None):
         self.first, self.data, self.rows = first, LOWER[data], rows
         n = len(data)
         is_word = word[self.data]
@@ -69,9 +69,13 @@ class Chunk:
         if n:
             before[0], after[-1] = False, False
             before[1:], after[:-1] = is_word[:-1], is_word[1:]
-            cut = rows[1:-1]
-            before[cut[cut < n]] = False
-            after[cut[cut > 0] - 1] = False
+            if cut is not None:
+                apart = cut(self.data)
+                before[1:] &= ~apart
+                after[:-1] &= ~apart
+            inner = rows[1:-1]
+            before[inner[inner < n]] = False
+            after[inner[inner > 0] - 1] = False
         self.start = np.flatnonzero(is_word & ~before)
         self.end = np.flatnonzero(is_word & ~after) + 1
         self.off = np.searchsorted(self.start, rows)
@@ -110,8 +114,8 @@ class Chunk:
         return np.unique(windows[a : b - k + 1])
 
 
-def chunks(column: pa.Array, word: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Chunks over a string column; null is an empty text."""
+def chunks(column: pa.Array, word: np.ndarray, size: int = CHUNK_BYTES, cut=None) -> Iterator[Chunk]:
+    """Chunks over a string column; null is an empty text. cut: of a chunk's bytes, where words end besides (before each byte but the first)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -124,5 +128,5 @@ def chunks(column: pa.Array, word: np.ndarray, size: int = CHUNK_BYTES) -> Itera
     while r < len(column):
         e = max(r + 1, int(np.searchsorted(offsets, offsets[r] + size, side="right")) - 1)
         e = min(e, len(column))
-        yield Chunk(r, data[offsets[r] : offsets[e]], offsets[r : e + 1] - offsets[r], word)
+        yield Chunk(r, data[offsets[r] : offsets[e]], offsets[r : e + 1] - offsets[r], word, cut)
         r = e

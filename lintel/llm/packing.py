@@ -30,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernel import SPACED, chunks
+
 CAPACITY = 4096
 SEGMENTS = 512
 POOL = 16
 END = 2
-#: Most white-space-free strings whose ids a task remembers.
-CACHE = 400_000
+#: Most units whose ids a task remembers.
+CACHE = 1_000_000
 
 
 @dataclass
@@ -156,36 +158,108 @@ class Packer:
             yield b.pieces
 
 
-class Encoder:
-    """Ids of a text by a public tokenizer file, remembered for each run without white space.
+#: Bytes of a text that a unit can end after or begin with: ASCII letters, and ASCII marks other than the apostrophe.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = True
+MARKS = np.zeros(256, dtype=bool)
+MARKS[0x21:0x7F] = True
+MARKS[0x30:0x3A] = MARKS[0x27] = False
+MARKS &= ~LETTERS
+
 
-    The tokenizer drops white space and splits at it before anything else, so a
-    text's ids are those of its runs in order.
+class Encoder:
+    """Ids of texts by a public tokenizer file, remembered for units that recur.
+
+    The tokenizer splits at white space and between ASCII letters and marks (the
+    apostrophe is a mark that may go with letters), and lower-cases, before it does
+    anything else.  So a text's ids are those of its units in order, and units that
+    differ in the case of ASCII letters have the same ones.  Units are found and
+    hashed as arrays; each distinct one is looked up, or encoded, once a batch.  A
+    text with one of the tokenizer's special strings is encoded as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        runs = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.at = np.zeros(1, dtype=np.int64)
+        self.flat = np.empty(0, dtype="<u4")
+
+    def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a string column without nulls, in order."""
+        for c in chunks(column, SPACED, cut=_cuts):
+            special = self._special(column, c)
+            hashes, first, which = np.unique(c.word, return_index=True, return_inverse=True)
+            places = self._places(c, hashes, first)
+            start, size = self.at[places], self.at[places + 1] - self.at[places]
+            start, size = start[which], size[which]
+            ends = np.concatenate(([0], np.cumsum(size)))
+            ids = self.flat[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+            for r in range(len(c)):
+                yield special[r] if r in special else ids[ends[c.off[r]] : ends[c.off[r + 1]]]
+
+    def _special(self, column: pa.Array, c) -> dict[int, np.ndarray]:
+        out = {}
+        raw = c.data.tobytes()
+        for mark in self.special:
+            if mark.lower().encode() in raw:
+                for r in range(len(c)):
+                    text = column[c.first + r].as_py()
+                    if mark in text:
+                        out[r] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return out
+
+    def _places(self, c, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        keys = hashes.tolist()
         known = self.known
-        new = list({w for run in runs for w in run if w not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({w for run in runs for w in run})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in run]), dtype="<u4") for run in runs]
+        places = [known.get(k, -1) for k in keys]
+        new = [i for i, p in enumerate(places) if p < 0]
+        if new:
+            if len(known) + len(new) > CACHE:
+                self._clear()
+                known, new = self.known, list(range(len(keys)))
+                places = [-1] * len(keys)
+            raw, starts, ends = c.data.tobytes(), c.start[first], c.end[first]
+            sizes, ids = [], []
+            for k in range(0, len(new), 1000):
+                part = new[k : k + 1000]
+                units = [raw[starts[i] : ends[i]].decode() for i in part]
+                e = self.tokenizer.encode(units, is_pretokenized=True, add_special_tokens=False)
+                ids.append(np.array(e.ids, dtype="<u4"))
+                sizes.append(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(part)))
+            begin = len(self.at) - 1
+            for j, i in enumerate(new):
+                known[keys[i]] = places[i] = begin + j
+            sizes = np.concatenate(sizes)
+            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
+            self.flat = np.concatenate((self.flat, *ids))
+        return np.array(places, dtype=np.int64)
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Whether a unit ends before each byte but the first: between ASCII letters and marks."""
+    letter, mark = LETTERS[data], MARKS[data]
+    return (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """The encoder of this worker process, which its tasks share."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _run(path: str, limits: Limits, pool: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = Encoder(path), Packer(limits, pool)
+        encode, packer = _encoder(path), Packer(limits, pool)
         base, sequence, row = TaskContext.get().partitionId() << 33, 0, 0
         #: of examples with pieces in open sequences
         held: dict[int, tuple[int, np.ndarray]] = {}
@@ -206,17 +280,16 @@ def _run(path: str, limits: Limits, pool: int, end: int):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            docs, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for k in range(0, batch.num_rows, 64):
-                part = texts.slice(k, 64).fill_null("").to_pylist()
-                for doc, ids in zip(docs[k : k + 64], encode(part), strict=True):
-                    ids = np.append(ids, np.array([end], dtype="<u4"))
-                    held[row] = (doc, ids)
-                    for pieces in packer.add(row, len(ids)):
-                        close(pieces)
-                    row += 1
-                alive = {p.row for b in packer.open for p in b.pieces}
-                held = {r: held[r] for r in alive}
+            docs = batch.column("doc_id").to_pylist()
+            for doc, ids in zip(docs, encode(batch.column("text").cast(pa.large_string()).fill_null("")), strict=True):
+                ids = np.append(ids, np.array([end], dtype="<u4"))
+                held[row] = (doc, ids)
+                for pieces in packer.add(row, len(ids)):
+                    close(pieces)
+                row += 1
+                if row % 64 == 0:
+                    alive = {p.row for b in packer.open for p in b.pieces}
+                    held = {r: held[r] for r in alive}
                 if len(out) >= 10_000:
                     yield flush()
         for pieces in packer.finish():
