@@ -1,6 +1,5 @@
 """Rules, model, flows, decisions, sources and sinks of the engine."""
 
-import io
 import json
 import zipfile
 
@@ -142,20 +141,20 @@ def test_model_of_nested_blocks(spark):
 def test_taint_traces(spark):
     text = "parm(in:&a, out:&r)\n&b = Trim(&a)\n&sql = Wash(&b)\n&x = &sql.Execute(&sql)\n&f = GetCookie('c')\n&file.Open(&f)"
     rows = local_taint(objects(spark, [text, "if &x\n&sql.Execute(&HttpRequest)"])).orderBy("line_number").collect()
-    assert [(r.object_key, r.line_number, r.cwe, r.confidence, r.unsupported) for r in rows] == [("o0", 4, 89, "low", 1), ("o0", 6, 22, "high", 1)]
+    assert [(r.object_key, r.line_number, r.cwe, r.confidence, r.unsupported) for r in rows] == [("o0", 4, 89, "low", 2), ("o0", 6, 22, "high", 2)]
     assert [s.kind for s in rows[0].trace] == ["source", "propagate", "unsupported_call", "propagate", "sink"]
 
 
 def test_flows_between_objects(spark):
     caller, sink = "parm(in:&Entrada)\ncall('ProcSink', &Entrada)", "parm(in:&Valor)\n&sql = 'select ' + &Valor\n&R = &sql.Execute()"
-    rows = spark.createDataFrame([("Caller", caller, 0), ("ProcSink", sink, 1), ("Other", "call('caller', &q)", 2)], "object_key string, text string, ord long")
+    rows = spark.createDataFrame([("Caller", caller, 0), ("ProcSink", sink, 1), ("Other", "call('procsink', &q)", 2)], "object_key string, text string, ord long")
     found, cover = project.analyze(rows)
     got = [(r.object_key, r.line_number, r.cwe) for r in found.collect()]
-    assert got == [("procsink", 3, 89)] or got == [("procsink", 3, 89), ("procsink", 3, 89)]
+    assert got == [("procsink", 3, 89)]
     assert (cover.objects, cover.edges, cover.sccs, cover.truncated) == (3, 2, 3, False)
     deps = project.dependencies(project.call_edges(semantics.model(rows)), rows)
-    assert {(r.caller, r.callee) for r in deps.collect()} == {("caller", "procsink"), ("other", "caller")}
-    assert [r.object_key for r in project.frontier(deps, rows).collect()] == ["other"]
+    assert {(r.caller, r.callee) for r in deps.collect()} == {("caller", "procsink"), ("other", "procsink")}
+    assert sorted(r.object_key for r in project.frontier(deps, rows).collect()) == ["caller", "other"]
     assert {r.object_key for r in project.dependents(deps, ["ProcSink"]).collect()} == {"procsink", "caller", "other"}
     assert project.components(["a", "b", "c"], {"a": ["b"], "b": ["a"], "c": ["a"]}) == 2
     _, small = project.analyze(rows, project.Limits(objects=1))
@@ -292,4 +291,3 @@ def test_entry_and_registry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
-    assert io.StringIO is not None
