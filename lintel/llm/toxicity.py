@@ -3,16 +3,15 @@
 Two zstandard dictionaries of one size are trained from labelled text.  Both
 begin with the same stretch of general text; then comes, in the toxic one, the
 words that are characteristic of toxic text and, in the ordinary one, those of
-ordinary text; both end with two carriers.  A window (a word, lower-cased)
-is compressed between the carriers with either dictionary.  The carriers always
+ordinary text; both end with two carriers.  A window (a word, lower-cased,
+with a mark at its end) is compressed between the carriers with either dictionary.  The carriers always
 compress, so the lengths differ by what the window alone costs, without the
 frame's overhead or zstandard's fallback for very short input.  The share of its
 ordinary cost that a window saves under the toxic dictionary is its gain.  A
 window whose gain is at least a threshold is a hit; the threshold and the score
 of each number of hits are calibrated on the labelled sample.
 
-Words count for the dictionaries by distinct pairs of neighbours, so copies of a
-text add nothing.  Words of ordinary training text that would be hits take the
+Toxic words count by distinct pairs of neighbours, so copies of a text add nothing.  Words of ordinary training text that would be hits take the
 toxic words they match out of the dictionary.
 
 The fit uses at most ``SAMPLE`` labelled rows of each class (the smallest hashes
@@ -39,15 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-SAMPLE, SAMPLE_BYTES = 4000, 24_000_000
-GENERAL, SPECIAL = 6144, 2048
+SAMPLE, SAMPLE_BYTES = 6000, 30_000_000
+GENERAL, SPECIAL = 6144, 4096
 #: A toxic word stands between at least so many different neighbours, and is so much likelier in toxic text.
-CONTEXTS, ODDS = 5, 2.5
-SAVED = 3
+CONTEXTS, ODDS = 6, 3.5
+SAVED = 4
 MOST_HITS = 4
 THRESHOLD = 0.3
 CACHE = 1_000_000
 HEAD, TAIL = bytes(range(128, 144)), bytes(range(200, 216))
+#: What ends a word: too short to be a reference of its own, so a word that only begins like an entry pays for it.
+MARK = b"\x02\x03\x04"
 WORD = re.compile(r"\w+")
 
 
@@ -87,7 +88,7 @@ class Gains:
             new = list(windows)
         for k in range(0, len(new), 10_000):
             part = new[k : k + 10_000]
-            data = [HEAD + b" " + w.encode("utf-8", "replace") + b" " + TAIL for w in part]
+            data = [HEAD + b" " + w.encode("utf-8", "replace") + MARK + TAIL for w in part]
             toxic, ordinary = (c.multi_compress_to_buffer(data) for c in self.with_)
             for i, w in enumerate(part):
                 cost, saved = len(ordinary[i]) - self.base[1], len(ordinary[i]) - len(toxic[i])
@@ -98,13 +99,13 @@ class Gains:
 
 
 def _dictionary(general: bytes, special: bytes) -> bytes:
-    return general + b"~" * (SPECIAL - len(special)) + special + TAIL + HEAD
+    return general + b"~" * (SPECIAL - len(special)) + special + b"~~~~" + TAIL + HEAD
 
 
 def _special(ranked: list[str], banned: set[str]) -> bytes:
-    out, size = [], 1
+    out, size = [], 0
     for w in ranked:
-        n = len(w.encode()) + 1
+        n = len(w.encode("utf-8", "replace")) + 1 + len(MARK)
         if w in banned:
             continue
         if size + n > SPECIAL:
@@ -112,31 +113,43 @@ def _special(ranked: list[str], banned: set[str]) -> bytes:
         out.append(w)
         size += n
     # The most characteristic words come last, where references are shortest.
-    return "".join(f" {w}" for w in reversed(out)).encode() + b" "
+    return b"".join(b" " + w.encode("utf-8", "replace") + MARK for w in reversed(out))
 
 
-def _ranked(of: list[list[str]], other: list[list[str]], contexts: int, odds: float) -> list[str]:
-    """Words by how characteristic they are of one class."""
-    around: dict[str, set] = {}
+def _contexts(of: list[list[str]]) -> dict[str, int]:
+    """Between how many different pairs of neighbours each word stands."""
+    number: dict[str, int] = {"": 0}
+    around: dict[str, set[int]] = {}
     for ws in of:
+        ns = [0, *(number.setdefault(w, len(number)) for w in ws), 0]
         for i, w in enumerate(ws):
-            around.setdefault(w, set()).add((ws[i - 1] if i else "", ws[i + 1] if i + 1 < len(ws) else ""))
-    there = Counter(w for ws in other for w in set(ws))
-    mine, theirs = max(1, sum(map(len, of))), max(1, sum(map(len, other)))
+            around.setdefault(w, set()).add(ns[i] << 32 | ns[i + 2])
+    return {w: len(x) for w, x in around.items()}
+
+
+def _ranked(mine: dict[str, int], theirs: dict[str, int], contexts: int, odds: float) -> list[str]:
+    """Words by how characteristic they are of one class."""
+    m, t = max(1, sum(mine.values())), max(1, sum(theirs.values()))
     scored = []
-    for w, c in around.items():
-        if len(c) >= contexts:
-            x = math.log((len(c) + 0.5) / mine) - math.log((there[w] + 0.5) / theirs)
+    for w, n in mine.items():
+        if n >= contexts:
+            x = math.log((n + 0.5) / m) - math.log((theirs.get(w, 0) + 0.5) / t)
             if x >= odds:
-                scored.append((-len(c) * x, w))
+                scored.append((-n * x, w))
     return [w for _, w in sorted(scored)]
 
 
+def _kin(c: str, w: str) -> bool:
+    """Whether one word's dictionary entry can stand for most of the other."""
+    return c in w or (len(w) >= 4 and w in c)
+
+
 def fit(toxic: list[str], ordinary: list[str], rate: float) -> Model | None:
     """rate: the share of toxic rows among labelled rows."""
     if not toxic or not ordinary:
         return None
-    bad, good = [words(t) for t in toxic], [words(t) for t in ordinary]
+    once: dict[str, str] = {}  # each word is held once
+    bad, good = ([[once.setdefault(w, w) for w in words(t)] for t in side] for side in (toxic, ordinary))
     text = " ".join(w for ws in good for w in ws).encode()
     pieces = [text[i : i + 1000] for i in range(0, min(len(text), 6_000_000), 1000)]
     try:
@@ -144,25 +157,25 @@ def fit(toxic: list[str], ordinary: list[str], rate: float) -> Model | None:
     except zstd.ZstdError:  # too little text to train on
         general = text[-GENERAL:].rjust(GENERAL, b" ")
     few = max(1, min(CONTEXTS, len(bad) // 10))
-    candidates = _ranked(bad, good, few, ODDS)
-    ordinary_special = _special(_ranked(good, bad, few, 0.0), set())
+    said_bad, said_good = (Counter(w for ws in side for w in ws) for side in (bad, good))
+    candidates = _ranked(_contexts(bad), said_good, few, ODDS)
+    ordinary_special = _special(_ranked(said_good, said_bad, few, 0.0), set())
+    worth = Counter(w for ws in bad for w in set(ws))
+    seen_good = Counter(w for ws in good for w in set(ws))
     banned: set[str] = set()
     for _ in range(4):
         model = Model(_dictionary(general, _special(candidates, banned)), _dictionary(general, ordinary_special), 0.0, [])
         gains = Gains(model.toxic, model.ordinary)
-        seen_good = Counter(w for ws in good for w in set(ws))
         gains.learn(set(seen_good))
         false = {w: n for w, n in seen_good.items() if gains.of(w) >= 0.7}
-        drop = {c for c in candidates if c not in banned and any(c[:5] in w or w in c for w in false)} if false else set()
         # Words in ordinary text that look toxic take what they match out, unless it is far more often right than wrong.
-        worth = Counter(w for ws in bad for w in set(ws))
-        drop = {c for c in drop if worth[c] * len(good) < 20 * len(bad) * max(1, sum(n for w, n in false.items() if c[:5] in w or w in c))}
+        drop = {c for c in candidates if c not in banned and (n := sum(n for w, n in false.items() if _kin(c, w))) and worth[c] * len(good) < 20 * len(bad) * n}
         if not drop:
             break
         banned |= drop
     gains.learn({w for ws in bad for w in ws})
     best = None
-    for g in (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9):
+    for g in (0.55, 0.6, 0.65, 0.7, 0.75):
         hits_bad, hits_good = ([_hits(gains, set(ws), g) for ws in side] for side in (bad, good))
         tp, fp = sum(h > 0 for h in hits_bad) / len(bad) * rate, sum(h > 0 for h in hits_good) / len(good) * (1 - rate)
         quality = (2 * tp / (tp + fp + rate)) if tp else 0.0
