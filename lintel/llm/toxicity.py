@@ -3,16 +3,17 @@
 Two zstandard dictionaries of one size are trained from labelled text.  Both
 begin with the same stretch of general text; then comes, in the toxic one, the
 words that are characteristic of toxic text and, in the ordinary one, those of
-ordinary text; both end with two carriers.  A window (a word, lower-cased,
-with a mark at its end) is compressed between the carriers with either dictionary.  The carriers always
-compress, so the lengths differ by what the window alone costs, without the
-frame's overhead or zstandard's fallback for very short input.  The share of its
-ordinary cost that a window saves under the toxic dictionary is its gain.  A
-window whose gain is at least a threshold is a hit; the threshold and the score
-of each number of hits are calibrated on the labelled sample.
-
-Toxic words count by distinct pairs of neighbours, so copies of a text add nothing.  Words of ordinary training text that would be hits take the
-toxic words they match out of the dictionary.
+ordinary text; both end with two carriers.  A window (a word, lower-cased, with a
+mark at its end) is compressed between the carriers with either dictionary.  The
+carriers always compress, so the lengths differ by what the window alone costs,
+without the frame's overhead or zstandard's fallback for very short input.  The
+share of its ordinary cost that a window saves under the toxic dictionary is its
+gain.  A window whose gain is at least a threshold is a hit; the threshold and the
+score of each number of hits are calibrated on the labelled sample.
+
+Toxic words count by distinct pairs of neighbours, so copies of a text add nothing.
+Words of ordinary training text that would be hits take the toxic words they match
+out of the dictionary.
 
 The fit uses at most ``SAMPLE`` labelled rows of each class (the smallest hashes
 of the ids) and at most ``SAMPLE_BYTES`` of their texts, whole texts only, on the
