@@ -42,8 +42,8 @@ WORDS = 5
 SIMILARITY = 80
 BUCKETS = 1 << 17
 ORDERS = 3
-#: Longs of a parity sketch.
-SKETCH = 16
+#: Longs of a parity sketch; sets over WIDE_FROM shingles, which fill it, have a second one of WIDE longs.
+SKETCH, WIDE, WIDE_FROM = 16, 256, 1000
 #: Most keys sent to every executor; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 SEEN = 200_000
@@ -60,32 +60,35 @@ def _signed(x: np.ndarray) -> pa.Array:
 SKETCHED = ", ".join(f"s{i} long" for i in range(SKETCH))
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
+def _sketch(s: np.ndarray, longs: int) -> np.ndarray:
     """Bit i is the parity of the number of shingles that a hash sends to i."""
-    bits = np.bincount((mix(s) >> U64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    bits = np.bincount((mix(s) >> U64(32)).astype(np.int64) % (64 * longs), minlength=64 * longs) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def _profile(words: int):
     """A row for each text (bucket 0), then at a task's end one for each bucket of shingle counts."""
-    names = ["doc_id", "key", "n", "bucket", *(f"s{i}" for i in range(SKETCH))]
+    names = ["doc_id", "key", "n", "bucket", "wide", *(f"s{i}" for i in range(SKETCH))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             rows = batch.num_rows
+            wide: list[np.ndarray | None] = [None] * rows
             keys, sizes, bits = np.zeros(rows, dtype=U64), np.zeros(rows, dtype=np.int64), np.zeros((rows, SKETCH), dtype=np.int64)
             for c in chunks(batch.column("text"), SPACED):
                 windows = c.windows(words)
                 for r in range(len(c)):
                     s = c.shingles(r, words, windows)
                     if len(s):
-                        sizes[c.first + r], keys[c.first + r], bits[c.first + r] = len(s), c.sequence(r), _sketch(s)
+                        sizes[c.first + r], keys[c.first + r], bits[c.first + r] = len(s), c.sequence(r), _sketch(s, SKETCH)
+                        if len(s) > WIDE_FROM:
+                            wide[c.first + r] = _sketch(s, WIDE)
                         np.add.at(counts, (s & U64(BUCKETS - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _signed(keys), pa.array(sizes), pa.array(np.zeros(rows, np.int64)), *(pa.array(bits[:, i]) for i in range(SKETCH))], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _signed(keys), pa.array(sizes), pa.array(np.zeros(rows, np.int64)), pa.array(wide, pa.list_(pa.int64())), *(pa.array(bits[:, i]) for i in range(SKETCH))], names)
         full = np.flatnonzero(counts)
         none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(counts[full]), pa.array(full + 1), *[none] * SKETCH], names)
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(counts[full]), pa.array(full + 1), pa.nulls(len(full), pa.list_(pa.int64())), *[none] * SKETCH], names)
 
     return run
 
@@ -189,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark: SparkSession = docs.sparkSession
     keep = Scratch(spark, "ngram")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = keep.keep(rows.mapInArrow(_profile(words), f"doc_id long, key long, n long, bucket long, {SKETCHED}"), "profile")
+    profile = keep.keep(rows.mapInArrow(_profile(words), f"doc_id long, key long, n long, bucket long, wide array<long>, {SKETCHED}"), "profile")
     members = profile.where("bucket = 0").select("doc_id", "key", "n")
     counts = np.zeros(BUCKETS, dtype=np.int64)
     for bucket, total in profile.where("bucket > 0").groupBy("bucket").agg(F.sum("n")).collect():  # BUCKETS rows at most
@@ -200,11 +203,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_token = Window.partitionBy("token")
     met = postings.withColumns({"lo": F.min("key").over(by_token), "hi": F.max("key").over(by_token)}).where("lo < hi").select("token", "key", "n").distinct()
     shared = keep.keep(met, "shared")
-    sketches = profile.where("bucket = 0 and n > 0").select("key", *(f"s{i}" for i in range(SKETCH)))
+    sketches = profile.where("bucket = 0 and n > 0").select("key", "wide", *(f"s{i}" for i in range(SKETCH)))
     links = _links(keep, rows, shared, sketches, words, similarity)
-    if links is None:
-        return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    roots = components(links, keep, "all")
+    roots = None if links is None else components(links, keep, "all")
     if roots is None:
         roots = members.where("false").select(F.col("key").alias("node"), F.col("key").alias("root"))
     # A copy group or component of any size meets as partial minima, then in joins that can be split.
@@ -227,6 +228,12 @@ def _near(x: str, y: str, similarity: int) -> Column:
     return sizes & (F.lit(100 + similarity) * _apart(x, y) <= F.lit(100 - similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
 
 
+def _wide_near(x: str, y: str, similarity: int) -> Column:
+    """The same bound by the second sketches, where both sets have one."""
+    apart = F.aggregate(F.zip_with(f"{x}.wide", f"{y}.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, b: n + b)
+    return F.when(F.col(f"{x}.wide").isNull() | F.col(f"{y}.wide").isNull(), F.lit(True)).otherwise(F.lit(100 + similarity) * apart <= F.lit(100 - similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
+
+
 def _links(keep: Scratch, rows: DataFrame, shared: DataFrame, sketches: DataFrame, words: int, similarity: int) -> DataFrame | None:
     """Verified pairs of keys, enough of them to connect every two texts that any links connect."""
     weights = shared.groupBy("token").agg(F.count("*").alias("w")).where("w > 1")
@@ -248,17 +255,22 @@ def _links(keep: Scratch, rows: DataFrame, shared: DataFrame, sketches: DataFram
     fits = f"100 * least(n, na) >= {similarity} * greatest(n, na)"
     stars = shared.join(pivots, "token").where(f"key <> a and {fits}").select("a", F.col("key").alias("b")).distinct()
     x, y = nodes.alias("x"), nodes.alias("y")
-    stars = stars.join(x, F.col("a") == F.col("x.key")).join(y, (F.col("b") == F.col("y.key")) & _near("x", "y", similarity)).select("a", "b")
-    near = verified(keep.keep(stars, "stars"), "near")
+
+    def likely(pairs: DataFrame, name: str) -> DataFrame:
+        """Of pairs, those that both sketches allow."""
+        both = _near("x", "y", similarity) & _wide_near("x", "y", similarity)
+        return keep.keep(pairs.join(x, F.col("a") == F.col("x.key")).join(y, (F.col("b") == F.col("y.key")) & both).select("a", "b"), name)
+
+    near = verified(likely(stars, "stars"), "near")
     roots = components(near, keep, "star")
-    described = nodes.drop("central", "n")
+    described = nodes.drop("central", "n", "wide")
     described = described.withColumn("root", F.col("key")) if roots is None else described.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     described = keep.keep(described, "described")
     open_tokens = shared.join(described.select("key", "root"), "key").groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     left = keep.keep(shared.join(open_tokens, "token").join(described, "key"), "open")
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _near("x", "y", similarity))
-    rest = keep.keep(rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "rest")
+    u, v = left.alias("u"), left.alias("v")
+    rest = u.join(v, (F.col("u.token") == F.col("v.token")) & (F.col("u.key") < F.col("v.key")) & (F.col("u.root") != F.col("v.root")) & _near("u", "v", similarity))
+    rest = likely(rest.select(F.col("u.key").alias("a"), F.col("v.key").alias("b")).distinct(), "rest")
     keep.drop("open", "shared")
     if rest.isEmpty():
         return near
