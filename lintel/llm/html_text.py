@@ -8,11 +8,12 @@ and count hashes), so a host of any size is a partial aggregation and never a
 group in one task.  A class is valid if its tokens are on at least half of the
 host's pages; valid classes nest by their paths and give the host's template.
 What lies between template tokens are its slots.  The main slot is the article
-or main element if the template has one, else the valid token with most text
-that is not in links and not in a menu, header, footer, sidebar, notice, advert,
-form or comment list.  Of each page, the blocks in the main slot remain, without
-any such part inside it.  A page that lacks its host's main slot (or whose host
-has no template) is judged by its own tokens alone.
+or main element if the template has one, else the whole page: no share of the
+text decides, so a heading or a short part beside a long one stays.  Of each page,
+the blocks in the main slot remain, without any menu, header, footer, sidebar,
+notice, advert, form or comment list inside it.  A page that lacks its host's
+article or main slot (or whose host has no template) is judged by its own tokens
+alone: its article and main elements, or else the whole page.
 
 Blocks are split at block elements; character references are decoded, white
 space becomes one space, and blocks are joined by an empty line.
@@ -206,11 +207,6 @@ class Template:
         named = [(p, x) for p, x in once if p[-1].split(".")[0] in MAIN and not dropped(p)]
         if named:
             self.main = max(named, key=lambda y: (y[1]["pages"], y[1]["chars"], -len(y[0])))[0]
-        else:
-            held = [(p, x) for p, x in once if not dropped(p) and x["chars"]]
-            if held:
-                most = max(x["chars"] for _, x in held)
-                self.main = max((p for p, x in held if 10 * x["chars"] >= 9 * most), key=len)
 
 
 def dropped(path: tuple[str, ...]) -> bool:
@@ -223,11 +219,12 @@ def dropped(path: tuple[str, ...]) -> bool:
 
 def main_text(page: str | None, template: Template | None) -> str:
     tokens, blocks = parse(page or "")
-    slot = template.main if template is not None and template.main in tokens else None
-    if slot is None:
-        own = [p for p in tokens if p[-1].split(".")[0] in MAIN and not dropped(p)]
-        slot = own[0] if own else ()
-    return "\n\n".join(b.text for b in blocks if not b.dropped and b.path[: len(slot)] == slot)
+    slots: list[tuple[str, ...]] = [()]
+    if template is not None and template.main in tokens:
+        slots = [template.main]
+    elif template is None or not template.of or template.main:
+        slots = [p for p in tokens if p[-1].split(".")[0] in MAIN and not dropped(p)] or slots
+    return "\n\n".join(b.text for b in blocks if not b.dropped and any(b.path[: len(s)] == s for s in slots))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -207,6 +207,18 @@ def test_html_main_text(spark):
     assert html_text.extract(pages.where("false")).count() == 0
 
 
+def test_html_keeps_short_parts_beside_long_ones(spark):
+    long = "a long paragraph " * 40
+    bodies = {"s": "<div class='story'><h2>Head {i}</h2><p>{long}{i}</p></div>", "i": "<div class='intro'>Intro {i}</div><div class='body'><p>{long}{i}</p><p>end {i}</p></div>", "m": "<article class='a'><p>{long}{i}</p></article><p>Note {i}</p><article class='a'><p>second {i}</p></article>"}
+    said = {"s": ["Head {i}", "{long}{i}"], "i": ["Intro {i}", "{long}{i}", "end {i}"], "m": ["{long}{i}", "Note {i}", "second {i}"]}
+    rows = [(100 * k + i, f"http://{h}/", _page(b.format(i=i, long=long), i)) for k, (h, b) in enumerate(bodies.items()) for i in range(5)]
+    rows += [(900, "http://alone/", _page(bodies["s"].format(i=0, long=long), 0)), (901, "http://one/", "<article class='a'>x</article><article class='b'>y</article>")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, h in enumerate(bodies):
+        assert [got[100 * k + i] for i in range(5)] == ["\n\n".join(said[h]).format(i=i, long=long) for i in range(5)]
+    assert got[900] == got[0] and got[901] == "x\n\ny"
+
+
 def test_html_classes_share_vectors(spark):
     pages = spark.createDataFrame([(i, "http://h/", f"<body><div><p>a</p>{'<p>b</p>' * i}</div><div class='z'>c</div></body>") for i in range(4)], "page_id long, url string, html string")
     nodes = {n["token"]: n["vector"] for n in html_text.templates(pages).first()["nodes"]}
