@@ -1,15 +1,21 @@
 """Main text of web pages by equivalence classes of template tokens.
 
 A page's structural tokens are its block elements, each named by its path of
-element names and classes.  Over the pages of a host, the occurrence vector of a
-token is how often each page has it; tokens with one vector are an equivalence
+element names and classes; its text tokens are its blocks, each named by its path
+and a 64-bit hash of its text.  Over the pages of a host, the occurrence vector of
+a token is how often each page has it; tokens with one vector are an equivalence
 class.  Vectors are compared by order-free fingerprints (an exclusive or of page
-and count hashes), so a host of any size is a partial aggregation and never a
-group in one task.  A class is valid if its tokens are on at least half of the
-host's pages; valid classes nest by their paths and give the host's template.
-What lies between template tokens are its slots.  The main slot is the article
-or main element if the template has one, else the whole page: no share of the
-text decides, so a heading or a short part beside a long one stays.  Of each page,
+and count hashes, with the numbers of pages and occurrences), so a host of any
+size is a partial aggregation and never a group in one task.  A class is valid if
+its tokens are on at least half of the host's pages, with text tokens on at least
+``REPEATED``; valid classes nest by their paths and give the host's template.  A
+text token in the class of an element around it is template: wherever that
+element stands, it says the same.  All other text stands in slots between template
+tokens, also text that recurs on some pages with an element and not on others.
+The main slot is the article or main element if the template has one, and all
+text in it is the page's.  Else it is the whole page without template text: no
+share of the text decides, so a heading or a short part beside a long one stays.
+A page of template text alone (a host of copies) keeps it.  Of each page,
 the blocks in the main slot remain, without any menu, header, footer, sidebar,
 notice, advert, form or comment list inside it.  A page that lacks its host's
 article or main slot (or whose host has no template) is judged by its own tokens
@@ -26,9 +32,11 @@ in the vectors; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,9 +95,9 @@ def parse(page: str) -> tuple[dict[tuple[str, ...], int], list[Block]]:
         m = TAG.search(page, at)
         upto = m.start() if m else n
         if upto > at:
-            said = html.unescape(page[at:upto])
-            parts.append(said)
-            linked += len(said) if link else 0
+            text = html.unescape(page[at:upto])
+            parts.append(text)
+            linked += len(text) if link else 0
         if not m:
             break
         at = m.end()
@@ -151,6 +159,13 @@ def _mix(x: int) -> int:
 
 #: Most (host, token) pairs that a task adds up before it sends them on.
 HELD = 50_000
+#: Fewest pages with a text for it to be template: on two, template and copy look the same.
+REPEATED = 3
+
+
+def said(text: str) -> str:
+    """What names a text in its token."""
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,23 +187,33 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for k in range(1, len(b.path) + 1):
                         size[b.path[:k]] = size.get(b.path[:k], 0) + len(b.text) - b.linked
             own = _mix(zlib.crc32(page.encode("utf-8", "replace")) << 32 ^ (page_id or 0))
-            for path, n in [*tokens.items(), ((), 1)]:
-                v = found.setdefault((name, " ".join(path)), [0, 0, 0, 0])
+            # A newline stands in no path: it parts a text token's path and hash.
+            texts = Counter(f"{' '.join(b.path)}\n{said(b.text)}" for b in blocks if not b.dropped)
+            sized = [(" ".join(path), n, size.get(path, 0)) for path, n in [*tokens.items(), ((), 1)]]
+            for token, n, chars in [*sized, *((t, n, 0) for t, n in texts.items())]:
+                v = found.setdefault((name, token), [0, 0, 0, 0])
                 v[0] += 1
                 v[1] += n
-                v[2] += size.get(path, 0)
+                v[2] += chars
                 v[3] = _signed((v[3] ^ _mix(own + n)) & 0xFFFFFFFFFFFFFFFF)
             if len(found) >= HELD:
                 yield send()
     yield send()
 
 
-def templates(pages: DataFrame) -> DataFrame:
+#: Most template rows and characters sent to every executor; more are joined by a shuffle.
+BROADCAST_HOSTS, BROADCAST_CHARS = 20_000, 16_000_000
+
+
+def templates(pages: DataFrame, keep: Scratch | None = None) -> DataFrame:
     """host, nodes: the valid tokens of each host with class, pages, occurrences and characters of text."""
+    keep = keep or Scratch(pages.sparkSession, "html")
     seen = pages.mapInArrow(_observe, "host string, token string, pages long, occurrences long, chars long, vector long")
     tokens = seen.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.sum("chars").alias("chars"), F.bit_xor("vector").alias("vector"))
+    tokens = keep.keep(tokens.where(f"pages >= {REPEATED} or not contains(token, '\n')"), "tokens")
     # The empty token is on every page of its host: a token is valid if it is on half of them.
     total = tokens.where("token = ''").select("host", F.col("pages").alias("total"))
+    total = F.broadcast(total) if total.count() <= BROADCAST_HOSTS else total
     valid = tokens.join(total, "host").where("total >= 2 and 2 * pages >= total and token <> ''")
     return valid.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("token", "vector", "pages", "occurrences", "chars"))).alias("nodes"))
 
@@ -197,11 +222,17 @@ class Template:
     """Valid classes of a host, nested by path, and its main slot."""
 
     def __init__(self, nodes: list[dict]):
-        classes: dict[int, list[dict]] = {}
-        for x in nodes:
-            classes.setdefault(x["vector"], []).append(x)
-        #: class of each template token; a class nests in that of the nearest token around it
-        self.of = {tuple(x["token"].split(" ")): v for v, xs in classes.items() for x in xs}
+        texts = [x for x in nodes if "\n" in x["token"]]
+        nodes = [x for x in nodes if "\n" not in x["token"]]
+        #: class of each structural token; a class nests in that of the nearest token around it
+        self.of = {tuple(x["token"].split(" ")): (x["vector"], x["pages"], x["occurrences"]) for x in nodes}
+        #: template texts: path and hash
+        self.texts: set[tuple[tuple[str, ...], str]] = set()
+        for x in texts:
+            path, text = x["token"].split("\n")
+            path, own = tuple(path.split()), (x["vector"], x["pages"], x["occurrences"])
+            if any(self.of.get(path[:k]) == own for k in range(1, len(path) + 1)):
+                self.texts.add((path, text))
         self.main: tuple[str, ...] | None = None
         once = [(p, x) for p, x in ((tuple(x["token"].split(" ")), x) for x in nodes) if x["occurrences"] == x["pages"]]
         named = [(p, x) for p, x in once if p[-1].split(".")[0] in MAIN and not dropped(p)]
@@ -224,7 +255,10 @@ def main_text(page: str | None, template: Template | None) -> str:
         slots = [template.main]
     elif template is None or not template.of or template.main:
         slots = [p for p in tokens if p[-1].split(".")[0] in MAIN and not dropped(p)] or slots
-    return "\n\n".join(b.text for b in blocks if not b.dropped and any(b.path[: len(s)] == s for s in slots))
+    kept = [b for b in blocks if not b.dropped and any(b.path[: len(s)] == s for s in slots)]
+    if slots == [()] and template is not None and template.texts:
+        kept = [b for b in kept if (b.path, said(b.text)) not in template.texts] or kept
+    return "\n\n".join(b.text for b in kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,16 +275,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-#: Most template rows and characters sent to every executor; more are joined by a shuffle.
-BROADCAST_HOSTS, BROADCAST_CHARS = 20_000, 16_000_000
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     spark: SparkSession = pages.sparkSession
     keep = Scratch(spark, "html")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    found = keep.keep(templates(rows), "templates")
+    found = keep.keep(templates(rows, keep), "templates")
     hosts, chars = found.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("nodes", F.lit(0).cast("long"), lambda a, x: a + F.length(x["token"]) + 40)), F.lit(0))).first()
     name = F.coalesce(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)), F.lit(""))
     joined = rows.withColumn("host", name).join(F.broadcast(found) if hosts <= BROADCAST_HOSTS and chars <= BROADCAST_CHARS else found, "host", "left")

@@ -219,6 +219,21 @@ def test_html_keeps_short_parts_beside_long_ones(spark):
     assert got[900] == got[0] and got[901] == "x\n\ny"
 
 
+def test_html_classes_decide_what_is_template(spark):
+    lists = "<ul class='x'><li>Home</li><li>About</li></ul>"
+    rows = [(i, "http://t/", f"<body>{lists}<div class='story'><h2>Head {i}</h2><p>text {i}</p><p>{'same' if i < 4 else 'other'}</p></div><div class='z'>All offers, all day</div></body>") for i in range(6)]
+    rows += [(10 + i, "http://copies/", "<body><p>one</p><p>two</p></body>") for i in range(4)]
+    rows += [(20 + i, "http://pair/", f"<body><p>both</p><p>own {i}</p></body>") for i in range(2)]
+    rows += [(30 + i, "http://named/", f"<body><article><p>both</p><p>own {i}</p></article></body>") for i in range(4)]
+    # Each row twice: their page hashes cancel out, and numbers of pages still tell classes apart.
+    rows += 2 * [(40 + i, "http://twice/", f"<body><p>a {i}</p><div class='q'>menu</div></body>") for i in range(2)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == [f"Head {i}\n\ntext {i}\n\n{'same' if i < 4 else 'other'}" for i in range(6)]
+    assert all(got[10 + i] == "one\n\ntwo" for i in range(4))
+    assert all(got[20 + i] == got[30 + i] == f"both\n\nown {i}" for i in range(2))
+    assert all(got[40 + i] == f"a {i}" for i in range(2))
+
+
 def test_html_classes_share_vectors(spark):
     pages = spark.createDataFrame([(i, "http://h/", f"<body><div><p>a</p>{'<p>b</p>' * i}</div><div class='z'>c</div></body>") for i in range(4)], "page_id long, url string, html string")
     nodes = {n["token"]: n["vector"] for n in html_text.templates(pages).first()["nodes"]}
