@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .project import held
+
 
 @dataclass(frozen=True)
 class Absolute:
@@ -71,7 +73,23 @@ def pack_coverage(findings: DataFrame, packs: DataFrame, objects: int) -> DataFr
 
 
 def percentiles(times: DataFrame, column: str) -> DataFrame:
-    """min, median, p95, max: the median and p95 are the order statistics at the rounded-up index."""
-    ordered = times.agg(F.sort_array(F.collect_list(column)).alias("x"), F.count(column).alias("n"))
-    at = lambda q: F.element_at("x", F.greatest(F.ceil(F.col("n") * q), F.lit(1)).cast("int"))
-    return ordered.where("n > 0").select(F.array_min("x").alias("min"), at(0.5).alias("median"), at(0.95).alias("p95"), F.array_max("x").alias("max"))
+    """min, median, p95, max: the median and p95 are the order statistics at the rounded-up index.
+
+    Values are counted, and the counts dealt out by ranges of values.  Running sums
+    within a range begin at the total of the ranges before it (a row for each range
+    is what meets), so no task has more than a range of the values.
+    """
+    counted = times.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("c"))
+    # Held: another run could cut the ranges elsewhere.
+    dealt = held(counted.repartitionByRange("x").withColumn("part", F.spark_partition_id()))
+    sums = sorted((r["part"], r["c"]) for r in dealt.groupBy("part").agg(F.sum("c").alias("c")).collect())
+    n, before = 0, []
+    for part, c in sums:
+        before.append((part, n))
+        n += c
+    starts = times.sparkSession.createDataFrame(before, "part int, start long")
+    last = F.col("start") + F.sum("c").over(Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = dealt.join(F.broadcast(starts), "part").select("x", "c", last.alias("last"))
+    whole = F.lit(n).cast("long")
+    at = lambda q: F.min(F.when(F.col("last") >= F.greatest(F.ceil(whole * q), F.lit(1)), F.col("x")))
+    return ranked.agg(F.min("x").alias("min"), at(0.5).alias("median"), at(0.95).alias("p95"), F.max("x").alias("max"), F.count("*").alias("n")).where("n > 0").drop("n")

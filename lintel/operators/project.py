@@ -71,12 +71,12 @@ def dependents(deps: DataFrame, changed: list[str]) -> DataFrame:
     seen = new
     while not new.isEmpty():
         callers = deps.join(new.withColumnRenamed("object_key", "callee"), "callee", "left_semi").select(F.col("caller").alias("object_key")).distinct()
-        new = _held(callers.join(seen, "object_key", "left_anti"))
-        seen = _held(seen.union(new))
+        new = held(callers.join(seen, "object_key", "left_anti"))
+        seen = held(seen.union(new))
     return seen
 
 
-def _held(df: DataFrame) -> DataFrame:
+def held(df: DataFrame) -> DataFrame:
     """Cut the lineage: in the cluster's checkpoint folder where one is set."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():

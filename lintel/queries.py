@@ -273,6 +273,12 @@ def run_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.percentiles(spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id = 1"), "value")
 
 
+@query("event_percentiles", "SELECT l[1] AS min, l[greatest(CAST(ceil(len(l) * 0.5) AS INTEGER), 1)] AS median, l[greatest(CAST(ceil(len(l) * 0.95) AS INTEGER), 1)] AS p95, l[len(l)] AS max FROM (SELECT list_sort(list(value)) AS l FROM events)")
+def event_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all events."""
+    return decisions.percentiles(spark.read.parquet(f"{sf_dir}/events.parquet"), "value")
+
+
 # The semantic model.
 
 

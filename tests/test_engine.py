@@ -175,6 +175,25 @@ def test_decisions(spark):
     assert tuple(pct) == (1, 5, 10, 10)
 
 
+def test_percentiles_hold_no_column_in_one_array(spark, capsys, tmp_path):
+    import random
+
+    from lintel import queries
+
+    rng = random.Random(3)
+    values = [rng.choice([None, -1.5, 0.0, rng.random(), float(rng.randrange(9))]) for _ in range(2001)]
+    rows = spark.createDataFrame([(i, i % 50, v) for i, v in enumerate(values)], "event_id long, user_id long, value double").repartition(5)
+    v = sorted(x for x in values if x is not None)
+    want = (v[0], v[-(-len(v) // 2) - 1], v[-(-len(v) * 95 // 100) - 1], v[-1])
+    got = decisions.percentiles(rows, "value")
+    assert [tuple(r) for r in got.collect()] == [want]
+    got.explain()
+    assert "collect_list" not in capsys.readouterr().out
+    assert decisions.percentiles(rows.where("false"), "value").count() == decisions.percentiles(rows.where("value is null"), "value").count() == 0
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    assert tuple(queries.QUERIES["event_percentiles"](spark, str(tmp_path)).first()) == want
+
+
 def test_pages_visit_each_issue_once(spark):
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(["INFO", "ERROR", "WARNING", "ERROR", "INFO", "WARNING", "ERROR"], 1)], "id long, severity string")
     seen, cursor = [], None
