@@ -331,6 +331,20 @@ def test_licenses(spark):
         assert exact <= set(filter(None, got[i].licenses.split(",")))
 
 
+def test_licenses_short_notices_stand_in_lines(spark):
+    rng = random.Random(19)
+    said = {
+        "All rights reserved.": "All-Rights-Reserved", "Licensed under CC BY 4.0": "CC-BY-4.0", "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0", "Released under the BSD 3-Clause License": "BSD-3-Clause",
+        "This file is distributed under the GNU LGPL version 2.1": "LGPL-2.1", "Licensed under the MPL 2.0": "MPL-2.0", "// SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "SPDX-License-Identifier: MIT": "MIT", "Released under the MIT License": "MIT",
+    }
+    texts = [f"{_prose(rng, 20)}\n{x}\n{_prose(rng, 20)}" for x in said] + ["all rights were reserved", "All rights reserved", f"All rights {_prose(rng, 9)} All rights reserved"]
+    got = [r for r in licenses.licenses(docs(spark, texts, True)).orderBy("doc_id").collect()]
+    assert [r.licenses for r in got] == [*said.values(), "", "All-Rights-Reserved", "All-Rights-Reserved"]
+    assert got[0].spans == "All-Rights-Reserved:20:22" and got[-1].spans == "All-Rights-Reserved:11:13" and got[7].spans == "MIT:20:23"
+    own = licenses.licenses(docs(spark, ["x a b c y", "b", "a b", "all rights reserved"]), templates={"A": ["a b"], "B": ["b c", "B"], "C": ["a, b"]}).orderBy("doc_id").collect()
+    assert [r.spans for r in own] == ["A:1:2,B:2:3,C:1:2", "B:0:0", "A:0:1,B:1:1,C:0:1", ""]
+
+
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 
 
