@@ -14,7 +14,13 @@ end the pieces left in open sequences are laid one after the other, cut into ful
 sequences, and the tail into sequences whose lengths are powers of two, which
 need no padding.
 
-Defined results: a null or empty text is the end token alone; repeated rows are
+An example is a text whose tokens all bear loss, or with a loss column an array of
+parts (a conversation's turns) and one flag for each: the tokens of flagged parts
+bear loss, and the end token does if the last part does.  White space is taken to
+stand between parts.
+
+Defined results: a null or empty text is the end token alone; no parts are the end
+token alone, without loss; a null or missing flag bears no loss; repeated rows are
 packed each; an empty table gives no pieces; further columns are ignored.
 """
 
@@ -257,34 +263,51 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _run(path: str, limits: Limits, pool: int, end: int):
+def _examples(encode: Encoder, batch: pa.RecordBatch, masked: bool, end: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Ids of each row, and the running count of those that bear loss (None: all do)."""
+    last = np.array([end], dtype="<u4")
+    if not masked:
+        for ids in encode(batch.column("text").cast(pa.large_string()).fill_null("")):
+            yield np.append(ids, last), None
+        return
+    rows = [parts or [] for parts in batch.column("text").to_pylist()]
+    coded = iter(encode(pa.array([p or "" for parts in rows for p in parts], pa.large_string())))
+    for parts, flags in zip(rows, batch.column("loss").to_pylist(), strict=True):
+        flags = [bool(f) for f in [*(flags or []), *[False] * len(parts)][: len(parts)]]
+        ids = [next(coded) for _ in parts]
+        bears = np.repeat(np.array([*flags, bool(flags) and flags[-1]], dtype=np.int64), [*map(len, ids), 1])
+        yield np.concatenate([*ids, last]), np.concatenate(([0], np.cumsum(bears)))
+
+
+def _run(path: str, limits: Limits, pool: int, end: int, masked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = _encoder(path), Packer(limits, pool)
         base, sequence, row = TaskContext.get().partitionId() << 33, 0, 0
         #: of examples with pieces in open sequences
-        held: dict[int, tuple[int, np.ndarray]] = {}
+        held: dict[int, tuple[int, np.ndarray, np.ndarray | None]] = {}
         out: list[tuple] = []
 
         def close(pieces: list[Piece]) -> None:
             nonlocal sequence
             offset = 0
             for p in pieces:
-                doc, ids = held[p.row]
-                out.append((doc, p.start, p.length, zlib.crc32(ids[p.start : p.start + p.length].tobytes()), len(ids), base + sequence, offset))
+                doc, ids, _ = held[p.row]
+                out.append((doc, p.start, p.length, zlib.crc32(ids[p.start : p.start + p.length].tobytes()), len(ids), base + sequence, offset, p.loss))
                 offset += p.length
             sequence += 1
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            n = len(names) if masked else len(names) - 1
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols[:n]], names[:n])
 
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            for doc, ids in zip(docs, encode(batch.column("text").cast(pa.large_string()).fill_null("")), strict=True):
-                ids = np.append(ids, np.array([end], dtype="<u4"))
-                held[row] = (doc, ids)
-                for pieces in packer.add(row, len(ids)):
+            for doc, (ids, loss) in zip(docs, _examples(encode, batch, masked, end), strict=True):
+                held[row] = (doc, ids, loss)
+                for pieces in packer.add(row, len(ids), loss):
                     close(pieces)
                 row += 1
                 if row % 64 == 0:
@@ -292,7 +315,7 @@ def _run(path: str, limits: Limits, pool: int, end: int):
                     held = {r: held[r] for r in alive}
                 if len(out) >= 10_000:
                     yield flush()
-        for pieces in packer.finish():
+        for pieces in packer.finish({r: h[2] for r, h in held.items()} if masked else None):
             close(pieces)
         yield flush()
 
@@ -302,7 +325,11 @@ def _run(path: str, limits: Limits, pool: int, end: int):
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None, pool: int = POOL, end: int = END) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_run(tokenizer_path, limits or Limits(), pool, end), SCHEMA)
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None, pool: int = POOL, end: int = END, loss_col: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    loss_col: flags of the parts that bear loss; text_col is then an array of parts, and each piece has its loss_tokens too.
+    """
+    text = F.col(text_col).cast("array<string>" if loss_col else "string").alias("text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text, *([F.col(loss_col).cast("array<boolean>").alias("loss")] if loss_col else []))
+    return rows.mapInArrow(_run(tokenizer_path, limits or Limits(), pool, end, bool(loss_col)), SCHEMA + (", loss_tokens long" if loss_col else ""))

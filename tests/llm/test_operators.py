@@ -168,6 +168,34 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, []), queries.tokenizer_path()).count() == 0
 
 
+def test_packing_counts_loss_of_flagged_parts(spark):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    rng = random.Random(16)
+    rows = [(i, [_prose(rng, rng.randrange(60)) for _ in range(rng.randrange(5))], [rng.random() < 0.4 for _ in range(4)]) for i in range(80)] + [(80, None, None), (81, [None, "a b"], [True, None])]
+    limits = packing.Limits(tokens=128, segments=6, loss=40)
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, turns array<string>, learn array<boolean>"), queries.tokenizer_path(), text_col="turns", limits=limits, loss_col="learn").collect()
+    tokenizer, pieces, sequences = Tokenizer.from_file(queries.tokenizer_path()), {}, {}
+    for r in got:
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for i, parts, flags in rows:
+        ids, mask, bears = [], [], False
+        for k, p in enumerate(parts or []):
+            bears = bool(flags[k])
+            new = tokenizer.encode(p or "", add_special_tokens=False).ids
+            ids, mask = ids + new, mask + [bears] * len(new)
+        ids, mask, at = np.array([*ids, 2], dtype="<u4"), [*mask, bears], 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32, r.loss_tokens) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()), sum(mask[at : at + r.length]))
+            at += r.length
+        assert at == len(ids)
+    for rs in sequences.values():
+        assert sum(r.length for r in rs) <= 128 and sum(r.loss_tokens for r in rs) <= 40 and len(rs) <= 6
+    assert any(sum(r.length for r in rs) > 40 for rs in sequences.values())
+
+
 def test_packer_keeps_all_limits():
     import numpy as np
 
