@@ -31,6 +31,10 @@ class Limits:
     trace: int = 8
 
 
+#: No limit: for tables that are to be covered whole.
+WHOLE = Limits(*[2**31 - 1] * 5)
+
+
 @dataclass
 class Coverage:
     objects: int = 0
@@ -142,6 +146,8 @@ def summaries(objects: DataFrame) -> DataFrame:
 
 def bounded(objects: DataFrame, limits: Limits) -> DataFrame:
     """The first objects in order, up to the limits of count and bytes."""
+    if limits.objects >= WHOLE.objects and limits.bytes >= WHOLE.bytes:
+        return objects
     first = objects.orderBy("ord").limit(limits.objects)
     total = F.sum(F.octet_length("text")).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
     return first.withColumn("total", total).where(F.col("total") <= limits.bytes).drop("total")

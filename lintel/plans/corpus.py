@@ -45,6 +45,21 @@ def order_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _objects(spark, o.select(F.col("o_custkey").alias("object_key"), F.col("o_orderkey").alias("pos"), mixed.alias("idx")))
 
 
+def flow_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object ``obj<k>`` for each customer key k, with object_key, ord, text: its parameters go into calls of other customers' objects and into its own statements."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    keys = o.select(F.col("o_custkey").alias("key")).distinct()
+    # The callee is the customer of another order where there is one: keys of orders that are not there call nothing.
+    near = o.select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.col("o_custkey").alias("callee"))
+    callee = F.concat(F.lit("call('obj"), F.coalesce("callee", F.col("o_custkey") + 1).cast("string"), F.lit("', &Entrada, &Salida)"))
+    kind = F.col("o_orderkey") % 4
+    line = F.when(kind < 2, callee).when(kind == 2, "&Salida = Trim(&Entrada)").otherwise("&sql = 'select ' + &Entrada\n&Result = &sql.Execute()")
+    first = keys.select("key", F.struct(F.lit(-1).cast("long").alias("pos"), F.lit("parm(in:&Entrada, out:&Salida);").alias("line")).alias("l"))
+    rest = o.join(near, "o_orderkey", "left").select(F.col("o_custkey").alias("key"), F.struct(F.col("o_orderkey").cast("long").alias("pos"), line.alias("line")).alias("l"))
+    texts = first.union(rest).groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text"))
+    return texts.select(F.concat(F.lit("obj"), F.col("key").cast("string")).alias("object_key"), F.col("key").alias("ord"), "text")
+
+
 def call_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An object ``obj<k>`` for each customer key k whose orders call other objects by key."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")

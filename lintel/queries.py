@@ -380,9 +380,10 @@ def dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rule_sec_3")
 def rule_sec_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first objects of the corpus, up to the limits, with their flows through each other."""
-    objects = corpus.order_objects(spark, sf_dir).select(F.concat(F.lit("obj"), F.col("object_key").cast("string")).alias("object_key"), F.col("object_key").alias("ord"), "text")
-    found, _ = project.analyze(objects)
+    """All objects of the corpus with their flows through each other."""
+    found, cover = project.analyze(corpus.flow_objects(spark, sf_dir), project.WHOLE)
+    if cover.truncated:
+        raise RuntimeError(f"not all objects were covered: {cover.reasons}")
     return found.select("object_key", "line_number", "description", "confidence", "cwe")
 
 

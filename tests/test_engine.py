@@ -161,6 +161,21 @@ def test_flows_between_objects(spark):
     assert small.truncated and small.objects == 1
 
 
+def test_flow_query_covers_all_objects_and_their_calls(spark, tmp_path):
+    from lintel import queries
+    from lintel.plans import corpus
+
+    n = 5000  # more objects than the default limit
+    spark.range(1, 2 * n + 1).select(F.col("id").alias("o_orderkey"), (F.col("id") * 7 % n).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    rows = corpus.flow_objects(spark, str(tmp_path))
+    found, cover = project.analyze(rows, project.WHOLE)
+    assert cover.objects == n and not cover.truncated and cover.edges > n // 2
+    got = queries.QUERIES["rule_sec_3"](spark, str(tmp_path))
+    assert got.count() == found.count() > 2000
+    assert got.where("description like '%llega al parámetro%'").count() > 0
+    assert got.where("cast(substring(object_key, 4) as int) >= 4500").count() > 0
+
+
 def test_decisions(spark):
     result = audit.audit(objects(spark, ["&i = &i + 1\n//"]), policy=decisions.Absolute(1, 1))
     assert (result.metrics["errors"], result.metrics["warnings"], result.verdict, result.exit_code) == (1, 1, "pass", 0)
