@@ -1,12 +1,15 @@
 """Quality rules as a learned decision list, in DataFrame functions only.
 
 Counts of every whole text give five shares (symbols, repeated words, repeated
-lines, capitals, mean word length).  Each share is cut at quantiles of the good
-and of the bad labelled rows, and labelled rows are counted by cell: at most
-``(2 * len(QUANTILES) + 1) ** 5`` cells, whatever the number of rows.  On those
-counts sequential covering grows conjunctions of thresholds for the class of bad
-documents (FOIL gain on one half of the rows) and prunes them on the other half.
-The ordered list becomes one conditional expression.
+lines, capitals, mean word length).  The smallest and largest value and quantiles
+of the good and of the bad labelled rows are a share's marks; it is cut midway
+between neighbouring marks, so no row lies on a cut that was taken from it.
+Labelled rows are counted by cell: at most ``(2 * len(QUANTILES) + 4) ** 5`` cells,
+whatever the number of rows.  On those counts sequential covering grows
+conjunctions of thresholds for the class of bad documents (FOIL gain on one half
+of the rows) and prunes them on the other half.  The ordered list, of at most
+``MAX_RULES`` rules with ``MAX_CONDITIONS`` conditions each, becomes one conditional
+expression; after ``MAX_TRIES`` refuted rules the search ends.
 
 Words are runs without white space (\\x20, \\x09-\\x0D).  Defined results: a null
 or blank text has no words and fails the base rule; labels that are null or of
@@ -25,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-QUANTILES = (0.1, 0.3, 0.5, 0.9, 0.99, 0.999)
+QUANTILES = (0.02, 0.25, 0.5, 0.75, 0.98)
 FEATURES = ("symbols", "repeats", "lines", "capitals", "length")
-MAX_RULES, MAX_CONDITIONS, MAX_TRIES = 8, 3, 12
+MAX_RULES, MAX_CONDITIONS, MAX_TRIES = 16, 3, 24
 MIN_PRECISION = 0.8
 WHITE = "\t\n\x0b\f\r"
 
@@ -102,7 +105,7 @@ Rule = tuple[Condition, ...]
 
 
 def learn(cells: list[dict], cuts: dict[str, list[float]]) -> list[Rule]:
-    """Ordered conjunctions for bad rows. A cell: the bin of each feature (cuts below or at its values), and bad and good rows of the growing (gb, gg) and pruning half (pb, pg)."""
+    """Ordered conjunctions for bad rows. A cell: the bin of each feature (how many cuts are not above its values), and bad and good rows of the growing (gb, gg) and pruning half (pb, pg)."""
 
     def holds(cell: dict, c: Condition) -> bool:
         return (cell[c.feature] > cuts[c.feature].index(c.threshold)) == c.above
@@ -155,15 +158,25 @@ def learn(cells: list[dict], cuts: dict[str, list[float]]) -> list[Rule]:
     return rules
 
 
+def between(marks: list[float]) -> list[float]:
+    """Cuts midway between neighbouring marks, above the lower and at most at the higher one."""
+    low = sorted(set(marks))
+    return sorted({m if a < (m := (a + b) / 2) else b for a, b in zip(low, low[1:], strict=False)})
+
+
 def fit(shares: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> list[Rule]:
     """The decision list from all labelled rows, through bounded statistics."""
     good = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("good")).where("doc_id is not null and good in (0, 1)")
     rows = shares.select("doc_id", *FEATURES).join(good, "doc_id")
-    marks = [F.percentile_approx(F.when(F.col("good") == g, F.col(f)), list(QUANTILES), 10_000).alias(f"{f}{g}") for f in FEATURES for g in (0, 1)]
+    marks = []
+    for f in FEATURES:
+        for g in (0, 1):
+            own = F.when(F.col("good") == g, F.col(f))
+            marks.append(F.concat(F.percentile_approx(own, list(QUANTILES), 10_000), F.array(F.min(own), F.max(own))).alias(f"{f}{g}"))
     found = rows.agg(F.count_if(F.col("good") == 0).alias("bad"), F.count_if(F.col("good") == 1).alias("fine"), *marks).first()
     if not found["bad"] or not found["fine"]:
         return []
-    cuts = {f: sorted({*found[f"{f}0"], *found[f"{f}1"]}) for f in FEATURES}
+    cuts = {f: between([*found[f"{f}0"], *found[f"{f}1"]]) for f in FEATURES}
     binned = rows.select("good", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("grow"), *(sum((F.when(F.col(f) >= t, 1).otherwise(0) for t in cuts[f]), F.lit(0)).alias(f) for f in FEATURES))
     half = {"gb": "good = 0 and grow", "gg": "good = 1 and grow", "pb": "good = 0 and not grow", "pg": "good = 1 and not grow"}
     cells = binned.groupBy(*FEATURES).agg(*(F.count_if(F.expr(e)).alias(k) for k, e in half.items())).collect()
