@@ -1,5 +1,7 @@
 """DuckDB SQL with the results of the queries, written from their contracts."""
 
+from .urls import CUTOFF, RULES, Z
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 NGRAM_JOIN = rf"""
@@ -72,8 +74,7 @@ WITH base AS (
   UNION ALL SELECT *, 5 FROM ({_places("pem", r"'-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----'")})
   UNION ALL SELECT *, 6 FROM ({_places("slack", r"'\bxox[abprs]-[A-Za-z0-9-]{10,}'")})
 ), spans AS (
-  SELECT * FROM base UNION ALL
-  SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND b.start < m."end" AND m.start < b."end")
+  SELECT * FROM base UNION ALL SELECT * FROM more
 ), named AS (
   SELECT doc_id, rank, kind, start, concat(kind, ':', CAST(start AS BIGINT), ':', CAST("end" AS BIGINT)) AS s FROM spans
 ), by_doc AS (
@@ -85,3 +86,43 @@ SELECT d.doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(k, 0)
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN by_doc USING (doc_id)
 """
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rules by length, the longest first.
+_RULES = sorted((r.pattern, r.verdict) for r in RULES)
+_RULES.sort(key=lambda r: -len(r[0]))
+
+
+def _fits(pattern: str) -> str:
+    name, slash, path = pattern.partition("/")
+    return f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{path}')"
+
+
+def _level(name: str, groups: str, prior: str, before: str) -> str:
+    """A level of the reputation: its units with their prior, the strength of that prior, and the estimates."""
+    clipped = "least(greatest(prior, 1e-6), 1 - 1e-6)"
+    spread = f"{clipped} * (1 - {clipped})"
+    over, total = f"sum(power(bad - n * {clipped}, 2) - n * {spread})", f"sum(n * (n - 1.0) * {spread})"
+    rho = f"CASE WHEN coalesce({total}, 0) = 0 THEN 0.5 ELSE coalesce({over}, 0) / {total} END"
+    return f"""{name}_units AS (SELECT {groups}, sum(n) AS n, sum(bad) AS bad, any_value({prior}) AS prior FROM hosts {before} GROUP BY {groups}),
+{name}_strength AS (SELECT 1 / least(greatest({rho}, 1e-4), 0.9999) - 1 AS s FROM {name}_units),
+{name} AS (SELECT {groups}, (bad + s * prior) / (n + s) AS {name}_mean, n + s AS {name}_weight FROM {name}_units, {name}_strength)"""
+
+
+URL_FILTER = rf"""
+WITH parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM (SELECT page_id, regexp_extract(url, '(?s)^.*?://(.*)$', 1) AS rest FROM pages)
+), outcomes AS (SELECT doc_id AS page_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY 1),
+hosts AS (
+  SELECT host, n, bad, array_to_string(l[greatest(len(l) - 1, 1):], '.') AS domain, l[-1] AS suffix
+  FROM (SELECT host, string_split(host, '.') AS l, count(good) AS n, count(*) FILTER (good = 0) AS bad FROM parts LEFT JOIN outcomes USING (page_id) GROUP BY host)
+), whole AS (SELECT CASE WHEN coalesce(sum(n), 0) = 0 THEN 0.0 ELSE (sum(bad) + 0.5) / (sum(n) + 1.0) END AS mean FROM hosts),
+{_level("suffixes", "suffix", "mean", ", whole")}, {_level("domains", "suffix, domain", "suffixes_mean", "JOIN suffixes USING (suffix)")},
+{_level("known", "host", "domains_mean", "JOIN domains USING (suffix, domain)")},
+judged AS (SELECT host, power(sin(greatest(asin(sqrt(least(greatest(known_mean, 0.0), 1.0))) - {Z} / (2 * sqrt(known_weight + 1)), 0.0)), 2) >= {CUTOFF} AS blocked FROM known)
+SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(p)} THEN '{p}'" for p, _ in _RULES)} END AS rule,
+       CASE {" ".join(f"WHEN {_fits(p)} THEN '{v}'" for p, v in _RULES)} WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
+FROM parts LEFT JOIN judged USING (host)
+"""

@@ -78,5 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_join": oracles.NGRAM_JOIN,
     "op2_decontamination": oracles.DECONTAMINATION,
+    "op7_url_filter": oracles.URL_FILTER,
     "op10_secret_scan": oracles.SECRET_SCAN,
 }

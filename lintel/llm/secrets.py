@@ -8,7 +8,8 @@ the findings back to all paths.  A blob shared by a third of all paths meets as
 partial aggregates and in a join that adaptive execution can split.
 
 Rules: the base kinds assign, access and hex, matched as in ``BASE``, and further
-kinds.  A further finding stays if it overlaps no base finding.
+kinds.  Further findings are added to the base ones, also where both mark one
+stretch of text: what a secret is assigned to and what it is are two findings.
 
 Defined results: a null text is empty; a null path is a path; repeated rows each
 get a row; further columns are ignored; a rules version that is scanned for the
@@ -35,6 +36,8 @@ MORE = {
     "slack": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
 }
 KINDS = ("assign", "access", "hex", *MORE)
+#: Most hashes of unseen blobs sent to every executor; more are joined by a shuffle.
+BROADCAST_BLOBS = 1_000_000
 SPAN = "array<struct<kind: string, start: bigint, end: bigint>>"
 
 
@@ -57,10 +60,8 @@ def findings(text: Column) -> Column:
     )
     hints = {"github": F.contains(text, F.lit("gh")), "jwt": F.contains(text, F.lit("eyJ")), "pem": F.contains(text, F.lit("-----BEGIN")), "slack": F.contains(text, F.lit("xox"))}
     more = F.concat(*(_kind(k, find(text, p, 0, hints[k])) for k, p in MORE.items()))
-    both = F.struct(base.alias("base"), more.alias("more"))
-    apart = F.transform(F.array(both), lambda x: F.concat(x["base"], F.filter(x["more"], lambda m: ~F.exists(x["base"], lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))).getItem(0)
     rank = F.create_map(*(F.lit(v) for i, k in enumerate(KINDS) for v in (k, i)))
-    keyed = F.transform(apart, lambda s: F.struct(s["start"].alias("start"), F.element_at(rank, s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
+    keyed = F.transform(F.concat(base, more), lambda s: F.struct(s["start"].alias("start"), F.element_at(rank, s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
     return F.transform(F.sort_array(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).cast(SPAN)
 
 
@@ -69,14 +70,17 @@ def scan(history: DataFrame, ledger: str, path_col: str = "path", text_col: str
     spark: SparkSession = history.sparkSession
     version = version or rules_version()
     rows = history.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
     known = _ledger(spark, ledger)
+    unseen = rows
     if known is not None:
-        blobs = blobs.join(known.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
+        # Hashes first: texts of blobs that the ledger has stay where they are.
+        new = rows.select("blob").distinct().join(known.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
+        new = Scratch(spark, "unseen").keep(new, "blobs")
+        unseen = rows.join(F.broadcast(new) if new.count() <= BROADCAST_BLOBS else new, "blob", "left_semi")
+    blobs = unseen.groupBy("blob").agg(F.first("text").alias("text"))
     blobs.select("blob", findings(F.col("text")).alias("spans")).withColumn("rules", F.lit(version)).write.mode("append").parquet(ledger)
-    done = _ledger(spark, ledger).where(F.col("rules") == version).select("blob", "spans")
-    # Most blobs have no finding: only those that have one are joined back to paths.
-    hit = done.where(F.size("spans") > 0)
+    # Most blobs have no finding: only those that have one are joined back to paths, each once, also where two scans at a time added it.
+    hit = _ledger(spark, ledger).where((F.col("rules") == version) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
     return rows.select("path", "blob").join(hit, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
