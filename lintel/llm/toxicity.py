@@ -1,24 +1,26 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries of one size are trained from labelled text.  Both
-begin with the same stretch of general text; then comes, in the toxic one, the
-words that are characteristic of toxic text and, in the ordinary one, those of
-ordinary text; both end with two carriers.  A window (a word, lower-cased, with a
-mark at its end) is compressed between the carriers with either dictionary.  The
-carriers always compress, so the lengths differ by what the window alone costs,
-without the frame's overhead or zstandard's fallback for very short input.  The
-share of its ordinary cost that a window saves under the toxic dictionary is its
-gain.  A window whose gain is at least a threshold is a hit; the threshold and the
-score of each number of hits are calibrated on the labelled sample.
+Two zstandard dictionaries of one size are trained from labelled text, each in two
+parts.  The first is trained on ordinary text and the same in both, so that what is
+common costs the same.  The second is trained on the class's own text, on those of
+its words that are characteristic of it, as they follow each other; carriers stand at
+the end.  A window (a word, lower-cased, with a mark at its end) is compressed
+between the carriers with either dictionary.  The carriers always compress, so the
+lengths differ by what the window alone costs, without the frame's overhead or
+zstandard's fallback for very short input.  The share of its ordinary cost that a
+window saves under the toxic dictionary is its gain.  A window whose gain is at least
+a threshold is a hit of the level of its gain.  The threshold, what a hit of each
+level weighs, and the logistic curve from weights to scores are calibrated on the
+labelled sample.
 
 Toxic words count by distinct pairs of neighbours, so copies of a text add nothing.
 Words of ordinary training text that would be hits take the toxic words they match
-out of the dictionary.
+out of what the dictionary is trained on.
 
-The fit uses at most ``SAMPLE`` labelled rows of each class (the smallest hashes
-of the ids) and at most ``SAMPLE_BYTES`` of their texts, whole texts only, on the
-driver.  Scoring reads every word of every text; a task remembers at most
-``CACHE`` windows.
+The fit takes at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled rows (the smallest
+hashes of the ids) with at most ``TOXIC_BYTES`` and ``ORDINARY_BYTES`` of text, whole
+texts in that order; it runs on the driver.  Scoring reads every word of every text;
+a task remembers at most ``CACHE`` windows.
 
 Defined results: a null or wordless text has no hits and the score of none; null
 ids and labels are not trained on; without labels of both classes every score is
@@ -35,22 +37,27 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-SAMPLE, SAMPLE_BYTES = 6000, 30_000_000
+#: Most labelled rows, and bytes of their texts, that the fit takes of toxic and of ordinary text.
+TOXIC_ROWS, TOXIC_BYTES = 2000, 4_000_000
+ORDINARY_ROWS, ORDINARY_BYTES = 4000, 8_000_000
 GENERAL, SPECIAL = 6144, 4096
 #: A toxic word stands between at least so many different neighbours, and is so much likelier in toxic text.
 CONTEXTS, ODDS = 6, 3.5
 SAVED = 4
-MOST_HITS = 4
 THRESHOLD = 0.3
-CACHE = 1_000_000
+CACHE = 200_000
+#: Characteristic words in one sample of the trainer.
+RUN = 6
 HEAD, TAIL = bytes(range(128, 144)), bytes(range(200, 216))
 #: What ends a word: too short to be a reference of its own, so a word that only begins like an entry pays for it.
 MARK = b"\x02\x03\x04"
 WORD = re.compile(r"\w+")
+#: Shares of a window's cost that part its gains into levels.
+LEVELS = tuple(0.5 + 0.05 * k for k in range(10))
 
 
 def words(text: str | None) -> list[str]:
@@ -59,12 +66,32 @@ def words(text: str | None) -> list[str]:
 
 @dataclass
 class Model:
-    """Dictionaries, the gain of a hit, and the score by number of hits."""
+    """Dictionaries, the gain of a hit, the weight of a hit of each level, and slope and intercept of the score."""
 
     toxic: bytes
     ordinary: bytes
     gain: float
-    scores: list[float]
+    weights: list[float]
+    slope: float
+    intercept: float
+
+    def score(self, gains: list[float]) -> float:
+        """Of the gains of a text's distinct windows."""
+        return _logistic(self.slope * _evidence(gains, self.gain, self.weights) + self.intercept)
+
+
+def _logistic(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
+
+
+def _level(gain: float) -> int:
+    return sum(gain >= x for x in LEVELS)
+
+
+def _evidence(gains: list[float], least: float, weights: list[float]) -> float:
+    """Weights of the hits; a further hit of a level counts half of the one before."""
+    n: Counter = Counter(_level(g) for g in gains if g >= least)
+    return sum(weights[k] * (2 - 0.5 ** (c - 1)) for k, c in n.items())
 
 
 class Gains:
@@ -103,41 +130,40 @@ def _dictionary(general: bytes, special: bytes) -> bytes:
     return general + b"~" * (SPECIAL - len(special)) + special + b"~~~~" + TAIL + HEAD
 
 
-def _special(ranked: list[str], banned: set[str]) -> bytes:
-    out, size = [], 0
-    for w in ranked:
-        n = len(w.encode("utf-8", "replace")) + 1 + len(MARK)
-        if w in banned:
-            continue
-        if size + n > SPECIAL:
-            break
-        out.append(w)
-        size += n
-    # The most characteristic words come last, where references are shortest.
-    return b"".join(b" " + w.encode("utf-8", "replace") + MARK for w in reversed(out))
+def _entry(w: str) -> bytes:
+    return b" " + w.encode("utf-8", "replace") + MARK
+
+
+def _special(of: list[list[str]], ranked: list[str], banned: set[str]) -> bytes:
+    """What zstandard's trainer makes of a class's characteristic words as they follow each other in its texts."""
+    kept = [w for w in ranked if w not in banned]
+    among = set(kept)
+    said = [[_entry(w) for w in ws if w in among] for ws in of]
+    samples = [b"".join(row[i : i + RUN]) for row in said for i in range(0, len(row), RUN)]
+    if not samples:
+        return b""
+    try:
+        return zstd.train_dictionary(SPECIAL + 1024, samples, k=50, d=8).as_bytes()[-SPECIAL:]
+    except zstd.ZstdError:  # too little to train on: each word once, the most characteristic where references are shortest
+        return b"".join(reversed([_entry(w) for w in kept]))[-SPECIAL:]
 
 
-def _contexts(of: list[list[str]]) -> dict[str, int]:
-    """Between how many different pairs of neighbours each word stands."""
-    number: dict[str, int] = {"": 0}
-    around: dict[str, set[int]] = {}
+def _contexts(of: list[list[str]], asked: set[str]) -> dict[str, int]:
+    """Between how many different pairs of neighbours each asked word stands."""
+    around: dict[str, set[tuple[str, str]]] = {w: set() for w in asked}
     for ws in of:
-        ns = [0, *(number.setdefault(w, len(number)) for w in ws), 0]
         for i, w in enumerate(ws):
-            around.setdefault(w, set()).add(ns[i] << 32 | ns[i + 2])
+            if w in around:
+                around[w].add((ws[i - 1] if i else "", ws[i + 1] if i + 1 < len(ws) else ""))
     return {w: len(x) for w, x in around.items()}
 
 
-def _ranked(mine: dict[str, int], theirs: dict[str, int], contexts: int, odds: float) -> list[str]:
-    """Words by how characteristic they are of one class."""
-    m, t = max(1, sum(mine.values())), max(1, sum(theirs.values()))
-    scored = []
-    for w, n in mine.items():
-        if n >= contexts:
-            x = math.log((n + 0.5) / m) - math.log((theirs.get(w, 0) + 0.5) / t)
-            if x >= odds:
-                scored.append((-n * x, w))
-    return [w for _, w in sorted(scored)]
+def _ranked(mine: Counter, theirs: Counter, of: list[list[str]], contexts: int, odds: float) -> list[str]:
+    """Words by how characteristic they are of one class: how much likelier, times the number of contexts."""
+    m, t = max(1, mine.total()), max(1, theirs.total())
+    likelier = {w: x for w, n in mine.items() if n >= contexts and (x := math.log((n + 0.5) / m) - math.log((theirs[w] + 0.5) / t)) >= odds}
+    found = _contexts(of, set(likelier))
+    return [w for _, w in sorted((-found[w] * x, w) for w, x in likelier.items() if found[w] >= contexts)]
 
 
 def _kin(c: str, w: str) -> bool:
@@ -145,28 +171,32 @@ def _kin(c: str, w: str) -> bool:
     return c in w or (len(w) >= 4 and w in c)
 
 
+def _general(of: list[list[str]]) -> bytes:
+    """What zstandard's trainer makes of ordinary text, from pieces of all of it."""
+    pieces = [p for ws in of for t in (" ".join(ws).encode("utf-8", "replace"),) for p in (t[i : i + 1000] for i in range(0, len(t), 1000))]
+    try:
+        return zstd.train_dictionary(GENERAL + 4096, pieces).as_bytes()[-GENERAL:]
+    except zstd.ZstdError:  # too little text to train on
+        return b" ".join(pieces)[-GENERAL:].rjust(GENERAL, b" ")
+
+
 def fit(toxic: list[str], ordinary: list[str], rate: float) -> Model | None:
     """rate: the share of toxic rows among labelled rows."""
     if not toxic or not ordinary:
         return None
     once: dict[str, str] = {}  # each word is held once
     bad, good = ([[once.setdefault(w, w) for w in words(t)] for t in side] for side in (toxic, ordinary))
-    text = " ".join(w for ws in good for w in ws).encode()
-    pieces = [text[i : i + 1000] for i in range(0, min(len(text), 6_000_000), 1000)]
-    try:
-        general = zstd.train_dictionary(GENERAL + 4096, pieces).as_bytes()[-GENERAL:]
-    except zstd.ZstdError:  # too little text to train on
-        general = text[-GENERAL:].rjust(GENERAL, b" ")
+    general = _general(good)
     few = max(1, min(CONTEXTS, len(bad) // 10))
     said_bad, said_good = (Counter(w for ws in side for w in ws) for side in (bad, good))
-    candidates = _ranked(_contexts(bad), said_good, few, ODDS)
-    ordinary_special = _special(_ranked(said_good, said_bad, few, 0.0), set())
+    candidates = _ranked(said_bad, said_good, bad, few, ODDS)
+    ordinary_special = _special(good, _ranked(said_good, said_bad, good, few, ODDS / 2), set())
     worth = Counter(w for ws in bad for w in set(ws))
     seen_good = Counter(w for ws in good for w in set(ws))
     banned: set[str] = set()
     for _ in range(4):
-        model = Model(_dictionary(general, _special(candidates, banned)), _dictionary(general, ordinary_special), 0.0, [])
-        gains = Gains(model.toxic, model.ordinary)
+        dictionaries = _dictionary(general, _special(bad, candidates, banned)), _dictionary(general, ordinary_special)
+        gains = Gains(*dictionaries)
         gains.learn(set(seen_good))
         false = {w: n for w, n in seen_good.items() if gains.of(w) >= 0.7}
         # Words in ordinary text that look toxic take what they match out, unless it is far more often right than wrong.
@@ -174,25 +204,41 @@ def fit(toxic: list[str], ordinary: list[str], rate: float) -> Model | None:
         if not drop:
             break
         banned |= drop
-    gains.learn({w for ws in bad for w in ws})
+    gains.learn(set(said_bad))
+    of_bad, of_good = ([[g for w in set(ws) if (g := gains.of(w)) >= LEVELS[0]] for ws in side] for side in (bad, good))
     best = None
-    for g in (0.55, 0.6, 0.65, 0.7, 0.75):
-        hits_bad, hits_good = ([_hits(gains, set(ws), g) for ws in side] for side in (bad, good))
-        tp, fp = sum(h > 0 for h in hits_bad) / len(bad) * rate, sum(h > 0 for h in hits_good) / len(good) * (1 - rate)
+    for least in (0.55, 0.6, 0.65, 0.7, 0.75):
+        tp, fp = (sum(any(g >= least for g in gs) for gs in side) / len(side) for side in (of_bad, of_good))
+        tp, fp = tp * rate, fp * (1 - rate)
         quality = (2 * tp / (tp + fp + rate)) if tp else 0.0
         if best is None or quality >= best[0]:
-            best = (quality, g, hits_bad, hits_good)
-    _, gain, hits_bad, hits_good = best
-    nb, ng = Counter(hits_bad), Counter(hits_good)
-    scores = []
-    for k in range(MOST_HITS + 1):
-        p, q = (nb[k] + 0.05) / (len(bad) + 0.25) * rate, (ng[k] + 0.05) / (len(good) + 0.25) * (1 - rate)
-        scores.append(max(p / (p + q), scores[-1] if scores else 0.0))
-    return Model(model.toxic, model.ordinary, gain, scores)
-
-
-def _hits(gains: Gains, windows: set[str], gain: float) -> int:
-    return min(MOST_HITS, sum(gains.of(w) >= gain for w in windows))
+            best = (quality, least)
+    least, weights = best[1], []
+    for k in range(len(LEVELS) + 1):
+        b, g = (sum(any(x >= least and _level(x) == k for x in gs) for gs in side) for side in (of_bad, of_good))
+        weight = math.log((b + 0.5) / (len(bad) + 1)) - math.log((g + 0.5) / (len(good) + 1)) if b + g else 0.0
+        weights.append(max(0.0, weight, *weights))  # no level tells less than one below
+    slope, intercept = _calibrate([_evidence(gs, least, weights) for gs in of_bad], [_evidence(gs, least, weights) for gs in of_good], rate)
+    return Model(*dictionaries, least, weights, slope, intercept)
+
+
+def _calibrate(bad: list[float], good: list[float], rate: float) -> tuple[float, float]:
+    """A logistic curve over evidence, each class with its share of labelled rows, by Newton's method with a small ridge."""
+    parts = [(x, 1, rate / len(bad) * n) for x, n in Counter(bad).items()] + [(x, 0, (1 - rate) / len(good) * n) for x, n in Counter(good).items()]
+    a, b, ridge = 1.0, math.log(rate / (1 - rate)), 1e-4
+    for _ in range(50):
+        ga, gb, haa, hab, hbb = ridge * (a - 1), 0.0, ridge, 0.0, ridge
+        for x, y, w in parts:
+            p = _logistic(a * x + b)
+            ga, gb, v = ga + w * (p - y) * x, gb + w * (p - y), w * p * (1 - p)
+            haa, hab, hbb = haa + v * x * x, hab + v * x, hbb + v
+        det = haa * hbb - hab * hab
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        step = min(1.0, 2.0 / max(abs(da), abs(db), 1e-9))
+        a, b = max(0.05, a - step * da), b - step * db
+        if max(abs(da), abs(db)) < 1e-6:
+            break
+    return a, b
 
 
 _held: dict[bytes, Gains] = {}
@@ -215,29 +261,29 @@ def _score(model):
                     continue
                 windows = set(words(text.as_py()))
                 gains.learn(windows)
-                scores.append(m.scores[_hits(gains, windows, m.gain)])
+                scores.append(m.score([gains.of(w) for w in windows]))
             rest = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "text"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(scores, pa.float64())], [*(f.name for f in batch.schema if f.name != "text"), "score"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
-    """A model from a bounded sample of labelled rows."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: tuple[int, int] = (ORDINARY_ROWS, TOXIC_ROWS), size: tuple[int, int] = (ORDINARY_BYTES, TOXIC_BYTES)) -> Model | None:
+    """A model from a bounded sample of labelled rows: rows and bytes of the ordinary and of the toxic class."""
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
-    picked = [marked.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
-    ids = picked[0].union(picked[1])  # at most 2 * sample rows are broadcast
+    picked = [marked.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(rows[y]) for y in (0, 1)]
+    ids = picked[0].union(picked[1])  # at most sum(rows) rows are broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id").where("text is not null")
+    # Whole texts in the order of their hashes, as long as they fit; equal ones once.
+    ordered = texts.groupBy("label", "id", "text").agg(F.octet_length("text").cast("long").alias("bytes")).withColumn("hash", F.xxhash64("id"))
+    upto = F.sum("bytes").over(Window.partitionBy("label").orderBy("hash", "id", "text"))
+    fits = F.when(F.col("label") == 1, F.lit(size[1])).otherwise(F.lit(size[0]))
     sides: dict[int, set[str]] = {0: set(), 1: set()}
-    size = {0: 0, 1: 0}
-    for r in texts.orderBy(F.xxhash64("id"), "id", "text").select("label", "text").toLocalIterator():
-        n = len(r["text"].encode("utf-8", "replace"))
-        if size[r["label"]] + n <= sample_bytes // 2 and r["text"] not in sides[r["label"]]:
-            size[r["label"]] += n
-            sides[r["label"]].add(r["text"])
+    for r in ordered.withColumn("upto", upto).where(F.col("upto") <= fits).select("label", "text").toLocalIterator():
+        sides[r["label"]].add(r["text"])
     return fit(sorted(sides[1]), sorted(sides[0]), counts[1] / (counts[0] + counts[1]))
 
 
