@@ -1,7 +1,8 @@
 """Lineage cuts in the folder that all executors share.
 
-The folder is ``spark.checkpoint.dir`` of the running session.  Only where the
-session has none (tests on one machine) a temporary folder of its own is set.
+The folder is ``spark.checkpoint.dir`` of the running session.  Only a session with
+a local master (tests on one machine) may have none: it gets a temporary folder of
+its own.  On a cluster a missing setting is an error, never a machine's own folder.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ def shared_root(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='lintel-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -34,7 +37,17 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.base}/{name}")
+
+    def drop_but(self, *names: str) -> None:
+        """Delete all tables of this scratch but those that a result still reads."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for found in files.listStatus(path):
+            if found.getPath().getName() not in names:
+                files.delete(found.getPath(), True)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
