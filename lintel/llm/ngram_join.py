@@ -9,15 +9,20 @@ least 0.8.  The plan:
    here on, so a hot group of copies is one node.
 2. A second pass orders each set by (bucket count, hash), rare first, and sends
    out the necessary prefix, n - ceil(0.8 n) + 1 shingles.  Texts that meet in no
-   prefix shingle can't link.  Which order is used never changes a result.
-3. In every group of texts with a prefix shingle the most central text is the
+   prefix shingle can't link.  Shingles of buckets that count over ``HOT`` are
+   dealt out by key too, so no task gets all texts of a frequent one.
+3. Texts that meet another are candidates.  They are read once more; each sends its
+   prefixes under ``ORDERS`` further global orders (coarser rarity, then hashes of
+   their own).  A candidate that meets no other under one of the orders is none any
+   more.  A pair must share a prefix shingle under every order: the filters are
+   intersected on the shared shingles alone, before any text moves.
+4. In every group of texts with a prefix shingle the most central text is the
    pivot; (pivot, member) pairs are verified first and their components taken.
    This is linear in the group.  Only pairs whose ends are then in different
-   components are joined.  All pairs are held against the length bound and a
-   parity-sketch bound (|A ^ B| is at least the Hamming distance of two 1024-bit
-   parity sketches) before any text is fetched.
-4. A pair that reaches verification must also share prefix shingles under
-   ``ORDERS`` further global orders; the intersection is verified exactly.
+   components, and of sizes that can be similar, are joined.  Besides the orders, all
+   pairs are held against the length bound and a parity-sketch bound (|A ^ B| is at
+   least the Hamming distance of two 1024-bit parity sketches).
+5. The intersections of the pairs that are left are verified exactly.
 
 Defined results: a null or blank text has an empty set and links with nothing;
 a null id never becomes a component id (a class of null ids alone has a null
@@ -41,7 +46,10 @@ from .scratch import Scratch
 WORDS = 5
 SIMILARITY = 80
 BUCKETS = 1 << 17
-ORDERS = 3
+#: Further global orders beside that of rarity.
+ORDERS = 2
+#: Shingles of buckets with larger counts are spread by key over SPREAD groups.
+HOT, SPREAD = 20_000, 64
 #: Longs of a parity sketch; sets over WIDE_FROM shingles, which fill it, have a second one of WIDE longs.
 SKETCH, WIDE, WIDE_FROM = 16, 256, 1000
 #: Most keys sent to every executor; more are joined by a shuffle.
@@ -94,8 +102,10 @@ def _profile(words: int):
 
 
 def _prefixes(words: int, similarity: int, counts):
+    """token, key, n and part of each prefix shingle; part is 0 but for hot ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = counts.value
+        rank, hot = counts.value
         seen: set[int] = set()
         for batch in batches:
             tokens, keys, sizes = [], [], []
@@ -122,16 +132,18 @@ def _prefixes(words: int, similarity: int, counts):
                     keys.append(np.full(len(s), key, dtype=U64))
                     sizes.append(np.full(len(s), n, dtype=np.int32))
                     if sum(map(len, tokens[-64:])) > 200_000 or len(tokens) >= 1000:
-                        yield _postings(tokens, keys, sizes)
+                        yield _postings(tokens, keys, sizes, hot)
                         tokens, keys, sizes = [], [], []
             if tokens:
-                yield _postings(tokens, keys, sizes)
+                yield _postings(tokens, keys, sizes, hot)
 
     return run
 
 
-def _postings(tokens, keys, sizes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), _signed(np.concatenate(keys)), pa.array(np.concatenate(sizes))], ["token", "key", "n"])
+def _postings(tokens, keys, sizes, hot) -> pa.RecordBatch:
+    token, key = np.concatenate(tokens), np.concatenate(keys)
+    part = np.where(hot[(token & U64(BUCKETS - 1)).astype(np.int64)], 1 + (mix(key) % U64(SPREAD)).astype(np.int8), 0).astype(np.int8)
+    return pa.RecordBatch.from_arrays([_signed(token), _signed(key), pa.array(np.concatenate(sizes)), pa.array(part)], ["token", "key", "n", "part"])
 
 
 def _texts(words: int):
@@ -153,35 +165,54 @@ def _texts(words: int):
     return run
 
 
-def _under(s: np.ndarray, order: int, p: int) -> np.ndarray:
+def _under(s: np.ndarray, order: int, p: int, rarity: np.ndarray) -> np.ndarray:
+    """The first p shingles of a set under a further order: coarse rarity, then a hash of that order."""
     if p >= len(s):
         return s
-    return s[np.argpartition(mix(s ^ U64(0x9E3779B97F4A7C15 * (order + 1) % 2**64)), p - 1)[:p]]
+    own = mix(s ^ U64(0x9E3779B97F4A7C15 * (order + 1) % 2**64))
+    place = (rarity[(s & U64(BUCKETS - 1)).astype(np.int64)] << U64(56)) | (own >> U64(8))
+    return s[np.argpartition(place, p - 1)[:p]]
+
+
+def _sets(column, words: int) -> Iterator[np.ndarray]:
+    for c in chunks(column, SPACED):
+        windows = c.windows(words)
+        for r in range(len(c)):
+            yield c.shingles(r, words, windows)
+
+
+def _orders(words: int, similarity: int, rarity):
+    """key, order, token of each prefix shingle under the further orders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, orders, tokens = [], [], []
+            for key, s in zip(batch.column("key").to_pylist(), _sets(batch.column("text"), words), strict=True):
+                p = prefix_length(len(s), similarity)
+                for order in range(ORDERS):
+                    t = _under(s, order, p, rarity.value)
+                    keys.append(np.full(len(t), key, dtype=np.int64))
+                    orders.append(np.full(len(t), order, dtype=np.int8))
+                    tokens.append(t)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(orders)), _signed(np.concatenate(tokens))], ["key", "order", "token"])
+
+    return run
 
 
 def linked(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
-    """Prefixes under every further order must meet; then the exact test."""
+    """The exact test on two sets."""
     low, high = sorted((len(a), len(b)))
     if not low or 100 * low < similarity * high:
         return False
-    pa_, pb = prefix_length(len(a), similarity), prefix_length(len(b), similarity)
-    for order in range(ORDERS):
-        if not np.isin(_under(a, order, pa_), _under(b, order, pb), assume_unique=True).any():
-            return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= similarity * (len(a) + len(b) - both)
 
 
 def _verify(words: int, similarity: int):
-    def sets(column) -> Iterator[np.ndarray]:
-        for c in chunks(column, SPACED):
-            windows = c.windows(words)
-            for r in range(len(c)):
-                yield c.shingles(r, words, windows)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [linked(a, b, similarity) for a, b in zip(sets(batch.column("ta")), sets(batch.column("tb")), strict=True)]
+            ok = [linked(a, b, similarity) for a, b in zip(_sets(batch.column("ta"), words), _sets(batch.column("tb"), words), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -197,14 +228,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = np.zeros(BUCKETS, dtype=np.int64)
     for bucket, total in profile.where("bucket > 0").groupBy("bucket").agg(F.sum("n")).collect():  # BUCKETS rows at most
         counts[bucket - 1] = total
-    rank = spark.sparkContext.broadcast(np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(U64))
-
-    postings = rows.select("text").mapInArrow(_prefixes(words, similarity, rank), "token long, key long, n int")
-    by_token = Window.partitionBy("token")
-    met = postings.withColumns({"lo": F.min("key").over(by_token), "hi": F.max("key").over(by_token)}).where("lo < hi").select("token", "key", "n").distinct()
+    rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(U64)
+    rank = spark.sparkContext.broadcast((rank, counts > HOT))
+    rarity = spark.sparkContext.broadcast(np.ceil(np.log2(counts + 1)).astype(U64))
+
+    postings = rows.select("text").mapInArrow(_prefixes(words, similarity, rank), "token long, key long, n int, part byte")
+    # A group holds a token's texts, at most HOT rows of documents, or one of the parts of a hot token, which are all kept.
+    group = Window.partitionBy("token", "part")
+    met = postings.withColumns({"lo": F.min("key").over(group), "hi": F.max("key").over(group)}).where("lo < hi or part > 0").select("token", "key", "n").distinct()
     shared = keep.keep(met, "shared")
     sketches = profile.where("bucket = 0 and n > 0").select("key", "wide", *(f"s{i}" for i in range(SKETCH)))
-    links = _links(keep, rows, shared, sketches, words, similarity)
+    links = _links(keep, rows, shared, sketches, rarity, words, similarity)
     roots = None if links is None else components(links, keep, "all")
     if roots is None:
         roots = members.where("false").select(F.col("key").alias("node"), F.col("key").alias("root"))
@@ -213,6 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = keep.keep(firsts.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first"), "classed")
     least = classed.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = keep.keep(classed.join(least, "root").select("key", "component_id"), "ids")
+    keep.drop_but("profile", "ids")
     full = members.where("n > 0").join(ids, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.union(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
@@ -234,42 +269,58 @@ def _wide_near(x: str, y: str, similarity: int) -> Column:
     return F.when(F.col(f"{x}.wide").isNull() | F.col(f"{y}.wide").isNull(), F.lit(True)).otherwise(F.lit(100 + similarity) * apart <= F.lit(100 - similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
 
 
-def _links(keep: Scratch, rows: DataFrame, shared: DataFrame, sketches: DataFrame, words: int, similarity: int) -> DataFrame | None:
+def _meeting(texts: DataFrame, words: int, similarity: int, rarity) -> DataFrame:
+    """key, o0, o1, ...: of each candidate that meets another under every further order, the shingles it shares under each."""
+    prefixes = texts.mapInArrow(_orders(words, similarity, rarity), "key long, order byte, token long")
+    met = prefixes.groupBy("order", "token").agg(F.count("*").alias("w")).where("w > 1").select("order", "token")
+    # A text's own prefixes are what is collected.
+    own = [F.collect_list(F.when(F.col("order") == k, F.col("token"))).alias(f"o{k}") for k in range(ORDERS)]
+    return prefixes.join(met, ["order", "token"]).groupBy("key").agg(*own).where(" and ".join(f"size(o{k}) > 0" for k in range(ORDERS)))
+
+
+def _links(keep: Scratch, rows: DataFrame, shared: DataFrame, sketches: DataFrame, rarity, words: int, similarity: int) -> DataFrame | None:
     """Verified pairs of keys, enough of them to connect every two texts that any links connect."""
     weights = shared.groupBy("token").agg(F.count("*").alias("w")).where("w > 1")
-    weighed = shared.join(weights, "token").groupBy("key").agg(F.sum("w").alias("central"), F.first("n").alias("n"))
-    nodes = keep.keep(weighed.join(sketches, "key").dropDuplicates(["key"]), "nodes")
+    weighed = keep.keep(shared.join(weights, "token").groupBy("key").agg(F.sum("w").alias("central"), F.first("n").alias("n")), "weighed")
+    if weighed.isEmpty():
+        return None
+    ids = F.broadcast(weighed.select("key")) if weighed.count() <= BROADCAST_KEYS else weighed.select("key")
+    texts = keep.keep(rows.select("text").mapInArrow(_texts(words), "key long, text string").join(ids, "key").groupBy("key").agg(F.min("text").alias("text")), "texts")
+    meeting = keep.keep(_meeting(texts, words, similarity, rarity), "meeting")
+    nodes = keep.keep(weighed.join(meeting, "key").join(sketches, "key").dropDuplicates(["key"]), "nodes")
     if nodes.isEmpty():
         return None
+    met = keep.keep(shared.join(nodes.select("key", "central"), "key"), "met")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs that sizes and sketches allow, those that are similar."""
-        ids = keep.keep(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), f"{name}-ids")
-        texts = rows.select("text").mapInArrow(_texts(words), "key long, text string")
-        texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, "key").groupBy("key").agg(F.min("text").alias("text"))
-        texts = keep.keep(texts, f"{name}-texts")
+        """Of pairs that all filters let pass, those that are similar."""
         ta, tb = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
         return keep.keep(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(words, similarity), "a long, b long"), name)
 
-    pivots = shared.join(nodes.select("key", "central"), "key").groupBy("token").agg(F.max(F.struct("central", "key", "n")).alias("p")).select("token", F.col("p.key").alias("a"), F.col("p.n").alias("na"))
-    fits = f"100 * least(n, na) >= {similarity} * greatest(n, na)"
-    stars = shared.join(pivots, "token").where(f"key <> a and {fits}").select("a", F.col("key").alias("b")).distinct()
     x, y = nodes.alias("x"), nodes.alias("y")
 
     def likely(pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs, those that both sketches allow."""
-        both = _near("x", "y", similarity) & _wide_near("x", "y", similarity)
-        return keep.keep(pairs.join(x, F.col("a") == F.col("x.key")).join(y, (F.col("b") == F.col("y.key")) & both).select("a", "b"), name)
+        """Of pairs, those that meet under every order and that both sketches allow."""
+        every = _near("x", "y", similarity) & _wide_near("x", "y", similarity)
+        for k in range(ORDERS):
+            every = every & F.arrays_overlap(f"x.o{k}", f"y.o{k}")
+        return keep.keep(pairs.join(x, F.col("a") == F.col("x.key")).join(y, (F.col("b") == F.col("y.key")) & every).select("a", "b"), name)
 
+    pivots = met.groupBy("token").agg(F.max(F.struct("central", "key", "n")).alias("p")).select("token", F.col("p.key").alias("a"), F.col("p.n").alias("na"))
+    fits = f"100 * least(n, na) >= {similarity} * greatest(n, na)"
+    stars = met.join(pivots, "token").where(f"key <> a and {fits}").select("a", F.col("key").alias("b")).distinct()
     near = verified(likely(stars, "stars"), "near")
     roots = components(near, keep, "star")
-    described = nodes.drop("central", "n", "wide")
+    described = nodes.select("key", *(f"s{i}" for i in range(SKETCH)))
     described = described.withColumn("root", F.col("key")) if roots is None else described.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     described = keep.keep(described, "described")
-    open_tokens = shared.join(described.select("key", "root"), "key").groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    left = keep.keep(shared.join(open_tokens, "token").join(described, "key"), "open")
-    u, v = left.alias("u"), left.alias("v")
-    rest = u.join(v, (F.col("u.token") == F.col("v.token")) & (F.col("u.key") < F.col("v.key")) & (F.col("u.root") != F.col("v.root")) & _near("u", "v", similarity))
+    open_tokens = met.join(described.select("key", "root"), "key").groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    # Sizes of similar sets are in one class of sizes or in neighbouring ones.
+    sized = F.floor(F.log("n") / F.log(F.lit(100 / similarity))).cast("int")
+    left = keep.keep(met.join(open_tokens, "token").join(described, "key").withColumn("size", sized), "open")
+    u, v = left.alias("u"), left.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).alias("v")
+    apart = (F.col("u.token") == F.col("v.token")) & (F.col("u.size") == F.col("v.size")) & (F.col("u.key") < F.col("v.key")) & (F.col("u.root") != F.col("v.root"))
+    rest = u.join(v, apart & _near("u", "v", similarity))
     rest = likely(rest.select(F.col("u.key").alias("a"), F.col("v.key").alias("b")).distinct(), "rest")
     keep.drop("open", "shared")
     if rest.isEmpty():
@@ -278,13 +329,26 @@ def _links(keep: Scratch, rows: DataFrame, shared: DataFrame, sketches: DataFram
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of docs whose id is its component's, each id once; rows without an id or without words stay as they are."""
+    """One row of each class: the one with the smallest id (null last), of equal ids the text with the smallest checksum.
+
+    Rows without words stay as they are; so do texts that share an id but are in different classes.
+    """
     spark: SparkSession = docs.sparkSession
     keep = Scratch(spark, "firsts")
-    found = keep.keep(near_duplicates(docs, id_col, text_col, words, similarity), "found")
-    gone = keep.keep(found.where("doc_id is not null and component_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("c")).where("c < doc_id").select(F.col("doc_id").alias("lintel_gone")), "gone")
-    n = gone.count()
-    left = docs.join(F.broadcast(gone) if n <= BROADCAST_KEYS else gone, docs[id_col] == F.col("lintel_gone"), "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where(F.col(id_col).isNull()).unionByName(left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).groupBy("id").count()
+    if ids.where("id is null or count > 1").isEmpty():
+        found = near_duplicates(docs, id_col, text_col, words, similarity)
+        gone = keep.keep(found.where("component_id < doc_id").select(F.col("doc_id").alias("lintel_gone")), "gone")
+        few = gone.count() <= BROADCAST_KEYS
+        return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == F.col("lintel_gone"), "left_anti")
+    # Rows get numbers of their own, so texts that share an id or have none are told apart.
+    numbered = keep.keep(docs.select("*", F.monotonically_increasing_id().alias("lintel_row")), "rows")
+    found = near_duplicates(numbered.select("lintel_row", F.col(text_col).alias("text")), "lintel_row", "text", words, similarity)
+    found = keep.keep(found.where("n_shingles > 0").select(F.col("doc_id").alias("lintel_row"), F.col("component_id").alias("class")), "found")
+    named = numbered.select("lintel_row", F.col(id_col).cast("long").alias("id"), F.crc32(F.col(text_col).cast("binary")).alias("sum"))
+    ranked = keep.keep(found.join(named, "lintel_row").select("class", "lintel_row", F.struct(F.col("id").isNull().alias("none"), "id", "sum", "lintel_row").alias("place")), "ranked")
+    first = ranked.groupBy("class").agg(F.min("place").alias("first")).select("class", F.col("first.lintel_row").alias("kept"))
+    gone = keep.keep(ranked.join(first, "class").where("lintel_row <> kept").select("lintel_row"), "gone")
+    few = gone.count() <= BROADCAST_KEYS
+    keep.drop_but("rows", "gone")
+    return numbered.join(F.broadcast(gone) if few else gone, "lintel_row", "left_anti").select(*docs.columns)
