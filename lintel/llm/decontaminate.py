@@ -14,8 +14,9 @@ be an occurrence at p - o, so p - o >= 0 (position) and p - o + m <= words of th
 document (length) come first; then all m words are compared, hash by hash and
 at last byte by byte.
 
-The benchmark is read in blocks of at most ``BLOCK_WORDS`` words, so what is sent
-to executors at once has a bound; hits of several blocks are united by document
+The benchmark is read in blocks of at most ``BLOCK_WORDS`` words.  Blocks are worked
+off one after the other: the hits of one are written before the next is sent, so what
+is on executors at once has a bound; hits of several blocks are united by document
 row.  Defined results: null or blank texts have no words and no hits; an item
 without words has no window; an item without id hits words but is not listed;
 items of one id count once; repeated rows each get a row; further columns are
@@ -27,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -204,32 +206,38 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_words long, spans array<struct<a: long, b: long>>, items array<string>"
-    built: list = []
-    for items in _blocks(benchmark, item_col, item_text_col, block_words):
-        block = Block(items, window, shingle)
-        if block.hashes:
-            held = spark.sparkContext.broadcast(block)
-            counts = {k: np.zeros(len(t), dtype=np.int64) for k, t in block.tokens.items()}
-            seen = rows.select("text").mapInArrow(_count(held), "k long, i long, n long").groupBy("k", "i").agg(F.sum("n"))
-            for k, i, n in seen.collect():  # no more rows than the block has shingles
-                counts[k][i] = n
-            held.unpersist()
-            block.choose(counts)
-            built.append(spark.sparkContext.broadcast(block))
-    if not built:
-        built = [spark.sparkContext.broadcast(_Empty())]
-    if len(built) == 1:
-        return rows.mapInArrow(_hits(built[0], True), schema)
+    blocks = (b for b in (Block(items, window, shingle) for items in _blocks(benchmark, item_col, item_text_col, block_words)) if b.hashes)
+    block, following = next(blocks, None), next(blocks, None)
+    if block is None:
+        return rows.mapInArrow(_hits(spark.sparkContext.broadcast(_Empty()), True), schema)
+    if following is None:
+        return rows.mapInArrow(_hits(_chosen(rows, block), True), schema)
+    # One block at a time: what one has found is written before the next is sent.
     keep = Scratch(spark, "decon")
     numbered = keep.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    parts = [numbered.mapInArrow(_hits(b, False), schema + ", row long") for b in built]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
+    every = None
+    for i, b in enumerate(chain((block, following), blocks)):
+        held = _chosen(numbered, b)
+        found = keep.keep(numbered.mapInArrow(_hits(held, False), schema + ", row long").where(F.size("spans") > 0 if i else F.lit(True)), f"hits-{i}")
+        held.destroy()
+        every = found if every is None else every.union(found)
     merged = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return merged.mapInArrow(_merge, schema)
 
 
+def _chosen(rows: DataFrame, block: Block):
+    """A broadcast of a block with the rarest shingle of each window, by counts over all rows."""
+    context = rows.sparkSession.sparkContext
+    held = context.broadcast(block)
+    counts = {k: np.zeros(len(t), dtype=np.int64) for k, t in block.tokens.items()}
+    seen = rows.select("text").mapInArrow(_count(held), "k long, i long, n long").groupBy("k", "i").agg(F.sum("n"))
+    for k, i, n in seen.collect():  # no more rows than the block has shingles
+        counts[k][i] = n
+    held.destroy()
+    block.choose(counts)
+    return context.broadcast(block)
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = [[{"a": a, "b": b} for a, b in _union([(x["a"], x["b"]) for x in row])] for row in batch.column("spans").to_pylist()]
