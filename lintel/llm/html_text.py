@@ -8,18 +8,24 @@ class.  Vectors are compared by order-free fingerprints (an exclusive or of page
 and count hashes, with the numbers of pages and occurrences), so a host of any
 size is a partial aggregation and never a group in one task.  A class is valid if
 its tokens are on at least half of the host's pages, with text tokens on at least
-``REPEATED``; valid classes nest by their paths and give the host's template.  A
-text token in the class of an element around it is template: wherever that
-element stands, it says the same.  All other text stands in slots between template
-tokens, also text that recurs on some pages with an element and not on others.
-The main slot is the article or main element if the template has one, and all
-text in it is the page's.  Else it is the whole page without template text: no
-share of the text decides, so a heading or a short part beside a long one stays.
-A page of template text alone (a host of copies) keeps it.  Of each page,
-the blocks in the main slot remain, without any menu, header, footer, sidebar,
-notice, advert, form or comment list inside it.  A page that lacks its host's
-article or main slot (or whose host has no template) is judged by its own tokens
-alone: its article and main elements, or else the whole page.
+``REPEATED``; valid classes nest by the paths of their tokens and give the host's
+template.  A text token in the class of an element around it is template: wherever
+that element stands, it says the same.  All other text stands in slots between
+template tokens, also text that recurs on some pages with an element and not on
+others.  The main slot is the article or main element if the template has one.  Else
+it is the whole page: no share of the text decides, so a heading or a short part
+beside a long one stays.  Template text goes from the main slot, a notice inside the
+article that is the same on all pages of a host too.  Where template text is half of
+an article or more (by characters), the pages are copies and not a notice, and all of
+it stays; a page of template text alone keeps it.  Of each page, the blocks in the main slot remain, without any
+menu, header, footer, sidebar, notice, advert, form or comment list inside it.  A page
+that lacks its host's article or main slot (or whose host has no template) is judged
+by its own tokens alone: its article and main elements, or else the whole page.
+
+An element is a menu, header and so on by its name or by the parts of its class, id
+and role.  Parts in ``ALWAYS`` are enough; those in ``ALONE`` count only if all other
+parts of the name are in ``CHROME`` ("site-header", not "article-header").  A heading
+is never one by its own name, and headings in an article's header element stay.
 
 Blocks are split at block elements; character references are decoded, white
 space becomes one space, and blocks are joined by an empty line.
@@ -57,15 +63,23 @@ BLOCK = {
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - {"button", "caption", "legend", "option", "select", "summary", "svg", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "head"}
 DROP = {"aside", "button", "dialog", "footer", "form", "head", "header", "menu", "nav", "select", "svg"}
-DROP_NAMES = {
-    "ad", "ads", "advert", "advertisement", "adverts", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disqus",
-    "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "promotion", "related", "respond",
-    "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
-    "contentinfo", "complementary", "alert", "alertdialog",
+ALWAYS = {
+    "ad", "ads", "advert", "advertisement", "adverts", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "gdpr", "masthead", "nav", "navbar",
+    "navigation", "newsletter", "popup", "respond", "sidebar", "signup", "sponsor", "sponsored", "subscribe", "toolbar", "contentinfo", "complementary", "alertdialog",
 }
+ALONE = {"alert", "banner", "copyright", "footer", "header", "login", "menu", "modal", "notice", "notices", "promo", "promotion", "related", "search", "share", "sharing", "social", "widget"}
+CHROME = {
+    "area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "center", "col", "column", "container", "desktop", "fixed", "form", "global", "icons", "inner", "item", "items", "left",
+    "link", "links", "list", "main", "media", "mobile", "news", "outer", "overlay", "page", "panel", "posts", "right", "row", "section", "site", "sticky", "stories", "top", "wrap", "wrapper",
+}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = ("article", "main")
 
 
+#: An equivalence class by its fingerprint: vector, pages and occurrences.
+Class = tuple[int, int, int]
+
+
 class Block:
     """A stretch of text: where it stands, what it says, how much of it is in links."""
 
@@ -75,9 +89,16 @@ class Block:
         self.path, self.dropped, self.text, self.linked = path, dropped, text, linked
 
 
+def named(value: str) -> bool:
+    """Whether one class, id or role names a part of a page that is not its text."""
+    parts = {p for p in re.split(r"[_-]+", value) if p and not p.isdigit()}
+    return bool(parts & ALWAYS) or bool(parts & ALONE) and parts <= ALONE | CHROME
+
+
 def parse(page: str) -> tuple[dict[tuple[str, ...], int], list[Block]]:
     """Occurrences of each structural token, and the blocks in page order."""
-    stack: list[tuple[str, str, bool]] = []  # element, its name in paths, whether it or one around it is dropped
+    #: element, its name in paths, whether it or one around it is dropped, and whether by an article's header element alone
+    stack: list[tuple[str, str, bool, bool]] = []
     tokens: dict[tuple[str, ...], int] = {}
     blocks: list[Block] = []
     parts: list[str] = []
@@ -127,15 +148,21 @@ def parse(page: str) -> tuple[dict[tuple[str, ...], int], list[Block]]:
             stack.pop()
         if stack and stack[-1][0] in CLOSES.get(name, ()):
             stack.pop()
-        names, label = set(), name
+        chrome, label = False, name
         for a in ATTRIBUTE.finditer(attributes):
-            value = (a[2] or a[3] or a[4] or "").lower()
-            names.update(re.split(r"[\s_-]+", value))
+            values = (a[2] or a[3] or a[4] or "").lower().split()
+            chrome = chrome or any(named(v) for v in values)
             if a[1].lower() == "class":
-                label = ".".join([name, *sorted(value.split())])
-        inside = bool(stack) and stack[-1][2]
-        dropped = inside or name in DROP or (name not in ("html", "body", *MAIN) and bool(names & DROP_NAMES))
-        stack.append((name, label, dropped))
+                label = ".".join([name, *sorted(values)])
+        _, _, inside, by_header = stack[-1] if stack else ("", "", False, False)
+        own = name in DROP or (chrome and name not in ("html", "body", *MAIN) and name not in HEADINGS)
+        if name in HEADINGS and by_header:
+            inside = by_header = False
+        elif own and not inside:
+            by_header = name == "header" and not chrome and any(s[0] in MAIN for s in stack)
+        elif own:
+            by_header = False
+        stack.append((name, label, inside or own, by_header))
         path = tuple(s[1] for s in stack)
         tokens[path] = tokens.get(path, 0) + 1
     flush()
@@ -219,31 +246,34 @@ def templates(pages: DataFrame, keep: Scratch | None = None) -> DataFrame:
 
 
 class Template:
-    """Valid classes of a host, nested by path, and its main slot."""
+    """Classes of a host's structural tokens, the template texts nested in them, and the main slot."""
 
     def __init__(self, nodes: list[dict]):
-        texts = [x for x in nodes if "\n" in x["token"]]
-        nodes = [x for x in nodes if "\n" not in x["token"]]
-        #: class of each structural token; a class nests in that of the nearest token around it
-        self.of = {tuple(x["token"].split(" ")): (x["vector"], x["pages"], x["occurrences"]) for x in nodes}
-        #: template texts: path and hash
-        self.texts: set[tuple[tuple[str, ...], str]] = set()
-        for x in texts:
-            path, text = x["token"].split("\n")
+        elements, said_at = [], []
+        #: class of each structural token
+        self.of: dict[tuple[str, ...], Class] = {}
+        for x in nodes:
+            path, _, text = x["token"].partition("\n")
             path, own = tuple(path.split()), (x["vector"], x["pages"], x["occurrences"])
-            if any(self.of.get(path[:k]) == own for k in range(1, len(path) + 1)):
-                self.texts.add((path, text))
-        self.main: tuple[str, ...] | None = None
-        once = [(p, x) for p, x in ((tuple(x["token"].split(" ")), x) for x in nodes) if x["occurrences"] == x["pages"]]
-        named = [(p, x) for p, x in once if p[-1].split(".")[0] in MAIN and not dropped(p)]
-        if named:
-            self.main = max(named, key=lambda y: (y[1]["pages"], y[1]["chars"], -len(y[0])))[0]
+            if text:
+                said_at.append((path, text, own))
+                continue
+            elements.append((path, x))
+            self.of[path] = own
+        #: template texts: path and hash
+        self.texts = {(path, text) for path, text, own in said_at if own in self.around(path)}
+        mains = [(p, x) for p, x in elements if x["occurrences"] == x["pages"] and p[-1].split(".")[0] in MAIN and not dropped(p)]
+        self.main = max(mains, key=lambda y: (y[1]["pages"], y[1]["chars"], -len(y[0])))[0] if mains else None
+
+    def around(self, path: tuple[str, ...]) -> set[Class]:
+        """The classes that a text is nested in: those of the elements it stands in."""
+        return {self.of[path[:k]] for k in range(1, len(path) + 1) if path[:k] in self.of}
 
 
 def dropped(path: tuple[str, ...]) -> bool:
     for label in path:
         name, *classes = label.split(".")
-        if name in DROP or (name not in ("html", "body", *MAIN) and {t for c in classes for t in re.split(r"[_-]+", c)} & DROP_NAMES):
+        if name in DROP or (name not in ("html", "body", *MAIN) and name not in HEADINGS and any(map(named, classes))):
             return True
     return False
 
@@ -256,8 +286,10 @@ def main_text(page: str | None, template: Template | None) -> str:
     elif template is None or not template.of or template.main:
         slots = [p for p in tokens if p[-1].split(".")[0] in MAIN and not dropped(p)] or slots
     kept = [b for b in blocks if not b.dropped and any(b.path[: len(s)] == s for s in slots)]
-    if slots == [()] and template is not None and template.texts:
-        kept = [b for b in kept if (b.path, said(b.text)) not in template.texts] or kept
+    if template is not None and template.texts:
+        own = [b for b in kept if (b.path, said(b.text)) not in template.texts]
+        if slots == [()] or 2 * sum(len(b.text) for b in own) > sum(len(b.text) for b in kept):
+            kept = own or kept
     return "\n\n".join(b.text for b in kept)
 
 
