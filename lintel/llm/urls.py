@@ -6,7 +6,9 @@ that one around the estimate of its suffix (the last label), and that one around
 the mean of all pages; the strength of each prior comes from how much more the
 counts of one level differ than binomial counts would (method of moments of the
 beta-binomial).  A host is blocked if the lower bound of its posterior share of
-bad pages, mean less ``Z`` standard deviations, is at least ``CUTOFF``.
+bad pages is at least ``CUTOFF``.  The bound is taken on the arcsine of the square
+root of the share, whose deviation 1 / (2 sqrt(weight + 1)) does not depend on the
+share: ``Z`` deviations below the posterior mean, and a share at every size.
 
 Counts by host are partial aggregates, so a host with a third of all pages is one
 row; it meets its pages in a join that adaptive execution can split.
@@ -68,8 +70,10 @@ def _rule(rules: tuple[Rule, ...], value) -> Column:
 def _strength(units: DataFrame, prior: str) -> float:
     """Prior observations of a level: units have n, bad and the prior mean of each."""
     m = F.least(F.greatest(F.col(prior), F.lit(1e-6)), F.lit(1 - 1e-6))
-    over = F.sum(F.pow(F.col("bad") - F.col("n") * m, 2) / (m * (1 - m)) - F.col("n"))
-    total = F.sum(F.col("n").cast("double") * (F.col("n") - 1))
+    n, spread = F.col("n").cast("double"), m * (1 - m)
+    # Sums of squares as they are: one page against a prior near zero must not outweigh all others.
+    over = F.sum(F.pow(F.col("bad") - n * m, 2) - n * spread)
+    total = F.sum(n * (n - 1) * spread)
     row = units.agg(over.alias("o"), total.alias("t")).first()
     rho = (row["o"] or 0.0) / row["t"] if row["t"] else 0.5
     rho = min(max(rho, 1e-4), 0.9999)
@@ -77,7 +81,7 @@ def _strength(units: DataFrame, prior: str) -> float:
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame, keep: Scratch) -> DataFrame:
-    """host, n, mean, deviation of the posterior share of bad pages, for every host of pages (page_id, host)."""
+    """host, n, and mean and weight of the posterior beta of its share of bad pages, for every host of pages (page_id, host)."""
     bad = outcomes.where("page_id is not null and good in (0, 1)").groupBy("page_id").agg(F.min("good").alias("good"))
     hits = pages.join(bad, "page_id", "left")
     hosts = hits.groupBy("host").agg(F.count("good").alias("n"), F.count_if(F.col("good") == 0).alias("bad"))
@@ -93,8 +97,13 @@ def reputation(pages: DataFrame, outcomes: DataFrame, keep: Scratch) -> DataFram
     domains = keep.keep(level.select("domain", ((F.col("bad") + s * F.col("prior")) / (F.col("n") + s)).alias("prior")), "domains")
     level = hosts.join(domains, "domain")
     s = _strength(level, "prior")
-    mean_, weight = (F.col("bad") + s * F.col("prior")) / (F.col("n") + s), F.col("n") + s
-    return keep.keep(level.select("host", "n", mean_.alias("mean"), F.sqrt(mean_ * (1 - mean_) / (weight + 1)).alias("deviation")), "reputation")
+    return keep.keep(level.select("host", "n", ((F.col("bad") + s * F.col("prior")) / (F.col("n") + s)).alias("mean"), (F.col("n") + s).alias("weight")), "reputation")
+
+
+def lower_bound(mean: Column, weight: Column, z: float) -> Column:
+    """The share that lies z deviations below the mean of a beta of that weight, on the arcsine scale."""
+    angle = F.asin(F.sqrt(F.least(F.greatest(mean, F.lit(0.0)), F.lit(1.0)))) - z / (2 * F.sqrt(weight + 1))
+    return F.pow(F.sin(F.greatest(angle, F.lit(0.0))), F.lit(2.0))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", z: float = Z, cutoff: float = CUTOFF) -> DataFrame:
@@ -103,7 +112,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES
     host, path = parts(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     known = reputation(rows.select("page_id", "host"), outcomes, keep)
-    blocked = known.where(F.col("n") >= 0).select("host", (F.col("mean") - z * F.col("deviation") >= cutoff).alias("bad"))
+    blocked = known.select("host", (lower_bound(F.col("mean"), F.col("weight"), z) >= cutoff).alias("bad"))
     out = rows.join(blocked, "host", "left")
     by_host = F.when(F.coalesce("bad", F.lit(False)), "block").otherwise("allow")
     return out.select("page_id", "host", "path", _rule(rules, lambda r: r.pattern).alias("rule"), F.coalesce(_rule(rules, lambda r: r.verdict), by_host).alias("verdict"))
