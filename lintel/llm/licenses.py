@@ -1,18 +1,20 @@
 """License scan by MinHash bands over overlapping windows, in DataFrame functions only.
 
-Words are runs of a-z and 0-9 after lower-casing; shingles are five words.  A
-template belongs to the smallest size class c (a power of two) that its number of
-shingles fits.  Every text is covered by windows of 2c shingles, c apart, for each
-class: any stretch of c shingles lies in a window whole.  A window that holds a
-share of at least ``CONTAINED`` of a template, itself of more than c / 2 shingles,
-has a Jaccard similarity of at least ``FLOOR`` to it, and with ``BANDS`` bands of one
-row it meets the template with a probability of at least
-1 - (1 - FLOOR) ** BANDS > 0.9999.  Candidates are verified: the share of the template's
-distinct shingles in the window must be at least 0.8.
-
-Windows are made for texts that share a shingle with any template; no other text
-can pass.  Templates and their bands are a fixed table of this module or of the
-caller (at most ``MOST`` shingles in all), so they are what is broadcast.
+Words are runs of a-z and 0-9 after lower-casing; shingles are five words.  Of a
+text, only the shingles that some template has matter: they are its hits, in their
+order.  A template belongs to the smallest size class c (a power of two) that its
+number of shingles fits.  For each class the hits are covered by windows of 2c hits,
+c apart: any stretch of c hits lies in a window whole.  A passage of any length that
+is put into a template has no hits, so it parts no window.  A window that holds a
+share of at least ``CONTAINED`` of a template, itself of more than c / 2 shingles, has
+a Jaccard similarity of at least ``FLOOR`` to it, and with ``BANDS`` bands of one row
+it meets the template with a probability of at least 1 - (1 - FLOOR) ** BANDS >
+0.9999.  Candidates are verified: the share of the template's distinct shingles in
+the window must be at least 0.8.
+
+Windows with too few distinct hits for any template of their class are not made.
+Templates and their bands are a fixed table of this module or of the caller (at most
+``MOST`` shingles in all, more are refused), so they are what is broadcast.
 
 One-line notices (``NOTICES``) and templates of fewer than five words are matched
 word for word at every place of a text, by windows of their number of words; where
@@ -34,8 +36,8 @@ from .scratch import Scratch
 
 WORDS = 5
 CONTAINED = 80
-BANDS = 80
-FLOOR = 0.11
+BANDS = 48
+FLOOR = 0.18
 MOST = 100_000
 
 #: Public notices by their SPDX names.
@@ -132,6 +134,13 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]++"), 0)
 
 
+def _hits(shingles: Column, known: list[int]) -> Column:
+    """The shingles that templates have, each with its place in the text."""
+    placed = F.transform(shingles, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    any_known = F.arrays_overlap(shingles, F.array(*map(F.lit, known)).cast("array<bigint>"))
+    return F.when(any_known, F.filter(placed, lambda x: x["h"].isin(known))).otherwise(F.array().cast("array<struct<h: bigint, i: int>>"))
+
+
 def _minima(shingles: Column) -> Column:
     """The smallest hash of the set under each of BANDS seeds."""
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, k))))
@@ -198,21 +207,24 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     known = [r[0] for r in table.select(F.explode("ts")).distinct().collect()]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text.alias("t"))
-    shared = lambda w: let(_shingles(w), lambda s: F.when(F.arrays_overlap(s, F.array(*map(F.lit, known)).cast("array<bigint>")), s))
-    seen = let(_words(F.col("t")), lambda w: F.struct(shared(w).alias("s"), _places(w, exact).alias("places")))
-    found = keep.keep(rows.select("doc_id", "row", seen.alias("x")).select("doc_id", "row", "x.s", "x.places"), "shingles")
+    seen = let(_words(F.col("t")), lambda w: F.struct(let(_shingles(w), lambda s: _hits(s, known)).alias("hits"), _places(w, exact).alias("places")))
+    found = keep.keep(rows.select("doc_id", "row", seen.alias("x")).select("doc_id", "row", "x.hits", "x.places"), "hits")
     table = keep.keep(table, "templates")
 
     sizes = F.array(*map(F.lit, classes))
-    near = found.where("s is not null").select("row", "s", F.explode(sizes).alias("size"))
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.size("s") - F.col("size") - 1, F.lit(0)), F.col("size")))
-    windows = near.select("row", "size", "s", at.alias("at")).select("row", "size", "at", F.slice("s", F.col("at") + 1, 2 * F.col("size")).alias("ws"))
-    banded = windows.select("*", F.posexplode(let(F.array_distinct("ws"), _minima)).alias("band", "low"))
+    near = found.where(F.size("hits") > 0).select("row", "hits", F.explode(sizes).alias("size"))
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.size("hits") - F.col("size") - 1, F.lit(0)), F.col("size")))
+    windows = near.select("row", "size", "hits", at.alias("at")).select("row", "size", "at", F.slice("hits", F.col("at") + 1, 2 * F.col("size")).alias("ws"))
+    # A template of this class has more than size / 2 shingles, and CONTAINED in 100 of them must be there.
+    windows = windows.withColumn("set", F.array_distinct("ws.h")).where(F.lit(200) * F.size("set") >= F.lit(CONTAINED) * F.col("size"))
+    windows = keep.keep(windows, "windows")
+    banded = windows.select("row", "size", "at", F.posexplode(_minima(F.col("set"))).alias("band", "low"))
     bands = table.select("template", "size", F.posexplode(_minima(F.col("ts"))).alias("band", "low"))
-    hits = banded.join(F.broadcast(bands), ["size", "band", "low"]).select("row", "template", "at", "ws").distinct()
-    checked = hits.join(F.broadcast(table.drop("size")), "template").where(F.lit(100) * F.size(F.array_intersect("ws", "ts")) >= F.lit(CONTAINED) * F.size("ts"))
-    inside = F.filter(F.transform("ws", lambda h, i: F.when(F.array_contains("ts", h), i)), lambda i: i.isNotNull())
-    spans = checked.select("row", "license", F.concat_ws(":", "license", (F.col("at") + F.array_min(inside)).cast("string"), (F.col("at") + F.array_max(inside) + WORDS - 1).cast("string")).alias("span"))
+    pairs = banded.join(F.broadcast(bands), ["size", "band", "low"]).select("row", "size", "at", "template").distinct()
+    hits = pairs.join(windows, ["row", "size", "at"]).drop("size")
+    checked = hits.join(F.broadcast(table.drop("size")), "template").where(F.lit(100) * F.size(F.array_intersect("set", "ts")) >= F.lit(CONTAINED) * F.size("ts"))
+    inside = F.transform(F.filter("ws", lambda x: F.array_contains("ts", x["h"])), lambda x: x["i"])
+    spans = checked.select("row", "license", F.concat_ws(":", "license", F.array_min(inside).cast("string"), (F.array_max(inside) + WORDS - 1).cast("string")).alias("span"))
     named = spark.createDataFrame([(n, len(n.split()), sorted(ls)) for n, ls in exact.items()], "notice string, length int, licenses array<string>")
     placed = found.select("row", F.explode("places").alias("p")).select("row", "p.at", "p.notice").join(F.broadcast(named), "notice").select("row", "at", "length", F.explode("licenses").alias("license"))
     spans = spans.union(placed.select("row", "license", F.concat_ws(":", "license", F.col("at").cast("string"), (F.col("at") + F.col("length") - 1).cast("string"))))
