@@ -85,7 +85,28 @@ def test_prefixes_of_similar_sets_meet():
         a = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
         b = np.unique(np.concatenate((a[: 60 - rng.integers(0, 8)], rng.integers(0, 2**63, 3, dtype=np.uint64))))
         both = len(np.intersect1d(a, b))
-        assert ngram_join.linked(a, b, 80) == (100 * both >= 80 * (len(a) + len(b) - both))
+        similar = 100 * both >= 80 * (len(a) + len(b) - both)
+        assert ngram_join.linked(a, b, 80) == similar
+        rarity = np.zeros(ngram_join.BUCKETS, dtype=np.uint64)
+        for order in range(ngram_join.ORDERS):
+            x, y = (ngram_join._under(s, order, ngram_join.prefix_length(len(s), 80), rarity) for s in (a, b))
+            assert len(np.intersect1d(x, y)) or not similar
+
+
+def test_ngram_join_of_a_shingle_in_a_third_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 20)  # hot groups are spread by key, and nothing changes
+    rng = random.Random(23)
+    hot = "one two three four five"
+    texts = [f"{hot} {_prose(rng, 3)}" if i % 3 == 0 else _prose(rng, 40) for i in range(240)]
+    texts += [hot, f"{hot} six", *(_near(rng, texts[1], 1) for _ in range(12)), f"{texts[0]} x"]
+    assert sorted(map(tuple, ngram_join.near_duplicates(docs(spark, texts)).collect())) == _classes(texts)
+
+
+def test_representatives_lose_no_text(spark):
+    rows = [(1, "a b c d e f g"), (1, "other words that stand here alone"), (1, "a b c d e f g"), (2, "A b c d e f g"), (None, "a b c d e f g"), (None, "only text without an id of its own"), (3, None), (3, "")]
+    left = ngram_join.representatives(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, class string"))
+    assert left.columns == ["doc_id", "text", "class"]
+    assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted([("1", "a b c d e f g"), ("1", rows[1][1]), ("None", rows[5][1]), ("3", "None"), ("3", "")])
 
 
 def _hits(text, items):
@@ -258,10 +279,54 @@ def test_html_classes_decide_what_is_template(spark):
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i] for i in range(6)] == [f"Head {i}\n\ntext {i}\n\n{'same' if i < 4 else 'other'}" for i in range(6)]
     assert all(got[10 + i] == "one\n\ntwo" for i in range(4))
-    assert all(got[20 + i] == got[30 + i] == f"both\n\nown {i}" for i in range(2))
+    assert all(got[20 + i] == f"both\n\nown {i}" for i in range(2))
+    assert all(got[30 + i] == f"own {i}" for i in range(4))
     assert all(got[40 + i] == f"a {i}" for i in range(2))
 
 
+def test_html_repeated_notices_go_and_headings_stay(spark):
+    note = "All our offers are subject to change, see the terms"
+    rows = [(i, "http://n/", f"<body><article><h1 class='article-header'>Head {i}</h1><p>first text of page {i} which says {i * 7}</p><p>{note}</p><div class='related-work'>work {i}</div><div class='related-posts'>more</div><p>last {i} of it, with some words</p></article></body>") for i in range(8)]
+    rows += [(20 + i, "http://h/", f"<body><header>site</header><article><header><h2>Own {i}</h2><p>by x</p></header><p>text {i}</p></article><div id='site-footer'>end</div></body>") for i in range(4)]
+    # Copies of a page with one word changed are copies, not a page of notices.
+    rows += [(40 + i, "http://k/", f"<body><article><p>{'the same text again ' * 5}</p><p>part {i}</p></article></body>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [f"Head {i}\n\nfirst text of page {i} which says {i * 7}\n\nwork {i}\n\nlast {i} of it, with some words" for i in range(8)]
+    assert [got[20 + i] for i in range(4)] == [f"Own {i}\n\ntext {i}" for i in range(4)]
+    assert [got[40 + i] for i in range(4)] == [f"{' '.join(['the same text again'] * 5)}\n\npart {i}" for i in range(4)]
+
+
+def _brute_main(pages):
+    """Pages of one host without article or main: blocks whose text is in one class with an element around it go."""
+    parsed = [html_text.parse(p or "") for p in pages]
+    vectors = {}
+    for i, (tokens, blocks) in enumerate(parsed):
+        for t, n in [*tokens.items(), *Counter((b.path, b.text) for b in blocks if not b.dropped).items()]:
+            vectors.setdefault(t, [0] * len(pages))[i] += n
+    valid = {t: v for t, v in vectors.items() if 2 * sum(map(bool, v)) >= len(pages) and len(pages) >= 2}
+    template = {t for t, v in valid.items() if isinstance(t[0], tuple) and sum(map(bool, v)) >= 3 and any(valid.get(t[0][:k]) == v for k in range(1, len(t[0]) + 1))}
+    out = []
+    for _, blocks in parsed:
+        kept = [b for b in blocks if not b.dropped]
+        out.append("\n\n".join(b.text for b in ([b for b in kept if (b.path, b.text) not in template] or kept)))
+    return out
+
+
+def test_html_slots_are_brute_force(spark):
+    rng = random.Random(22)
+    rows, want = [], []
+    for h in range(12):
+        frame = [(rng.choice(("div", "p", "li", "section")), rng.choice(("", "x", "y", "ad")), rng.choice(("fixed", "own", "often"))) for _ in range(rng.randrange(1, 6))]
+        pages = []
+        for i in range(rng.randrange(1, 7)):
+            parts = [f"<{e} class='{c}'>{ {'fixed': f'same {k}', 'own': f'own {i} {k}', 'often': f'often {i % 2} {k}'}[kind]}</{e}>" for k, (e, c, kind) in enumerate(frame) if kind != "often" or rng.random() < 0.8]
+            pages.append(f"<body>{''.join(parts)}</body>" if rng.random() < 0.95 else None)
+        rows += [(100 * h + i, f"http://h{h}/", p) for i, p in enumerate(pages)]
+        want += _brute_main(pages)
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [r.text for r in got] == want
+
+
 def test_html_classes_share_vectors(spark):
     pages = spark.createDataFrame([(i, "http://h/", f"<body><div><p>a</p>{'<p>b</p>' * i}</div><div class='z'>c</div></body>") for i in range(4)], "page_id long, url string, html string")
     nodes = {n["token"]: n["vector"] for n in html_text.templates(pages).first()["nodes"]}
@@ -302,6 +367,11 @@ def test_url_rules_and_reputation(spark):
     assert got[2][2:] == ("example.com/en/7", "allow") and got[3][2] == "com/en/" and got[4][2] is None
     assert got[5] == ("", "", None, "allow") and got[6][0] == "" and got[7][2] is None and got[8][2:] == ("net/de/", "block") and got[9][2] == "example.net/de/8"
     assert {got[100 + i][3] for i in range(40)} == {"block"} and {got[200 + i][3] for i in range(40)} == {"allow"} and got[300][3] == "allow"
+    # Few pages: one bad page is no proof, and a bad domain speaks against its new host.
+    few = [(i, f"http://h{i % 30}.spam.test/{i}") for i in range(300)] + [(1000 + i, f"http://h{i}.good.test/") for i in range(300)] + [(2000, "http://new.spam.test/"), (2001, "http://one.good.test/"), (2002, "http://alone.else/")]
+    seen = [(i, int(i % 11 == 0)) for i in range(300)] + [(1000 + i, 1) for i in range(300)] + [(2001, 0), (2002, 0)]
+    said = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(few, "page_id long, url string"), spark.createDataFrame(seen, "page_id long, good int")).collect()}
+    assert {said[i] for i in range(300)} == {said[2000]} == {"block"} and {said[1000 + i] for i in range(300)} == {said[2001]} == {"allow"}
     assert {r.verdict for r in urls.judge(pages.where("page_id >= 100"), spark.createDataFrame([], "page_id long, good int")).collect()} == {"allow"}
 
 
@@ -417,3 +487,62 @@ def test_pipeline_keeps_columns_and_decides(spark, tmp_path):
         assert step.columns == df.columns, name
     assert sorted(r.doc_id for r in step.collect()) == list(range(80))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(80))
+
+
+def test_licenses_bear_inserted_passages(spark):
+    rng = random.Random(21)
+    templates = {n: t for n, ts in licenses.TEMPLATES.items() for t in ts if len(licenses.words_of(t)) >= 40}
+    texts, meant = [], []
+    for _ in range(240):
+        name = rng.choice(sorted(templates))
+        w = licenses.words_of(templates[name])
+        for _ in range(rng.randrange(0, 3)):
+            at = rng.randrange(1, len(w))
+            w[at:at] = [f"put{rng.randrange(10**6)}" for _ in range(rng.choice((1, 7, 60, 900)))]
+        for _ in range(rng.randrange(0, 2)):
+            w[rng.randrange(len(w))] = "other"
+        whole = set(licenses.shingles_of(templates[name]))
+        texts.append(f"{_prose(rng, 60)} {' '.join(w)} {_prose(rng, 30)}")
+        meant.append(name if 100 * len(whole & set(licenses.shingles_of(texts[-1]))) >= 80 * len(whole) else None)
+    got = {r.doc_id: r.licenses.split(",") for r in licenses.licenses(docs(spark, texts)).collect()}
+    asked = [i for i, n in enumerate(meant) if n]
+    assert len(asked) > 60
+    found = sum(meant[i] in got[i] for i in asked)
+    assert found == len(asked)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(None, "a text without an id of its own"), (1, None), (1, ""), (2, "first of two texts with one id"), (2, "second of two texts with one id, other words"), (3, "first of two texts with one id"), (4, "w " * 20_000)]
+    df = spark.createDataFrame([(i, t, "en", None, 0, "x", 1) for i, t in rows], DOCS + ", token string, lintel_class long")
+    for name, part in (("full", df), ("empty", df.where("false"))):
+        folder = f"{tmp_path}/{name}"
+        part.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        step = part
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            step = f(spark, step, folder)
+            assert step.columns == df.columns, stage
+        kept = sorted((str(r.doc_id), str(r.text)) for r in step.collect())
+        assert kept == (sorted((str(i), str(t)) for i, t in rows if i != 3) if name == "full" else [])
+        assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == ({None, 1, 2, 4} if name == "full" else set())
+
+
+@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n != "op4_packing"))
+def test_operators_of_empty_and_repeated_rows(spark, tmp_path, name):
+    """Empty tables give no rows; a table whose rows stand twice gives each row's result twice."""
+    text = "Mail a@b.cd, token = abcdef12 and\nthe text goes on with a number of words that stand here only once"
+    rows = [(1, text), (1, text), (2, None), (2, None), (3, " "), (3, " "), (4, "long " * 20_000), (4, "long " * 20_000)]
+    base = spark.createDataFrame([(i, t, "en", "s", 0, 7) for i, t in rows], DOCS + ", n_words long")
+    pages = spark.createDataFrame([(i, f"http://h{i % 2}/en/{i}" if t else None, f"<p>{t}</p>" if t else None) for i, t in rows], "page_id long, url string, html string")
+    bench = spark.createDataFrame([("q", text), ("q", text), (None, None)], "item_id string, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 0, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+    for k, cut in (("none", "false"), ("some", "true")):
+        folder = f"{tmp_path}/{k}"
+        for table, df in (("documents", base), ("pages", pages), ("benchmark", bench), ("labels", labels)):
+            df.where(cut).write.parquet(f"{folder}/{table}.parquet")
+    assert queries.QUERIES[name](spark, f"{tmp_path}/none").count() == 0
+    got = Counter(tuple(r) for r in queries.QUERIES[name](spark, f"{tmp_path}/some").collect())
+    assert sum(got.values()) == 8 and len(got) == 4 and set(got.values()) == {2}
