@@ -46,6 +46,23 @@ def metrics(findings: DataFrame, *by: str) -> DataFrame:
     return findings.groupBy(*by).agg(*counts) if by else findings.agg(*counts)
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """One row of the columns of several tables of one row each."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.agg(*(F.max(c).alias(c) for c in out.columns))
+
+
+def operations(objects: DataFrame, lines: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row of counters of a run: objects, source_bytes, lines_evaluated, findings, most_lines (of one object)."""
+    of_objects = objects.agg(F.count("*").alias("objects"), F.sum(F.octet_length("text").cast("long")).alias("source_bytes"))
+    per_object = lines.groupBy("object_key").agg(F.count("*").alias("n"))
+    of_lines = per_object.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lines_evaluated"), F.max("n").alias("most_lines"))
+    of_findings = findings.agg(F.count("*").alias("findings"))
+    return beside(of_objects, of_lines, of_findings).select("objects", "source_bytes", "lines_evaluated", "findings", "most_lines")
+
+
 def security_summary(findings: DataFrame, categories: DataFrame) -> DataFrame:
     """findings, errors, verdict of the security rules; no row without any. categories: rule_id, category."""
     rows = findings.join(F.broadcast(categories), "rule_id").where("category = 'security'")

@@ -31,6 +31,44 @@ def capped_per_object(findings: DataFrame, most: int) -> DataFrame:
     return findings.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
 
+#: Files in one chunk of a run's cap.
+CHUNK = 8
+
+
+def chunk_quotas(counts: DataFrame, most: int, chunk: int = CHUNK) -> tuple[DataFrame, bool]:
+    """file_idx, kept: how many findings each file keeps under a run-wide cap, and whether the cap cut anything.
+
+    counts: file_idx (0, 1, ... in input order), n.  Files come in chunks; each file of
+    a chunk may keep an equal share of what is left, at least one, and the run ends
+    where the cap is reached.  What is left after a chunk depends on all before it, so
+    chunks pass one after the other, and no more of them than the cap lasts for.
+    """
+    spark = counts.sparkSession
+    rows = counts.groupBy(F.floor(F.col("file_idx") / chunk).cast("long").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("file_idx", "n"))).alias("files"))
+    kept, total, cut = [], 0, False
+    for r in rows.orderBy("chunk").toLocalIterator():
+        if total >= most:
+            cut = True
+            break
+        quota = max((most - total) // len(r["files"]), 1)
+        for f in r["files"]:
+            n = min(f["n"], quota, most - total)
+            cut = cut or n < f["n"]
+            if n:
+                kept.append((f["file_idx"], n))
+            total += n
+    return spark.createDataFrame(kept, "file_idx long, kept long"), cut
+
+
+def capped_by_chunks(findings: DataFrame, files: DataFrame, most: int, chunk: int = CHUNK) -> tuple[DataFrame, bool]:
+    """Findings (object_key and the columns of ORDER) that a run keeps under its cap, and whether that cut any. files: object_key, file_idx."""
+    counts = files.join(findings.groupBy("object_key").agg(F.count("*").alias("n")), "object_key", "left").select("file_idx", F.coalesce("n", F.lit(0)).alias("n"))
+    quotas, cut = chunk_quotas(counts, most, chunk)
+    rank = F.row_number().over(Window.partitionBy("object_key").orderBy(*order_key()[1:]))
+    ranked = findings.withColumn("rank", rank).join(files.join(quotas, "file_idx").select("object_key", "kept"), "object_key")
+    return ranked.where(F.col("rank") <= F.col("kept")).drop("rank", "kept"), cut
+
+
 def search(findings: DataFrame, severity: str | None = None, rule_id: str | None = None, term: str | None = None, columns: tuple[str, ...] = ("rule_id", "description", "object_key")) -> DataFrame:
     """Findings of a severity and a rule whose columns have a term, in either case."""
     out = findings
@@ -56,6 +94,11 @@ def keyset_page(issues: DataFrame, cursor: str | None = None, limit: int = DEFAU
     return rows.orderBy("rank", "id").limit(min(MAX_LIMIT, max(1, limit)) + 1)
 
 
+def issues_of(issues: DataFrame, run: int) -> DataFrame:
+    """A run's issues by rank and id."""
+    return issues.where(F.col("run_id") == run).withColumn("rank", severity_rank(F.col("severity"))).orderBy("rank", "id").drop("rank")
+
+
 def parse_cursor(cursor: str | None) -> tuple[int, int] | None:
     parts = (cursor or "").split(":")
     return (int(parts[0]), int(parts[1])) if len(parts) == 2 and all(p.isdigit() for p in parts) else None

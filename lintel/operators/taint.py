@@ -299,3 +299,30 @@ def local_taint(objects: DataFrame) -> DataFrame:
     """GX.SEC.2: outside values that reach a sink within an object, each with its trace."""
     key = objects.schema["object_key"].dataType.simpleString()
     return objects.select("object_key", "text").mapInArrow(_local, TRACED.format(key=key))
+
+
+FACTS = "object_key {key}, complete boolean, seeds array<string>, reached array<string>, unknown array<struct<line: int, method: string>>"
+
+
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unknown = pa.list_(pa.struct([("line", pa.int32()), ("method", pa.string())]))
+    for batch in batches:
+        rows = []
+        for text in batch.column("text").to_pylist():
+            program = Program(text or "")
+            if not program.complete:
+                rows.append((False, [], [], []))
+                continue
+            seeds = program.entries()
+            reached, _ = program.propagate(seeds)
+            strange = sorted({(s.line, s.detail.partition("(")[0]) for path in reached.values() for s in path if s.kind == "unsupported_call"})
+            rows.append((True, sorted(seeds), sorted(reached), [{"line": a, "method": m} for a, m in strange]))
+        kinds = (pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), unknown)
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column("object_key"), *columns], ["object_key", "complete", "seeds", "reached", "unknown"])
+
+
+def taint_facts(objects: DataFrame) -> DataFrame:
+    """What flows start from in each object, which variables they reach, and through which calls nothing is known of; nothing for incomplete objects."""
+    key = objects.schema["object_key"].dataType.simpleString()
+    return objects.select("object_key", "text").mapInArrow(_facts, FACTS.format(key=key))

@@ -66,3 +66,60 @@ def call_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("call('obj"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 400).cast("string"), F.lit("', &v)"))
     rows = o.select(F.concat(F.lit("obj"), F.col("o_custkey").cast("string")).alias("object_key"), F.col("o_custkey").alias("ord"), F.struct(F.col("o_orderkey").alias("pos"), line.alias("line")).alias("l"))
     return rows.groupBy("object_key", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text"))
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path of a file for each page: folders d0 to d6, some of them hidden, with six extensions."""
+    k = F.col("page_id")
+    hidden = F.when(k % 13 == 0, ".old/").otherwise("")
+    extension = F.element_at(F.array(*map(F.lit, ("txt", "XML", "prg", "md", "zip", "py"))), (k % 6 + 1).cast("int"))
+    path = F.concat(F.lit("/src/d"), (k % 7).cast("string"), F.lit("/"), hidden, F.lit("f"), k.cast("string"), F.lit("."), extension)
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(path.alias("path"))
+
+
+#: Declared inputs over that listing: folders inside each other, files given twice, a missing one and one of no use.
+INPUTS = ((0, "/src/d1", "directory"), (1, "/src", "directory"), (2, "/src/d2/f2.prg", "file"), (3, "/src/d3/f3.md", "file"), (4, "/none", "missing"), (5, "/empty", "directory"))
+
+
+def xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content of an export for each customer: with an object, without objects, cut off, or with an object without code."""
+    k = F.col("c_custkey").cast("string")
+    head = '<?xml version="1.0"?>\n'
+    whole = F.concat(
+        F.lit(f"{head}<ExportFile><GXObject><Procedure/><Info><Name>P"), k, F.lit("</Name><Folder>F</Folder></Info><Events><![CDATA[&a = "), k,
+        F.lit("\n&b = 2]]></Events><Rules><![CDATA[parm(in:&a);]]></Rules></GXObject></ExportFile>"),
+    )
+    loose = F.concat(F.lit(f'{head}<Thing name="L'), k, F.lit('" package="pk"><Events><![CDATA[e'), k, F.lit("]]></Events></Thing>"))
+    bare = F.lit(f"{head}<ExportFile><GXObject><X/><Info><Name>n</Name></Info></GXObject></ExportFile>")
+    kind = F.col("c_custkey") % 4
+    text = F.when(kind == 0, whole).when(kind == 1, loose).when(kind == 2, F.lit("<ExportFile><GXObject>")).otherwise(bare)
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.select(F.concat(F.lit("/x/c"), k, F.lit(".xml")).alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content of a text file for each document."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return rows.select(F.concat(F.lit("/t/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
+def _zipped(batches):
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as archive:
+                for name, data in (("folder/", b""), ("folder/a.xml", content), ("b.xml", content), ("blank.xml", b"  ")):
+                    archive.writestr(name, data)
+            out.append((path[:-4] + ".xpz", held.getvalue()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.binary())], ["path", "content"])
+
+
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content of a package for each customer: its export twice, a folder and a blank member."""
+    return xml_files(spark, sf_dir).mapInArrow(_zipped, "path string, content binary")

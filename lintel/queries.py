@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,24 +13,12 @@ from .operators.rules import LINE_RULES, line_findings, unused_variables
 from .operators.taint import local_taint
 from .plans import corpus
 from .plans.catalog import DEFAULT, catalog
+from .registry import ORACLE_SQL, QUERIES, Query, query
 from .sources import readers
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 SHOWN = ("object_key", "rule_id", "severity", "line_number", "description", "line_content")
 
 
-def query(name: str, sql: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return register
-
-
 def _rule(rule: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = parse_lines(corpus.event_objects(spark, sf_dir))
@@ -296,7 +282,9 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics.statements(_model(spark, sf_dir)).select("object_key", "line_no", "kind", "depth")
 
 
-@query("statement_parents")
+@query("statement_parents", f"""WITH {o.EVENTS}, {o.MODEL}, {o.NESTED}, numbered AS (SELECT *, {o._OPENS} AS opens, row_number() OVER (PARTITION BY object_key ORDER BY line_no) - 1 AS idx FROM matched)
+SELECT a.object_key, CAST(a.idx AS INTEGER) AS stmt_idx, CAST(a.line_no AS INTEGER) AS line_no, a.stmt AS kind, CAST(a.p AS INTEGER) AS depth, CAST(max(b.idx) AS INTEGER) AS parent
+FROM numbered a LEFT JOIN numbered b ON a.p > 0 AND b.object_key = a.object_key AND b.opens AND b.d = a.p AND b.line_no < a.line_no GROUP BY ALL""")
 def statement_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics.statements(_model(spark, sf_dir))
 
@@ -392,3 +380,6 @@ def decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts through their bytes."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", readers.decoded(F.encode("text", "UTF-8")).alias("decoded"))
+
+
+from . import queries_sources, queries_taint  # noqa: E402, F401 - they register their queries

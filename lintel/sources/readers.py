@@ -213,3 +213,20 @@ def package_members(content: bytes) -> list[str]:
     """The members of a package that are no folders."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         return [i.filename for i in archive.infolist() if not i.is_dir()]
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: list[tuple] = []
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            try:
+                rows += [(path, i, name, None) for i, name in enumerate(package_members(content or b""))]
+            except (zipfile.BadZipFile, OSError) as e:
+                rows.append((path, -1, None, f"unreadable package: {e}"))
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["path", "ord", "member", "error"])
+
+
+def list_members(files: DataFrame) -> DataFrame:
+    """path, ord, member, error: a row for each member of each package (path, content), or one with what went wrong."""
+    return files.select("path", "content").mapInArrow(_members, "path string, ord int, member string, error string")

@@ -6,9 +6,10 @@ happened, so a writer that is lost leaves nothing half done.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lexical import setting_type
 from ..operators.paging import keyset_page, retained, run_page
 from ..plans.catalog import catalog
 
@@ -93,11 +94,76 @@ def with_setting(settings: DataFrame, key: str, value: str) -> DataFrame:
     return settings.where(F.col("key") != key).select("key", "value").unionByName(one)
 
 
+def catalogue_rows(rows: DataFrame) -> DataFrame:
+    """number, name, description, severity of the rows (blank, name, description, kind) of a catalogue that have a number."""
+    number = F.regexp_extract("name", r"^\s*(\d+(?:\.\d+)*)\s", 1)
+    kind = F.coalesce(F.lower("kind"), F.lit(""))
+    severity = F.when(kind.contains("error"), "ERROR").when(kind.contains("info"), "INFO").otherwise("WARNING")
+    return rows.where(number != "").select(number.alias("number"), F.trim(F.regexp_replace("name", r"^\s*\d+(?:\.\d+)*\s+", "")).alias("name"), "description", severity.alias("severity"))
+
+
 def catalogue_csv(spark: SparkSession, path: str) -> tuple[DataFrame, float | None]:
-    """Rules (number, name, description, severity) of a catalogue file without header, and its percentage row."""
+    """Rules of a catalogue file without header, and its percentage row."""
     rows = spark.read.csv(path, header=False, schema="blank string, name string, description string, kind string", multiLine=True, escape='"')
-    number = F.regexp_extract("name", r"^\s*(\d+(?:\.\d+)*)\s", 1)
-    severity = F.when(F.lower("kind").contains("error"), "ERROR").when(F.lower("kind").contains("info"), "INFO").otherwise("WARNING")
-    rules = rows.where(number != "").select(number.alias("number"), F.trim(F.regexp_replace("name", r"^\s*\d+(?:\.\d+)*\s+", "")).alias("name"), "description", severity.alias("severity"))
-    pct = rows.select(F.concat_ws(" ", "blank", "name", "description", "kind").alias("line")).where(F.lower("line").contains("porcentaje de error")).select(F.regexp_extract("line", r"([0-9]+(?:\.[0-9]+)?)\s*$", 1).try_cast("double")).first()
-    return rules, pct[0] if pct else None
+    line = F.concat_ws(" ", "blank", "name", "description", "kind")
+    pct = rows.select(line.alias("line")).where(F.lower("line").contains("porcentaje de error")).select(F.regexp_extract("line", r"([0-9]+(?:\.[0-9]+)?)\s*$", 1).try_cast("double")).first()
+    return catalogue_rows(rows), pct[0] if pct else None
+
+
+def toggled(rules: DataFrame, changes: DataFrame) -> DataFrame:
+    """rule_id, enabled, updated_at after changes (rule_id, enabled, at): the last change of a rule counts; ids that are no rules change nothing."""
+    last = changes.groupBy("rule_id").agg(F.max_by("enabled", "at").alias("now"), F.max("at").alias("at"))
+    out = rules.join(last, "rule_id", "left")
+    return out.select("rule_id", F.coalesce("now", "enabled").alias("enabled"), F.col("at").alias("updated_at"))
+
+
+def enabled_of(rules: DataFrame, asked: DataFrame) -> DataFrame:
+    """Asked ids (rule_id) with whether they are enabled; one that is missing is not."""
+    return asked.join(rules.select("rule_id", "enabled"), "rule_id", "left").select("rule_id", F.coalesce("enabled", F.lit(False)).alias("enabled"))
+
+
+def counts(rules: DataFrame) -> DataFrame:
+    """One row: how many rules there are, how many are enabled, and whether there is none."""
+    return rules.agg(F.count("*").alias("rules"), F.count_if("enabled").alias("enabled"), (F.count("*") == 0).alias("is_empty"))
+
+
+def typed(settings: DataFrame) -> DataFrame:
+    """key, value, value_type, as_int, as_float: settings with what their text can be read as."""
+    return settings.select("key", "value", setting_type(F.col("value")).alias("value_type"), F.col("value").try_cast("bigint").alias("as_int"), F.col("value").try_cast("double").alias("as_float"))
+
+
+def containers_of(issues: DataFrame, run: int) -> DataFrame:
+    """The distinct containers (container) of a run's issues."""
+    return issues.where((F.col("run_id") == run) & F.col("container").isNotNull()).select("container").distinct()
+
+
+def config_key(ids: Column) -> Column:
+    """A key of a set of rule ids that their order doesn't change."""
+    return F.sha2(F.array_join(F.array_sort(F.array_distinct(ids)), ","), 256)
+
+
+class ContentCache:
+    """Results by content: what is computed for a text under a key is read back for any object with that text.
+
+    The folder is a Parquet table of (content, key, value) that grows; only contents
+    that it lacks under the key are computed.  compute: DataFrame (content, text) to
+    DataFrame (content, value), value of one type for all keys.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, value: str):
+        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), f"content string, key string, value {value}"
+
+    def _known(self, key: str) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.folder).where(F.col("key") == key)
+
+    def of(self, objects: DataFrame, key: str, compute) -> DataFrame:
+        """objects (text, ...) with the value of each."""
+        rows = objects.withColumn("content", digest(F.coalesce(F.col("text"), F.lit(""))))
+        missing = rows.select("content").distinct().join(self._known(key), "content", "left_anti")
+        texts = rows.select("content", F.coalesce("text", F.lit("")).alias("text")).join(missing, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
+        compute(texts).select("content", F.lit(key).alias("key"), "value").write.mode("append").parquet(self.folder)
+        known = self._known(key).groupBy("content").agg(F.first("value").alias("value"))
+        return rows.join(known, "content").drop("content")
