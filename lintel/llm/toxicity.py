@@ -204,8 +204,13 @@ def fit(toxic: list[str], ordinary: list[str], rate: float) -> Model | None:
         if not drop:
             break
         banned |= drop
-    gains.learn(set(said_bad))
-    of_bad, of_good = ([[g for w in set(ws) if (g := gains.of(w)) >= LEVELS[0]] for ws in side] for side in (bad, good))
+
+    def found(ws: list[str]) -> list[float]:
+        windows = set(ws)
+        gains.learn(windows)
+        return [g for w in windows if (g := gains.of(w)) >= LEVELS[0]]
+
+    of_bad, of_good = ([found(ws) for ws in side] for side in (bad, good))
     best = None
     for least in (0.55, 0.6, 0.65, 0.7, 0.75):
         tp, fp = (sum(any(g >= least for g in gs) for gs in side) / len(side) for side in (of_bad, of_good))
