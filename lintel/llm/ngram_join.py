@@ -11,17 +11,15 @@ least 0.8.  The plan:
    out the necessary prefix, n - ceil(0.8 n) + 1 shingles.  Texts that meet in no
    prefix shingle can't link.  Shingles of buckets that count over ``HOT`` are
    dealt out by key too, so no task gets all texts of a frequent one.
-3. Texts that meet another are candidates.  They are read once more; each sends its
-   prefixes under ``ORDERS`` further global orders (coarser rarity, then hashes of
-   their own).  A candidate that meets no other under one of the orders is none any
-   more.  A pair must share a prefix shingle under every order: the filters are
-   intersected on the shared shingles alone, before any text moves.
-4. In every group of texts with a prefix shingle the most central text is the
-   pivot; (pivot, member) pairs are verified first and their components taken.
-   This is linear in the group.  Only pairs whose ends are then in different
-   components, and of sizes that can be similar, are joined.  Besides the orders, all
-   pairs are held against the length bound and a parity-sketch bound (|A ^ B| is at
-   least the Hamming distance of two 1024-bit parity sketches).
+3. In every group of texts with a prefix shingle the most central text is the
+   pivot; (pivot, member) pairs are judged first and their components taken.  This is
+   linear in the group.  Only pairs whose ends are then in different components, and
+   of sizes that can be similar, are joined.
+4. Pairs are held against the length bound and a parity-sketch bound (|A ^ B| is at
+   least the Hamming distance of two 1024-bit parity sketches).  The ends of what is
+   left get their prefixes under ``ORDERS`` further global orders (coarser rarity, then
+   a hash of the order's own).  A pair must share a prefix shingle under every order:
+   the filters are intersected on shingles alone, before two texts are brought together.
 5. The intersections of the pairs that are left are verified exactly.
 
 Defined results: a null or blank text has an empty set and links with nothing;
@@ -182,24 +180,26 @@ def _sets(column, words: int) -> Iterator[np.ndarray]:
 
 
 def _orders(words: int, similarity: int, rarity):
-    """key, order, token of each prefix shingle under the further orders."""
+    """key, text, o0, o1, ...: texts with their prefix shingles under each further order."""
+    names = ["key", "text", *(f"o{k}" for k in range(ORDERS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, orders, tokens = [], [], []
-            for key, s in zip(batch.column("key").to_pylist(), _sets(batch.column("text"), words), strict=True):
+            found: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
+            for s in _sets(batch.column("text"), words):
                 p = prefix_length(len(s), similarity)
-                for order in range(ORDERS):
-                    t = _under(s, order, p, rarity.value)
-                    keys.append(np.full(len(t), key, dtype=np.int64))
-                    orders.append(np.full(len(t), order, dtype=np.int8))
-                    tokens.append(t)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(orders)), _signed(np.concatenate(tokens))], ["key", "order", "token"])
+                for k in range(ORDERS):
+                    found[k].append(_under(s, k, p, rarity.value))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text"), *map(_lists, found)], names)
 
     return run
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), _signed(np.concatenate(arrays) if arrays else np.empty(0, dtype=U64)))
+
+
 def linked(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
     """The exact test on two sets."""
     low, high = sorted((len(a), len(b)))
@@ -269,42 +269,41 @@ def _wide_near(x: str, y: str, similarity: int) -> Column:
     return F.when(F.col(f"{x}.wide").isNull() | F.col(f"{y}.wide").isNull(), F.lit(True)).otherwise(F.lit(100 + similarity) * apart <= F.lit(100 - similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
 
 
-def _meeting(texts: DataFrame, words: int, similarity: int, rarity) -> DataFrame:
-    """key, o0, o1, ...: of each candidate that meets another under every further order, the shingles it shares under each."""
-    prefixes = texts.mapInArrow(_orders(words, similarity, rarity), "key long, order byte, token long")
-    met = prefixes.groupBy("order", "token").agg(F.count("*").alias("w")).where("w > 1").select("order", "token")
-    # A text's own prefixes are what is collected.
-    own = [F.collect_list(F.when(F.col("order") == k, F.col("token"))).alias(f"o{k}") for k in range(ORDERS)]
-    return prefixes.join(met, ["order", "token"]).groupBy("key").agg(*own).where(" and ".join(f"size(o{k}) > 0" for k in range(ORDERS)))
-
-
 def _links(keep: Scratch, rows: DataFrame, shared: DataFrame, sketches: DataFrame, rarity, words: int, similarity: int) -> DataFrame | None:
     """Verified pairs of keys, enough of them to connect every two texts that any links connect."""
     weights = shared.groupBy("token").agg(F.count("*").alias("w")).where("w > 1")
-    weighed = keep.keep(shared.join(weights, "token").groupBy("key").agg(F.sum("w").alias("central"), F.first("n").alias("n")), "weighed")
-    if weighed.isEmpty():
-        return None
-    ids = F.broadcast(weighed.select("key")) if weighed.count() <= BROADCAST_KEYS else weighed.select("key")
-    texts = keep.keep(rows.select("text").mapInArrow(_texts(words), "key long, text string").join(ids, "key").groupBy("key").agg(F.min("text").alias("text")), "texts")
-    meeting = keep.keep(_meeting(texts, words, similarity, rarity), "meeting")
-    nodes = keep.keep(weighed.join(meeting, "key").join(sketches, "key").dropDuplicates(["key"]), "nodes")
+    weighed = shared.join(weights, "token").groupBy("key").agg(F.sum("w").alias("central"), F.first("n").alias("n"))
+    nodes = keep.keep(weighed.join(sketches, "key").dropDuplicates(["key"]), "nodes")
     if nodes.isEmpty():
         return None
-    met = keep.keep(shared.join(nodes.select("key", "central"), "key"), "met")
+    met = shared.join(nodes.select("key", "central"), "key")
+    kinds = ", ".join(f"o{k} array<long>" for k in range(ORDERS))
+
+    def ends(texts: DataFrame, of: str, what: list[str]) -> DataFrame:
+        return texts.select(F.col("key").alias(of), *(F.col(c).alias(f"{of}_{c}") for c in what))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs that all filters let pass, those that are similar."""
-        ta, tb = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-        return keep.keep(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(words, similarity), "a long, b long"), name)
+        """Of pairs that sizes and sketches allow, those that meet under every further order and are similar."""
+        ids = keep.keep(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), f"{name}-ids")
+        texts = rows.select("text").mapInArrow(_texts(words), "key long, text string")
+        texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, "key").groupBy("key").agg(F.min("text").alias("text"))
+        texts = keep.keep(texts.mapInArrow(_orders(words, similarity, rarity), f"key long, text string, {kinds}"), f"{name}-texts")
+        orders = [f"o{k}" for k in range(ORDERS)]
+        every = F.lit(True)
+        for o in orders:
+            every = every & F.arrays_overlap(f"a_{o}", f"b_{o}")
+        met_again = keep.keep(pairs.join(ends(texts, "b", orders), "b").join(ends(texts, "a", orders), "a").where(every).select("a", "b"), f"{name}-met")
+        whole = met_again.join(ends(texts, "b", ["text"]), "b").join(ends(texts, "a", ["text"]), "a")
+        out = keep.keep(whole.select("a", "b", F.col("a_text").alias("ta"), F.col("b_text").alias("tb")).mapInArrow(_verify(words, similarity), "a long, b long"), name)
+        keep.drop(f"{name}-texts")
+        return out
 
     x, y = nodes.alias("x"), nodes.alias("y")
 
     def likely(pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs, those that meet under every order and that both sketches allow."""
-        every = _near("x", "y", similarity) & _wide_near("x", "y", similarity)
-        for k in range(ORDERS):
-            every = every & F.arrays_overlap(f"x.o{k}", f"y.o{k}")
-        return keep.keep(pairs.join(x, F.col("a") == F.col("x.key")).join(y, (F.col("b") == F.col("y.key")) & every).select("a", "b"), name)
+        """Of pairs, those that both sketches allow."""
+        both = _near("x", "y", similarity) & _wide_near("x", "y", similarity)
+        return keep.keep(pairs.join(x, F.col("a") == F.col("x.key")).join(y, (F.col("b") == F.col("y.key")) & both).select("a", "b"), name)
 
     pivots = met.groupBy("token").agg(F.max(F.struct("central", "key", "n")).alias("p")).select("token", F.col("p.key").alias("a"), F.col("p.n").alias("na"))
     fits = f"100 * least(n, na) >= {similarity} * greatest(n, na)"
