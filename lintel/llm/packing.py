@@ -19,6 +19,10 @@ parts (a conversation's turns) and one flag for each: the tokens of flagged part
 bear loss, and the end token does if the last part does.  White space is taken to
 stand between parts.
 
+The tokenizer's file is read on the driver and sent to the tasks.  Units that recur
+are remembered by 64-bit hashes of their bytes: two different units of one task share
+one with probability n^2 / 2^65, and would then share their ids too.
+
 Defined results: a null or empty text is the end token alone; no parts are the end
 token alone, without loss; a null or missing flag bears no loss; repeated rows are
 packed each; an empty table gives no pieces; further columns are ignored.
@@ -29,6 +33,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +178,10 @@ MARKS[0x30:0x3A] = MARKS[0x27] = False
 MARKS &= ~LETTERS
 
 
+#: Texts with all that units are cut at.
+PROBES = ["It's O'Neil's 'sup !'s a.b,c(d)e", "Über é日本 12,5x-y\tz\n\n w", "don't STOP;go 3.14 #tag @x_y", " lead and  trail "]
+
+
 class Encoder:
     """Ids of texts by a public tokenizer file, remembered for units that recur.
 
@@ -181,15 +190,19 @@ class Encoder:
     anything else.  So a text's ids are those of its units in order, and units that
     differ in the case of ASCII letters have the same ones.  Units are found and
     hashed as arrays; each distinct one is looked up, or encoded, once a batch.  A
-    text with one of the tokenizer's special strings is encoded as a whole.
+    text with one of the tokenizer's special strings is encoded as a whole.  A tokenizer
+    that does not give ``PROBES`` the same ids by units and as a whole is refused.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, model: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(model)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
+        whole = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in PROBES]
+        if [ids.tolist() for ids in self(pa.array(PROBES, pa.large_string()))] != whole:
+            raise ValueError("this tokenizer does not split texts where the packer does")
 
     def _clear(self) -> None:
         self.known: dict[int, int] = {}
@@ -256,11 +269,12 @@ def _cuts(data: np.ndarray) -> np.ndarray:
 _encoders: dict[str, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(model: str) -> Encoder:
     """The encoder of this worker process, which its tasks share."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if model not in _encoders:
+        _encoders.clear()
+        _encoders[model] = Encoder(model)
+    return _encoders[model]
 
 
 def _examples(encode: Encoder, batch: pa.RecordBatch, masked: bool, end: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
@@ -279,9 +293,9 @@ def _examples(encode: Encoder, batch: pa.RecordBatch, masked: bool, end: int) ->
         yield np.concatenate([*ids, last]), np.concatenate(([0], np.cumsum(bears)))
 
 
-def _run(path: str, limits: Limits, pool: int, end: int, masked: bool):
+def _run(model, limits: Limits, pool: int, end: int, masked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = _encoder(path), Packer(limits, pool)
+        encode, packer = _encoder(model.value), Packer(limits, pool)
         base, sequence, row = TaskContext.get().partitionId() << 33, 0, 0
         #: of examples with pieces in open sequences
         held: dict[int, tuple[int, np.ndarray, np.ndarray | None]] = {}
@@ -332,4 +346,18 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
     text = F.col(text_col).cast("array<string>" if loss_col else "string").alias("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text, *([F.col(loss_col).cast("array<boolean>").alias("loss")] if loss_col else []))
-    return rows.mapInArrow(_run(tokenizer_path, limits or Limits(), pool, end, bool(loss_col)), SCHEMA + (", loss_tokens long" if loss_col else ""))
+    model = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
+    return rows.mapInArrow(_run(model, limits or Limits(), pool, end, bool(loss_col)), SCHEMA + (", loss_tokens long" if loss_col else ""))
+
+
+def examples(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: tuple[str, ...] = ("assistant",), turns: int = 64) -> DataFrame:
+    """doc_id, part, texts, learn: conversations as examples for ``pack``, with a flag for each turn whose role is learned from.
+
+    A conversation is cut into parts of ``turns`` turn numbers, so none is collected whole
+    however long it is; turns without an id or a number are in no order and left out.
+    """
+    said = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(role_col).isin(*learn), F.lit(False)).alias("learn"))
+    rows = conversations.where(F.col(id_col).isNotNull() & F.col(turn_col).isNotNull())
+    part = F.floor(F.col(turn_col) / turns).cast("long")
+    parts = rows.groupBy(F.col(id_col).cast("long").alias("doc_id"), part.alias("part")).agg(F.array_sort(F.collect_list(said)).alias("said"))
+    return parts.select("doc_id", "part", F.col("said.text").alias("texts"), F.col("said.learn").alias("learn"))

@@ -217,6 +217,38 @@ def test_packing_counts_loss_of_flagged_parts(spark):
     assert any(sum(r.length for r in rs) > 40 for rs in sequences.values())
 
 
+def test_packing_learns_from_the_assistant(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(24)
+    rows = [(c, t, "assistant" if t % 2 else "user", _prose(rng, rng.randrange(1, 40))) for c in range(30) for t in range(rng.randrange(1, 9))] + [(None, 1, "user", "x"), (99, 0, None, None)]
+    made = packing.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("learn", F.lit(1)), turns=4)
+    got = packing.pack(made, queries.tokenizer_path(), text_col="texts", loss_col="learn", limits=packing.Limits(tokens=256, segments=8, loss=64)).collect()
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    count = lambda t: len(tokenizer.encode(t or "", add_special_tokens=False).ids)
+    parts = {(c, t // 4) for c, t, _, _ in rows if c is not None}
+    last = {k: max(t for c, t, _, _ in rows if c is not None and (c, t // 4) == k) for k in parts}
+    learned = sum(count(x) for _, _, r, x in rows if r == "assistant") + sum(last[k] % 2 for k in parts)
+    assert sum(r.loss_tokens for r in got) == learned
+    assert sum(r.length for r in got) == sum(count(x) for c, _, _, x in rows if c is not None) + len(parts)
+    by_sequence = Counter()
+    for r in got:
+        by_sequence[r.sequence_id] += r.loss_tokens
+    assert max(by_sequence.values()) <= 64
+
+
+def test_packing_refuses_a_tokenizer_that_splits_elsewhere(spark):
+    from pathlib import Path
+
+    refused = 0
+    for path in sorted(Path(queries.tokenizer_path()).parent.glob("*.json")):
+        try:
+            packing.Encoder(path.read_text(encoding="utf-8"))
+        except Exception:
+            refused += 1
+    assert refused
+
+
 def test_packer_keeps_all_limits():
     import numpy as np
 
