@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import ALNUM, U64, chunks
+from .kernel import ALNUM, U64, chunks, small_batches
 from .scratch import Scratch
 
 WINDOW = 10
 SHINGLE = 4
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 400_000
 TABLE = 1 << 22
 
 
@@ -204,6 +204,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> I
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, spans (array of hit word ranges a, b), items (sorted ids)."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_words long, spans array<struct<a: long, b: long>>, items array<string>"
     blocks = (b for b in (Block(items, window, shingle) for items in _blocks(benchmark, item_col, item_text_col, block_words)) if b.hashes)

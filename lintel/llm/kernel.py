@@ -12,11 +12,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 CHUNK_BYTES = 1 << 20
+#: Most rows, and bytes, that a batch may bring to a Python worker: texts of any length come in batches of bounded size.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 U64 = np.uint64
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES where they are larger."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = int(spark.conf.get(key).removesuffix("b"))
+        if held <= 0 or held > most:
+            spark.conf.set(key, str(most))
+
+
 def _odd(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**63, n, dtype=U64) * U64(2) + U64(1)
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernel import SPACED, U64, chunks, mix
+from .kernel import SPACED, U64, chunks, mix, small_batches
 from .scratch import Scratch
 
 WORDS = 5
@@ -221,6 +221,7 @@ def _verify(words: int, similarity: int):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     keep = Scratch(spark, "ngram")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = keep.keep(rows.mapInArrow(_profile(words), f"doc_id long, key long, n long, bucket long, wide array<long>, {SKETCHED}"), "profile")

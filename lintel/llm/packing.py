@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import SPACED, chunks
+from .kernel import SPACED, chunks, small_batches
 
 CAPACITY = 4096
 SEGMENTS = 512
@@ -205,7 +205,8 @@ class Encoder:
             raise ValueError("this tokenizer does not split texts where the packer does")
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        #: hashes of known units in their order, and the place of each
+        self.known, self.place = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
         self.at = np.zeros(1, dtype=np.int64)
         self.flat = np.empty(0, dtype="<u4")
 
@@ -234,30 +235,30 @@ class Encoder:
         return out
 
     def _places(self, c, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        keys = hashes.tolist()
-        known = self.known
-        places = [known.get(k, -1) for k in keys]
-        new = [i for i, p in enumerate(places) if p < 0]
-        if new:
-            if len(known) + len(new) > CACHE:
-                self._clear()
-                known, new = self.known, list(range(len(keys)))
-                places = [-1] * len(keys)
-            raw, starts, ends = c.data.tobytes(), c.start[first], c.end[first]
-            sizes, ids = [], []
-            for k in range(0, len(new), 1000):
-                part = new[k : k + 1000]
-                units = [raw[starts[i] : ends[i]].decode() for i in part]
-                e = self.tokenizer.encode(units, is_pretokenized=True, add_special_tokens=False)
-                ids.append(np.array(e.ids, dtype="<u4"))
-                sizes.append(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(part)))
-            begin = len(self.at) - 1
-            for j, i in enumerate(new):
-                known[keys[i]] = places[i] = begin + j
-            sizes = np.concatenate(sizes)
-            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
-            self.flat = np.concatenate((self.flat, *ids))
-        return np.array(places, dtype=np.int64)
+        places = np.full(len(hashes), -1, dtype=np.int64)
+        if len(self.known):
+            near = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            places = np.where(self.known[near] == hashes, self.place[near], -1)
+        new = np.flatnonzero(places < 0)
+        if not len(new):
+            return places
+        if len(self.known) + len(new) > CACHE:
+            self._clear()
+            new = np.arange(len(hashes))
+        raw, starts, ends = c.data.tobytes(), c.start[first], c.end[first]
+        sizes, ids = [], []
+        for k in range(0, len(new), 1000):
+            part = new[k : k + 1000].tolist()
+            units = [raw[starts[i] : ends[i]].decode() for i in part]
+            e = self.tokenizer.encode(units, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(e.ids, dtype="<u4"))
+            sizes.append(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(part)))
+        places[new] = len(self.at) - 1 + np.arange(len(new))
+        at = np.searchsorted(self.known, hashes[new])
+        self.known, self.place = np.insert(self.known, at, hashes[new]), np.insert(self.place, at, places[new])
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))))
+        self.flat = np.concatenate((self.flat, *ids))
+        return places
 
 
 def _cuts(data: np.ndarray) -> np.ndarray:
@@ -346,6 +347,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
     text = F.col(text_col).cast("array<string>" if loss_col else "string").alias("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text, *([F.col(loss_col).cast("array<boolean>").alias("loss")] if loss_col else []))
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
     return rows.mapInArrow(_run(model, limits or Limits(), pool, end, bool(loss_col)), SCHEMA + (", loss_tokens long" if loss_col else ""))
 

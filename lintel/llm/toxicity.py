@@ -41,6 +41,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .kernel import small_batches
+
 #: Most labelled rows, and bytes of their texts, that the fit takes of toxic and of ordinary text.
 TOXIC_ROWS, TOXIC_BYTES = 2000, 4_000_000
 ORDINARY_ROWS, ORDINARY_BYTES = 4000, 8_000_000
@@ -249,7 +251,9 @@ def _calibrate(bad: list[float], good: list[float], rate: float) -> tuple[float,
 _held: dict[bytes, Gains] = {}
 
 
-def _score(model):
+def _score(model, text_col: str | None = None, most: float = 1.0):
+    """doc_id and score of rows with doc_id and text; or, with a text column of the struct own, the rows that score less than most."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = model.value
         if m is not None:
@@ -260,19 +264,26 @@ def _score(model):
             gains = _held[key]
         for batch in batches:
             scores = []
-            for text in batch.column("text"):
+            for text in batch.column("text") if text_col is None else _text_of(batch.column("own"), text_col):
                 if m is None:
                     scores.append(0.0)
                     continue
                 windows = set(words(text.as_py()))
                 gains.learn(windows)
                 scores.append(m.score([gains.of(w) for w in windows]))
-            rest = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(scores, pa.float64())], [*(f.name for f in batch.schema if f.name != "text"), "score"])
+            if text_col is None:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            else:
+                own = batch.column("own")
+                yield pa.RecordBatch.from_arrays([own, pa.array(scores, pa.float64())], ["own", "score"]).filter(pa.array([s < most for s in scores], pa.bool_()))
 
     return run
 
 
+def _text_of(own: pa.StructArray, column: str) -> pa.Array:
+    return own.field(column).cast(pa.string())
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: tuple[int, int] = (ORDINARY_ROWS, TOXIC_ROWS), size: tuple[int, int] = (ORDINARY_BYTES, TOXIC_BYTES)) -> Model | None:
     """A model from a bounded sample of labelled rows: rows and bytes of the ordinary and of the toxic class."""
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
@@ -294,6 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score of each row."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_score(held), "doc_id long, score double")
@@ -301,10 +313,11 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score below the threshold, all columns as they are."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*docs.columns).alias("own"))
+    rows = docs.select(F.struct(*docs.columns).alias("own"))
     schema = StructType([rows.schema["own"], StructField("score", DoubleType())])
-    return rows.mapInArrow(_score(held), schema).where(F.col("score") < threshold).select("own.*")
+    return rows.mapInArrow(_score(held, text_col, threshold), schema).select("own.*")
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
