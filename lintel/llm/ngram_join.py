@@ -13,8 +13,8 @@ least 0.8.  The plan:
    dealt out by key too, so no task gets all texts of a frequent one.
 3. In every group of texts with a prefix shingle the most central text is the
    pivot; (pivot, member) pairs are judged first and their components taken.  This is
-   linear in the group.  Only pairs whose ends are then in different components, and
-   of sizes that can be similar, are joined.
+   linear in the group.  Only pairs whose ends are then in different components are
+   joined.
 4. Pairs are held against the length bound and a parity-sketch bound (|A ^ B| is at
    least the Hamming distance of two 1024-bit parity sketches).  The ends of what is
    left get their prefixes under ``ORDERS`` further global orders (coarser rarity, then
@@ -196,8 +196,9 @@ def _orders(words: int, similarity: int, rarity):
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """Lists of half of each hash: two shingles that share it let a pair pass the filter, and never keep one from passing."""
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), _signed(np.concatenate(arrays) if arrays else np.empty(0, dtype=U64)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((np.concatenate([*arrays, np.empty(0, dtype=U64)]) >> U64(32)).astype(np.uint32).view(np.int32)))
 
 
 def linked(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
@@ -277,8 +278,7 @@ def _links(keep: Scratch, rows: DataFrame, shared: DataFrame, sketches: DataFram
     nodes = keep.keep(weighed.join(sketches, "key").dropDuplicates(["key"]), "nodes")
     if nodes.isEmpty():
         return None
-    met = shared.join(nodes.select("key", "central"), "key")
-    kinds = ", ".join(f"o{k} array<long>" for k in range(ORDERS))
+    kinds = ", ".join(f"o{k} array<int>" for k in range(ORDERS))
 
     def ends(texts: DataFrame, of: str, what: list[str]) -> DataFrame:
         return texts.select(F.col("key").alias(of), *(F.col(c).alias(f"{of}_{c}") for c in what))
@@ -306,21 +306,18 @@ def _links(keep: Scratch, rows: DataFrame, shared: DataFrame, sketches: DataFram
         both = _near("x", "y", similarity) & _wide_near("x", "y", similarity)
         return keep.keep(pairs.join(x, F.col("a") == F.col("x.key")).join(y, (F.col("b") == F.col("y.key")) & both).select("a", "b"), name)
 
-    pivots = met.groupBy("token").agg(F.max(F.struct("central", "key", "n")).alias("p")).select("token", F.col("p.key").alias("a"), F.col("p.n").alias("na"))
+    pivots = shared.join(nodes.select("key", "central"), "key").groupBy("token").agg(F.max(F.struct("central", "key", "n")).alias("p")).select("token", F.col("p.key").alias("a"), F.col("p.n").alias("na"))
     fits = f"100 * least(n, na) >= {similarity} * greatest(n, na)"
-    stars = met.join(pivots, "token").where(f"key <> a and {fits}").select("a", F.col("key").alias("b")).distinct()
+    stars = shared.join(pivots, "token").where(f"key <> a and {fits}").select("a", F.col("key").alias("b")).distinct()
     near = verified(likely(stars, "stars"), "near")
     roots = components(near, keep, "star")
     described = nodes.select("key", *(f"s{i}" for i in range(SKETCH)))
     described = described.withColumn("root", F.col("key")) if roots is None else described.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     described = keep.keep(described, "described")
-    open_tokens = met.join(described.select("key", "root"), "key").groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    # Sizes of similar sets are in one class of sizes or in neighbouring ones.
-    sized = F.floor(F.log("n") / F.log(F.lit(100 / similarity))).cast("int")
-    left = keep.keep(met.join(open_tokens, "token").join(described, "key").withColumn("size", sized), "open")
-    u, v = left.alias("u"), left.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).alias("v")
-    apart = (F.col("u.token") == F.col("v.token")) & (F.col("u.size") == F.col("v.size")) & (F.col("u.key") < F.col("v.key")) & (F.col("u.root") != F.col("v.root"))
-    rest = u.join(v, apart & _near("u", "v", similarity))
+    open_tokens = shared.join(described.select("key", "root"), "key").groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    left = keep.keep(shared.join(open_tokens, "token").join(described, "key"), "open")
+    u, v = left.alias("u"), left.alias("v")
+    rest = u.join(v, (F.col("u.token") == F.col("v.token")) & (F.col("u.key") < F.col("v.key")) & (F.col("u.root") != F.col("v.root")) & _near("u", "v", similarity))
     rest = likely(rest.select(F.col("u.key").alias("a"), F.col("v.key").alias("b")).distinct(), "rest")
     keep.drop("open", "shared")
     if rest.isEmpty():
