@@ -6,14 +6,13 @@ possessively: long strings and comments need neither stack nor retries.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Lexemes of a whole text: strings (which may span lines), line comments, closed block comments, any other character.
-LEXEME = r"""(?s)'(?:[^']|'')*+(?:'|\z)|"(?:[^"]|"")*+(?:"|\z)|//[^\n]*+|/\*.*?\*/|."""
+#: Lexemes of a whole text: strings (which may span lines), line comments, closed block comments, and what is none of these.
+LEXEME = r"""(?s)'(?:[^']|'')*+(?:'|\z)|"(?:[^"]|"")*+(?:"|\z)|//[^\n]*+|/\*.*?\*/|[^'"/]++|."""
 #: Strings and comments of one line.
 LITERAL_OR_COMMENT = r"""(?s)'(?:[^']|'')*+(?:'|\z)|"(?:[^"]|"")*+(?:"|\z)|//.*\z|/\*.*?(?:\*/|\z)"""
 KEPT_LITERAL_OR_COMMENT = r"""(?s)('(?:[^']|'')*+(?:'|\z)|"(?:[^"]|"")*+(?:"|\z))|//.*\z|/\*.*?(?:\*/|\z)"""
@@ -26,13 +25,17 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use).getItem(0)
 
 
+#: The characters that Unicode calls white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(x: Column) -> Column:
     """Without white space at the ends, as Unicode has it."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def trim_start(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+", "")
+    return F.ltrim(x, F.lit(SPACES))
 
 
 def leading_width(raw: Column) -> Column:
@@ -46,19 +49,27 @@ def mask_blocks(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("/*")), F.array_join(blank, "")).otherwise(text)
 
 
+def _quoted(line: Column) -> Column:
+    """Whether a line can have strings or comments; most lines have none and need no pattern."""
+    return has(line, "'") | has(line, '"') | has(line, "//") | has(line, "/*")
+
+
 def clean(line: Column) -> Column:
     """A line without strings and comments."""
-    return trim(F.regexp_replace(line, LITERAL_OR_COMMENT, ""))
+    return trim(F.when(_quoted(line), F.regexp_replace(line, LITERAL_OR_COMMENT, "")).otherwise(line))
 
 
 def code(line: Column) -> Column:
     """A line without comments."""
-    return trim(F.regexp_replace(line, KEPT_LITERAL_OR_COMMENT, "$1"))
+    return trim(F.when(_quoted(line), F.regexp_replace(line, KEPT_LITERAL_OR_COMMENT, "$1")).otherwise(line))
 
 
 def keyword(x: Column, *words: str) -> Column:
     """Whether x is one of the words or begins with one and a space."""
-    return x.rlike("^(?:" + "|".join(map(re.escape, words)) + r")(?: |\z)")
+    out = F.lit(False)
+    for w in words:
+        out = out | (x == w) | x.startswith(w + " ")
+    return out
 
 
 def has(x: Column, needle: str) -> Column:

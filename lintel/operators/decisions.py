@@ -110,3 +110,19 @@ def percentiles(times: DataFrame, column: str) -> DataFrame:
     whole = F.lit(n).cast("long")
     at = lambda q: F.min(F.when(F.col("last") >= F.greatest(F.ceil(whole * q), F.lit(1)), F.col("x")))
     return ranked.agg(F.min("x").alias("min"), at(0.5).alias("median"), at(0.95).alias("p95"), F.max("x").alias("max"), F.count("*").alias("n")).where("n > 0").drop("n")
+
+
+def percentiles_by(times: DataFrame, column: str, *keys: str) -> DataFrame:
+    """keys, min, median, p95, max of each group, as ``percentiles``: a group's values are dealt out by ranges too, so a large one is many tasks' work."""
+    counted = times.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("x")).agg(F.count("*").alias("c"))
+    dealt = held(counted.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "part").agg(F.sum("c").alias("held"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("held").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    starts = sums.withColumns({"start": upto - F.col("held"), "whole": F.sum("held").over(group)}).drop("held")
+    last = F.col("start") + F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    starts = starts.select(*(F.col(k).alias(f"lintel_{k}") for k in (*keys, "part")), "start", "whole")
+    same = [F.col(k).eqNullSafe(F.col(f"lintel_{k}")) for k in (*keys, "part")]
+    ranked = dealt.join(starts, same).withColumn("last", last)
+    at = lambda q: F.min(F.when(F.col("last") >= F.greatest(F.ceil(F.col("whole") * q), F.lit(1)), F.col("x")))
+    return ranked.groupBy(*keys).agg(F.min("x").alias("min"), at(0.5).alias("median"), at(0.95).alias("p95"), F.max("x").alias("max"))

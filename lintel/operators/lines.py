@@ -16,7 +16,7 @@ def split_lines(objects: DataFrame) -> DataFrame:
     """object_key, line_no, raw, eval: every line up to the generated part. Nothing is shuffled: lines stay where their object is."""
     lines = F.arrays_zip(F.split("text", "\n", -1).alias("raw"), F.split(mask_blocks(F.col("text")), "\n", -1).alias("eval"))
     rows = objects.select("object_key", F.posexplode(_before_generated(lines)).alias("at", "l"))
-    bare = lambda c: F.regexp_replace(c, r"\r+\z", "")
+    bare = lambda c: F.rtrim(c, F.lit("\r"))
     return rows.select("object_key", (F.col("at") + 1).alias("line_no"), bare(F.col("l.raw")).alias("raw"), bare(F.col("l.eval")).alias("eval"))
 
 

@@ -118,7 +118,7 @@ def source_window(lines: DataFrame, object_key, start: int, count: int = 400) ->
 def retained(runs: DataFrame, issues: DataFrame, newest: int) -> tuple[DataFrame, DataFrame]:
     """The newest runs, and the issues of these."""
     keep = runs.orderBy(F.desc("id")).limit(newest)
-    return keep, issues.join(F.broadcast(keep.select(F.col("id").alias("run_id"))), "run_id", "left_semi")
+    return keep, issues.join(keep.select(F.col("id").alias("run_id")), "run_id", "left_semi")
 
 
 def sessions_kept(sessions: DataFrame, most: int = 8, findings: int = 50_000) -> DataFrame:

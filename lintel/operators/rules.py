@@ -122,7 +122,7 @@ def rule_1_3() -> Rule:
     where = ~opens & keyword(lower, "where")
     defined = ~opens & ~keyword(lower, "where") & has(lower, "defined by")
     levels = matched("r13", opens, closes)
-    levels.append({"r13_where": marked("r13", where), "r13_defined": marked("r13", defined)})
+    levels[-1] |= {"r13_where": marked("r13", where), "r13_defined": marked("r13", defined)}
     inside = closes & (F.col("r13_before") > 0)
     begun = F.col("r13_open.line")
     missing = inside & (F.coalesce("r13_where", F.lit(0)) > begun) & ~(F.coalesce("r13_defined", F.lit(0)) > begun)
@@ -148,7 +148,7 @@ def rule_1_3_1() -> Rule:
 
 def _closed_without(rule: str, name: str, opens: Column, mark: Column, closes: Column) -> Rule:
     levels = matched(name, opens, closes)
-    levels.append({f"{name}_mark": marked(name, mark)})
+    levels[-1] |= {f"{name}_mark": marked(name, mark)}
     begun = F.col(f"{name}_open.line")
     bad = closes & (F.col(f"{name}_before") > 0) & ~(F.coalesce(f"{name}_mark", F.lit(0)) > begun)
     return Rule(rule, only(bad, finding(rule, text(rule, begun), begun, F.col(f"{name}_open.raw"))), levels)
@@ -195,7 +195,7 @@ def rule_1_4_3() -> Rule:
     here = within("r143_block")
     levels = [
         {"r143_block": F.sum(F.when(begins, 1).otherwise(0)).over(so_far())},
-        {"r143_ends": F.min(F.when(there & has(lower, ")"), F.col("line_no"))).over(Window.partitionBy("object_key", "r143_block")), "r143_open": F.first(F.struct("line_no", "raw")).over(here)},
+        {"r143_ends": F.min(F.when(there & has(lower, ")"), F.col("line_no"))).over(here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "r143_open": F.first(F.struct("line_no", "raw")).over(here)},
         {"r143_text": F.collect_list(F.when(there & (F.col("r143_block") > 0) & (F.col("line_no") <= F.col("r143_ends")), lower)).over(here)},
     ]
     inner = trim(F.regexp_extract(F.array_join("r143_text", " "), r"(?s)parm\s*\((.*?)\)", 1))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decisions, semantics
@@ -63,16 +65,44 @@ class Result:
     scanned: int
     failures: list[tuple[str, str]] = field(default_factory=list)
     security: dict | None = None
+    held: DataFrame | None = None
+
+    def release(self) -> None:
+        """Give back the memory that the findings are held in; they are computed anew if they are read later."""
+        if self.held is not None:
+            self.held.unpersist()
 
     @property
     def exit_code(self) -> int:
         return decisions.EXIT_CODES[self.verdict]
 
 
+def with_deadline(spark: SparkSession, seconds: float, job):
+    """job() and whether it was cut off: its Spark jobs are interrupted when the time is over, and the value is then None."""
+    tag, cut = f"lintel-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        cut.set()
+        spark.interruptTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    spark.addTag(tag)
+    timer.start()
+    try:
+        return job(), False
+    except Exception:
+        if cut.is_set():
+            return None, True
+        raise
+    finally:
+        timer.cancel()
+        spark.removeTag(tag)
+
+
 def audit(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, policy=None, max_findings: int | None = None, failures: list[tuple[str, str]] | None = None, cancelled: bool = False, retain_evidence: bool = False, scanned: int | None = None) -> Result:
     """Run the rules and decide. The cap keeps the first findings in order and makes the run partial."""
     policy, failures = policy or decisions.Absolute(), failures or []
-    found = findings(objects, ids, retain_evidence).persist()
+    found = held = findings(objects, ids, retain_evidence).persist()
     limited = False
     if max_findings is not None:
         limited = found.count() > max_findings
@@ -86,4 +116,4 @@ def audit(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, policy
     row = row.withColumn("completion", done)
     row = row.withColumn("verdict", decisions.verdict(F.col("completion"), F.lit(security["errors"] if security else 0), policy.passes())).first()
     numbers = {k: row[k] for k in ("total_findings", "errors", "warnings", "info")}
-    return Result(ordered(found), numbers, policy, row["completion"], row["verdict"], objects.count() if scanned is None else scanned, failures, security.asDict() if security else None)
+    return Result(ordered(found), numbers, policy, row["completion"], row["verdict"], objects.count() if scanned is None else scanned, failures, security.asDict() if security else None, held)

@@ -26,6 +26,17 @@ class Descriptor:
     cost: str = "light"
 
 
+#: The flags of a line that route it to a rule of the route "tokens"; any of them does.
+ROUTES = {
+    "GX.1.1": ("has_ampersand",),
+    "GX.1.4.1": ("has_equal", "has_ampersand"),
+    "GX.1.4.2": ("has_if", "has_case"),
+    "GX.1.5": ("has_if", "has_case"),
+    "GX.2.7.2": ("has_equal", "has_ampersand"),
+    "GX.2.7.3": ("has_equal", "has_ampersand"),
+    "GX.2.7.4": ("has_ampersand",),
+}
+
 E, W = "ERROR", "WARNING"
 RULES = (
     Descriptor("GX.1", W, "Código de programas fuentes - Advertencias", "Clase estructural para agrupar jerárquicamente las reglas GX.1.x.", abstract=True),
@@ -104,6 +115,15 @@ MESSAGES = {
 }
 
 
+def routes(ids: list[str] | tuple[str, ...]) -> dict[str, tuple[str, ...]]:
+    """The flags of each chosen rule that is routed by tokens; one without flags is an error of the catalogue."""
+    chosen = [i for i in ids if BY_ID[i].route == "tokens"]
+    unmapped = [i for i in chosen if not ROUTES.get(i)]
+    if unmapped:
+        raise ValueError(f"no flags for the tokens of {', '.join(unmapped)}")
+    return {i: ROUTES[i] for i in chosen}
+
+
 def catalog(spark: SparkSession) -> DataFrame:
     """The 34 descriptors as rows."""
     rows = [(r.id, r.version, r.name, r.severity, r.description, r.category, r.route, r.scope, r.cost, r.abstract, r.default, i) for i, r in enumerate(RULES)]

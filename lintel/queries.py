@@ -12,7 +12,7 @@ from .operators.lines import FLAGS, parse_lines, split_lines
 from .operators.rules import LINE_RULES, line_findings, unused_variables
 from .operators.taint import local_taint
 from .plans import corpus
-from .plans.catalog import DEFAULT, catalog
+from .plans.catalog import CONCRETE, DEFAULT, catalog, routes
 from .registry import ORACLE_SQL, QUERIES, Query, query
 from .sources import readers
 
@@ -61,10 +61,9 @@ def lex_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLEAN = rf"regexp_replace(regexp_replace(t, '(?s){o._STRING}|//.*|/\*.*?(?:\*/|\z)', '', 'g'), '^\s+|\s+$', '', 'g')"
 
 
-@query("lex_clean", rf"SELECT page_id, {_CLEAN} AS clean FROM (SELECT page_id, regexp_replace(url, '[^\x20-\x7e]', '', 'g') AS t FROM pages)")
+@query("lex_clean", f"SELECT page_id, {_CLEAN} AS clean FROM (SELECT page_id, url AS t FROM pages)")
 def lex_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return p.select("page_id", x.clean(F.regexp_replace("url", r"[^\x20-\x7e]", "")).alias("clean"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", x.clean(F.col("url")).alias("clean"))
 
 
 @query("lex_code", f"{_LINES} SELECT object_key, CAST(line_no AS INTEGER) AS line_no, code FROM lines WHERE code <> stripped")
@@ -86,8 +85,7 @@ SELECT rule_id, count(*) FILTER (hit) AS candidates FROM (
          unnest([has_ampersand, has_equal OR has_ampersand, has_if OR has_case, has_if OR has_case, has_equal OR has_ampersand, has_equal OR has_ampersand, has_ampersand]) AS hit FROM f) GROUP BY rule_id""")
 def dispatch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines each rule that is routed by tokens is given."""
-    routes = {"GX.1.1": ["has_ampersand"], "GX.1.4.1": ["has_equal", "has_ampersand"], "GX.1.4.2": ["has_if", "has_case"], "GX.1.5": ["has_if", "has_case"], "GX.2.7.2": ["has_equal", "has_ampersand"], "GX.2.7.3": ["has_equal", "has_ampersand"], "GX.2.7.4": ["has_ampersand"]}
-    hits = [F.struct(F.lit(r).alias("rule_id"), F.expr(" OR ".join(f)).alias("hit")) for r, f in routes.items()]
+    hits = [F.struct(F.lit(r).alias("rule_id"), F.expr(" OR ".join(f)).alias("hit")) for r, f in routes(CONCRETE).items()]
     rows = _lines(spark, sf_dir).select(F.explode(F.array(*hits)).alias("h"))
     return rows.groupBy(F.col("h.rule_id").alias("rule_id")).agg(F.count_if("h.hit").alias("candidates"))
 
@@ -254,9 +252,13 @@ def member_line_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", x.member_line(segments, n).cast("int").alias("member_line"))
 
 
-@query("run_percentiles", "SELECT l[1] AS min, l[greatest(CAST(ceil(len(l) * 0.5) AS INTEGER), 1)] AS median, l[greatest(CAST(ceil(len(l) * 0.95) AS INTEGER), 1)] AS p95, l[len(l)] AS max FROM (SELECT list_sort(list(value)) AS l FROM events WHERE user_id = 1)")
+_ORDER = "l[1] AS min, l[greatest(CAST(ceil(len(l) * 0.5) AS INTEGER), 1)] AS median, l[greatest(CAST(ceil(len(l) * 0.95) AS INTEGER), 1)] AS p95, l[len(l)] AS max"
+
+
+@query("run_percentiles", f"SELECT user_id, {_ORDER} FROM (SELECT user_id, list_sort(list(value)) AS l FROM events WHERE value IS NOT NULL GROUP BY user_id)")
 def run_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decisions.percentiles(spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id = 1"), "value")
+    """The order statistics of each user's values."""
+    return decisions.percentiles_by(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", "user_id")
 
 
 @query("event_percentiles", "SELECT l[1] AS min, l[greatest(CAST(ceil(len(l) * 0.5) AS INTEGER), 1)] AS median, l[greatest(CAST(ceil(len(l) * 0.95) AS INTEGER), 1)] AS p95, l[len(l)] AS max FROM (SELECT list_sort(list(value)) AS l FROM events)")

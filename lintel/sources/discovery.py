@@ -80,9 +80,15 @@ def discover(listing: DataFrame, root: str, policy: Policy | None = None) -> tup
     return rows.where(wanted), rows.where(~wanted).count()
 
 
+def list_paths(spark: SparkSession, root: str) -> DataFrame:
+    """path, length of all files below a root; no content is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, length, modificationTime, content of all files below a root."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """path, length, modificationTime, content of the source files below a root; other files are left out of the scan by their names."""
+    either = ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in EXTENSIONS)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{either}}}").load(root)
 
 
 def planned(inputs: DataFrame) -> DataFrame:

@@ -18,11 +18,12 @@ def finding_line() -> object:
     return F.format_string("%-7s %-10s línea %-4d %s", F.col("severity"), F.col("rule_id"), F.col("line_number"), F.col("description"))
 
 
-def text_summary(result: Result) -> str:
-    """The summary that a scan prints."""
+def text_summary(result: Result, with_findings: bool = True) -> str:
+    """The summary that a scan prints. Findings pass the driver one partition at a time; ``write_text`` writes any number of them."""
     m = result.metrics
     out = [f"[gx] política: {result.policy.label()}", f"[gx] archivos escaneados: {result.scanned} | hallazgos: {m['total_findings']} ({m['errors']} ERROR / {m['warnings']} WARNING / {m['info']} INFO)"]
-    out += [r[0] for r in result.findings.select(finding_line()).toLocalIterator()]
+    if with_findings:
+        out += [r[0] for r in result.findings.select(finding_line()).toLocalIterator()]
     if result.security:
         s = result.security
         out.append(f"[gx] seguridad: {s['findings']} hallazgo(s), {s['errors']} error(es) — veredicto {VERDICTS[s['verdict']]} (CWE/patrones)")
@@ -30,6 +31,14 @@ def text_summary(result: Result) -> str:
     return "\n".join(out) + "\n"
 
 
+def write_text(result: Result, path: str) -> None:
+    """The findings' lines in their order, written by the executors in as many parts as there are, and what the whole run says as a last part."""
+    result.findings.select(finding_line().alias("value")).write.mode("overwrite").text(path)
+    spark = result.findings.sparkSession
+    head, *rest = text_summary(result, with_findings=False).rstrip("\n").split("\n")
+    spark.createDataFrame([(x,) for x in (head, *rest)], "value string").coalesce(1).write.mode("append").text(path)
+
+
 def summary(result: Result) -> dict:
     return {"scanned_files": result.scanned, "metrics": result.metrics, "policy": result.policy.label(), "verdict": result.verdict, "completion": result.completion, "security": result.security, "failures": [{"path": p, "error": e} for p, e in result.failures]}
 

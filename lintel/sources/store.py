@@ -33,12 +33,21 @@ class History:
 
     def issues(self) -> DataFrame:
         """Issues of runs that have a row."""
-        return self._table("audit_issues", ISSUE).join(F.broadcast(self.runs().select(F.col("id").alias("run_id"))), "run_id", "left_semi")
+        return self._table("audit_issues", ISSUE).join(self.runs().select(F.col("id").alias("run_id")), "run_id", "left_semi")
+
+    def _claimed(self) -> int:
+        """An id after the last one that no other writer has: the file system lets one writer make a folder's mark."""
+        run = (self.runs().agg(F.max("id")).first()[0] or 0) + 1
+        while True:
+            mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/audit_ids/{run}")
+            files = mark.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if not files.exists(mark) and files.createNewFile(mark):
+                return run
+            run += 1
 
     def persist(self, result) -> int:
-        """Add a run; its id is one more than the last."""
-        last = self.runs().agg(F.max("id")).first()[0] or 0
-        run = last + 1
+        """Add a run; its id is one more than the last that was claimed."""
+        run = self._claimed()
         rows = result.findings.select("rule_id", "severity", "line_number", "line_content", "description", F.col("object_key").cast("string").alias("object_key"))
         numbered = rows.withColumn("id", F.monotonically_increasing_id()).withColumn("run_id", F.lit(run).cast("long"))
         numbered.select(*(c.split()[0] for c in ISSUE.split(", "))).write.mode("append").partitionBy("run_id").parquet(f"{self.folder}/audit_issues")

@@ -94,3 +94,22 @@ def test_declared_paths(spark, tmp_path):
     (tmp_path / "d" / "a.txt").write_text("x")
     got = planning.described(spark, [f"{tmp_path}/d/", f"{tmp_path}/d/a.txt", f"{tmp_path}/none", " "])
     assert [r.kind for r in got.orderBy("ordinal").collect()] == ["directory", "file", "missing", "missing"]
+
+
+def test_deadline_cuts_a_job_off(spark):
+    from pyspark.sql import functions as F
+
+    from lintel.plans.audit import with_deadline
+
+    assert with_deadline(spark, 60, lambda: spark.range(10).count()) == (10, False)
+    slow = F.udf(lambda x: __import__("time").sleep(30), "string")
+    assert with_deadline(spark, 3, lambda: spark.range(2).select(slow("id")).collect()) == (None, True)
+    with pytest.raises(ValueError):
+        with_deadline(spark, 60, lambda: int("x"))
+
+
+def test_two_writers_claim_two_runs(spark, tmp_path):
+    from lintel.sources.store import History
+
+    history = History(spark, f"file://{tmp_path}/history")
+    assert [history._claimed() for _ in range(3)] == [1, 2, 3]
