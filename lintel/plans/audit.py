@@ -79,15 +79,18 @@ class Result:
 
 def with_deadline(spark: SparkSession, seconds: float, job):
     """job() and whether it was cut off: its Spark jobs are interrupted when the time is over, and the value is then None."""
-    tag, cut = f"lintel-{uuid.uuid4().hex}", threading.Event()
+    context, tag = spark.sparkContext, f"lintel-{uuid.uuid4().hex}"
+    cut, done = threading.Event(), threading.Event()
 
     def stop() -> None:
+        if done.wait(seconds):
+            return
         cut.set()
-        spark.interruptTag(tag)
+        while not done.wait(0.5):  # jobs that begin after the time is over are interrupted too
+            context.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
-    timer.start()
+    context.addJobTag(tag)
+    threading.Thread(target=stop, daemon=True).start()
     try:
         return job(), False
     except Exception:
@@ -95,8 +98,8 @@ def with_deadline(spark: SparkSession, seconds: float, job):
             return None, True
         raise
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        done.set()
+        context.removeJobTag(tag)
 
 
 def audit(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, policy=None, max_findings: int | None = None, failures: list[tuple[str, str]] | None = None, cancelled: bool = False, retain_evidence: bool = False, scanned: int | None = None) -> Result:

@@ -86,7 +86,12 @@ def list_paths(spark: SparkSession, root: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, length, modificationTime, content of the source files below a root; other files are left out of the scan by their names."""
+    """path, length, modificationTime, content of all files below a root."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+
+
+def source_files(spark: SparkSession, root: str) -> DataFrame:
+    """The same of source files alone: others are left out of the scan by their names, and their contents are never read."""
     either = ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in EXTENSIONS)
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{either}}}").load(root)
 

@@ -108,6 +108,15 @@ def test_deadline_cuts_a_job_off(spark):
         with_deadline(spark, 60, lambda: int("x"))
 
 
+def test_source_files_leave_others_unread(spark, tmp_path):
+    from lintel.sources import discovery
+
+    for name in ("a.TXT", "b.md", "c.Xml", "d.zip", "txt"):
+        (tmp_path / name).write_text("x")
+    assert {r.path.rsplit("/", 1)[-1] for r in discovery.source_files(spark, str(tmp_path)).select("path").collect()} == {"a.TXT", "c.Xml", "d.zip"}
+    assert discovery.list_paths(spark, str(tmp_path)).count() == 5
+
+
 def test_two_writers_claim_two_runs(spark, tmp_path):
     from lintel.sources.store import History
 
