@@ -3,6 +3,11 @@
 Toxic documents go; of each group of near duplicates the one with the smallest id
 stays; documents with a benchmark passage go; personal data is replaced; what is
 left is packed into training sequences.  Each function takes (spark, docs, sf_dir).
+
+Defined results: without labels of both classes nothing is toxic; without benchmark
+items nothing is contaminated; rows without an id or a text, and different texts that
+share an id, are documents like others (of one class of near duplicates the smallest
+id stays, null last); further columns stay until packing; no documents give no pieces.
 """
 
 from __future__ import annotations
