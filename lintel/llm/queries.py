@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, oracles, packing, pii, quality, secrets, toxicity, urls
+from . import decontaminate, html_text, id_files, licenses, oracles, packing, pii, quality, secrets, toxicity, urls
 from .ngram_join import near_duplicates
 
 
@@ -62,6 +62,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(_read(spark, sf_dir, "documents"))
 
 
+def op11_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.read_ids(id_files.write_ids(_read(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
+    "op11_id_files": op11_id_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
