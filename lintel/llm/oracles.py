@@ -126,3 +126,18 @@ SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(p)} THEN '{p}'" for p,
        CASE {" ".join(f"WHEN {_fits(p)} THEN '{v}'" for p, v in _RULES)} WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM parts LEFT JOIN judged USING (host)
 """
+
+#: Terms: letters and digits, ASCII letters in lower case.
+_TERMS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+LEXICAL_SEARCH = rf"""
+WITH docs AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+sizes AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0),
+whole AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sizes),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), whole),
+impacts AS (SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))) AS impact FROM postings JOIN sizes USING (doc_id) JOIN weights USING (term), whole),
+scores AS (SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM asked JOIN impacts USING (term) GROUP BY item_id, doc_id HAVING sum(times * impact) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, id_files, licenses, oracles, packing, pii, quality, secrets, toxicity, urls
+from . import decontaminate, html_text, id_files, lexical_search, licenses, oracles, packing, pii, quality, secrets, toxicity, urls
 from .ngram_join import near_duplicates
 
 
@@ -66,6 +66,10 @@ def op11_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(id_files.write_ids(_read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).withColumnRenamed("item", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
     "op11_id_files": op11_id_files,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,4 +90,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": oracles.DECONTAMINATION,
     "op7_url_filter": oracles.URL_FILTER,
     "op10_secret_scan": oracles.SECRET_SCAN,
+    "op12_lexical_search": oracles.LEXICAL_SEARCH,
 }
