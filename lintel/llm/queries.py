@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, id_files, lexical_search, licenses, oracles, packing, pii, quality, secrets, toxicity, urls
+from . import decontaminate, hard_negatives, html_text, id_files, lexical_search, licenses, oracles, packing, pii, quality, secrets, toxicity, urls
 from .ngram_join import near_duplicates
 
 
@@ -70,6 +70,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).withColumnRenamed("item", "item_id")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_id_files": op11_id_files,
     "op12_lexical_search": op12_lexical_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -91,4 +97,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": oracles.URL_FILTER,
     "op10_secret_scan": oracles.SECRET_SCAN,
     "op12_lexical_search": oracles.LEXICAL_SEARCH,
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }
