@@ -145,6 +145,13 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def _windows(low: list[list[int]], high: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of some anchors as two matrices; those with fewer windows get ones that nothing meets."""
+    n = max(map(len, low), default=0)
+    nothing = 1 << 62
+    return tuple(np.array([[*x, *[fill] * (n - len(x))] for x in side], dtype=np.int64).reshape(len(side), n) for side, fill in ((low, nothing), (high, -nothing)))
+
+
 def _route(tree, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +232,7 @@ def _search(limit: float, dim: int, same: bool, k: int):
             for i, row in enumerate(batch.drop_columns(["asked"]).to_pylist()):
                 a = asked[i].values
                 own, label, h = (a.field(c).to_numpy() for c in ANCHOR)
-                low, high = (np.array(a.field(c).to_pylist(), dtype=np.int64).reshape(len(own), -1) for c in ("low", "high"))
+                low, high = _windows(a.field("low").to_pylist(), a.field("high").to_pylist())
                 at, w, ids, score = Chunk(row, limit, dim).nearest(_matrix(a.field("v"), dim), own, label, low, high, same, k)
                 made = [own[at], label[at], h[at], w.astype(np.int32), ids, score]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], [c.split()[0] for c in FOUND.split(", ")])
@@ -238,7 +245,7 @@ def _visits(tree, dim: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, high = (np.array(batch.column(c).to_pylist(), dtype=np.int64).reshape(batch.num_rows, -1) for c in ("low", "high"))
+            low, high = _windows(batch.column("low").to_pylist(), batch.column("high").to_pylist())
             if not low.size:
                 continue
             top, bottom = tree.value.bounds(_matrix(batch.column("v"), dim))
@@ -267,8 +274,7 @@ class Index:
             sample = _matrix(first.column("v"), self.dim)
         tree = Tree.fit(sample, float(self.limit), depth)[0].opened()
         self.tree = self.spark.sparkContext.broadcast(tree)
-        kind = rows.select("id", "label", "v").schema.simpleString()[7:-1].replace(",", ", ").replace(":", " ")
-        routed = keep.keep(rows.select("id", "label", "v").mapInArrow(_route(self.tree, self.dim), f"cell int, {kind}"), "routed")
+        routed = keep.keep(rows.select("id", "label", "v").mapInArrow(_route(self.tree, self.dim), "cell int, id long, label long, v array<int>"), "routed")
         parts = F.ceil(F.col("count") / chunk).cast("int")
         self.cells = keep.keep(routed.groupBy("cell").count().select("cell", parts.alias("parts")), "cells")
         dealt = routed.join(F.broadcast(self.cells), "cell").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int"))
@@ -277,9 +283,7 @@ class Index:
 
     def nearest(self, asked: DataFrame, same: bool, k: int, name: str) -> DataFrame:
         """anchor, label, h, w, id, score, rank: the first k rows of each window of the anchors (anchor, label, h, v, low, high)."""
-        kind = asked.schema.simpleString()[7:-1]
-        columns = ", ".join(f"{c} {asked.schema[c].dataType.simpleString()}" for c in asked.columns)
-        assert kind, "anchors have columns"
+        columns = ", ".join(f"{c} {kind}" for c, kind in asked.dtypes)
         visits = asked.mapInArrow(_visits(self.tree, self.dim), f"{columns}, cell int, near boolean")
         first = self.keep.keep(self._look(visits.where("near"), same, k), f"{name}-near")
         if self.tree.value.depth == 0:
