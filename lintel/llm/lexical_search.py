@@ -149,13 +149,14 @@ class Search:
         return best(scores, "item", [F.desc("score")], self.k).where(F.col("place") == self.k).select("item", F.col("score").alias("least"))
 
     def scores(self, candidates: DataFrame) -> DataFrame:
-        """item, uid, score of candidates (item, uid): all their postings are looked up."""
-        rows = candidates.count()
-        docs = candidates.select("uid").distinct()
-        found = self.index.postings.join(small(docs, rows), "uid", "left_semi")
-        terms = small(self.wanted.select("item", "term", "n"), self.rows)
-        both = found.join(terms, "term").join(small(candidates, rows), ["item", "uid"], "left_semi")
-        return both.groupBy("item", "uid").agg(F.sum(F.col("n") * F.col("impact")).alias("score"))
+        """item, uid, score of candidates (item, uid): all their postings are looked up.
+
+        Many candidates meet the postings by document; what a document's postings give to
+        its items is then added up where it is, and only postings as such are moved.
+        """
+        found = self.index.postings.join(small(candidates, candidates.count()), "uid")
+        found = found.join(small(self.wanted.select("item", "term", "n"), self.rows), ["item", "term"])
+        return found.groupBy("item", "uid").agg(F.sum(F.col("n") * F.col("impact")).alias("score"))
 
     def candidates(self, least: DataFrame) -> DataFrame:
         """item, uid of the documents whose upper bound reaches their item's k-th best score."""
@@ -163,14 +164,17 @@ class Search:
         # An impact counts if n * impact * m >= least; the rest of a list is below that, and no higher than the list's top.
         level = F.expr("coalesce((least + n * m - 1) div (n * m), 1L)")
         lists = lists.withColumn("level", level).withColumn("rest", F.col("n") * F.least(F.col("level") - 1, F.col("top")))
-        lists = self.keep.keep(lists.select("item", "term", "n", "level", "rest"), "levels")
-        read = self.index.postings.join(small(lists, self.rows), "term").where("impact >= level")
-        sums = read.groupBy("item", "uid").agg(F.sum(F.col("n") * F.col("impact")).alias("low"), F.sum("rest").alias("met"))
+        lists = self.keep.keep(lists.select("item", "term", "n", "level", "rest", "least"), "levels")
+        # Postings that count for any item go to their document once, and to all items there.
+        floor = lists.groupBy("term").agg(F.min("level").alias("floor"))
+        read = self.index.postings.join(small(floor, self.index.size), "term").where("impact >= floor").select("term", "uid", "impact").repartition("uid")
+        read = read.join(small(lists.select("item", "term", "n", "level", "rest"), self.rows), "term").where("impact >= level")
+        sums = read.groupBy("uid", "item").agg(F.sum(F.col("n") * F.col("impact")).alias("low"), F.sum("rest").alias("met"))
+        whole = lists.groupBy("item").agg(F.sum("rest").alias("all"), F.coalesce(F.max("least"), F.lit(0)).alias("least"))
+        sums = sums.join(small(whole, self.rows), "item").select("item", "uid", "low", (F.col("low") + F.col("all") - F.col("met")).alias("high")).where("high >= least")
         sums = self.keep.keep(sums, "sums")
         kth = best(sums, "item", [F.desc("low")], self.k).where(F.col("place") == self.k).select("item", F.col("low").alias("kth"))
-        rest = lists.groupBy("item").agg(F.sum("rest").alias("all"))
-        bound = rest.join(least, "item", "left").join(kth, "item", "left").select("item", "all", F.greatest(F.coalesce("least", F.lit(0)), F.coalesce("kth", F.lit(0))).alias("bound"))
-        return sums.join(small(bound, self.rows), "item").where("low + all - met >= bound").select("item", "uid")
+        return sums.join(small(kth, self.rows), "item", "left").where("kth is null or high >= kth").select("item", "uid")
 
     def top(self) -> DataFrame:
         """item, rank, doc_id, score."""
