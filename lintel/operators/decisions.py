@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .project import held
+from ..sources.rounds import held
 
 
 @dataclass(frozen=True)

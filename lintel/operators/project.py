@@ -1,38 +1,47 @@
-"""Flows of outside values across objects.
-
-Executors make a summary of each object; summaries of at most ``Limits.objects``
-objects meet on the driver, where a worklist follows calls and returned values
-(its order decides which trace is told, so it is no relational fixpoint).  The
-call graph itself (edges, in-degree, frontier, dependents) is relational.
+"""Flows of outside values across objects, and the call graph, as joins.
+
+What a value does inside an object doesn't depend on who calls it: each input
+parameter, and each variable that a call can return a value to, is a seed, and one
+job follows all seeds of all objects (``taint.reach``).  An object reacts to a set of
+seeds as to each of them alone, so between objects there is a graph: seed s of object A
+leads to parameter i of B if it reaches the i-th variable of a call of B in A, and to
+A's j-th variable of that call if parameter i of B reaches B's output parameter j.
+Seeds are met round by round, all objects at once: what one finds, others see in the
+next round.  Parameters of objects that no other calls come from outside.
+
+A finding is told as the first round has it, then the first object in the given order,
+its own sinks before its calls.  Objects, lines and classes don't depend on that choice.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexical import literal_value, trim
 from ..plans.catalog import BY_ID, ORDER
-from .taint import TRACED, Program, Step, _steps
+from ..sources.rounds import Rounds
+from . import graph, semantics, taint
+from .calls import weakness
+from .taint import FLOW_PARAMS, TRACE, step
+
+#: No depth: outside of calls.
+NONE = -(2**31)
 
 
 @dataclass
 class Limits:
-    objects: int = 4096
-    bytes: int = 64 * 1024 * 1024
-    edges: int = 16_384
-    iterations: int = 4096
-    findings: int = 2000
-    trace: int = 8
+    """Bounds of a project; none by default. What is cut off is told, and makes the coverage partial.
 
+    bytes: of the texts of the first ``objects`` objects, which must be given with it.
+    """
 
-#: No limit: for tables that are to be covered whole.
-WHOLE = Limits(*[2**31 - 1] * 5)
+    objects: int | None = None
+    bytes: int | None = None
+    edges: int | None = None
+    findings: int | None = None
 
 
 @dataclass
@@ -40,16 +49,41 @@ class Coverage:
     objects: int = 0
     edges: int = 0
     sccs: int = 0
-    iterations: int = 0
+    rounds: int = 0
     truncated: bool = False
     reasons: list[str] = field(default_factory=list)
 
+    def cut(self, reason: str) -> None:
+        self.truncated = True
+        self.reasons.append(reason)
+
 
-def call_edges(lines: DataFrame) -> DataFrame:
-    """caller, callee, line_no: calls of the model's lines whose object is named by the line's first literal."""
+def called_name() -> Column:
+    """The object that a line calls: its first literal."""
     named = F.get(F.filter("tokens", lambda t: t["kind"] == "string"), F.lit(0))["text"]
-    calls = F.exists(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (F.get("tokens", i)["kind"] == "ident") & F.lower(F.get("tokens", i)["text"]).isin("call", "udp") & (F.coalesce(F.get("tokens", i + 1)["text"], F.lit("")) == "("))
-    rows = lines.where(calls).select(F.lower("object_key").alias("caller"), F.lower(trim(literal_value(named))).alias("callee"), "line_no")
+    return F.lower(trim(literal_value(named)))
+
+
+def calls_object(tokens: Column) -> Column:
+    """Whether a line calls an object by a call that lies in no other: one fold over its tokens, which holds the depth and that of the call it is in."""
+    pairs = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.struct(a["kind"].alias("kind"), F.lower(a["text"]).alias("text"), F.coalesce((b["kind"] == "punct") & (b["text"] == "("), F.lit(False)).alias("opens")))
+
+    def fold(s: Column, t: Column) -> Column:
+        mark = t["kind"] == "punct"
+        depth = s["depth"] + F.when(mark & (t["text"] == "("), 1).when(mark & (t["text"] == ")"), -1).otherwise(0)
+        begins = (s["outer"] == NONE) & (t["kind"] == "ident") & t["opens"]
+        ends = mark & (t["text"] == ")") & (depth == s["outer"])
+        outer = F.when(begins, s["depth"]).when(ends, NONE).otherwise(s["outer"])
+        return F.struct(depth.alias("depth"), outer.alias("outer"), (s["found"] | (begins & t["text"].isin("call", "udp"))).alias("found"))
+
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("depth"), F.lit(NONE).alias("outer"), F.lit(False).alias("found")), fold, lambda s: s["found"])
+
+
+def call_edges(objects: DataFrame) -> DataFrame:
+    """caller, callee, line_no: lines that call an object. Lines without a calling word are left out before they are read as tokens."""
+    lines = objects.select("object_key", F.posexplode(F.split("text", "\n", -1)).alias("at", "l"))
+    lines = lines.where(F.lower("l").rlike("call|udp")).select("object_key", (F.col("at") + 1).alias("line_no"), semantics.line_tokens(F.col("l")).alias("tokens"))
+    rows = lines.where(calls_object(F.col("tokens"))).select(F.lower("object_key").alias("caller"), called_name().alias("callee"), "line_no")
     return rows.where("callee <> ''")
 
 
@@ -69,197 +103,193 @@ def frontier(deps: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def dependents(deps: DataFrame, changed: list[str]) -> DataFrame:
-    """The changed objects and all that call them, directly or not: a semi-naive loop over reversed edges."""
-    spark = deps.sparkSession
-    new = spark.createDataFrame([(c.lower(),) for c in sorted(set(changed))], "object_key string")
-    seen = new
+    """object_key: the changed objects and all that call them, directly or not."""
+    starts = deps.sparkSession.createDataFrame([(c.lower(),) for c in sorted(set(changed))], "node string")
+    found = graph.reachable(deps.select(F.col("callee").alias("a"), F.col("caller").alias("b")), starts)
+    return found.select(F.col("node").alias("object_key"))
+
+
+def components(deps: DataFrame, objects: DataFrame) -> DataFrame:
+    """object_key, component: objects that call each other, directly or not, share one."""
+    found = graph.strong_components(objects.select(F.lower("object_key").alias("node")), deps.select(F.col("caller").alias("a"), F.col("callee").alias("b")))
+    return found.select(F.col("node").alias("object_key"), "component")
+
+
+def inputs(objects: DataFrame, limits: Limits, cover: Coverage) -> DataFrame:
+    """object_key (lower case), ord, text of the objects within the limits: of one name the last in order."""
+    rows = objects.select(F.lower(F.col("object_key").cast("string")).alias("object_key"), F.col("ord").cast("long").alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
+    if limits.bytes is not None and limits.objects is None:
+        raise ValueError("a limit of bytes needs one of objects")
+    if limits.objects is not None:
+        count = rows.count()
+        if count > limits.objects:
+            cover.cut(f"proyecto truncado: {count} objetos > máximo {limits.objects}")
+        rows = rows.orderBy("ord").limit(limits.objects)
+    if limits.bytes is not None:
+        total = F.sum(F.octet_length("text")).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("total", total)
+        most = rows.agg(F.max("total")).first()[0] or 0
+        if most > limits.bytes:
+            cover.cut(f"proyecto truncado: {most} bytes > máximo {limits.bytes}")
+        rows = rows.where(F.col("total") <= limits.bytes).drop("total")
+    return rows.groupBy("object_key").agg(F.max_by(F.struct("ord", "text"), "ord").alias("o")).select("object_key", "o.ord", "o.text")
+
+
+def object_calls(model: taint.Model) -> DataFrame:
+    """object_key, line_no, pos, callee, args: calls of other objects."""
+    named = model.lines.where("tokens is not null").select("object_key", "line_no", called_name().alias("callee")).where("callee <> ''")
+    rows = model.calls.where(F.col("method").isin("call", "udp")).join(named, ["object_key", "line_no"])
+    return rows.select("object_key", "line_no", "pos", "callee", F.col("variables").alias("args"))
+
+
+@dataclass
+class Project:
+    """The relations that flows between objects are found in."""
+
+    model: taint.Model
+    #: object_key, line_no, pos, callee, args: calls of objects that are there
+    calls: DataFrame
+    #: object_key, seed; object_key, seed, name, time
+    groups: DataFrame
+    reached: DataFrame
+    #: object_key, param_idx, seed, line_no, sink, k: sinks that an input parameter reaches
+    param_sinks: DataFrame
+    #: object_key, from_param, to_param: output parameters that an input parameter reaches
+    param_outs: DataFrame
+
+
+def summarize(objects: DataFrame) -> Project:
+    """Summaries of all objects (object_key, text), each seed followed inside its object."""
+    model = taint.build(objects)
+    keep = model.rounds.keep
+    calls = keep(object_calls(model).join(objects.select(F.col("object_key").alias("callee")), "callee", "left_semi"))
+    returned = calls.join(model.parameters.where("direction in ('Out', 'InOut')").select(F.col("object_key").alias("callee"), "param_idx"), "callee")
+    returned = returned.select("object_key", F.get("args", F.col("param_idx")).alias("seed")).where("seed is not null")
+    none = objects.select("object_key", F.lit("").alias("seed"))
+    groups = keep(none.union(model.parameters.select("object_key", F.col("name").alias("seed"))).union(returned).distinct())
+    seeds = groups.where("seed <> ''").select("object_key", "seed", F.col("seed").alias("name"))
+    reached = taint.reach(model, seeds, groups)
+    takes = model.parameters.where(F.col("direction").isin("In", "InOut") & (F.col("param_idx") < FLOW_PARAMS)).join(model.complete, "object_key", "left_semi")
+    takes = keep(takes.select("object_key", "param_idx", F.col("name").alias("seed")))
+    found = keep(taint.sinks(model, reached).join(takes, ["object_key", "seed"]).select("object_key", "param_idx", "seed", "line_no", "sink", "k"))
+    gives = model.parameters.where("direction in ('Out', 'InOut')").select("object_key", F.col("param_idx").alias("to_param"), "name")
+    outs = takes.join(reached.select("object_key", "seed", "name"), ["object_key", "seed"]).join(gives, ["object_key", "name"])
+    return Project(model, calls, groups, reached, found, keep(outs.select("object_key", F.col("param_idx").alias("from_param"), "to_param")))
+
+
+def seed_edges(p: Project) -> DataFrame:
+    """object_key, seed, to_object, to_seed, line_no, pos, i, j, arg: where a seed leads between objects; j is null for the way into the callee."""
+    passed = p.calls.select("object_key", "line_no", "pos", "callee", "args", F.posexplode("args").alias("i", "arg"))
+    met = passed.join(p.reached.select("object_key", "seed", F.col("name").alias("arg")), ["object_key", "arg"])
+    params = p.model.parameters.select(F.col("object_key").alias("callee"), F.col("param_idx").alias("i"), F.col("name").alias("to_seed"))
+    into = met.join(params, ["callee", "i"]).select("object_key", "seed", F.col("callee").alias("to_object"), "to_seed", "line_no", "pos", "i", F.lit(None).cast("int").alias("j"), "arg", "callee")
+    outs = p.param_outs.select(F.col("object_key").alias("callee"), F.col("from_param").alias("i"), F.col("to_param").alias("j"))
+    back = met.join(outs, ["callee", "i"]).withColumn("to_seed", F.get("args", F.col("j"))).where("to_seed is not null")
+    return into.union(back.select("object_key", "seed", F.col("object_key").alias("to_object"), "to_seed", "line_no", "pos", "i", "j", "arg", "callee"))
+
+
+def _longer(path: Column, *steps: Column) -> Column:
+    """A trace with further steps, as far as it may grow."""
+    for s in steps:
+        path = F.when(F.size(path) < TRACE, F.concat(path, F.array(s))).otherwise(path)
+    return path
+
+
+def _whole(base: Column, trace: Column) -> Column:
+    """The trace of a variable behind that of its seed, whose place its first step holds (none: the way begins in the object itself)."""
+    rest = F.when(F.get(trace, F.lit(0))["kind"] == "seed", F.concat(base, F.slice(trace, 2, TRACE))).otherwise(trace)
+    return F.slice(rest, 1, TRACE)
+
+
+def active_seeds(p: Project, starts: DataFrame, paths: DataFrame) -> tuple[DataFrame, int]:
+    """object_key, seed, level, base: seeds that outside values come to, in which round and by which trace; and the number of rounds.
+
+    starts: object_key, seed, base of the first round; paths: object_key, seed, name, trace within objects.
+    """
+    keep = p.model.rounds.keep
+    edges = keep(seed_edges(p))
+    steps = paths.select("object_key", "seed", F.col("name").alias("arg"), "trace")
+    seen = new = keep(starts.select("object_key", "seed", F.lit(1).alias("level"), "base"))
+    level = 1
     while not new.isEmpty():
-        callers = deps.join(new.withColumnRenamed("object_key", "callee"), "callee", "left_semi").select(F.col("caller").alias("object_key")).distinct()
-        new = held(callers.join(seen, "object_key", "left_anti"))
-        seen = held(seen.union(new))
-    return seen
-
-
-def held(df: DataFrame) -> DataFrame:
-    """Cut the lineage: in the cluster's checkpoint folder where one is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lintel-')}")
-    return df.checkpoint(True)
-
-
-def components(nodes: list[str], edges: dict[str, list[str]]) -> int:
-    """How many strongly connected components: two depth-first searches, the second on reversed edges."""
-    order, seen = [], set()
-    for root in nodes:
-        stack = [(root, iter(edges.get(root, ())))] if root not in seen else []
-        seen.add(root)
-        while stack:
-            node, rest = stack[-1]
-            for x in rest:
-                if x not in seen:
-                    seen.add(x)
-                    stack.append((x, iter(edges.get(x, ()))))
-                    break
-            else:
-                order.append(node)
-                stack.pop()
-    back: dict[str, list[str]] = {}
-    for a, bs in edges.items():
-        for b in bs:
-            back.setdefault(b, []).append(a)
-    found, done = 0, set()
-    for root in reversed(order):
-        if root in done:
-            continue
-        found += 1
-        todo = [root]
-        done.add(root)
-        while todo:
-            for x in back.get(todo.pop(), ()):
-                if x not in done:
-                    done.add(x)
-                    todo.append(x)
-    return found
-
-
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text in batch.column("text").to_pylist():
-            p = Program(text or "")
-            sinks, outs = p.flows()
-            calls = p.object_calls()
-            rows.append((sorted({c[0] for c in calls}), [{"callee": c, "line": n, "args": v} for c, n, v in calls], [{"name": n, "direction": d} for n, d in p.params], [{"param": a, "line": b, "cwe": c, "name": d} for a, b, c, d in sinks], [{"a": a, "b": b} for a, b in outs]))
-        s, i = pa.string(), pa.int32()
-        kinds = [pa.list_(s), pa.list_(pa.struct([("callee", s), ("line", i), ("args", pa.list_(s))])), pa.list_(pa.struct([("name", s), ("direction", s)])), pa.list_(pa.struct([("param", i), ("line", i), ("cwe", i), ("name", s)])), pa.list_(pa.struct([("a", i), ("b", i)]))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds))], ["object_key", "ord", "text", "dependencies", "calls", "params", "sinks", "outs"])
-
-
-def summaries(objects: DataFrame) -> DataFrame:
-    """object_key, ord, text, dependencies, calls, params, sinks, outs of each object (object_key, ord, text)."""
-    schema = "object_key string, ord long, text string, dependencies array<string>, calls array<struct<callee: string, line: int, args: array<string>>>, params array<struct<name: string, direction: string>>, sinks array<struct<param: int, line: int, cwe: int, name: string>>, outs array<struct<a: int, b: int>>"
-    return objects.select(F.col("object_key").cast("string").alias("object_key"), F.col("ord").cast("long").alias("ord"), "text").mapInArrow(_summaries, schema)
-
-
-def bounded(objects: DataFrame, limits: Limits) -> DataFrame:
-    """The first objects in order, up to the limits of count and bytes."""
-    if limits.objects >= WHOLE.objects and limits.bytes >= WHOLE.bytes:
-        return objects
-    first = objects.orderBy("ord").limit(limits.objects)
-    total = F.sum(F.octet_length("text")).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    return first.withColumn("total", total).where(F.col("total") <= limits.bytes).drop("total")
-
-
-def analyze(objects: DataFrame, limits: Limits | None = None, changed: list[str] | None = None) -> tuple[DataFrame, Coverage]:
-    """GX.SEC.3: findings of objects (object_key, ord, text), and what was covered."""
-    limits = limits or Limits()
-    spark: SparkSession = objects.sparkSession
-    cover = Coverage()
-    count = objects.count()
-    if count > limits.objects:
-        cover.truncated = True
-        cover.reasons.append(f"proyecto truncado: {count} objetos > máximo {limits.objects}")
-    nodes: dict[str, object] = {}
-    order: list[str] = []
-    for r in summaries(bounded(objects, limits)).orderBy("ord").toLocalIterator():
-        name = r["object_key"].lower()
-        order.append(name)
-        nodes[name] = r  # a later object of one name takes the place of the earlier
-    cover.objects = len(order)
-    edges: dict[str, list[str]] = {}
-    for name in order:
-        for d in nodes[name]["dependencies"]:
-            if d in nodes:
-                if cover.edges >= limits.edges:
-                    cover.truncated = True
-                    break
-                edges.setdefault(name, []).append(d)
-                cover.edges += 1
-    cover.sccs = components(order, edges)
-    incoming = {d for ds in edges.values() for d in ds}
-    back: dict[str, set[str]] = {}
-    for a, ds in edges.items():
-        for d in ds:
-            back.setdefault(d, set()).add(a)
-    queue = deque(order)
-    if changed is not None:
-        todo, seen = [c.lower() for c in changed], {c.lower() for c in changed}
-        while todo:
-            for a in back.get(todo.pop(), ()):
-                if a not in seen:
-                    seen.add(a)
-                    todo.append(a)
-        queue = deque(sorted(seen))
-    entered: dict[str, set[int]] = {}
-    returned: dict[str, dict[str, list[Step]]] = {}
-    found: list[tuple] = []
-    programs: dict[str, Program] = {}
-
-    def add(name, line, cwe, sink, confidence, description, trace) -> bool:
-        if len(found) >= limits.findings:
-            cover.truncated = True
-            cover.reasons.append(f"hallazgos > máximo {limits.findings}")
-            return False
-        raw = (nodes[name]["text"] or "").split("\n")
-        found.append((name, line, cwe, sink, confidence, description, trace, raw[line - 1].rstrip("\r") if line <= len(raw) else ""))
-        return True
-
-    room = True
-    while queue and room:
-        if cover.iterations >= limits.iterations:
-            cover.truncated = True
-            cover.reasons.append(f"punto fijo no alcanzado: iteraciones > máximo {limits.iterations}")
-            break
-        name = queue.popleft()
-        node = nodes.get(name)
-        if node is None:
-            continue
-        cover.iterations += 1
-        program = programs.setdefault(name, Program(node["text"] or ""))
-        paths = {k: list(v) for k, v in returned.get(name, {}).items()}
-        if name not in incoming:
-            for p in node["params"]:
-                if p["direction"] in ("In", "InOut"):
-                    paths.setdefault(p["name"], [Step("source", 1, f"parm entrada {p['name']} (frontera del proyecto)")])
-        for i in sorted(entered.get(name, ())):
-            if i < len(node["params"]):
-                p = node["params"][i]["name"]
-                paths.setdefault(p, [Step("source", 1, f"parm entrada {p} (llamador)")])
-        reached, _ = program.propagate(paths)
-        for s in program.sinks(reached):
-            room = room and add(name, s.line, s.cwe, s.name, s.confidence, s.description, s.trace)
-        for call in node["calls"]:
-            callee = nodes.get(call["callee"])
-            if callee is None or not room:
-                continue
-            for i, arg in enumerate(call["args"]):
-                if arg not in reached:
-                    continue
-                path = list(reached[arg])
-                if len(path) < limits.trace:
-                    path.append(Step("call", call["line"], f"call('{call['callee']}')"))
-                if i not in entered.setdefault(call["callee"], set()):
-                    entered[call["callee"]].add(i)
-                    queue.append(call["callee"])
-                for s in callee["sinks"]:
-                    if s["param"] == i:
-                        trace = path + ([Step("sink", s["line"], f"{s['name']}()")] if len(path) < limits.trace else [])
-                        text = f"Posible {s['name'].replace('_', ' ')} (CWE-{s['cwe']}): '{arg}' llega al parámetro {i} de '{call['callee']}' desde '{name}'."
-                        room = room and add(call["callee"], s["line"], s["cwe"], s["name"], "medium", text, trace)
-                for o in callee["outs"]:
-                    if o["a"] == i and o["b"] < len(call["args"]):
-                        back_to = call["args"][o["b"]]
-                        mine = returned.setdefault(name, {})
-                        if back_to not in mine:
-                            mine[back_to] = path + ([Step("propagate", call["line"], f"{back_to} ← out de '{call['callee']}'")] if len(path) < limits.trace else [])
-                            queue.append(name)
-    found.sort(key=lambda f: f[:3])
-    rule, rows = BY_ID["GX.SEC.3"], []
-    for f in found:
-        if rows and (rows[-1][0], rows[-1][3], rows[-1][12]) == (f[0], f[1], f[3]):
-            continue
-        rows.append((f[0], rule.id, rule.severity, f[1], f[5], f[7], 5, f[1], ORDER[rule.id], len(rows), f[2], f[4], f[3], _steps(f[6]), 0))
-    return spark.createDataFrame([(*r[:13], [(s["kind"], s["line"], s["detail"]) for s in r[13]], r[14]) for r in rows], TRACED.format(key="string")), cover
+        level += 1
+        ways = new.drop("level").join(edges, ["object_key", "seed"]).join(seen.select(F.col("object_key").alias("to_object"), F.col("seed").alias("to_seed")), ["to_object", "to_seed"], "left_anti")
+        ways = ways.join(steps, ["object_key", "seed", "arg"])
+        entered = F.array(step("source", F.lit(1), F.format_string("parm entrada %s (llamador)", "to_seed")))
+        call = step("call", F.col("line_no"), F.format_string("call('%s')", "callee"))
+        back = step("propagate", F.col("line_no"), F.format_string("%s ← out de '%s'", "to_seed", "callee"))
+        base = F.when(F.col("j").isNull(), entered).otherwise(_longer(_whole(F.col("base"), F.col("trace")), call, back))
+        # A returned value has a way that tells more than that the parameter was passed, so it goes first.
+        first = F.struct(F.col("j").isNull(), "line_no", "pos", "i", "j", "object_key", "seed")
+        new = keep(ways.groupBy("to_object", "to_seed").agg(F.min_by(base, first).alias("base")).select(F.col("to_object").alias("object_key"), F.col("to_seed").alias("seed"), F.lit(level).alias("level"), "base"))
+        seen = seen.union(new)
+    return seen, level - 1
+
+
+def analyze(objects: DataFrame, limits: Limits | None = None, with_components: bool = True) -> tuple[DataFrame, Coverage]:
+    """GX.SEC.3: findings of objects (object_key, ord, text), and what was covered; with_components: count the strongly connected ones too."""
+    limits, cover = limits or Limits(), Coverage()
+    rounds = Rounds(objects.sparkSession, "project")
+    rows = rounds.keep(inputs(objects, limits, cover))
+    cover.objects = rows.count()
+    p = summarize(rows.select("object_key", "text"))
+    deps = p.calls.select(F.col("object_key").alias("caller"), "callee").distinct()
+    if limits.edges is not None:
+        count = deps.count()
+        if count > limits.edges:
+            cover.cut(f"proyecto truncado: aristas > máximo {limits.edges}")
+            deps = rows.select(F.col("object_key").alias("caller"), "ord").join(deps, "caller").orderBy("ord", "callee").limit(limits.edges).select("caller", "callee")
+    deps = rounds.keep(deps)
+    cover.edges = deps.count()
+    if with_components:
+        cover.sccs = components(deps, rows).select("component").distinct().count()
+    place = F.array(step("seed", F.lit(0), F.lit("")))
+    paths = rounds.keep(taint.traces(p.model, p.reached, p.groups.where("seed <> ''").select("object_key", "seed", F.col("seed").alias("name"), place.alias("trace"))))
+    outer = p.model.parameters.where("direction in ('In', 'InOut')").select("object_key", F.col("name").alias("seed")).distinct().join(frontier(deps, rows), "object_key", "left_semi")
+    outer = outer.select("object_key", "seed", F.array(step("source", F.lit(1), F.format_string("parm entrada %s (frontera del proyecto)", "seed"))).alias("base"))
+    every = rows.select("object_key", F.lit("").alias("seed"), F.array().cast(f"array<{taint.STEP}>").alias("base"))
+    active, cover.rounds = active_seeds(p, outer.union(every), paths)
+    active = rounds.keep(active.join(rows.select("object_key", "ord"), "object_key"))
+    found = rounds.keep(_first(_inside(p, active, paths).unionByName(_through(p, active, paths))))
+    if limits.findings is not None and found.count() > limits.findings:
+        cover.cut(f"hallazgos > máximo {limits.findings}")
+        found = found.orderBy("object_key", "line_no", "cwe").limit(limits.findings)
+    return _issues(found, rows), cover
+
+
+def _inside(p: Project, active: DataFrame, paths: DataFrame) -> DataFrame:
+    """Sinks in the objects themselves that active seeds reach."""
+    found = taint.sinks(p.model, p.reached).join(active, ["object_key", "seed"])
+    found = found.join(paths.select("object_key", "seed", F.col("name").alias("source"), "trace"), ["object_key", "seed", "source"])
+    found = taint.told(found.withColumn("trace", _whole(F.col("base"), F.col("trace"))))
+    nothing = F.lit(0)
+    key = F.struct("level", "ord", nothing.alias("kind"), "line_no", "pos", "i", nothing.alias("k"), "source", "seed")
+    return found.select("object_key", "line_no", "sink", "cwe", "confidence", "description", "trace", key.alias("key"))
+
+
+def _through(p: Project, active: DataFrame, paths: DataFrame) -> DataFrame:
+    """Sinks in called objects that arguments reach by the callee's summary, told from the caller."""
+    passed = p.calls.select("object_key", F.col("line_no").alias("at"), "pos", "callee", F.posexplode("args").alias("i", "arg"))
+    found = passed.join(paths.select("object_key", "seed", F.col("name").alias("arg"), "trace"), ["object_key", "arg"]).join(active, ["object_key", "seed"])
+    into = p.param_sinks.select(F.col("object_key").alias("callee"), F.col("param_idx").alias("i"), "line_no", "sink", "k")
+    found = found.join(into, ["callee", "i"]).withColumn("cwe", weakness(F.col("sink")))
+    call = step("call", F.col("at"), F.format_string("call('%s')", "callee"))
+    trace = _longer(_whole(F.col("base"), F.col("trace")), call, step("sink", F.col("line_no"), F.concat("sink", F.lit("()"))))
+    said = F.format_string("Posible %s (CWE-%d): '%s' llega al parámetro %d de '%s' desde '%s'.", F.replace("sink", F.lit("_"), F.lit(" ")), "cwe", "arg", "i", "callee", "object_key")
+    key = F.struct("level", "ord", F.lit(1).alias("kind"), F.col("at").alias("line_no"), "pos", "i", F.col("k").cast("int").alias("k"), F.col("arg").alias("source"), "seed")
+    return found.select(F.col("callee").alias("object_key"), "line_no", "sink", "cwe", F.lit("medium").alias("confidence"), said.alias("description"), trace.alias("trace"), key.alias("key"))
+
+
+def _first(found: DataFrame) -> DataFrame:
+    """Of each object, line and class what was found first."""
+    return found.groupBy("object_key", "line_no", "sink").agg(F.min_by(F.struct("cwe", "confidence", "description", "trace"), "key").alias("f")).select("object_key", "line_no", "sink", "f.*")
+
+
+def _issues(found: DataFrame, objects: DataFrame) -> DataFrame:
+    rule = BY_ID["GX.SEC.3"]
+    rows = taint.with_content(found, objects).withColumn("sub_idx", F.row_number().over(Window.partitionBy("object_key").orderBy("line_no", "cwe")) - 1)
+    line = F.col("line_no").cast("int")
+    return rows.select(
+        "object_key", F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), line.alias("line_number"), "description", "line_content", F.lit(5).alias("phase"), line.alias("emit_line"),
+        F.lit(ORDER[rule.id]).alias("rule_ord"), F.col("sub_idx").cast("int").alias("sub_idx"), "cwe", "confidence", F.col("sink").alias("sink_class"), "trace", F.lit(0).alias("unsupported"),
+    )

@@ -63,12 +63,17 @@ def statement(tokens: Column) -> Column:
     )
 
 
+def line_tokens(raw: Column) -> Column:
+    """The tokens (kind, text) of a line, without its comments."""
+    found = F.regexp_extract_all(F.regexp_replace(raw, KEPT_LITERAL_OR_COMMENT, "$1"), F.lit(TOKEN), 0)
+    return F.transform(found, lambda t: F.struct(kind(t).alias("kind"), t.alias("text")))
+
+
 def model(objects: DataFrame) -> DataFrame:
     """object_key, line_no, raw, tokens (kind, text), statement: the lines that have tokens."""
     rows = objects.select("object_key", F.posexplode(F.split("text", "\n", -1)).alias("at", "l"))
     rows = rows.select("object_key", (F.col("at") + 1).alias("line_no"), F.regexp_replace("l", r"\r+\z", "").alias("raw"))
-    found = F.regexp_extract_all(F.regexp_replace("raw", KEPT_LITERAL_OR_COMMENT, "$1"), F.lit(TOKEN), 0)
-    rows = rows.withColumn("tokens", F.transform(found, lambda t: F.struct(kind(t).alias("kind"), t.alias("text")))).where(F.size("tokens") > 0)
+    rows = rows.withColumn("tokens", line_tokens(F.col("raw"))).where(F.size("tokens") > 0)
     return rows.withColumn("statement", statement(F.col("tokens")))
 
 

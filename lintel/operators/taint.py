@@ -1,328 +1,224 @@
-"""Flows of outside values inside one object.
-
-What depends on the order of statements within a pass (at most four passes see
-each other's updates as they go, and a trace is that of the first arrival) is no
-relational closure, so each object is one row of an Arrow batch and is worked on
-where it lies: nothing is shuffled, and memory depends on the largest object.
+"""Flows of outside values inside objects, as joins.
+
+An object is read in passes, four at most, from its first line to its last; an
+assignment hands on what reaches it.  The time at which a value reaches a variable is
+pass * 2^32 + line, and an edge (line, read, target) takes a time to the next time at
+which that line is read.  Earliest times are a fixpoint of joins over changed states
+only; they say which variables are reached, in which order, and which reads had been
+reached when a variable was: of these the one with the shortest trace, then the
+smallest name, is its parent.  Traces are built from parents in as many rounds as the
+longest chain has steps.
+
+States are (object_key, seed, name): all values that a seed stands for are followed
+together, all seeds of all objects in the same joins.  Memory depends on no object's
+size but for a line's calls.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+from ..functions.lexical import let
 from ..plans.catalog import BY_ID, MESSAGES, ORDER
-from .language import BLOCKS, KEYWORDS
+from ..sources.rounds import Rounds
+from . import semantics
+from .calls import calls_in_lines, has_call, sink_class, weakness
 
 PASSES, TRACE, FINDINGS, FLOW_PARAMS = 4, 8, 32, 32
-#: Where outside values come from, what hands them on unchanged, and what tells a sink.
+#: Where outside values come from, and what hands them on unchanged.
 SOURCES = ("getcookie", "getparameter", "getvariable", "getremoteaddress", "gethostname", "getenvironmentvariable")
 CONTAINERS = ("&httprequest", "&websession", "&httpcontext")
 NEUTRAL = ("trim", "tostring", "tolower", "toupper", "lower", "upper", "concat", "format", "str", "string", "strcat", "substring", "replace", "length", "len", "iif")
-SQL_NAMES = ("sql", "query", "consulta", "sentencia", "select")
-SQL_WORDS = ("select ", "insert ", "update ", "delete ", "where ")
-SQL_METHODS = ("execute", "executedirect", "executequery", "executescalar", "load")
-COMMAND_NAMES = ("cmd", "command", "comando", "shell", "os", "exec")
-COMMAND_METHODS = ("execute", "shell", "run", "system", "cmd", "exec")
-OUTPUT_NAMES = ("httpresponse", "webresponse", "response", "html")
-PATH_NAMES = ("file", "archivo", "path", "ruta", "directory", "carpeta", "folder")
-PATH_METHODS = ("open", "create", "delete", "rename", "readline", "writeline", "read", "write", "copy", "move")
 
-_STRIP = re.compile(r"""('(?:[^']|'')*(?:'|\Z)|"(?:[^"]|"")*(?:"|\Z))|//.*\Z|/\*.*?(?:\*/|\Z)""", re.S)
-_TOKEN = re.compile(r"""(?P<variable>&\w*)|(?P<string>'(?:[^']|'')*(?:'|\Z)|"(?:[^"]|"")*(?:"|\Z))|(?P<number>[0-9][0-9.]*)|(?P<word>[^\W\d]\w*)|(?P<operator>[<>=!][=>]?|[-+*/])|(?P<punct>\S)""", re.S)
+#: A pass in times, the time of what is reached from the start, and the first that is too late.
+PASS = 1 << 32
+START, LATE = PASS, (PASSES + 1) * PASS
+STEP = "struct<kind: string, line: int, detail: string>"
+STATE = ("object_key", "seed", "name")
 
 
-@dataclass(frozen=True)
-class Step:
-    kind: str
-    line: int
-    detail: str
+def step(kind: str, line: Column, detail: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), line.cast("int").alias("line"), detail.alias("detail"))
 
 
 @dataclass
-class Call:
-    line: int
-    receiver: str | None
-    method: str
-    variables: list[str] = field(default_factory=list)
-    strings: list[str] = field(default_factory=list)
-    inner: list[str] = field(default_factory=list)
+class Model:
+    """The relations of objects that flows are found in."""
+
+    #: object_key, line_no, statement, variables (lower case), and tokens of lines with calls or parameters
+    lines: DataFrame
+    #: object_key, line_no, pos, receiver, method, variables, strings, inner
+    calls: DataFrame
+    #: object_key, param_idx, name, direction, line_no (of the declaration)
+    parameters: DataFrame
+    #: object_key of objects whose blocks are closed as they were opened
+    complete: DataFrame
+    #: object_key, line_no, target, reads, source (the outside function that it calls), unknown (the first call that nothing is known of)
+    assignments: DataFrame
+    rounds: Rounds
+
+
+def build(objects: DataFrame) -> Model:
+    """Everything is derived from one pass over the objects' lines, which is kept without their texts."""
+    rounds = Rounds(objects.sparkSession, "flows")
+    found = semantics.model(objects)
+    asked = has_call(F.col("tokens")) | (F.col("statement") == "Parm")
+    variables = F.transform(F.filter("tokens", lambda t: t["kind"] == "variable"), lambda t: F.lower(t["text"]))
+    lines = rounds.keep(found.select("object_key", "line_no", "statement", variables.alias("variables"), F.when(asked, F.col("tokens")).alias("tokens")))
+    calls = rounds.keep(calls_in_lines(lines.where("tokens is not null")))
+    declared = lines.where("statement = 'Parm'").select("object_key", "line_no", F.explode("variables").alias("name")).groupBy("object_key", "name").agg(F.min("line_no").alias("line_no"))
+    parameters = rounds.keep(semantics.parameters(lines).join(declared, ["object_key", "name"]).select("object_key", "param_idx", "name", "direction", "line_no"))
+    complete = rounds.keep(semantics.coverage(lines).where("complete").select("object_key"))
+    return Model(lines, calls, parameters, complete, rounds.keep(_assignments(lines, calls)), rounds)
+
+
+def _assignments(lines: DataFrame, calls: DataFrame) -> DataFrame:
+    ordered = calls.groupBy("object_key", "line_no").agg(F.array_sort(F.collect_list(F.struct("pos", "method", "inner"))).alias("c"))
+    outer, inner = F.col("c.method"), F.flatten("c.inner")
+    source = F.get(F.filter(outer, lambda m: m.isin(*SOURCES)), F.lit(0))
+    unknown = F.get(F.filter(F.concat(outer, inner), lambda m: ~m.isin(*NEUTRAL)), F.lit(0))
+    target = F.get("variables", F.lit(0))
+    reads = F.array_distinct(F.filter(F.slice("variables", 2, F.greatest(F.size("variables"), F.lit(1))), lambda n: n != target))
+    rows = lines.where("statement = 'Assignment'").select("object_key", "line_no", target.alias("target"), reads.alias("reads"))
+    return rows.join(ordered.select("object_key", "line_no", source.alias("source"), unknown.alias("unknown")), ["object_key", "line_no"], "left")
+
+
+def next_time(time: Column, line: Column) -> Column:
+    """When a line is read next after a time."""
+    at = time % PASS
+    return time - at + line + F.when(line > at, 0).otherwise(PASS)
+
+
+def reach(model: Model, seeds: DataFrame, groups: DataFrame) -> DataFrame:
+    """object_key, seed, name, time: all variables that are reached, at their earliest times.
+
+    seeds: object_key, seed, name; groups: object_key, seed (functions that return outside
+    values are sources in each group, even one without seeds).
+    """
+    hands_on = model.assignments.where("source is null").select("object_key", "line_no", "target", F.explode("reads").alias("name"))
+    called = model.assignments.where("source is not null").join(groups, "object_key").select("object_key", "seed", F.col("target").alias("name"), (F.lit(START) + F.col("line_no")).alias("time"))
+    starts = seeds.select(*STATE, F.lit(START).alias("time")).union(called.select(*STATE, "time"))
+    reached = new = model.rounds.keep(starts.groupBy(*STATE).agg(F.min("time").alias("time")))
+    while not new.isEmpty():
+        came = new.join(hands_on, ["object_key", "name"]).select("object_key", "seed", F.col("target").alias("name"), next_time(F.col("time"), F.col("line_no")).alias("time"))
+        came = came.where(F.col("time") < LATE).groupBy(*STATE).agg(F.min("time").alias("time"))
+        known = reached.withColumnRenamed("time", "known")
+        new = model.rounds.keep(came.join(known, list(STATE), "left").where("known is null or time < known").drop("known"))
+        if not new.isEmpty():
+            reached = model.rounds.keep(reached.join(new, list(STATE), "left_anti").select(*STATE, "time").union(new.select(*STATE, "time")))
+    return reached
+
+
+def traces(model: Model, reached: DataFrame, seeds: DataFrame) -> DataFrame:
+    """object_key, seed, name, time, trace: how each variable was reached; seeds: object_key, seed, name, trace of what is reached from the start."""
+    there = model.rounds.keep(reached.withColumn("line_no", (F.col("time") % PASS).cast("int")).join(model.assignments.withColumnRenamed("target", "name"), ["object_key", "line_no", "name"], "left"))
+    called = there.where("source is not null").select(*STATE, "time", F.array(step("source", F.col("line_no"), F.concat("source", F.lit("()")))).alias("trace"))
+    began = there.where(F.col("line_no") == 0).join(seeds, list(STATE)).select(*STATE, "time", "trace")
+    done = new = model.rounds.keep(began.union(called))
+    waits = there.where("source is null and line_no > 0").select(*STATE, "time", "line_no", "unknown", F.explode("reads").alias("read"))
+    before = reached.select("object_key", "seed", F.col("name").alias("read"), F.col("time").alias("earlier"))
+    waits = model.rounds.keep(waits.join(before, ["object_key", "seed", "read"]).where("earlier < time").drop("earlier"))
+    while not waits.isEmpty():
+        parents = done.select("object_key", "seed", F.col("name").alias("read"), F.col("trace").alias("path"))
+        known = waits.join(parents, ["object_key", "seed", "read"], "left").groupBy(*STATE, "time", "line_no", "unknown")
+        known = known.agg(F.count("*").alias("all"), F.count("path").alias("n"), F.min_by(F.struct("path", "read"), F.struct(F.size("path"), "read")).alias("parent")).where("n = all")
+        path = F.col("parent.path")
+        strange = step("unsupported_call", F.col("line_no"), F.concat("unknown", F.lit("() sin semántica de sanitizador modelada")))
+        path = F.when(F.col("unknown").isNotNull(), F.concat(path, F.array(strange))).otherwise(path)
+        moved = step("propagate", F.col("line_no"), F.format_string("%s = ... %s ...", "name", "parent.read"))
+        new = model.rounds.keep(known.select(*STATE, "time", F.when(F.size(path) < TRACE, F.concat(path, F.array(moved))).otherwise(path).alias("trace")))
+        waits = model.rounds.keep(waits.join(new.select(*STATE), list(STATE), "left_anti").select(*STATE, "time", "line_no", "unknown", "read"))
+        done = done.union(new)
+    return done
+
+
+def unknown_calls(model: Model, reached: DataFrame) -> DataFrame:
+    """object_key, seed, line_no, method: calls that reached values pass and nothing is known of, each once."""
+    passes = model.assignments.where("source is null and unknown is not null").select("object_key", "line_no", "unknown", F.explode("reads").alias("name"))
+    met = reached.join(passes, ["object_key", "name"]).where(next_time(F.col("time"), F.col("line_no")) < LATE)
+    return met.select("object_key", "seed", "line_no", F.col("unknown").alias("method")).distinct()
+
+
+def sinks(model: Model, reached: DataFrame) -> DataFrame:
+    """object_key, seed, line_no, pos, sink, source, i, method, receiver, k: the calls that reached values go into.
+
+    Of a call the first reached argument counts, else its receiver; of a line and class the
+    first call; of an object and seed the first ``FINDINGS``, numbered by k from 0.
+    """
+    risky = model.calls.withColumn("sink", sink_class()).where("sink is not null")
+    into = risky.select("object_key", "line_no", "pos", "sink", "method", "receiver", F.posexplode(F.concat("variables", F.array("receiver"))).alias("i", "name")).where("name is not null")
+    hit = into.join(reached.select(*STATE), ["object_key", "name"])
+    first = F.row_number().over(Window.partitionBy("object_key", "seed", "line_no", "sink").orderBy("pos", "i"))
+    place = F.row_number().over(Window.partitionBy("object_key", "seed").orderBy("line_no", "pos"))
+    hit = hit.withColumn("first", first).where("first = 1").withColumn("k", place - 1).where(F.col("k") < FINDINGS)
+    return hit.select("object_key", "seed", "line_no", "pos", "sink", F.col("name").alias("source"), "i", "method", "receiver", "k")
+
+
+def told(found: DataFrame) -> DataFrame:
+    """sinks with a trace: the trace to its end, cwe, confidence and description."""
+    ends = step("sink", F.col("line_no"), F.concat(F.coalesce(F.concat("receiver", F.lit(".")), F.lit("")), F.col("method")))
+    strange = F.exists("trace", lambda s: s["kind"] == "unsupported_call")
+    whole = F.when(F.size("trace") < TRACE, F.concat("trace", F.array(ends))).otherwise(F.col("trace"))
+    rows = found.withColumns({"strange": strange, "trace": whole, "cwe": weakness(F.col("sink"))})
+    confidence = F.when(F.col("strange"), "low").when(F.size("trace") <= 2, "high").otherwise("medium")
+    said = F.format_string(MESSAGES["GX.SEC.2"], F.replace("sink", F.lit("_"), F.lit(" ")), F.col("cwe"), F.col("source"), F.col("method"))
+    return rows.withColumns({"confidence": confidence, "description": said}).drop("strange")
+
+
+def entries(model: Model) -> DataFrame:
+    """object_key, name, trace: outside values at the start of complete objects, their input parameters and request containers."""
+    params = model.parameters.where("direction in ('In', 'InOut')").select("object_key", "name", "line_no", F.lit(0).alias("late"), F.concat(F.lit("parm entrada "), "name").alias("detail"))
+    used = model.lines.select("object_key", "line_no", F.explode(F.filter("variables", lambda v: v.rlike("^(" + "|".join(CONTAINERS) + ")"))).alias("name"))
+    used = used.select("object_key", "name", "line_no", F.lit(1).alias("late"), F.lit("request/contenedor externo").alias("detail"))
+    first = params.union(used).groupBy("object_key", "name").agg(F.min(F.struct("late", "line_no", "detail")).alias("s"))
+    rows = first.join(model.complete, "object_key", "left_semi")
+    return rows.select("object_key", "name", F.array(step("source", F.col("s.line_no"), F.col("s.detail"))).alias("trace"))
 
 
 @dataclass
-class Line:
-    no: int
-    tokens: list[tuple[str, str]]
-    statement: str
-    calls: list[Call]
+class Flows:
+    """The flows of outside values inside objects."""
 
+    model: Model
+    seeds: DataFrame
+    reached: DataFrame
 
-@dataclass
-class Sink:
-    line: int
-    cwe: int
-    name: str
-    confidence: str
-    source: str
-    method: str
-    trace: list[Step]
-
-    @property
-    def description(self) -> str:
-        return MESSAGES["GX.SEC.2"] % (self.name.replace("_", " "), self.cwe, self.source, self.method)
-
-
-def tokens_of(line: str) -> list[tuple[str, str]]:
-    out = []
-    for m in _TOKEN.finditer(_STRIP.sub(lambda m: m[1] or "", line)):
-        kind = m.lastgroup
-        if kind == "word":
-            kind = "keyword" if m[0].lower() in KEYWORDS else "ident"
-        out.append((kind, m[0]))
-    return out
-
-
-def string_value(token: str) -> str:
-    quote = token[0]
-    inner = token[1:-1] if len(token) > 1 and token[-1] == quote else token[1:]
-    return inner.replace(quote * 2, quote)
-
-
-def statement_of(tokens: list[tuple[str, str]]) -> str:
-    key = [t.lower() if k == "keyword" else None for k, t in tokens[:2]] + [None, None]
-    two = {("for", "each"): "ForEach", ("else", "if"): "ElseIf", ("do", "case"): "DoCase", ("defined", "by"): "DefinedBy"}
-    one = {"endfor": "EndFor", "if": "If", "elseif": "ElseIf", "else": "Else", "endif": "EndIf", "case": "Case", "otherwise": "Otherwise", "endcase": "EndCase", "sub": "Sub", "endsub": "EndSub", "where": "Where", "order": "Order", "parm": "Parm", "do": "Call"}
-    if tuple(key[:2]) in two:
-        return two[tuple(key[:2])]
-    if key[0] in one:
-        return one[key[0]]
-    if len(tokens) > 1 and tokens[0][0] == "variable" and tokens[1] == ("operator", "="):
-        return "Assignment"
-    if len(tokens) > 1 and tokens[0][0] == "ident" and tokens[1] == ("punct", "("):
-        return "Call"
-    return "Other"
-
-
-def calls_of(tokens: list[tuple[str, str]], line: int) -> list[Call]:
-    """Calls of a line from left to right; a call inside another's parentheses belongs to that one."""
-    out, i = [], 0
-    while i < len(tokens):
-        if tokens[i][0] != "ident" or tokens[i + 1 : i + 2] != [("punct", "(")]:
-            i += 1
-            continue
-        receiver = tokens[i - 2][1].lower() if i >= 2 and tokens[i - 1][1] == "." and tokens[i - 2][0] in ("variable", "ident") else None
-        call, level, j = Call(line, receiver, tokens[i][1].lower()), 1, i + 2
-        while j < len(tokens):
-            kind, text = tokens[j]
-            level += (kind, text) == ("punct", "(")
-            level -= (kind, text) == ("punct", ")")
-            if not level:
-                break
-            if kind == "variable":
-                call.variables.append(text.lower())
-            elif kind == "string":
-                call.strings.append(string_value(text).lower())
-            elif kind == "ident" and tokens[j + 1 : j + 2] == [("punct", "(")]:
-                call.inner.append(text.lower())
-            j += 1
-        out.append(call)
-        i = j + 1
-    return out
-
-
-class Program:
-    """An object's lines, parameters and block coverage."""
-
-    def __init__(self, text: str):
-        self.raw = [line.rstrip("\r") for line in text.split("\n")]
-        self.lines: list[Line] = []
-        self.params: list[tuple[str, str]] = []
-        stack, malformed = [], 0
-        for no, raw in enumerate(self.raw, 1):
-            tokens = tokens_of(raw)
-            if not tokens:
-                continue
-            kind = statement_of(tokens)
-            self.lines.append(Line(no, tokens, kind, calls_of(tokens, no)))
-            if kind == "Parm":
-                self._parameters(tokens)
-            if kind in BLOCKS:
-                stack.append(kind)
-            elif kind in BLOCKS.values() and (not stack or BLOCKS[stack.pop()] != kind):
-                malformed += 1
-        self.complete = not stack and not malformed
-
-    def _parameters(self, tokens: list[tuple[str, str]]) -> None:
-        pending, begun = None, len(self.params)
-        for kind, text in tokens:
-            if kind == "keyword":
-                pending = {"in": "In", "out": "Out", "inout": "InOut"}.get(text.lower(), pending)
-            elif kind == "variable":
-                self.params.append((text.lower(), pending or "Unspecified"))
-                pending = None
-            elif (kind == "ident" or (kind == "punct" and text != ":")) and pending and len(self.params) > begun:
-                self.params[-1] = (self.params[-1][0], pending)
-                pending = None
-
-    def parameter_line(self, name: str) -> int:
-        return next((x.no for x in self.lines if x.statement == "Parm" and any(k == "variable" and t.lower() == name for k, t in x.tokens)), 1)
-
-    def entries(self) -> dict[str, list[Step]]:
-        """Outside values at the start: input parameters, then request containers."""
-        paths: dict[str, list[Step]] = {}
-        for name, direction in self.params:
-            if direction in ("In", "InOut"):
-                paths[name] = [Step("source", self.parameter_line(name), f"parm entrada {name}")]
-        for x in self.lines:
-            for kind, text in x.tokens:
-                if kind == "variable" and text.lower().startswith(CONTAINERS):
-                    paths.setdefault(text.lower(), [Step("source", x.no, "request/contenedor externo")])
-        return paths
-
-    def propagate(self, paths: dict[str, list[Step]]) -> tuple[dict[str, list[Step]], int]:
-        """All reached variables with the trace of their first arrival; and how many calls nothing is known of."""
-        reached, unknown_calls = dict(paths), set()
-        for _ in range(PASSES):
-            size = len(reached)
-            for x in self.lines:
-                if x.statement != "Assignment":
-                    continue
-                names = [t.lower() for k, t in x.tokens if k == "variable"]
-                target, reads = names[0], [n for n in names[1:] if n != names[0]]
-                source = next((c for c in x.calls if c.method in SOURCES), None)
-                if source is not None:
-                    reached.setdefault(target, [Step("source", x.no, f"{source.method}()")])
-                    continue
-                tainted = [n for n in reads if n in reached]
-                if not tainted:
-                    continue
-                parent = min(tainted, key=lambda n: (len(reached[n]), n))
-                path = list(reached[parent])
-                methods = [c.method for c in x.calls] + [m for c in x.calls for m in c.inner]
-                strange = next((m for m in methods if m not in NEUTRAL), None)
-                if strange is not None:
-                    unknown_calls.add((x.no, strange))
-                    path.append(Step("unsupported_call", x.no, f"{strange}() sin semántica de sanitizador modelada"))
-                if len(path) < TRACE:
-                    path.append(Step("propagate", x.no, f"{target} = ... {parent} ..."))
-                reached.setdefault(target, path)
-            if len(reached) == size:
-                break
-        return reached, len(unknown_calls)
-
-    def sinks(self, reached: dict[str, list[Step]]) -> list[Sink]:
-        out, seen = [], set()
-        for x in self.lines:
-            for c in x.calls:
-                found = classify(c)
-                if found is None:
-                    continue
-                source = next((v for v in c.variables if v in reached), c.receiver if c.receiver in reached else None)
-                if source is None or (x.no, found[0]) in seen:
-                    continue
-                seen.add((x.no, found[0]))
-                trace = list(reached[source])
-                strange = any(s.kind == "unsupported_call" for s in trace)
-                if len(trace) < TRACE:
-                    trace.append(Step("sink", x.no, f"{c.receiver}.{c.method}" if c.receiver else c.method))
-                out.append(Sink(x.no, found[1], found[0], "low" if strange else "high" if len(trace) <= 2 else "medium", source, c.method, trace))
-                if len(out) >= FINDINGS:
-                    return out
-        return out
-
-    def flows(self) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int]]]:
-        """Per input parameter: sinks (parameter, line, cwe, name) and output parameters (from, to) that it reaches."""
-        sinks, outs = [], []
-        if self.complete:
-            for i, (name, direction) in enumerate(self.params[:FLOW_PARAMS]):
-                if direction not in ("In", "InOut"):
-                    continue
-                reached, _ = self.propagate({name: [Step("source", self.parameter_line(name), f"parm entrada {name}")]})
-                sinks += [(i, s.line, s.cwe, s.name) for s in self.sinks(reached)]
-                outs += [(i, j) for j, (n, d) in enumerate(self.params) if d in ("Out", "InOut") and n in reached]
-        return sinks, outs
-
-    def object_calls(self) -> list[tuple[str, int, list[str]]]:
-        """Calls of other objects: (name, line, variables); the name is the line's first literal."""
-        out = []
-        for x in self.lines:
-            name = next((string_value(t).strip().lower() for k, t in x.tokens if k == "string"), "")
-            out += [(name, x.no, c.variables) for c in x.calls if c.method in ("call", "udp") and name]
-        return out
-
-
-def classify(c: Call) -> tuple[str, int] | None:
-    """The class of sink that a call is, by method, names around it and literals."""
-    names = [n for n in (c.receiver, *c.variables) if n]
-    hinted = lambda hints: any(h in n for n in names for h in hints)
-    if c.method in SQL_METHODS and (hinted(SQL_NAMES) or any(w in s for s in c.strings for w in SQL_WORDS)):
-        return "sql_injection", 89
-    if c.method in COMMAND_METHODS and hinted(COMMAND_NAMES):
-        return "command_injection", 78
-    if c.method == "write" and hinted(OUTPUT_NAMES):
-        return "unencoded_output", 79
-    if c.method in PATH_METHODS and hinted(PATH_NAMES):
-        return "path_traversal", 22
-    return None
-
-
-TRACED = "object_key {key}, rule_id string, severity string, line_number int, description string, line_content string, phase int, emit_line int, rule_ord int, sub_idx int, cwe int, confidence string, sink_class string, trace array<struct<kind: string, line: int, detail: string>>, unsupported int"
-TRACE_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("line", pa.int32()), ("detail", pa.string())]))
-
-
-def _steps(trace: list[Step]) -> list[dict]:
-    return [{"kind": s.kind, "line": s.line, "detail": s.detail} for s in trace]
-
-
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rule = BY_ID["GX.SEC.2"]
-    for batch in batches:
-        at, rows = [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            program = Program(text or "")
-            if not program.complete:
-                continue
-            reached, unknown = program.propagate(program.entries())
-            for k, s in enumerate(program.sinks(reached)):
-                at.append(i)
-                rows.append((rule.id, rule.severity, s.line, s.description, program.raw[s.line - 1], 4, s.line, ORDER[rule.id], k, s.cwe, s.confidence, s.name, _steps(s.trace), unknown))
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), *[pa.int32()] * 5, pa.string(), pa.string(), TRACE_TYPE, pa.int32()]
-        columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([batch.column("object_key").take(pa.array(at, pa.int64())), *columns], ["object_key", "rule_id", "severity", "line_number", "description", "line_content", "phase", "emit_line", "rule_ord", "sub_idx", "cwe", "confidence", "sink_class", "trace", "unsupported"])
+    def unknown(self) -> DataFrame:
+        return unknown_calls(self.model, self.reached).drop("seed")
+
+    def findings(self) -> DataFrame:
+        """object_key, line_no, k, sink, cwe, confidence, description, trace, unsupported."""
+        m = self.model
+        paths = m.rounds.keep(traces(m, self.reached, self.seeds))
+        found = sinks(m, self.reached).join(paths.select(*STATE[:2], F.col("name").alias("source"), "trace"), ["object_key", "seed", "source"])
+        counted = self.unknown().groupBy("object_key").agg(F.count("*").cast("int").alias("unsupported"))
+        return told(found).join(counted, "object_key", "left").withColumn("unsupported", F.coalesce("unsupported", F.lit(0)))
+
+
+def flows(objects: DataFrame) -> Flows:
+    model = build(objects)
+    seeds = model.rounds.keep(entries(model).withColumn("seed", F.lit("")))
+    return Flows(model, seeds, reach(model, seeds, model.complete.withColumn("seed", F.lit(""))))
 
 
 def local_taint(objects: DataFrame) -> DataFrame:
     """GX.SEC.2: outside values that reach a sink within an object, each with its trace."""
-    key = objects.schema["object_key"].dataType.simpleString()
-    return objects.select("object_key", "text").mapInArrow(_local, TRACED.format(key=key))
-
-
-FACTS = "object_key {key}, complete boolean, seeds array<string>, reached array<string>, unknown array<struct<line: int, method: string>>"
-
-
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unknown = pa.list_(pa.struct([("line", pa.int32()), ("method", pa.string())]))
-    for batch in batches:
-        rows = []
-        for text in batch.column("text").to_pylist():
-            program = Program(text or "")
-            if not program.complete:
-                rows.append((False, [], [], []))
-                continue
-            seeds = program.entries()
-            reached, _ = program.propagate(seeds)
-            strange = sorted({(s.line, s.detail.partition("(")[0]) for path in reached.values() for s in path if s.kind == "unsupported_call"})
-            rows.append((True, sorted(seeds), sorted(reached), [{"line": a, "method": m} for a, m in strange]))
-        kinds = (pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), unknown)
-        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([batch.column("object_key"), *columns], ["object_key", "complete", "seeds", "reached", "unknown"])
-
-
-def taint_facts(objects: DataFrame) -> DataFrame:
-    """What flows start from in each object, which variables they reach, and through which calls nothing is known of; nothing for incomplete objects."""
-    key = objects.schema["object_key"].dataType.simpleString()
-    return objects.select("object_key", "text").mapInArrow(_facts, FACTS.format(key=key))
+    rule = BY_ID["GX.SEC.2"]
+    found = flows(objects).findings()
+    found = with_content(found, objects)
+    line, k = F.col("line_no").cast("int"), F.col("k").cast("int")
+    return found.select(
+        "object_key", F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), line.alias("line_number"), "description", "line_content", F.lit(4).alias("phase"), line.alias("emit_line"),
+        F.lit(ORDER[rule.id]).alias("rule_ord"), k.alias("sub_idx"), "cwe", "confidence", F.col("sink").alias("sink_class"), "trace", "unsupported",
+    )
+
+
+def with_content(found: DataFrame, objects: DataFrame) -> DataFrame:
+    """found (object_key, line_no, ...) with line_content, the line as it stands in its object's text; a text is moved once."""
+    asked = found.groupBy("object_key").agg(F.collect_set("line_no").alias("asked"))
+    cut = let(F.split("text", "\n", -1), lambda parts: F.transform("asked", lambda n: F.struct(n.alias("line_no"), F.regexp_replace(F.get(parts, n - 1), r"\r+\z", "").alias("line_content"))))
+    lines = objects.select("object_key", "text").join(asked, "object_key").select("object_key", F.inline(cut))
+    return found.join(lines, ["object_key", "line_no"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import decisions, semantics
 from ..operators.lines import parse_lines
 from ..operators.paging import capped, ordered
-from ..operators.project import Limits, analyze
+from ..operators.project import Coverage, Limits, analyze
 from ..operators.rules import LINE_RULES, line_findings, unused_variables
 from ..operators.taint import local_taint
 from .catalog import CONCRETE, DEFAULT
@@ -20,11 +20,12 @@ from .catalog import CONCRETE, DEFAULT
 COLUMNS = ("object_key", "rule_id", "severity", "line_number", "description", "line_content", "phase", "emit_line", "rule_ord", "sub_idx")
 
 
-def findings(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, retain_evidence: bool = False) -> DataFrame:
+def findings(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, retain_evidence: bool = False, limits: Limits | None = None, covers: list[Coverage] | None = None) -> DataFrame:
     """Findings of the chosen rules over objects (object_key, text; for GX.SEC.3 ord too).
 
     Only the relations that the rules need are built: lines for line rules, the
-    semantic model for object rules, summaries for the project rule.
+    semantic model for object rules, summaries for the project rule, whose coverage
+    within the limits (none by default) is added to covers.
     """
     chosen = [i for i in CONCRETE if i in set(ids)]
     parts: list[DataFrame] = []
@@ -43,7 +44,9 @@ def findings(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, ret
     if "GX.SEC.2" in chosen:
         parts.append(local_taint(objects))
     if "GX.SEC.3" in chosen:
-        found, _ = analyze(objects, Limits())
+        found, cover = analyze(objects, limits)
+        if covers is not None:
+            covers.append(cover)
         parts.append(found)
     if not parts:
         raise ValueError("no concrete rule is enabled")
@@ -66,6 +69,7 @@ class Result:
     failures: list[tuple[str, str]] = field(default_factory=list)
     security: dict | None = None
     held: DataFrame | None = None
+    projects: list[Coverage] = field(default_factory=list)
 
     def release(self) -> None:
         """Give back the memory that the findings are held in; they are computed anew if they are read later."""
@@ -102,14 +106,14 @@ def with_deadline(spark: SparkSession, seconds: float, job):
         context.removeJobTag(tag)
 
 
-def audit(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, policy=None, max_findings: int | None = None, failures: list[tuple[str, str]] | None = None, cancelled: bool = False, retain_evidence: bool = False, scanned: int | None = None) -> Result:
-    """Run the rules and decide. The cap keeps the first findings in order and makes the run partial."""
-    policy, failures = policy or decisions.Absolute(), failures or []
-    found = held = findings(objects, ids, retain_evidence).persist()
-    limited = False
+def audit(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, policy=None, max_findings: int | None = None, failures: list[tuple[str, str]] | None = None, cancelled: bool = False, retain_evidence: bool = False, scanned: int | None = None, limits: Limits | None = None) -> Result:
+    """Run the rules and decide. The cap keeps the first findings in order and makes the run partial, and so do limits that cut a project."""
+    policy, failures, covers = policy or decisions.Absolute(), failures or [], []
+    found = held = findings(objects, ids, retain_evidence, limits, covers).persist()
+    limited = any(c.truncated for c in covers)
     if max_findings is not None:
-        limited = found.count() > max_findings
-        found = capped(found, max_findings) if limited else found
+        over = found.count() > max_findings
+        found, limited = capped(found, max_findings) if over else found, limited or over
     from .catalog import catalog
 
     spark = objects.sparkSession
@@ -119,4 +123,4 @@ def audit(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, policy
     row = row.withColumn("completion", done)
     row = row.withColumn("verdict", decisions.verdict(F.col("completion"), F.lit(security["errors"] if security else 0), policy.passes())).first()
     numbers = {k: row[k] for k in ("total_findings", "errors", "warnings", "info")}
-    return Result(ordered(found), numbers, policy, row["completion"], row["verdict"], objects.count() if scanned is None else scanned, failures, security.asDict() if security else None, held)
+    return Result(ordered(found), numbers, policy, row["completion"], row["verdict"], objects.count() if scanned is None else scanned, failures, security.asDict() if security else None, held, covers)

@@ -60,6 +60,23 @@ def flow_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select(F.concat(F.lit("obj"), F.col("key").cast("string")).alias("object_key"), F.col("key").alias("ord"), "text")
 
 
+#: Statements whose values go round between variables, through calls inside calls, and into sinks of all classes.
+CHAINS = (
+    "&a = &b", "&b = &c", "&c = &Entrada", "&d = Clean(&c)", "&e = Trim(Upper(&d)) + &a", "&sql = 'x' + &e", "&Result = &sql.Execute(&a)", "&cmd.Shell(&d)", "&file.Open(Path(&b))",
+    "&HttpResponse.Write(&HttpRequest)", "&f = GetParameter('p') + &a", "&g = &f + &d", "&q.Load(&g, Foo(&b, 'select 1'))", "&b = &g", "&c = &HttpRequestX", "&h = Wash(&Both) + &e", "&Out = &h",
+    "x = Foo(Bar(&a) ) (", "&os.Run((&h)).Exec(&a)", "&p = Foo(&z)", "&a = &a + &q", "&q = Strange(&b) + &c + &h", "&file2.Write(&q) &html.Write(&a)", "// &a = &b", "&z = (Inner(Foo('it''s'), &b), (&a)) + Next(&c)",
+)
+
+
+def chain_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object for each customer with parameters of all directions, a line of ``CHAINS`` for each order."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    dealt = F.get(F.array(*map(F.lit, CHAINS)), ((F.col("o_orderkey") * 11 + F.col("o_custkey") * 5) % len(CHAINS)).cast("int"))
+    first = o.select("o_custkey").distinct().select("o_custkey", F.struct(F.lit(-1).cast("long").alias("pos"), F.lit("parm(in:&Entrada, inout:&Both, out:&Out);").alias("line")).alias("l"))
+    rest = o.select("o_custkey", F.struct(F.col("o_orderkey").cast("long").alias("pos"), dealt.alias("line")).alias("l"))
+    return first.union(rest).groupBy(F.col("o_custkey").cast("string").alias("object_key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text"))
+
+
 def call_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An object ``obj<k>`` for each customer key k whose orders call other objects by key."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")

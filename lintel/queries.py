@@ -10,7 +10,6 @@ from .functions import lexical as x
 from .operators import decisions, paging, project, rules, semantics
 from .operators.lines import FLAGS, parse_lines, split_lines
 from .operators.rules import LINE_RULES, line_findings, unused_variables
-from .operators.taint import local_taint
 from .plans import corpus
 from .plans.catalog import CONCRETE, DEFAULT, catalog, routes
 from .registry import ORACLE_SQL, QUERIES, Query, query
@@ -330,18 +329,12 @@ def rule_sec_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics.credentials(_model(spark, sf_dir)).select("object_key", "line_number", "line_content", "description")
 
 
-@query("rule_sec_2")
-def rule_sec_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order within a pass decides here, which SQL does not say; tests hold it against cases worked out by hand."""
-    return local_taint(corpus.order_objects(spark, sf_dir)).select("object_key", "line_number", "description", "confidence", "cwe", F.size("trace").alias("steps"))
-
-
 # The call graph.
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     objects = corpus.call_objects(spark, sf_dir)
-    return project.call_edges(semantics.model(objects)), objects
+    return project.call_edges(objects), objects
 
 
 _EDGES = f"WITH RECURSIVE {o.CALLS}, edges AS (SELECT object_key AS caller, concat('obj', regexp_extract(line, 'obj([0-9]+)', 1)) AS callee, no AS line_no FROM (SELECT object_key, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM objects)), deps AS (SELECT DISTINCT caller, callee FROM edges WHERE callee IN (SELECT object_key FROM objects))"
@@ -368,15 +361,6 @@ def dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.dependents(project.dependencies(*_edges(spark, sf_dir)), ["obj7"])
 
 
-@query("rule_sec_3")
-def rule_sec_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All objects of the corpus with their flows through each other."""
-    found, cover = project.analyze(corpus.flow_objects(spark, sf_dir), project.WHOLE)
-    if cover.truncated:
-        raise RuntimeError(f"not all objects were covered: {cover.reasons}")
-    return found.select("object_key", "line_number", "description", "confidence", "cwe")
-
-
 @query("decode_bytes", "SELECT doc_id, text AS decoded FROM documents")
 def decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts through their bytes."""

@@ -1,81 +1,102 @@
-"""Queries for flows inside objects, held against a closure over tokens in SQL."""
+"""Queries for flows inside objects and across them, held against machines in SQL that go step by step."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles as o
-from .operators import taint
+from . import oracles_flows as s
+from .operators import calls, project, semantics, taint
 from .plans import corpus
 from .registry import query
 
 
-def _listed(names: tuple[str, ...]) -> str:
-    return ", ".join(f"'{n}'" for n in names)
+def _text(trace: Column) -> Column:
+    """A trace as text: kind, line and detail of each step."""
+    return F.array_join(F.transform(trace, lambda x: F.concat_ws(":", x["kind"], x["line"].cast("string"), x["detail"])), "|")
 
 
-def _hint(text: str, names: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains({text}, '{n}')" for n in names) + ")"
+@query("calls_in_line", f"WITH RECURSIVE {s.CHAIN}, {s.WALK} SELECT object_key, CAST(line_no AS INTEGER) AS line_no, receiver, method, array_to_string(variables, ' ') AS variables, array_to_string(strings, '|') AS strings, array_to_string(inner_calls, ' ') AS inner_calls FROM calls")
+def calls_in_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with receivers and arguments; calls inside others are folded into them."""
+    rows = calls.calls_in_lines(semantics.model(corpus.chain_objects(spark, sf_dir)))
+    return rows.select("object_key", "line_no", "receiver", "method", F.array_join("variables", " ").alias("variables"), F.array_join("strings", "|").alias("strings"), F.array_join("inner", " ").alias("inner_calls"))
 
 
-#: Calls with a receiver, by line; names are those of the receiver and of the variables between the parentheses.
-_CALL = r"(?:(&?\w+)\s*\.\s*)?(\w+)\s*\(([^()]*)\)"
-FLOWS = rf"""WITH RECURSIVE {o.ORDERS}, {o.MODEL}, {o.NESTED}, {o.ACCESSES},
-whole AS (SELECT object_key FROM matched GROUP BY object_key HAVING arg_max(d, line_no) = 0 AND count(*) FILTER (bad) = 0),
-parms AS (SELECT object_key, kind, lower(text) AS name, lag(lower(text), 2) OVER (PARTITION BY object_key, line_no ORDER BY tok_order) AS direction FROM tokens JOIN stmts USING (object_key, line_no) WHERE stmt = 'Parm'),
-seeds AS (SELECT DISTINCT object_key, name FROM parms JOIN whole USING (object_key) WHERE kind = 'variable' AND direction IN ('in', 'inout')
-  UNION SELECT object_key, lower(text) FROM tokens JOIN whole USING (object_key) WHERE kind = 'variable' AND regexp_matches(lower(text), '^&(httprequest|websession|httpcontext)')),
-named AS (SELECT object_key, line_no, tok_order, lower(text) AS method FROM (SELECT *, lead(text) OVER (PARTITION BY object_key, line_no ORDER BY tok_order) AS next FROM tokens) WHERE kind = 'ident' AND next = '('),
-sourced AS (SELECT DISTINCT object_key, line_no FROM named WHERE method IN ({_listed(taint.SOURCES)})),
-writes AS (SELECT object_key, line_no, name AS target FROM accesses JOIN whole USING (object_key) WHERE access = 'Write'),
-edges AS (SELECT w.object_key, w.line_no, w.target, a.name AS source FROM writes w JOIN accesses a USING (object_key, line_no) WHERE a.access = 'Read' AND a.name <> w.target
-  AND NOT EXISTS (SELECT 1 FROM sourced s WHERE s.object_key = w.object_key AND s.line_no = w.line_no)),
-reached(object_key, name) AS (SELECT * FROM seeds UNION SELECT object_key, target FROM writes JOIN sourced USING (object_key, line_no)
-  UNION SELECT e.object_key, e.target FROM reached r JOIN edges e ON e.object_key = r.object_key AND e.source = r.name)"""
-
-
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taint.taint_facts(corpus.order_objects(spark, sf_dir))
-
-
-@query("taint_seeds", f"{FLOWS} SELECT object_key, name FROM seeds")
+@query("taint_seeds", f"{s.local(o.ORDERS)} SELECT object_key, name FROM entries")
 def taint_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Input parameters and request containers of complete objects."""
-    return _facts(spark, sf_dir).select("object_key", F.explode("seeds").alias("name"))
+    return taint.entries(taint.build(corpus.order_objects(spark, sf_dir))).select("object_key", "name")
 
 
-@query("taint_reached", f"{FLOWS} SELECT object_key, name FROM reached")
+@query("taint_reached", f"{s.local(s.CHAIN)} SELECT object_key, name, {s.TOLD.replace('trace', 'path')} AS trace FROM reached")
 def taint_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variables that outside values reach."""
-    return _facts(spark, sf_dir).select("object_key", F.explode("reached").alias("name"))
+    """Variables that outside values reach, each with the way there."""
+    found = taint.flows(corpus.chain_objects(spark, sf_dir))
+    return taint.traces(found.model, found.reached, found.seeds).select("object_key", "name", _text(F.col("trace")).alias("trace"))
 
 
-@query("taint_unknown_calls", f"""{FLOWS}, passed AS (SELECT DISTINCT e.object_key, e.line_no, e.target FROM edges e JOIN reached r ON r.object_key = e.object_key AND r.name = e.source)
-SELECT object_key, CAST(line_no AS INTEGER) AS line_no, arg_min(method, tok_order) AS method FROM passed JOIN named USING (object_key, line_no) WHERE method NOT IN ({_listed(taint.NEUTRAL)}) GROUP BY object_key, line_no""")
+@query("taint_unknown_calls", f"{s.local(s.CHAIN)} SELECT object_key, CAST(line_no AS INTEGER) AS line_no, method FROM unknown")
 def taint_unknown_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls that values pass and nothing is known of, with those of variables that another assignment reached before left out.
+    """Calls that values pass and nothing is known of."""
+    return taint.flows(corpus.chain_objects(spark, sf_dir)).unknown().select("object_key", "line_no", "method")
+
 
-    The corpus assigns such a call's result to a variable of its own, so each is the first to reach it.
-    """
-    rows = _facts(spark, sf_dir).select("object_key", F.explode("unknown").alias("u"))
-    first = rows.groupBy("object_key", "u.method").agg(F.min("u.line").alias("line_no"))
-    return first.select("object_key", "line_no", "method")
+_FINDINGS = f"SELECT object_key, CAST(line_no AS INTEGER) AS line_number, description, {s.CONFIDENCE} AS confidence, CAST(cwe AS INTEGER) AS cwe, {s.TOLD} AS trace, CAST(k AS INTEGER) AS sub_idx FROM found"
 
 
-_CLASS = f"""CASE WHEN method IN ({_listed(taint.SQL_METHODS)}) AND {_hint("names", taint.SQL_NAMES)} THEN 'sql_injection' WHEN method IN ({_listed(taint.COMMAND_METHODS)}) AND {_hint("names", taint.COMMAND_NAMES)} THEN 'command_injection'
-  WHEN method = 'write' AND {_hint("names", taint.OUTPUT_NAMES)} THEN 'unencoded_output' WHEN method IN ({_listed(taint.PATH_METHODS)}) AND {_hint("names", taint.PATH_NAMES)} THEN 'path_traversal' END"""
-_SINKS = rf"""{FLOWS}, called AS (SELECT object_key, line_no, lower(regexp_extract(raw, '{_CALL}', 1)) AS receiver, lower(regexp_extract(raw, '{_CALL}', 2)) AS method, lower(regexp_extract(raw, '{_CALL}', 3)) AS args FROM stmts JOIN whole USING (object_key)),
-classed AS (SELECT *, concat(receiver, ' ', array_to_string(regexp_extract_all(args, '&\w+'), ' ')) AS names FROM called WHERE method <> ''),
-asked AS (SELECT object_key, line_no, {_CLASS} AS class, method, unnest(list_append(regexp_extract_all(args, '&\w+'), receiver)) AS name, unnest(range(1, len(regexp_extract_all(args, '&\w+')) + 2)) AS i FROM classed),
-hit AS (SELECT a.object_key, a.line_no, a.class, any_value(a.method) AS method, arg_min(a.name, a.i) AS source FROM asked a JOIN reached r USING (object_key, name) WHERE a.class IS NOT NULL GROUP BY a.object_key, a.line_no, a.class),
-told AS (SELECT *, CASE class WHEN 'sql_injection' THEN 89 WHEN 'command_injection' THEN 78 WHEN 'unencoded_output' THEN 79 ELSE 22 END AS cwe FROM hit)"""
+def _findings(objects: DataFrame) -> DataFrame:
+    return taint.local_taint(objects).select("object_key", "line_number", "description", "confidence", "cwe", _text(F.col("trace")).alias("trace"), "sub_idx")
 
 
-_SAID = o.say("GX.SEC.2", "replace(class, '_', ' ')", "cwe", "source", "method")
+@query("rule_sec_2", f"{s.local(o.ORDERS)} {_FINDINGS}")
+def rule_sec_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(corpus.order_objects(spark, sf_dir))
 
 
-@query("taint_sinks", f"{_SINKS} SELECT object_key, CAST(line_no AS INTEGER) AS line_number, {_SAID} AS description, CAST(cwe AS INTEGER) AS cwe FROM told")
+@query("taint_sinks", f"{s.local(s.CHAIN)} {_FINDINGS}")
 def taint_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of GX.SEC.2 without their traces, which depend on the order of arrival."""
-    return taint.local_taint(corpus.order_objects(spark, sf_dir)).select("object_key", "line_number", "description", "cwe")
+    """Findings of GX.SEC.2 in objects whose values go round."""
+    return _findings(corpus.chain_objects(spark, sf_dir))
+
+
+@query("param_sinks", f"{s.seeded(s.CHAIN)} SELECT object_key, CAST(idx AS INTEGER) AS param_idx, CAST(line_no AS INTEGER) AS line_no, class AS sink FROM param_sinks")
+def param_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sinks that each input parameter reaches in its object."""
+    return project.summarize(corpus.chain_objects(spark, sf_dir)).param_sinks.select("object_key", "param_idx", "line_no", "sink")
+
+
+@query("param_outs", f"{s.seeded(s.CHAIN)} SELECT object_key, CAST(from_param AS INTEGER) AS from_param, CAST(to_param AS INTEGER) AS to_param FROM param_outs")
+def param_outs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The output parameters that each input parameter reaches in its object."""
+    return project.summarize(corpus.chain_objects(spark, sf_dir)).param_outs
+
+
+@query("rule_sec_3")
+def rule_sec_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All objects of the corpus with their flows through each other; which of several callers is told has no SQL, see project_findings."""
+    found, _ = project.analyze(corpus.flow_objects(spark, sf_dir), with_components=False)
+    return found.select("object_key", "line_number", "description", "confidence", "cwe")
+
+
+_ISSUES = "SELECT f.object_key, f.line_no, f.class, f.cwe FROM found f JOIN active a ON a.object_key = f.object_key AND a.seed = f.seed UNION SELECT p.object_key, p.line_no, p.class, p.cwe FROM met m JOIN active a ON a.object_key = m.object_key AND a.seed = m.seed JOIN param_sinks p ON p.object_key = m.callee AND p.idx = m.i"
+
+
+@query("project_findings", f"{s.across(s.FLOW)} SELECT i.object_key, CAST(i.line_no AS INTEGER) AS line_number, class AS sink_class, CAST(cwe AS INTEGER) AS cwe, t.raw AS line_content FROM ({_ISSUES}) i JOIN stmts t ON t.object_key = i.object_key AND t.line_no = i.line_no")
+def project_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where GX.SEC.3 finds what, by a recursion over seeds of objects in SQL."""
+    found, _ = project.analyze(corpus.flow_objects(spark, sf_dir), with_components=False)
+    return found.select("object_key", "line_number", "sink_class", "cwe", "line_content")
+
+
+_COMPONENTS = """WITH RECURSIVE {calls}, edges AS (SELECT object_key AS caller, concat('obj', regexp_extract(line, 'obj([0-9]+)', 1)) AS callee FROM (SELECT object_key, unnest(string_split(text, chr(10))) AS line FROM objects)),
+deps AS (SELECT DISTINCT caller, callee FROM edges WHERE callee IN (SELECT object_key FROM objects)), reach(a, b) AS (SELECT object_key, object_key FROM objects UNION SELECT r.a, d.callee FROM reach r JOIN deps d ON d.caller = r.b)
+SELECT x.a AS object_key, max(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a"""
+
+
+@query("call_components", _COMPONENTS.format(calls=o.CALLS))
+def call_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongly connected component of each object, named by its largest name; in SQL all pairs that reach each other."""
+    objects = corpus.call_objects(spark, sf_dir)
+    return project.components(project.dependencies(project.call_edges(objects), objects), objects)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from lintel.functions import lexical as x
 from lintel.operators import decisions, paging, project, semantics
 from lintel.operators.lines import parse_lines, split_lines
-from lintel.operators.taint import Program, local_taint
+from lintel.operators.calls import calls_in_lines
+from lintel.operators.graph import strong_components
+from lintel.operators.taint import local_taint
 from lintel.plans import audit
 from lintel.plans.catalog import CONCRETE, DEFAULT, RULES, profile
 from lintel.sources import discovery, readers, reports, store
@@ -134,8 +136,6 @@ def test_model_of_nested_blocks(spark):
     cover = {r.object_key: tuple(r)[1:] for r in semantics.coverage(model).collect()}
     assert cover == {"o0": (0, 0, True), "o1": (0, 1, False), "o2": (0, 0, True)}
     assert [(r.param_idx, r.name, r.direction) for r in semantics.parameters(model).where("object_key = 'o2'").orderBy("param_idx").collect()] == [(0, "&a", "In"), (1, "&b", "Out"), (2, "&c", "Unspecified")]
-    python = Program("parm(in:&a, &b out, &c)")
-    assert python.params == [("&a", "In"), ("&b", "Out"), ("&c", "Unspecified")]
 
 
 def test_taint_traces(spark):
@@ -145,6 +145,66 @@ def test_taint_traces(spark):
     assert [s.kind for s in rows[0].trace] == ["source", "propagate", "unsupported_call", "propagate", "sink"]
 
 
+def test_taint_goes_round_in_passes_and_takes_the_shortest_way(spark):
+    """A value that goes up by a line a pass is reached in four passes and no further; of two ways the shorter is told, then the smaller name."""
+    up = "\n".join(f"&v{k + 1} = &v{k}" for k in reversed(range(6))) + "\n" + "\n".join(f"&sql.Execute(&v{k})" for k in range(7))
+    ways = "parm(in:&b, in:&a)\n&c = &a\n&d = &c + &b\n&e = &b + &a\n&sql.Load(&d)\n&sql.Load(&e)"
+    rows = local_taint(objects(spark, ["parm(in:&v0)\n" + up, ways, "parm(in:&a\nif &a\n&sql.Execute(&a)"])).collect()
+    first = sorted((r.line_number, len(r.trace)) for r in rows if r.object_key == "o0")
+    assert first == [(8 + k, 2 + k) for k in range(5)]
+    second = {r.line_number: [s.detail for s in r.trace] for r in rows if r.object_key == "o1"}
+    assert second == {5: ["parm entrada &b", "&d = ... &b ...", "&sql.load"], 6: ["parm entrada &a", "&e = ... &a ...", "&sql.load"]}
+    assert not [r for r in rows if r.object_key == "o2"]  # an open block
+
+
+def test_calls_by_depth(spark):
+    rows = calls_in_lines(semantics.model(objects(spark, ["&x = A(B(&p, 'q''r'), (&s)).C(&t) + ) D(", "(E(1)) F", "if (&a)", "", None]))).orderBy("object_key", "pos").collect()
+    got = [(r.receiver, r.method, r.variables, r.strings, r.inner) for r in rows]
+    assert got == [(None, "a", ["&p", "&s"], ["q'r"], ["b"]), (None, "c", ["&t"], [], []), (None, "d", [], [], []), (None, "e", [], [], [])]
+
+
+def test_strong_components(spark):
+    import random
+
+    rng = random.Random(4)
+    nodes = [f"n{i:02d}" for i in range(40)]
+    edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(55)] + [("n00", "n00"), ("n01", "gone")]
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            for n in nodes:
+                if a in reach[n] and b in reach:
+                    reach[n].add(b)
+    want = {n: max(m for m in reach[n] if n in reach[m]) for n in nodes}
+    frame = spark.createDataFrame([(n,) for n in nodes], "node string")
+    assert {r.node: r.component for r in strong_components(frame, spark.createDataFrame(edges, "a string, b string")).collect()} == want
+    assert strong_components(frame.limit(0), spark.createDataFrame([], "a string, b string")).collect() == []
+
+
+def test_values_come_back_from_calls(spark):
+    """Through two callees and back: what an output parameter returns is followed in the caller."""
+    outer = "parm(in:&In)\ncall('Mid', &In, &Got)\n&file.Open(&Got)"
+    middle = "parm(in:&A, out:&B)\ncall('Leaf', &A, &B)"
+    leaf = "parm(in:&P, out:&Q)\n&Q = Trim(&P)\n&cmd.Shell(&P)"
+    quiet = "parm(in:&X)\n&sql.Execute('select ')\n&n = GetCookie('c')\n&html.Write(&n)"
+    rows = spark.createDataFrame([("Outer", outer, 0), ("Mid", middle, 1), ("Leaf", leaf, 2), ("Quiet", quiet, 3)], "object_key string, text string, ord long")
+    found, cover = project.analyze(rows)
+    got = {(r.object_key, r.line_number): r for r in found.collect()}
+    assert set(got) == {("leaf", 3), ("quiet", 4)}  # the middle object gives nothing back by its own statements
+    assert got["leaf", 3].description.endswith("desde 'mid'.") and [s.kind for s in got["leaf", 3].trace] == ["source", "call", "sink"]
+    direct = rows.where("object_key <> 'Outer'").union(spark.createDataFrame([("Outer", outer.replace("Mid", "Leaf"), 0)], rows.schema))
+    back = {(r.object_key, r.line_number): [s.detail for s in r.trace] for r in project.analyze(direct)[0].collect()}
+    assert back["outer", 3] == ["parm entrada &in (frontera del proyecto)", "call('leaf')", "&got ← out de 'leaf'", "&file.open"]
+
+
+def test_a_cut_project_is_partial(spark):
+    rows = spark.createDataFrame([("A", "parm(in:&a)\n&sql.Execute(&a)", 0), ("B", "x", 1)], "object_key string, text string, ord long")
+    assert audit.audit(rows, ["GX.SEC.3"]).completion == "complete"
+    part = audit.audit(rows, ["GX.SEC.3"], limits=project.Limits(objects=1))
+    assert (part.completion, part.verdict, part.projects[0].reasons) == ("partial", "error", ["proyecto truncado: 2 objetos > máximo 1"])
+    assert project.analyze(rows, project.Limits(objects=2, bytes=3))[1].truncated and project.analyze(rows, project.Limits(findings=0))[1].truncated
+
+
 def test_flows_between_objects(spark):
     caller, sink = "parm(in:&Entrada)\ncall('ProcSink', &Entrada)", "parm(in:&Valor)\n&sql = 'select ' + &Valor\n&R = &sql.Execute()"
     rows = spark.createDataFrame([("Caller", caller, 0), ("ProcSink", sink, 1), ("Other", "call('procsink', &q)", 2)], "object_key string, text string, ord long")
@@ -152,11 +212,11 @@ def test_flows_between_objects(spark):
     got = [(r.object_key, r.line_number, r.cwe) for r in found.collect()]
     assert got == [("procsink", 3, 89)]
     assert (cover.objects, cover.edges, cover.sccs, cover.truncated) == (3, 2, 3, False)
-    deps = project.dependencies(project.call_edges(semantics.model(rows)), rows)
+    deps = project.dependencies(project.call_edges(rows), rows)
     assert {(r.caller, r.callee) for r in deps.collect()} == {("caller", "procsink"), ("other", "procsink")}
     assert sorted(r.object_key for r in project.frontier(deps, rows).collect()) == ["caller", "other"]
     assert {r.object_key for r in project.dependents(deps, ["ProcSink"]).collect()} == {"procsink", "caller", "other"}
-    assert project.components(["a", "b", "c"], {"a": ["b"], "b": ["a"], "c": ["a"]}) == 2
+    assert project.components(deps, rows).select("component").distinct().count() == 3
     _, small = project.analyze(rows, project.Limits(objects=1))
     assert small.truncated and small.objects == 1
 
@@ -168,7 +228,7 @@ def test_flow_query_covers_all_objects_and_their_calls(spark, tmp_path):
     n = 5000  # more objects than the default limit
     spark.range(1, 2 * n + 1).select(F.col("id").alias("o_orderkey"), (F.col("id") * 7 % n).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
     rows = corpus.flow_objects(spark, str(tmp_path))
-    found, cover = project.analyze(rows, project.WHOLE)
+    found, cover = project.analyze(rows, with_components=False)
     assert cover.objects == n and not cover.truncated and cover.edges > n // 2
     got = queries.QUERIES["rule_sec_3"](spark, str(tmp_path))
     assert got.count() == found.count() > 2000
