@@ -140,3 +140,32 @@ def _zipped(batches):
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content of a package for each customer: its export twice, a folder and a blank member."""
     return xml_files(spark, sf_dir).mapInArrow(_zipped, "path string, content binary")
+
+
+def _packed(folder: str):
+    def run(key, table):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        from ..sources.packages import written
+
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+            for path, content in sorted(zip(table.column("path").to_pylist(), table.column("content").to_pylist(), strict=True), key=lambda x: int(x[0][4:-4])):
+                archive.writestr(path.removeprefix("/x/"), b"<r/>" if content == b"<ExportFile><GXObject>" else content)
+        written(f"{folder}/p{key[0].as_py()}.xpz", held.getvalue())
+        return pa.table({"files": pa.array([1], pa.int64())})
+
+    return run
+
+
+def package_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of package files, one for each hundred customers, with their exports as members; exports that are cut off stand there without objects."""
+    from ..sources.rounds import Rounds
+
+    folder = Rounds(spark, "packages").folder
+    files = xml_files(spark, sf_dir).withColumn("g", F.floor(F.regexp_extract("path", r"c(\d+)", 1).cast("long") / 100))
+    files.groupBy("g").applyInArrow(_packed(folder), "files long").agg(F.sum("files")).collect()
+    return folder

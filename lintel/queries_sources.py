@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from . import oracles as o
 from .functions import lexical as x
-from .operators import decisions, paging
+from .operators import decisions, paging, user_rules
 from .plans import corpus
 from .plans.catalog import DEFAULT, catalog
 from .registry import query
-from .sources import discovery, planning, readers, reports, store
+from .sources import discovery, packages, planning, readers, reports, store
 
 _EXTENSION = "['txt', 'XML', 'prg', 'md', 'zip', 'py'][page_id % 6 + 1]"
 _LISTING = f"""listing AS (SELECT concat('/src/d', page_id % 7, '/', CASE WHEN page_id % 13 = 0 THEN '.old/' ELSE '' END, 'f', page_id, '.', {_EXTENSION}) AS path FROM pages)"""
@@ -265,3 +265,67 @@ def report_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reports.paged(default_findings(spark, sf_dir))
     pages = rows.groupBy("object_key", "page").agg(F.sum(F.size("lines") + 1).alias("used"), F.count("*").alias("blocks"))
     return pages.where((F.col("used") <= reports.LINES_PER_PAGE) | (F.col("blocks") == 1)).groupBy("object_key").agg(F.sum("blocks").alias("blocks"))
+
+
+# Packages as a data source, exports in any case, and rules of the user.
+
+
+@query("xml_any_case", f"WITH {_XML} SELECT path, id, object_type, package, text FROM objects")
+def xml_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports whose tags are written in small or in capital letters by turns: the same objects."""
+    text, turn = F.decode("content", "UTF-8"), F.crc32("path") % 3
+    tags = ("ExportFile", "GXObject", "Info", "Name", "Folder", "Events", "Rules")
+    small = big = text
+    for t in tags:
+        small, big = (F.regexp_replace(x, f"<(/?){t}>", f"<$1{w}>") for x, w in ((small, t.lower()), (big, t.upper())))
+    files = corpus.xml_files(spark, sf_dir).select("path", F.encode(F.when(turn == 0, text).when(turn == 1, small).otherwise(big), "UTF-8").alias("content"))
+    return readers.read_objects(files)[0].select("path", "id", "object_type", "package", "text")
+
+
+@query("package_source", f"WITH {_XML} SELECT concat('p', k // 100, '.xpz') AS package_file, CAST(dense_rank() OVER (PARTITION BY k // 100 ORDER BY k) - 1 AS INTEGER) AS place, concat('c', k, '.xml') AS member, id, text FROM exports LEFT JOIN objects USING (path) QUALIFY id IS NOT NULL")
+def package_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of a hundred exports each, read in ranges of members by several tasks."""
+    folder = corpus.package_files(spark, sf_dir)
+    objects, _ = packages.read_package_objects(spark, folder, splitBytes=4096)
+    return objects.select(F.substring_index("path", "/", -1).alias("package_file"), "place", "member", "id", "text")
+
+
+_LONGEST = f"""WITH {o.EVENTS}, {o.LINES}, marked AS (SELECT object_key, line_no, raw, starts_with(lower, 'for each') AS opens, starts_with(lower, 'endfor') AS closes FROM lines),
+blocks AS (SELECT *, sum(CASE WHEN opens OR closes THEN 1 ELSE 0 END) OVER (PARTITION BY object_key ORDER BY line_no) AS b FROM marked),
+sized AS (SELECT object_key, b, min(line_no) AS first, arg_min(raw, line_no) AS raw, count(*) - 1 AS n, bool_or(opens) AS real FROM blocks GROUP BY object_key, b)
+SELECT object_key, CAST(first AS INTEGER) AS line_number, raw AS line_content, concat('Bloque de ', n, ' líneas.') AS description FROM sized WHERE real
+QUALIFY row_number() OVER (PARTITION BY object_key ORDER BY n DESC, first) = 1"""
+
+
+@query("user_rules", _LONGEST)
+def user_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered stateful rule: of each object the longest run of lines after a loop's opening, told at the object's end."""
+    from .operators.lines import parse_lines
+
+    registry = user_rules.Registry()
+
+    @registry.stateful_rule("USER.LOOP", "INFO", "Longest loop body")
+    class Longest(user_rules.Stateful):
+        def __init__(self):
+            self.best: tuple[int, int, str] | None = None
+            self.run: tuple[int, int, str] | None = None
+
+        def line(self, number: int, raw: str, clean: str):
+            low = raw.strip().lower()
+            if low.startswith(("for each", "endfor")):
+                self._close()
+                self.run = (0, number, raw) if low.startswith("for each") else None
+            elif self.run:
+                self.run = (self.run[0] + 1, *self.run[1:])
+
+        def _close(self):
+            if self.run and (self.best is None or self.run[0] > self.best[0]):
+                self.best = self.run
+
+        def finish(self):
+            self._close()
+            if self.best:
+                yield self.best[1], f"Bloque de {self.best[0]} líneas.", self.best[2]
+
+    found = registry.findings(parse_lines(corpus.event_objects(spark, sf_dir)))
+    return found.select("object_key", "line_number", "line_content", "description")

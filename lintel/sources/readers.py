@@ -10,22 +10,20 @@ failures and gives no objects; a file that meets a limit keeps those before it.
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Extensions of sources, and sections of an object that hold code.
+from .exports import Malformed, xml_objects
+
+#: Extensions of sources.
 TEXT_EXTENSIONS = ("txt", "prg", "gxd", "src")
 PACKAGE_EXTENSIONS = ("xpz", "zip", "rar")
 EXTENSIONS = (*TEXT_EXTENSIONS, "xml", *PACKAGE_EXTENSIONS)
-SECTIONS = ("Events", "Rules", "Subroutines")
-NO_CODE = ("Documentation", "Layout", "Help", "Structure")
 #: The Windows code page where it differs from Latin-1, as the web reads it: five bytes stay control characters.
 _CP1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
 _CONTROL = "".join(map(chr, range(0x80, 0xA0)))
@@ -56,80 +54,6 @@ def decode_bytes(content: bytes) -> str:
         return content.decode("latin-1").translate(dict(zip(map(ord, _CONTROL), _CP1252, strict=True)))
 
 
-class Malformed(ValueError):
-    """A file that is no such document."""
-
-
-def xml_objects(text: str) -> tuple[list[dict], int]:
-    """Objects with code of an export, and how many objects it has in all.
-
-    An object's text is its code sections in order with an empty line between;
-    segments say where in the member each begins.  A document without objects is
-    one object of all its sections, named by its root.
-    """
-    parser = expat.ParserCreate("utf-8")
-    parser.buffer_text = False
-    path: list[str] = []
-    objects: list[dict] = []
-    loose: dict = {"sections": []}
-    state: dict = {"object": None, "name": None, "folder": None, "recognized": 0, "root": None, "cdata": False, "parts": None}
-
-    def start(tag: str, attributes: dict) -> None:
-        path.append(tag)
-        if state["root"] is None:
-            state["root"] = (tag, attributes)
-        if tag == "GXObject":
-            state["recognized"] += 1
-            state["object"] = {"id": "", "package": "", "type": "", "sections": []}
-        elif state["object"] is not None and len(path) >= 2 and path[-2] == "GXObject" and not state["object"]["type"]:
-            state["object"]["type"] = tag
-
-    def end(tag: str) -> None:
-        path.pop()
-        if tag == "GXObject" and state["object"] is not None:
-            if state["object"]["sections"]:
-                objects.append(state["object"])
-            state["object"] = None
-
-    def data(text: str) -> None:
-        if state["cdata"]:
-            state["parts"].append(text)
-        elif state["object"] is not None and len(path) >= 2 and path[-2] == "Info":
-            if path[-1] == "Name":
-                state["object"]["id"] += text.strip()
-            elif path[-1] == "Folder":
-                state["object"]["package"] += text.strip()
-
-    def begin_cdata() -> None:
-        state.update(cdata=True, parts=[], line=parser.CurrentLineNumber)
-
-    def end_cdata() -> None:
-        section = next((p for p in reversed(path) if p in SECTIONS), None)
-        if section and not any(p in NO_CODE for p in path):
-            body = "".join(state["parts"])
-            (state["object"] or loose)["sections"].append((section, body, state["line"]))
-        state["cdata"] = False
-
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
-    parser.StartCdataSectionHandler, parser.EndCdataSectionHandler = begin_cdata, end_cdata
-    try:
-        parser.Parse(re.sub(r"^\s*<\?xml[^>]*\?>", lambda m: "\n" * m[0].count("\n"), text, count=1).encode(), True)
-    except expat.ExpatError as e:
-        raise Malformed(str(e)) from e
-    if not state["recognized"] and loose["sections"]:
-        tag, attributes = state["root"]
-        objects.append({"id": attributes.get("name", tag), "type": tag, "package": attributes.get("package", ""), "sections": loose["sections"]})
-    return [_assembled(x) for x in objects], state["recognized"]
-
-
-def _assembled(x: dict) -> dict:
-    segments, line = [], 1
-    for kind, body, member_line in x["sections"]:
-        segments.append({"kind": kind, "text_start_line": line, "member_start_line": member_line})
-        line += body.count("\n") + 2
-    return {"id": x["id"], "object_type": x["type"], "package": x["package"], "text": "\n\n".join(b for _, b, _ in x["sections"]), "segments": segments}
-
-
 def _file_objects(path: str, content: bytes, budget: Budget) -> tuple[list[dict], str | None]:
     """Objects of one file and what went wrong, if anything did."""
     name = path.rsplit("/", 1)[-1]
@@ -148,7 +72,7 @@ def _file_objects(path: str, content: bytes, budget: Budget) -> tuple[list[dict]
         return _package_objects(content, budget)
     if extension == "xml" or extension in PACKAGE_EXTENSIONS:
         try:
-            found, recognized = xml_objects(decode_bytes(content))
+            found, recognized = xml_objects(decode_bytes(content), stem or name)
         except Malformed as e:
             return [], f"malformed XML: {e}"
         if not found and not recognized:
@@ -170,7 +94,7 @@ def _package_objects(content: bytes, budget: Budget) -> tuple[list[dict], str |
                 text = decode_bytes(archive.read(info))
                 if "<" not in text:
                     continue
-                found, n = xml_objects(text)
+                found, n = xml_objects(text, info.filename.rsplit("/", 1)[-1].rpartition(".")[0] or info.filename)
                 recognized += n
                 out += [x | {"member": info.filename} for x in found]
                 if len(out) > budget.objects:
@@ -185,19 +109,25 @@ def _package_objects(content: bytes, budget: Budget) -> tuple[list[dict], str |
 OBJECT = "path string, ord int, id string, object_type string, member string, package string, text string, code_start_line int, segments array<struct<kind: string, text_start_line: int, member_start_line: int>>, error string"
 
 
+_SEGMENT = pa.list_(pa.struct([("kind", pa.string()), ("text_start_line", pa.int32()), ("member_start_line", pa.int32())]))
+OBJECT_SCHEMA = pa.schema([(c, {"ord": pa.int32(), "code_start_line": pa.int32(), "segments": _SEGMENT}.get(c, pa.string())) for c in ("path", "ord", "id", "object_type", "member", "package", "text", "code_start_line", "segments", "error")])
+
+
+def object_row(path: str, place: int, x: dict) -> dict:
+    """The row of an object found in a file."""
+    return x | {"path": path, "ord": place, "code_start_line": x["segments"][0]["member_start_line"] if x["segments"] else 1, "error": None}
+
+
 def _read(budget: Budget):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 found, error = _file_objects(path, content, budget)
-                rows = [{"path": path, "ord": i, "id": x["id"], "object_type": x["object_type"], "member": x["member"], "package": x["package"], "text": x["text"], "code_start_line": x["segments"][0]["member_start_line"] if x["segments"] else 1, "segments": x["segments"], "error": None} for i, x in enumerate(found)]
+                rows = [object_row(path, i, x) for i, x in enumerate(found)]
                 if error:
                     rows.append(dict.fromkeys(("id", "object_type", "member", "package", "text", "code_start_line", "segments")) | {"path": path, "ord": -1, "error": error})
                 if rows:
-                    s, i = pa.string(), pa.int32()
-                    segment = pa.list_(pa.struct([("kind", s), ("text_start_line", i), ("member_start_line", i)]))
-                    schema = pa.schema([("path", s), ("ord", i), ("id", s), ("object_type", s), ("member", s), ("package", s), ("text", s), ("code_start_line", i), ("segments", segment), ("error", s)])
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield pa.RecordBatch.from_pylist(rows, OBJECT_SCHEMA)
 
     return run
 
