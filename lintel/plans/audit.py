@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decisions, semantics
+from ..operators.counters import Counters
 from ..operators.lines import parse_lines
 from ..operators.paging import capped, ordered
 from ..operators.project import Coverage, Limits, analyze
@@ -20,23 +21,30 @@ from .catalog import CONCRETE, DEFAULT
 COLUMNS = ("object_key", "rule_id", "severity", "line_number", "description", "line_content", "phase", "emit_line", "rule_ord", "sub_idx")
 
 
-def findings(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, retain_evidence: bool = False, limits: Limits | None = None, covers: list[Coverage] | None = None) -> DataFrame:
+def findings(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, retain_evidence: bool = False, limits: Limits | None = None, covers: list[Coverage] | None = None, counters: Counters | None = None) -> DataFrame:
     """Findings of the chosen rules over objects (object_key, text; for GX.SEC.3 ord too).
 
     Only the relations that the rules need are built: lines for line rules, the
     semantic model for object rules, summaries for the project rule, whose coverage
-    within the limits (none by default) is added to covers.
+    within the limits (none by default) is added to covers.  counters mark the plan of
+    the line rules, or else that of the first other rule, and the findings.
     """
     chosen = [i for i in CONCRETE if i in set(ids)]
     parts: list[DataFrame] = []
     on_lines = [i for i in chosen if i in LINE_RULES]
     lines = parse_lines(objects)
+    marked = counters.objects(objects) if counters else objects
     if on_lines:
-        parts.append(line_findings(lines, on_lines))
+        given = parse_lines(marked)
+        parts.append(line_findings(counters.lines(given, on_lines) if counters else given, on_lines))
+        marked = objects
     if "GX.2.7.4" in chosen:
-        parts.append(unused_variables(lines))
+        given = lines if on_lines else parse_lines(marked)
+        parts.append(unused_variables(given if on_lines or not counters else counters.lines(given, ["GX.2.7.4"])))
+        marked = objects
     if {"GX.2.7.5", "GX.SEC.1"} & set(chosen):
-        model = semantics.model(objects)
+        model = semantics.model(marked)
+        marked = objects
         if "GX.2.7.5" in chosen:
             parts.append(semantics.dead_stores(model))
         if "GX.SEC.1" in chosen:
@@ -53,7 +61,7 @@ def findings(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, ret
     out = parts[0].select(*COLUMNS)
     for p in parts[1:]:
         out = out.unionByName(p.select(*COLUMNS))
-    return out
+    return counters.findings(out) if counters else out
 
 
 @dataclass
@@ -70,6 +78,7 @@ class Result:
     security: dict | None = None
     held: DataFrame | None = None
     projects: list[Coverage] = field(default_factory=list)
+    counters: dict = field(default_factory=dict)
 
     def release(self) -> None:
         """Give back the memory that the findings are held in; they are computed anew if they are read later."""
@@ -109,7 +118,8 @@ def with_deadline(spark: SparkSession, seconds: float, job):
 def audit(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, policy=None, max_findings: int | None = None, failures: list[tuple[str, str]] | None = None, cancelled: bool = False, retain_evidence: bool = False, scanned: int | None = None, limits: Limits | None = None) -> Result:
     """Run the rules and decide. The cap keeps the first findings in order and makes the run partial, and so do limits that cut a project."""
     policy, failures, covers = policy or decisions.Absolute(), failures or [], []
-    found = held = findings(objects, ids, retain_evidence, limits, covers).persist()
+    counters = Counters([i for i in CONCRETE if i in set(ids)])
+    found = held = findings(objects, ids, retain_evidence, limits, covers, counters).persist()
     limited = any(c.truncated for c in covers)
     if max_findings is not None:
         over = found.count() > max_findings
@@ -123,4 +133,8 @@ def audit(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, policy
     row = row.withColumn("completion", done)
     row = row.withColumn("verdict", decisions.verdict(F.col("completion"), F.lit(security["errors"] if security else 0), policy.passes())).first()
     numbers = {k: row[k] for k in ("total_findings", "errors", "warnings", "info")}
-    return Result(ordered(found), numbers, policy, row["completion"], row["verdict"], objects.count() if scanned is None else scanned, failures, security.asDict() if security else None, held, covers)
+    scanned = objects.count() if scanned is None else scanned
+    counts = counters.of(covers)
+    if "objects" not in counters.marks:
+        counts["objects_extracted"] = scanned
+    return Result(ordered(found), numbers, policy, row["completion"], row["verdict"], scanned, failures, security.asDict() if security else None, held, covers, counts)

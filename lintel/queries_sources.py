@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from . import oracles as o
 from .functions import lexical as x
-from .operators import decisions, paging, user_rules
+from .operators import decisions, paging, rank_index, user_rules
+from .operators.lines import FLAGS
 from .plans import corpus
-from .plans.catalog import DEFAULT, catalog
+from .plans.audit import audit
+from .plans.catalog import DEFAULT, catalog, routes
 from .registry import query
 from .sources import discovery, packages, planning, readers, reports, store
 
@@ -329,3 +331,25 @@ def user_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = registry.findings(parse_lines(corpus.event_objects(spark, sf_dir)))
     return found.select("object_key", "line_number", "line_content", "description")
+
+
+@query("page_deep", "SELECT CAST(row_number() OVER (ORDER BY value, event_id) - 1 AS BIGINT) AS rank, event_id, value FROM events QUALIFY rank >= 5000 AND rank < 5100")
+def page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks 5,000 to 5,099 of events by value, from the ranges that they lie in."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value")
+    return rank_index.RankIndex(rows, [F.col("value"), F.col("event_id")]).page(5000, 100)
+
+
+_ASKED = " + ".join("CAST(" + " OR ".join(flags) + " AS INTEGER)" for flags in routes(DEFAULT).values())
+_FLAGGED = ", ".join(f"contains(clean_lower, '{needle}') AS {name}" for name, needle in FLAGS.items())
+
+
+@query("audit_counters", f"""WITH {o.EVENTS}, {o.LINES}, flagged AS (SELECT *, {_FLAGGED} FROM lines)
+SELECT (SELECT count(*) FROM objects) AS objects_extracted, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM objects) AS source_bytes, (SELECT count(*) FROM lines) AS lines_evaluated,
+  (SELECT CAST(sum({len(DEFAULT) - len(routes(DEFAULT))} + {_ASKED}) AS BIGINT) FROM flagged) AS rule_evaluations, (SELECT count(*) FROM ({_DEFAULT})) AS findings_emitted, CAST({len(DEFAULT)} AS BIGINT) AS rule_factory_invocations""")
+def audit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an audit of the default profile counts in passing."""
+    result = audit(corpus.event_objects(spark, sf_dir))
+    result.release()
+    names = ("objects_extracted", "source_bytes", "lines_evaluated", "rule_evaluations", "findings_emitted", "rule_factory_invocations")
+    return spark.createDataFrame([tuple(result.counters[n] for n in names)], ", ".join(f"{n} long" for n in names))

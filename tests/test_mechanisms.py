@@ -115,3 +115,41 @@ def test_user_rules_of_all_kinds(spark):
     for wrong in (lambda: registry.findings(lines, ["U.9"]), lambda: registry.line_rule("U.1", "INFO", "x", F.lit(True), F.lit("")), lambda: registry.line_rule("GX.1.1", "INFO", "x", F.lit(True), F.lit("")), lambda: registry.line_rule("U.4", "BAD", "x", F.lit(True), F.lit(""))):
         with pytest.raises(ValueError):
             wrong()
+
+
+def test_deep_pages_read_their_ranges(spark):
+    import random
+
+    from lintel.operators.rank_index import RankIndex
+
+    rng = random.Random(2)
+    rows = [(rng.randrange(50), i, f"x{i}") for i in range(2000)]
+    index = RankIndex(spark.createDataFrame(rows, "a int, b int, t string").repartition(3), [F.col("a"), F.col("b")], ranges=8)
+    want = sorted(rows)
+    assert index.count() == 2000
+    for offset, limit in ((0, 10), (995, 20), (1990, 50), (5000, 10), (0, 2000), (7, 0)):
+        assert [tuple(r) for r in index.page(offset, limit).collect()] == [(offset + k, *r) for k, r in enumerate(want[offset : offset + limit])]
+    page = index.page(1200, 10)
+    assert 1 <= len({f.split("lintel_range=")[1].split("/")[0] for f in page.inputFiles()}) <= 8
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(lintel_range" in plan or "PartitionFilters: [lintel_range" in plan
+    page.collect()
+    read = page._jdf.queryExecution().executedPlan().toString()
+    assert len(index.ranges.where("before < 1210 and before + n > 1200").collect()) <= 2 and "lintel_range" in read
+    empty = RankIndex(spark.createDataFrame([], "a int, b int, t string"), [F.col("a"), F.col("b")])
+    assert empty.count() == 0 and empty.page(0, 5).collect() == []
+
+
+def test_counters_come_with_the_run(spark):
+    from lintel.plans import audit
+
+    texts = ["&i = &i + 1\n//\n\nif &a\nendif", "clean"]
+    rows = spark.createDataFrame([(f"o{i}", t, i) for i, t in enumerate(texts)], "object_key string, text string, ord long")
+    one = audit.audit(rows, ["GX.1.7.2", "GX.2.7.2", "GX.1.5"]).counters
+    assert (one["objects_extracted"], one["source_bytes"], one["lines_evaluated"], one["findings_emitted"]) == (2, sum(map(len, texts)), 5, 2)
+    assert one["rule_evaluations"] == 5 + 2 + 2  # all lines; the two with & or =; the two with if (in endif too)
+    assert one["first_finding_millis"] > 0 and one["fact_model_requests"] == 0 and one["rule_factory_invocations"] == 3
+    two = audit.audit(rows, ["GX.2.7.5", "GX.SEC.3"]).counters
+    assert (two["objects_extracted"], two["fact_model_requests"], two["project_objects"], two["findings_emitted"], two["first_finding_millis"]) == (2, 2, 2, 0, None)
+    assert audit.audit(rows, ["GX.2.7.4"]).counters["lines_evaluated"] == 5
+    assert audit.audit(rows, ["GX.SEC.2"]).counters["objects_extracted"] == 2
