@@ -8,12 +8,23 @@ from __future__ import annotations
 
 import time
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.catalog import BY_ID, routes
 
 
+def _observed(mark: Observation) -> dict:
+    """What a mark counted; nothing where the optimizer found that no row can reach it and took it out of the plan."""
+    try:
+        return mark.get
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getName() != "java.lang.AssertionError":
+            raise
+        return {}
+
+
 class Counters:
     """Marks on objects, lines and findings; ``of()`` gives the counts once the marked plan has run."""
 
@@ -44,10 +55,12 @@ class Counters:
         timed = df.withColumn("lintel_ms", F.expr("CAST(reflect('java.lang.System', 'currentTimeMillis') AS BIGINT)"))
         return self._observe("findings", timed, F.count(F.lit(1)).alias("findings_emitted"), F.min("lintel_ms").alias("first_ms")).drop("lintel_ms")
 
-    def of(self, projects=()) -> dict[str, int | None]:
+    def of(self, projects=(), scanned: int = 0) -> dict[str, int | None]:
+        """All counters; scanned: how many objects there are, for plans on which they could not be marked."""
         out: dict[str, int | None] = {k: 0 for k in ("objects_extracted", "source_bytes", "lines_evaluated", "rule_evaluations", "findings_emitted")}
         for mark in self.marks.values():
-            out |= mark.get
+            out |= _observed(mark)
+        out["objects_extracted"] = out["objects_extracted"] or scanned
         first = out.pop("first_ms", None)
         out["first_finding_millis"] = None if first is None else max(0, int(first - self.began * 1000))
         asked = [i for i in self.ids if BY_ID[i].scope in ("object", "project")]

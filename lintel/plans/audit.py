@@ -134,7 +134,4 @@ def audit(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, policy
     row = row.withColumn("verdict", decisions.verdict(F.col("completion"), F.lit(security["errors"] if security else 0), policy.passes())).first()
     numbers = {k: row[k] for k in ("total_findings", "errors", "warnings", "info")}
     scanned = objects.count() if scanned is None else scanned
-    counts = counters.of(covers)
-    if "objects" not in counters.marks:
-        counts["objects_extracted"] = scanned
-    return Result(ordered(found), numbers, policy, row["completion"], row["verdict"], scanned, failures, security.asDict() if security else None, held, covers, counts)
+    return Result(ordered(found), numbers, policy, row["completion"], row["verdict"], scanned, failures, security.asDict() if security else None, held, covers, counters.of(covers, scanned))

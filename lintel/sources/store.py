@@ -1,11 +1,22 @@
 """History of runs, rules and settings as Parquet tables.
 
-A run's issues are written first and its row last: a run without a row never
-happened, so a writer that is lost leaves nothing half done.
+Runs are published by a log: a run's issues are written to a folder of their own, and
+then one small file with the run's row and that folder's token appears in the log, at
+once or not at all.  What the log doesn't name never happened, so a lost writer leaves
+nothing half done (``vacuum`` deletes what it wrote), and a reader that keeps a
+snapshot, the number of the last log entry it has seen, sees the same runs and issues
+whatever is written meanwhile.
+
+The schema has versions that only add columns; what an older version has not is null.
+Version 1 had no log: its runs lie in a table whose rows were added after their issues,
+and they belong to every snapshot.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +24,18 @@ from ..functions.lexical import setting_type
 from ..operators.paging import keyset_page, retained, run_page
 from ..plans.catalog import catalog
 
-RUN = "id long, started timestamp, policy string, completion string, verdict string, total_findings long, errors long, warnings long, info long, snapshot string"
-ISSUE = "run_id long, id long, rule_id string, severity string, line_number int, line_content string, description string, object_key string"
+#: Columns by the version that added them.
+RUN_COLUMNS = {1: "id long, started timestamp, policy string, completion string, verdict string, total_findings long, errors long, warnings long, info long", 2: "snapshot string", 3: "counters string, reasons string"}
+ISSUE_COLUMNS = {1: "run_id long, id long, rule_id string, severity string, line_number int, line_content string, description string", 2: "object_key string", 3: "phase int, emit_line int, rule_ord int, sub_idx int"}
+VERSION = 3
+
+
+def _schema(columns: dict[int, str], version: int = VERSION) -> str:
+    return ", ".join(c for v, c in columns.items() if v <= version)
+
+
+RUN, ISSUE = _schema(RUN_COLUMNS), _schema(ISSUE_COLUMNS)
+ENTRY = f"number long, version int, token string, {RUN}"
 
 
 class History:
@@ -23,40 +44,113 @@ class History:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}") if there else self.spark.createDataFrame([], schema)
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
-    def runs(self) -> DataFrame:
-        return self._table("audit_runs", RUN)
+    def _files(self, path):
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def issues(self) -> DataFrame:
-        """Issues of runs that have a row."""
-        return self._table("audit_issues", ISSUE).join(self.runs().select(F.col("id").alias("run_id")), "run_id", "left_semi")
+    def _table(self, name: str, schema: str) -> DataFrame:
+        path = self._path(name)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}") if self._files(path).exists(path) else self.spark.createDataFrame([], schema)
+
+    def _numbers(self) -> list[int]:
+        path = self._path("log")
+        files = self._files(path)
+        names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
+
+    def snapshot(self) -> int:
+        """The number of the last log entry (0: none)."""
+        return max(self._numbers(), default=0)
+
+    def log(self, at: int | None = None) -> DataFrame:
+        """Log entries up to a snapshot (by default the last)."""
+        if not self._numbers():
+            return self.spark.createDataFrame([], ENTRY)
+        rows = self.spark.read.schema(ENTRY).json(f"{self.folder}/log")
+        return rows.where(F.col("number") <= (self.snapshot() if at is None else at))
+
+    def runs(self, at: int | None = None) -> DataFrame:
+        columns = [c.split()[0] for c in RUN.split(", ")]
+        return self._table("audit_runs", RUN).union(self.log(at).select(*columns))
+
+    def issues(self, at: int | None = None) -> DataFrame:
+        """Issues of published runs, and of runs of version 1 that have a row."""
+        columns = [c.split()[0] for c in ISSUE.split(", ")]
+        old = self._table("audit_issues", ISSUE).join(self._table("audit_runs", RUN).select(F.col("id").alias("run_id")), "run_id", "left_semi").select(*columns)
+        new = self._table("issues", f"{ISSUE}, token string").join(self.log(at).select(F.col("id").alias("run_id"), "token"), ["run_id", "token"], "left_semi")
+        return old.union(new.select(*columns))
 
     def _claimed(self) -> int:
-        """An id after the last one that no other writer has: the file system lets one writer make a folder's mark."""
+        """A run id after the last one that no other writer has: the file system lets one writer make a mark."""
         run = (self.runs().agg(F.max("id")).first()[0] or 0) + 1
         while True:
-            mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/audit_ids/{run}")
-            files = mark.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            mark = self._path(f"audit_ids/{run}")
+            files = self._files(mark)
             if not files.exists(mark) and files.createNewFile(mark):
                 return run
             run += 1
 
+    def written(self, result, run: int) -> str:
+        """Write a run's issues; they count once published under the token that is returned."""
+        token = uuid.uuid4().hex
+        rows = result.findings.select("rule_id", "severity", "line_number", "line_content", "description", F.col("object_key").cast("string").alias("object_key"), "phase", "emit_line", "rule_ord", "sub_idx")
+        numbered = rows.withColumns({"id": F.monotonically_increasing_id(), "run_id": F.lit(run).cast("long"), "token": F.lit(token)})
+        numbered.select(*(c.split()[0] for c in ISSUE.split(", ")), "token").write.mode("append").partitionBy("run_id", "token").parquet(f"{self.folder}/issues")
+        return token
+
+    def published(self, run: int, token: str, row: dict) -> int:
+        """Add a log entry under the next free number, and return that; of two writers with one number the second takes the one after."""
+        started = self.spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")).first()[0]
+        number = self.snapshot() + 1
+        while True:
+            entry = {"number": number, "version": VERSION, "token": token, "id": run, "started": started, **row}
+            if self._placed(f"log/{number:012d}.json", json.dumps(entry)):
+                return number
+            number += 1
+
+    def _placed(self, name: str, text: str) -> bool:
+        """Make a file with all its content at once; False if there is one of that name."""
+        jvm, part, target = self.spark._jvm, self._path(f"log/.{uuid.uuid4().hex}"), self._path(name)
+        files = self._files(part)
+        out = files.create(part, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), self.spark._jsc.hadoopConfiguration()).rename(part, target, options)
+        except Exception:
+            files.delete(part, False)
+            if files.exists(target):
+                return False
+            raise
+        return True
+
     def persist(self, result) -> int:
         """Add a run; its id is one more than the last that was claimed."""
         run = self._claimed()
-        rows = result.findings.select("rule_id", "severity", "line_number", "line_content", "description", F.col("object_key").cast("string").alias("object_key"))
-        numbered = rows.withColumn("id", F.monotonically_increasing_id()).withColumn("run_id", F.lit(run).cast("long"))
-        numbered.select(*(c.split()[0] for c in ISSUE.split(", "))).write.mode("append").partitionBy("run_id").parquet(f"{self.folder}/audit_issues")
-        m = result.metrics
-        head = self.spark.createDataFrame([(result.policy.label(), result.completion, result.verdict, m["total_findings"], m["errors"], m["warnings"], m["info"])], "policy string, completion string, verdict string, total_findings long, errors long, warnings long, info long")
-        head = head.select(F.lit(run).cast("long").alias("id"), F.current_timestamp().alias("started"), "*", F.to_json(F.struct("*")).alias("snapshot"))
-        head.coalesce(1).write.mode("append").parquet(f"{self.folder}/audit_runs")
+        token = self.written(result, run)
+        head = {"policy": result.policy.label(), "completion": result.completion, "verdict": result.verdict, **{k: result.metrics[k] for k in ("total_findings", "errors", "warnings", "info")}}
+        reasons = [r for p in getattr(result, "projects", ()) for r in p.reasons]
+        self.published(run, token, head | {"snapshot": json.dumps(head), "counters": json.dumps(getattr(result, "counters", {})), "reasons": json.dumps(reasons)})
         return run
 
+    def vacuum(self) -> int:
+        """Delete issues that no log entry names, of writers that died; to be run while none writes. How many folders went."""
+        known = {(r["id"], r["token"]) for r in self.log().select("id", "token").toLocalIterator()}
+        path, gone = self._path("issues"), 0
+        files = self._files(path)
+        for run in files.listStatus(path) if files.exists(path) else ():
+            if not run.getPath().getName().startswith("run_id="):
+                continue
+            number = int(run.getPath().getName().partition("=")[2])
+            for f in files.listStatus(run.getPath()):
+                if (number, f.getPath().getName().partition("=")[2]) not in known:
+                    files.delete(f.getPath(), True)
+                    gone += 1
+        return gone
+
     def page(self, run: int, cursor: str | None = None, limit: int = 100) -> DataFrame:
         return keyset_page(self.issues().where(F.col("run_id") == run), cursor, limit)
 
@@ -64,7 +158,7 @@ class History:
         return run_page(self.runs(), before, limit)
 
     def keep_newest(self, n: int, target: str) -> None:
-        """Write the newest runs and their issues to another folder."""
+        """Write the newest runs and their issues to another folder, as tables that belong to every snapshot."""
         runs, issues = retained(self.runs(), self.issues(), n)
         issues.write.mode("overwrite").partitionBy("run_id").parquet(f"{target}/audit_issues")
         runs.write.mode("overwrite").parquet(f"{target}/audit_runs")

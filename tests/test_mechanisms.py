@@ -153,3 +153,36 @@ def test_counters_come_with_the_run(spark):
     assert (two["objects_extracted"], two["fact_model_requests"], two["project_objects"], two["findings_emitted"], two["first_finding_millis"]) == (2, 2, 2, 0, None)
     assert audit.audit(rows, ["GX.2.7.4"]).counters["lines_evaluated"] == 5
     assert audit.audit(rows, ["GX.SEC.2"]).counters["objects_extracted"] == 2
+
+
+def test_snapshots_and_versions_of_the_history(spark, tmp_path):
+    from lintel.operators import decisions
+    from lintel.plans import audit
+    from lintel.sources import store
+
+    folder = f"file://{tmp_path}/history"
+    rows = spark.createDataFrame([("o", "&i = &i + 1")], "object_key string, text string")
+    result = audit.audit(rows, policy=decisions.Absolute(9, 9))
+    # A folder of version 1: no log, no columns of later versions.
+    one = spark.createDataFrame([(1, "Absolute", "complete", "pass", 1, 1, 0, 0)], "id long, policy string, completion string, verdict string, total_findings long, errors long, warnings long, info long")
+    one.withColumn("started", F.current_timestamp()).write.parquet(f"{folder}/audit_runs")
+    spark.createDataFrame([(1, 0, "GX.2.5", "ERROR", 3, "x", "d"), (7, 0, "GX.2.5", "ERROR", 3, "x", "died")], store._schema(store.ISSUE_COLUMNS, 1)).write.partitionBy("run_id").parquet(f"{folder}/audit_issues")
+    history = store.History(spark, folder)
+    assert [(r.id, r.verdict, r.snapshot, r.counters) for r in history.runs().collect()] == [(1, "pass", None, None)]
+    assert [(r.run_id, r.description, r.object_key) for r in history.issues().collect()] == [(1, "d", None)]
+    # Between a writer's two steps nobody sees its run, and a kept snapshot stays as it was.
+    assert history.persist(result) == 2
+    before = history.snapshot()
+    token = history.written(result, 9)
+    assert [r.id for r in history.runs().orderBy("id").collect()] == [1, 2] and history.issues().where("run_id = 9").count() == 0
+    assert history.published(9, token, {"policy": "p", "completion": "complete", "verdict": "pass"}) == before + 1
+    assert [r.id for r in history.runs().orderBy("id").collect()] == [1, 2, 9] and history.issues().where("run_id = 9").count() == history.issues().where("run_id = 2").count() > 0
+    assert [r.id for r in history.runs(before).orderBy("id").collect()] == [1, 2] and history.issues(before).where("run_id = 9").count() == 0
+    # Two writers with one number: the second takes the next.
+    assert not history._placed(f"log/{before + 1:012d}.json", "{}")
+    assert history.published(10, "none", {}) == before + 2
+    history.written(result, 11)
+    assert history.vacuum() == 1 and history.vacuum() == 0 and history.issues().where("run_id = 9").count() > 0
+    assert '"findings_emitted"' in history.runs().where("id = 2").first().counters
+    history.keep_newest(2, f"file://{tmp_path}/kept")
+    assert [r.id for r in store.History(spark, f"file://{tmp_path}/kept").runs().orderBy("id").collect()] == [9, 10]
