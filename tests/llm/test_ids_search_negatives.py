@@ -220,3 +220,31 @@ def test_leaves_outside_an_annulus_are_not_read(spark):
     top, bottom = opened.bounds(x[::100])
     for n in range(8):
         assert (scores[:, cell == n] <= top[:, n, None]).all() and (scores[:, cell == n] >= bottom[:, n, None]).all()
+
+
+# -- places in long texts ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [1, 127, 128, 129, 256, 257, 1000])
+def test_places_of_many_matches(spark, n):
+    from lintel.llm import spans
+
+    rng = random.Random(n)
+    text = "é" + "".join(rng.choice(["ab1", " x ", "77", "日", "z9z9"]) for _ in range(n)) + "5" * (n % 2)
+    rows = spark.createDataFrame([(text,)], "text string").select(F.explode(spans.find(F.col("text"), "([a-z])?[0-9]+", 1)).alias("f")).select("f.*").collect()
+    assert [(r.start, r.end, r.text, r.part) for r in rows] == [(m.start(), m.end(), m[0], m[1] or "") for m in re.finditer("([a-z])?[0-9]+", text)]
+    assert all(text[: r.start].endswith(r.before) and text[r.end :].startswith(r.after) for r in rows)
+
+
+def test_secrets_of_a_long_list(spark, tmp_path):
+    """A checksum list of 2 MB: time is in proportion to its matches."""
+    import time
+
+    from lintel.llm import secrets
+
+    rng = random.Random(9)
+    text = "\n".join(f"{rng.getrandbits(96):024x}" for _ in range(80_000))
+    began = time.time()
+    row = secrets.digest(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), str(tmp_path / "ledger"), "doc_id")).first()
+    assert row.n_hex == 80_000 and row.spans.endswith(f"hex:{25 * 79_999}:{25 * 79_999 + 24}")
+    assert time.time() - began < 60
