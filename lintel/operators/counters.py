@@ -1,7 +1,8 @@
 """Counters of a run, observed on the plans that run anyway.
 
 ``Counters`` marks the relations of an audit; what they count comes with the job that
-makes the findings, so nothing is read again for it.
+makes the findings, so nothing is read again for it.  Only where no finding comes of a
+relation can the optimizer take its mark out of the plan; it is then counted by itself.
 """
 
 from __future__ import annotations
@@ -15,14 +16,23 @@ from pyspark.sql import functions as F
 from ..plans.catalog import BY_ID, routes
 
 
-def _observed(mark: Observation) -> dict:
-    """What a mark counted; nothing where the optimizer found that no row can reach it and took it out of the plan."""
-    try:
-        return mark.get
-    except Py4JJavaError as e:
-        if e.java_exception.getClass().getName() != "java.lang.AssertionError":
-            raise
-        return {}
+#: Seconds to wait for the counts of a job that has ended.
+PATIENCE = 5.0
+
+
+def _observed(mark: Observation, df: DataFrame, what: tuple) -> dict:
+    """What a mark counted; counts of a mark that was taken out of the plan never come."""
+    until = time.time() + PATIENCE
+    while time.time() < until:
+        if mark._jo is not None and mark._jo.future().isCompleted():
+            try:
+                return mark.get
+            except Py4JJavaError as e:  # a mark below a relation found to be empty
+                if e.java_exception.getClass().getName() != "java.lang.AssertionError":
+                    raise
+                break
+        time.sleep(0.05)
+    return df.agg(*what).first().asDict()
 
 
 class Counters:
@@ -30,13 +40,14 @@ class Counters:
 
     def __init__(self, ids: list[str] | tuple[str, ...]):
         self.ids, self.began = list(ids), time.time()
-        self.marks: dict[str, Observation] = {}
+        self.marks: dict[str, tuple[Observation, DataFrame, tuple]] = {}
 
     def _observe(self, name: str, df: DataFrame, *what) -> DataFrame:
         if name in self.marks:  # a plan has each mark once
             return df
-        self.marks[name] = Observation()
-        return df.observe(self.marks[name], *what)
+        mark = Observation()
+        self.marks[name] = mark, df, what
+        return df.observe(mark, *what)
 
     def objects(self, df: DataFrame) -> DataFrame:
         size = F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("source_bytes")
@@ -59,7 +70,7 @@ class Counters:
         """All counters; scanned: how many objects there are, for plans on which they could not be marked."""
         out: dict[str, int | None] = {k: 0 for k in ("objects_extracted", "source_bytes", "lines_evaluated", "rule_evaluations", "findings_emitted")}
         for mark in self.marks.values():
-            out |= _observed(mark)
+            out |= _observed(*mark)
         out["objects_extracted"] = out["objects_extracted"] or scanned
         first = out.pop("first_ms", None)
         out["first_finding_millis"] = None if first is None else max(0, int(first - self.began * 1000))
