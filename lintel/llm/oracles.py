@@ -157,3 +157,32 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec
 FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
+
+#: The base columns of quality rules.
+QUALITY_BASE = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+split AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols FROM texts),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM split WHERE len(w) >= 3),
+repeated AS (SELECT doc_id, p FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM repeated) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+FROM split LEFT JOIN covered USING (doc_id)
+"""
+
+_DIGITS = "regexp_replace(part, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST({_DIGITS}[-i] AS INTEGER) ELSE CAST({_DIGITS}[-i] AS INTEGER) * 2 - 9 * (CAST({_DIGITS}[-i] AS INTEGER) // 5) END)) % 10 = 0"
+#: The base columns of personal data.
+PII_BASE = rf"""
+WITH base AS (
+  SELECT *, 0 AS rank FROM ({_places("email", r"'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'")})
+  UNION ALL SELECT *, 1 FROM ({_places("ip", r"'[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'")}) WHERE len(list_filter(string_split(part, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0
+  UNION ALL SELECT *, 2 FROM ({_places("card", r"'[0-9]([\x20-]?[0-9])+'")}) WHERE length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}
+  UNION ALL SELECT *, 3 FROM ({_places("phone", r"'\+[0-9][\x20().0-9-]+[0-9]'")}) WHERE length({_DIGITS}) BETWEEN 9 AND 15
+), by_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 'email') AS e, count(*) FILTER (kind = 'ip') AS i, count(*) FILTER (kind = 'card') AS c, count(*) FILTER (kind = 'phone') AS p,
+         string_agg(concat(kind, ':', CAST(start AS BIGINT), ':', CAST("end" AS BIGINT)), ',' ORDER BY rank, start) AS spans FROM base GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(e, 0) AS BIGINT) AS n_email, CAST(coalesce(i, 0) AS BIGINT) AS n_ip, CAST(coalesce(c, 0) AS BIGINT) AS n_card, CAST(coalesce(p, 0) AS BIGINT) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256
+FROM documents d LEFT JOIN by_doc USING (doc_id)
+"""

@@ -75,6 +75,16 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that nothing is learned for."""
+    return op3_quality_rules(spark, sf_dir).drop("kept")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that nothing is learned for."""
+    return op8_pii(spark, sf_dir).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
@@ -89,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_id_files": op11_id_files,
     "op12_lexical_search": op12_lexical_search,
     "op13_hard_negatives": op13_hard_negatives,
+    "quality_base": quality_base,
+    "pii_base": pii_base,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,4 +110,6 @@ ORACLE_SQL: dict[str, str] = {
     "op10_secret_scan": oracles.SECRET_SCAN,
     "op12_lexical_search": oracles.LEXICAL_SEARCH,
     "op13_hard_negatives": oracles.HARD_NEGATIVES,
+    "quality_base": oracles.QUALITY_BASE,
+    "pii_base": oracles.PII_BASE,
 }
