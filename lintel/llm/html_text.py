@@ -24,11 +24,14 @@ by its own tokens alone: its article and main elements, or else the whole page.
 
 An element is a menu, header and so on by its name or by the parts of its class, id
 and role.  Parts in ``ALWAYS`` are enough; those in ``ALONE`` count only if all other
-parts of the name are in ``CHROME`` ("site-header", not "article-header").  A heading
-is never one by its own name, and headings in an article's header element stay.
+parts of the name are in ``CHROME`` ("site-header", not "article-header"; "cookie-bar", not
+"cookie-recipe").  Names that begin with a part of ``LAYOUT`` ("has-sidebar") are those of
+elements around.  A heading is never one by its own name, and headings in an article's header element stay.
 
 Blocks are split at block elements; character references are decoded, white
-space becomes one space, and blocks are joined by an empty line.
+space becomes one space, and blocks are joined by an empty line.  Elements that lie
+deeper than ``DEPTH`` have the token of the element at that depth, so a page whose
+elements are never closed takes time in proportion to its length; its text is whole.
 
 Defined results: a null html is an empty page with an empty text; a tag, comment
 or reference cut off at the end of a page is no text (a cut reference stays as it
@@ -65,18 +68,22 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 ENDS_P = BLOCK - {"button", "caption", "legend", "option", "select", "summary", "svg", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "head"}
 DROP = {"aside", "button", "dialog", "footer", "form", "head", "header", "menu", "nav", "select", "svg"}
 ALWAYS = {
-    "ad", "ads", "advert", "advertisement", "adverts", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "gdpr", "masthead", "nav", "navbar",
-    "navigation", "newsletter", "popup", "respond", "sidebar", "signup", "sponsor", "sponsored", "subscribe", "toolbar", "contentinfo", "complementary", "alertdialog",
+    "ad", "ads", "advert", "advertisement", "adverts", "advertising", "breadcrumb", "breadcrumbs", "comment", "commentform", "commentlist", "comments", "consent", "disqus", "gdpr", "masthead", "nav", "navbar",
+    "navigation", "newsletter", "popup", "replies", "respond", "sidebar", "signup", "sponsor", "sponsored", "subscribe", "toolbar", "contentinfo", "complementary", "alertdialog",
 }
-ALONE = {"alert", "banner", "copyright", "footer", "header", "login", "menu", "modal", "notice", "notices", "promo", "promotion", "related", "search", "share", "sharing", "social", "widget"}
+ALONE = {"alert", "banner", "cookie", "cookies", "copyright", "footer", "header", "login", "menu", "modal", "notice", "notices", "promo", "promotion", "related", "search", "share", "sharing", "social", "widget"}
 CHROME = {
     "area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "center", "col", "column", "container", "desktop", "fixed", "form", "global", "icons", "inner", "item", "items", "left",
     "link", "links", "list", "main", "media", "mobile", "news", "outer", "overlay", "page", "panel", "posts", "right", "row", "section", "site", "sticky", "stories", "top", "wrap", "wrapper",
 }
+#: First parts of names that say how an element around such a part is laid out.
+LAYOUT = ("has", "with", "without", "no", "left", "right")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = ("article", "main")
 
 
+#: Elements of a path in a token.
+DEPTH = 64
 #: An equivalence class by its fingerprint: vector, pages and occurrences.
 Class = tuple[int, int, int]
 
@@ -92,8 +99,11 @@ class Block:
 
 def named(value: str) -> bool:
     """Whether one class, id or role names a part of a page that is not its text."""
-    parts = {p for p in re.split(r"[_-]+", value) if p and not p.isdigit()}
-    return bool(parts & ALWAYS) or bool(parts & ALONE) and parts <= ALONE | CHROME
+    parts = [p for p in re.split(r"[_-]+", value) if p and not p.isdigit()]
+    if len(parts) > 1 and parts[0] in LAYOUT:
+        return False
+    known = set(parts)
+    return bool(known & ALWAYS) or bool(known & ALONE) and known <= ALWAYS | ALONE | CHROME
 
 
 def parse(page: str) -> tuple[dict[tuple[str, ...], int], list[Block]]:
@@ -103,6 +113,7 @@ def parse(page: str) -> tuple[dict[tuple[str, ...], int], list[Block]]:
     tokens: dict[tuple[str, ...], int] = {}
     blocks: list[Block] = []
     parts: list[str] = []
+    opened: Counter[str] = Counter()
     link, linked, at, n = 0, 0, 0, len(page)
 
     def flush() -> None:
@@ -110,7 +121,7 @@ def parse(page: str) -> tuple[dict[tuple[str, ...], int], list[Block]]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            blocks.append(Block(tuple(s[1] for s in stack), bool(stack) and stack[-1][2], text, linked))
+            blocks.append(Block(tuple(s[1] for s in stack[:DEPTH]), bool(stack) and stack[-1][2], text, linked))
         linked = 0
 
     while at < n:
@@ -141,14 +152,15 @@ def parse(page: str) -> tuple[dict[tuple[str, ...], int], list[Block]]:
             continue
         flush()
         if closing:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
+            while opened[name]:
+                opened[gone := stack.pop()[0]] -= 1
+                if gone == name:
+                    break
             continue
         if name in ENDS_P and stack and stack[-1][0] == "p":
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         if stack and stack[-1][0] in CLOSES.get(name, ()):
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         chrome, label = False, name
         for a in ATTRIBUTE.finditer(attributes):
             values = (a[2] or a[3] or a[4] or "").lower().split()
@@ -160,11 +172,12 @@ def parse(page: str) -> tuple[dict[tuple[str, ...], int], list[Block]]:
         if name in HEADINGS and by_header:
             inside = by_header = False
         elif own and not inside:
-            by_header = name == "header" and not chrome and any(s[0] in MAIN for s in stack)
+            by_header = name == "header" and not chrome and any(opened[m] for m in MAIN)
         elif own:
             by_header = False
         stack.append((name, label, inside or own, by_header))
-        path = tuple(s[1] for s in stack)
+        opened[name] += 1
+        path = tuple(s[1] for s in stack[:DEPTH])
         tokens[path] = tokens.get(path, 0) + 1
     flush()
     return tokens, blocks

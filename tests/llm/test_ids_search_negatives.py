@@ -248,3 +248,35 @@ def test_secrets_of_a_long_list(spark, tmp_path):
     row = secrets.digest(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), str(tmp_path / "ledger"), "doc_id")).first()
     assert row.n_hex == 80_000 and row.spans.endswith(f"hex:{25 * 79_999}:{25 * 79_999 + 24}")
     assert time.time() - began < 60
+
+
+# -- pages ------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<div class='content has-sidebar'><h1>Head</h1><p>Body</p></div>", "Head\n\nBody"),
+        ("<div class='layout right-sidebar'><article><p>Body</p></article><div class='sidebar'>Side</div></div>", "Body"),
+        ("<article><p>One</p><div class='cookie-recipe'><p>Two eggs</p></div><div class='cookie-bar'>We use cookies</div></article>", "One\n\nTwo eggs"),
+        ("<article><p>One</p><ol class='commentlist'><li>First!</li></ol><div class='user-replies'>Me too</div></article>", "One"),
+        ("<body class='no-sidebar'><main><p>x</p></main><div class='sidebar-right'>y</div></body>", "x"),
+    ],
+)
+def test_wrappers_stay_and_comment_lists_go(spark, page, want):
+    from lintel.llm import html_text
+
+    rows = [(i, f"http://h{i}.example/{i}", page) for i in range(3)]
+    assert {r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {want}
+
+
+def test_a_page_that_closes_nothing(spark):
+    import time
+
+    from lintel.llm import html_text
+
+    deep = "".join(f"<div>text{i}" for i in range(20_000)) + "</section>" * 2_000
+    began = time.time()
+    got = html_text.extract(spark.createDataFrame([(1, "http://a.example/1", deep), (2, "http://a.example/2", "<p>x</p>")], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert got[0].text.split("\n\n") == [f"text{i}" for i in range(20_000)] and got[1].text == "x"
+    assert time.time() - began < 60
