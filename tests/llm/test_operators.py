@@ -562,7 +562,11 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == ({None, 1, 2, 4} if name == "full" else set())
 
 
-@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n != "op4_packing"))
+#: Their rows depend on other rows or other tables; each has tests of its own for these cases.
+OWN = ("op4_packing", "op11_id_files", "op12_lexical_search", "op13_hard_negatives")
+
+
+@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n not in OWN))
 def test_operators_of_empty_and_repeated_rows(spark, tmp_path, name):
     """Empty tables give no rows; a table whose rows stand twice gives each row's result twice."""
     text = "Mail a@b.cd, token = abcdef12 and\nthe text goes on with a number of words that stand here only once"
