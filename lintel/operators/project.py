@@ -15,7 +15,7 @@ its own sinks before its calls.  Objects, lines and classes don't depend on that
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,27 +143,41 @@ def object_calls(model: taint.Model) -> DataFrame:
 
 
 @dataclass
-class Project:
-    """The relations that flows between objects are found in."""
+class Summaries:
+    """What is known of objects by themselves; each table has an object_key, so those of other objects can be put beside them."""
 
-    model: taint.Model
-    #: object_key, line_no, pos, callee, args: calls of objects that are there
+    #: object_key, line_no, pos, callee, args: calls of objects, there or not
     calls: DataFrame
-    #: object_key, seed; object_key, seed, name, time
-    groups: DataFrame
-    reached: DataFrame
+    #: object_key, param_idx, name, direction, line_no
+    parameters: DataFrame
+    #: object_key, seed, name, trace: what each seed reaches, and how
+    paths: DataFrame
+    #: object_key, seed, line_no, pos, sink, source, i, method, receiver, k: the sinks that each seed reaches
+    sinks: DataFrame
     #: object_key, param_idx, seed, line_no, sink, k: sinks that an input parameter reaches
     param_sinks: DataFrame
     #: object_key, from_param, to_param: output parameters that an input parameter reaches
     param_outs: DataFrame
 
+    def tables(self) -> dict[str, DataFrame]:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
 
-def summarize(objects: DataFrame) -> Project:
-    """Summaries of all objects (object_key, text), each seed followed inside its object."""
+
+#: The step that holds the place of a seed's own trace.
+PLACE = ("seed", 0, "")
+
+
+def summarize(objects: DataFrame, known: DataFrame | None = None) -> Summaries:
+    """Summaries of objects (object_key, text), each seed followed inside its object.
+
+    known: parameters of further objects that these may call.
+    """
     model = taint.build(objects)
     keep = model.rounds.keep
-    calls = keep(object_calls(model).join(objects.select(F.col("object_key").alias("callee")), "callee", "left_semi"))
-    returned = calls.join(model.parameters.where("direction in ('Out', 'InOut')").select(F.col("object_key").alias("callee"), "param_idx"), "callee")
+    calls = keep(object_calls(model))
+    gives = model.parameters.where("direction in ('Out', 'InOut')")
+    others = gives if known is None else gives.select("object_key", "param_idx").union(known.where("direction in ('Out', 'InOut')").select("object_key", "param_idx"))
+    returned = calls.join(others.select(F.col("object_key").alias("callee"), "param_idx"), "callee")
     returned = returned.select("object_key", F.get("args", F.col("param_idx")).alias("seed")).where("seed is not null")
     none = objects.select("object_key", F.lit("").alias("seed"))
     groups = keep(none.union(model.parameters.select("object_key", F.col("name").alias("seed"))).union(returned).distinct())
@@ -171,17 +185,21 @@ def summarize(objects: DataFrame) -> Project:
     reached = taint.reach(model, seeds, groups)
     takes = model.parameters.where(F.col("direction").isin("In", "InOut") & (F.col("param_idx") < FLOW_PARAMS)).join(model.complete, "object_key", "left_semi")
     takes = keep(takes.select("object_key", "param_idx", F.col("name").alias("seed")))
-    found = keep(taint.sinks(model, reached).join(takes, ["object_key", "seed"]).select("object_key", "param_idx", "seed", "line_no", "sink", "k"))
-    gives = model.parameters.where("direction in ('Out', 'InOut')").select("object_key", F.col("param_idx").alias("to_param"), "name")
-    outs = takes.join(reached.select("object_key", "seed", "name"), ["object_key", "seed"]).join(gives, ["object_key", "name"])
-    return Project(model, calls, groups, reached, found, keep(outs.select("object_key", F.col("param_idx").alias("from_param"), "to_param")))
+    sinks = keep(taint.sinks(model, reached))
+    outs = takes.join(reached.select("object_key", "seed", "name"), ["object_key", "seed"]).join(gives.select("object_key", F.col("param_idx").alias("to_param"), "name"), ["object_key", "name"])
+    place = F.array(step(PLACE[0], F.lit(PLACE[1]), F.lit(PLACE[2])))
+    paths = taint.traces(model, reached, seeds.withColumn("trace", place)).select("object_key", "seed", "name", "trace")
+    return Summaries(
+        calls, model.parameters, keep(paths), sinks, keep(sinks.join(takes, ["object_key", "seed"]).select("object_key", "param_idx", "seed", "line_no", "sink", "k")),
+        keep(outs.select("object_key", F.col("param_idx").alias("from_param"), "to_param")),
+    )
 
 
-def seed_edges(p: Project) -> DataFrame:
+def seed_edges(p: Summaries) -> DataFrame:
     """object_key, seed, to_object, to_seed, line_no, pos, i, j, arg: where a seed leads between objects; j is null for the way into the callee."""
     passed = p.calls.select("object_key", "line_no", "pos", "callee", "args", F.posexplode("args").alias("i", "arg"))
-    met = passed.join(p.reached.select("object_key", "seed", F.col("name").alias("arg")), ["object_key", "arg"])
-    params = p.model.parameters.select(F.col("object_key").alias("callee"), F.col("param_idx").alias("i"), F.col("name").alias("to_seed"))
+    met = passed.join(p.paths.select("object_key", "seed", F.col("name").alias("arg")), ["object_key", "arg"])
+    params = p.parameters.select(F.col("object_key").alias("callee"), F.col("param_idx").alias("i"), F.col("name").alias("to_seed"))
     into = met.join(params, ["callee", "i"]).select("object_key", "seed", F.col("callee").alias("to_object"), "to_seed", "line_no", "pos", "i", F.lit(None).cast("int").alias("j"), "arg", "callee")
     outs = p.param_outs.select(F.col("object_key").alias("callee"), F.col("from_param").alias("i"), F.col("to_param").alias("j"))
     back = met.join(outs, ["callee", "i"]).withColumn("to_seed", F.get("args", F.col("j"))).where("to_seed is not null")
@@ -197,18 +215,18 @@ def _longer(path: Column, *steps: Column) -> Column:
 
 def _whole(base: Column, trace: Column) -> Column:
     """The trace of a variable behind that of its seed, whose place its first step holds (none: the way begins in the object itself)."""
-    rest = F.when(F.get(trace, F.lit(0))["kind"] == "seed", F.concat(base, F.slice(trace, 2, TRACE))).otherwise(trace)
+    rest = F.when(F.get(trace, F.lit(0))["kind"] == PLACE[0], F.concat(base, F.slice(trace, 2, TRACE))).otherwise(trace)
     return F.slice(rest, 1, TRACE)
 
 
-def active_seeds(p: Project, starts: DataFrame, paths: DataFrame) -> tuple[DataFrame, int]:
+def active_seeds(p: Summaries, starts: DataFrame, rounds: Rounds) -> tuple[DataFrame, int]:
     """object_key, seed, level, base: seeds that outside values come to, in which round and by which trace; and the number of rounds.
 
-    starts: object_key, seed, base of the first round; paths: object_key, seed, name, trace within objects.
+    starts: object_key, seed, base of the first round.
     """
-    keep = p.model.rounds.keep
+    keep = rounds.keep
     edges = keep(seed_edges(p))
-    steps = paths.select("object_key", "seed", F.col("name").alias("arg"), "trace")
+    steps = p.paths.select("object_key", "seed", F.col("name").alias("arg"), "trace")
     seen = new = keep(starts.select("object_key", "seed", F.lit(1).alias("level"), "base"))
     level = 1
     while not new.isEmpty():
@@ -229,10 +247,15 @@ def active_seeds(p: Project, starts: DataFrame, paths: DataFrame) -> tuple[DataF
 def analyze(objects: DataFrame, limits: Limits | None = None, with_components: bool = True) -> tuple[DataFrame, Coverage]:
     """GX.SEC.3: findings of objects (object_key, ord, text), and what was covered; with_components: count the strongly connected ones too."""
     limits, cover = limits or Limits(), Coverage()
-    rounds = Rounds(objects.sparkSession, "project")
-    rows = rounds.keep(inputs(objects, limits, cover))
+    rows = Rounds(objects.sparkSession, "project").keep(inputs(objects, limits, cover))
+    return solve(summarize(rows.select("object_key", "text")), rows, limits, cover, with_components), cover
+
+
+def solve(p: Summaries, rows: DataFrame, limits: Limits, cover: Coverage, with_components: bool = True) -> DataFrame:
+    """The findings of objects (object_key, ord, text) with these summaries; cover gets what was covered."""
+    rounds = Rounds(rows.sparkSession, "solve")
     cover.objects = rows.count()
-    p = summarize(rows.select("object_key", "text"))
+    p = replace(p, calls=rounds.keep(p.calls.join(rows.select(F.col("object_key").alias("callee")), "callee", "left_semi")))
     deps = p.calls.select(F.col("object_key").alias("caller"), "callee").distinct()
     if limits.edges is not None:
         count = deps.count()
@@ -243,34 +266,32 @@ def analyze(objects: DataFrame, limits: Limits | None = None, with_components: b
     cover.edges = deps.count()
     if with_components:
         cover.sccs = components(deps, rows).select("component").distinct().count()
-    place = F.array(step("seed", F.lit(0), F.lit("")))
-    paths = rounds.keep(taint.traces(p.model, p.reached, p.groups.where("seed <> ''").select("object_key", "seed", F.col("seed").alias("name"), place.alias("trace"))))
-    outer = p.model.parameters.where("direction in ('In', 'InOut')").select("object_key", F.col("name").alias("seed")).distinct().join(frontier(deps, rows), "object_key", "left_semi")
+    outer = p.parameters.where("direction in ('In', 'InOut')").select("object_key", F.col("name").alias("seed")).distinct().join(frontier(deps, rows), "object_key", "left_semi")
     outer = outer.select("object_key", "seed", F.array(step("source", F.lit(1), F.format_string("parm entrada %s (frontera del proyecto)", "seed"))).alias("base"))
     every = rows.select("object_key", F.lit("").alias("seed"), F.array().cast(f"array<{taint.STEP}>").alias("base"))
-    active, cover.rounds = active_seeds(p, outer.union(every), paths)
+    active, cover.rounds = active_seeds(p, outer.union(every), rounds)
     active = rounds.keep(active.join(rows.select("object_key", "ord"), "object_key"))
-    found = rounds.keep(_first(_inside(p, active, paths).unionByName(_through(p, active, paths))))
+    found = rounds.keep(_first(_inside(p, active).unionByName(_through(p, active))))
     if limits.findings is not None and found.count() > limits.findings:
         cover.cut(f"hallazgos > máximo {limits.findings}")
         found = found.orderBy("object_key", "line_no", "cwe").limit(limits.findings)
-    return _issues(found, rows), cover
+    return _issues(found, rows)
 
 
-def _inside(p: Project, active: DataFrame, paths: DataFrame) -> DataFrame:
+def _inside(p: Summaries, active: DataFrame) -> DataFrame:
     """Sinks in the objects themselves that active seeds reach."""
-    found = taint.sinks(p.model, p.reached).join(active, ["object_key", "seed"])
-    found = found.join(paths.select("object_key", "seed", F.col("name").alias("source"), "trace"), ["object_key", "seed", "source"])
+    found = p.sinks.join(active, ["object_key", "seed"])
+    found = found.join(p.paths.select("object_key", "seed", F.col("name").alias("source"), "trace"), ["object_key", "seed", "source"])
     found = taint.told(found.withColumn("trace", _whole(F.col("base"), F.col("trace"))))
     nothing = F.lit(0)
     key = F.struct("level", "ord", nothing.alias("kind"), "line_no", "pos", "i", nothing.alias("k"), "source", "seed")
     return found.select("object_key", "line_no", "sink", "cwe", "confidence", "description", "trace", key.alias("key"))
 
 
-def _through(p: Project, active: DataFrame, paths: DataFrame) -> DataFrame:
+def _through(p: Summaries, active: DataFrame) -> DataFrame:
     """Sinks in called objects that arguments reach by the callee's summary, told from the caller."""
     passed = p.calls.select("object_key", F.col("line_no").alias("at"), "pos", "callee", F.posexplode("args").alias("i", "arg"))
-    found = passed.join(paths.select("object_key", "seed", F.col("name").alias("arg"), "trace"), ["object_key", "arg"]).join(active, ["object_key", "seed"])
+    found = passed.join(p.paths.select("object_key", "seed", F.col("name").alias("arg"), "trace"), ["object_key", "arg"]).join(active, ["object_key", "seed"])
     into = p.param_sinks.select(F.col("object_key").alias("callee"), F.col("param_idx").alias("i"), "line_no", "sink", "k")
     found = found.join(into, ["callee", "i"]).withColumn("cwe", weakness(F.col("sink")))
     call = step("call", F.col("at"), F.format_string("call('%s')", "callee"))

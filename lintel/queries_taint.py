@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from . import oracles as o
 from . import oracles_flows as s
-from .operators import calls, project, semantics, taint
+from .operators import calls, incremental, project, semantics, taint
 from .plans import corpus
 from .registry import query
+from .sources.rounds import Rounds
 
 
 def _text(trace: Column) -> Column:
@@ -90,6 +91,15 @@ def project_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("object_key", "line_number", "sink_class", "cwe", "line_content")
 
 
+@query("project_incremental", f"{s.across(s.FLOW)} SELECT object_key, CAST(line_no AS INTEGER) AS line_number, class AS sink_class, CAST(cwe AS INTEGER) AS cwe FROM ({_ISSUES})")
+def project_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same findings from a second run, which summarizes what the first had with other texts, and all that call it."""
+    objects = corpus.flow_objects(spark, sf_dir)
+    store = incremental.IncrementalProject(spark, Rounds(spark, "incremental").folder)
+    store.analyze(objects.withColumn("text", F.when(F.col("ord") % 50 == 0, F.concat("text", F.lit("\n&sql.Execute(&Entrada)"))).otherwise(F.col("text"))))
+    return store.analyze(objects)[0].select("object_key", "line_number", "sink_class", "cwe")
+
+
 _COMPONENTS = """WITH RECURSIVE {calls}, edges AS (SELECT object_key AS caller, concat('obj', regexp_extract(line, 'obj([0-9]+)', 1)) AS callee FROM (SELECT object_key, unnest(string_split(text, chr(10))) AS line FROM objects)),
 deps AS (SELECT DISTINCT caller, callee FROM edges WHERE callee IN (SELECT object_key FROM objects)), reach(a, b) AS (SELECT object_key, object_key FROM objects UNION SELECT r.a, d.callee FROM reach r JOIN deps d ON d.caller = r.b)
 SELECT x.a AS object_key, max(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a"""

@@ -186,3 +186,33 @@ def test_snapshots_and_versions_of_the_history(spark, tmp_path):
     assert '"findings_emitted"' in history.runs().where("id = 2").first().counters
     history.keep_newest(2, f"file://{tmp_path}/kept")
     assert [r.id for r in store.History(spark, f"file://{tmp_path}/kept").runs().orderBy("id").collect()] == [9, 10]
+
+
+def test_a_second_run_computes_what_changed_and_its_callers(spark, tmp_path):
+    from lintel.operators import project
+    from lintel.operators.incremental import IncrementalProject
+
+    texts = {
+        "Top": "parm(in:&a)\ncall('Mid', &a, &r)\n&file.Open(&r)", "Mid": "parm(in:&p, out:&q)\n&q = Trim(&p)\ncall('Leaf', &p)", "Leaf": "parm(in:&x)\n&cmd.Shell(&x)",
+        "Alone": "parm(in:&z)\n&sql.Execute(&z)", "Waits": "parm(in:&w)\ncall('Later', &w)",
+    }
+
+    def rows(t):
+        return spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(t.items())], "object_key string, text string, ord long")
+
+    def findings(df):
+        return sorted((r.object_key, r.line_number, r.description, r.confidence, tuple(map(tuple, r.trace))) for r in df.collect())
+
+    store = IncrementalProject(spark, f"file://{tmp_path}/project")
+    runs = [
+        (texts | {"Leaf": "parm(in:&x)"}, (5, 5, 5)),
+        (texts | {"Leaf": "parm(in:&x)"}, (5, 0, 0)),
+        (texts | {"Later": "parm(in:&v)\n&html.Write(&v)"}, (6, 2, 5)),  # Leaf, Mid, Top; Later, which was called before it was there, Waits
+        ({k: v for k, v in texts.items() if k != "Leaf"} | {"Mid": "parm(in:&p, out:&q)\n&q = 1"}, (4, 3, 3)),  # Leaf and Later are gone, Mid gives nothing back
+    ]
+    for k, (t, want) in enumerate(runs):
+        found, cover, work = store.analyze(rows(t))
+        assert (work.objects, work.changed, work.summarized) == want
+        if k > 1:
+            assert findings(found) == findings(project.analyze(rows(t), with_components=False)[0])
+        assert cover.objects == len(t)
