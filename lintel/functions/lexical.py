@@ -147,13 +147,14 @@ def member_line(segments: Column, line: Column) -> Column:
 
 
 def wrapped(text: Column, width: int) -> Column:
-    """Lines of at most width characters, filled word by word; a longer word is a line of its own."""
-    start = F.array().cast("array<string>")
+    """Lines of at most width characters, filled word by word; a longer word is cut into pieces of that width."""
+    words = F.flatten(F.transform(tokens_by_space(text), lambda w: F.when(F.length(w) <= width, F.array(w)).otherwise(F.regexp_extract_all(w, F.lit(f"(?s).{{1,{width}}}"), 0))))
+    none = F.lit(None).cast("string")
+    start = F.struct(F.array().cast("array<string>").alias("done"), none.alias("line"))
 
-    def add(lines: Column, word: Column) -> Column:
-        last = F.element_at(lines, -1)
-        joined = F.concat(last, F.lit(" "), word)
-        full = (F.size(lines) == 0) | (F.length(joined) > width)
-        return F.when(full, F.concat(lines, F.array(word))).otherwise(F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(joined)))
+    def add(a: Column, word: Column) -> Column:
+        joined = F.concat(a["line"], F.lit(" "), word)
+        full = a["line"].isNotNull() & (F.length(joined) > width)
+        return F.struct(F.when(full, F.concat(a["done"], F.array(a["line"]))).otherwise(a["done"]).alias("done"), F.when(full | a["line"].isNull(), word).otherwise(joined).alias("line"))
 
-    return F.aggregate(tokens_by_space(text), start, add)
+    return F.aggregate(words, start, add, lambda a: F.when(a["line"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["line"]))))

@@ -252,11 +252,11 @@ def operation_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("wrapped_text", r"SELECT doc_id, true AS whole, true AS fits FROM documents")
 def wrapped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts wrapped at 112 columns: no word is lost, and only a line of one word is longer."""
+    """Texts wrapped at 112 columns: no word is lost, and no line is longer."""
     text = F.coalesce("text", F.lit(""))
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.alias("text"), x.wrapped(text, reports.WIDTH).alias("lines"))
-    whole = F.array_join("lines", " ") == F.array_join(x.tokens_by_space(F.col("text")), " ")
-    return rows.select("doc_id", whole.alias("whole"), F.forall("lines", lambda line: (F.length(line) <= reports.WIDTH) | ~F.contains(line, F.lit(" "))).alias("fits"))
+    whole = F.replace(F.array_join("lines", ""), F.lit(" "), F.lit("")) == F.array_join(x.tokens_by_space(F.col("text")), "")
+    return rows.select("doc_id", whole.alias("whole"), F.forall("lines", lambda line: F.length(line) <= reports.WIDTH).alias("fits"))
 
 
 @query("report_blocks", f"SELECT object_key, count(*) AS blocks FROM ({_DEFAULT}) GROUP BY object_key")
@@ -353,3 +353,20 @@ def audit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     result.release()
     names = ("objects_extracted", "source_bytes", "lines_evaluated", "rule_evaluations", "findings_emitted", "rule_factory_invocations")
     return spark.createDataFrame([tuple(result.counters[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@query("wrapped_lines", rf"""WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\s]{{1,40}}') AS w FROM documents),
+lines AS (SELECT doc_id, CASE WHEN len(w) > 0 THEN list_reduce(w, lambda acc, x: concat(acc, CASE WHEN length(string_split(acc, chr(10))[-1]) + 1 + length(x) > 40 THEN chr(10) ELSE ' ' END, x)) ELSE '' END AS t FROM words)
+SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) END AS INTEGER) AS n_lines, sha256(t) AS lines_sha256 FROM lines""")
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts wrapped at 40 columns, line by line; longer words are cut."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", x.wrapped(F.coalesce("text", F.lit("")), 40).alias("lines"))
+    return rows.select("doc_id", F.size("lines").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("lines_sha256"))
+
+
+@query("decode_western", r"SELECT doc_id, concat(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g'), '€ éœ') AS decoded FROM documents")
+def decode_western(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose bytes are no UTF-8: the Windows code page decides, with characters where it differs from Latin-1."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "")
+    content = F.concat(F.encode(text, "ISO-8859-1"), F.unhex(F.lit("8020E99C")))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", readers.decoded(content).alias("decoded"))
