@@ -47,5 +47,10 @@ class RankIndex:
         found = self.rows.where(F.col("lintel_range").isin([r["lintel_range"] for r in held])).select(rank, *self.columns)
         return found.where((F.col("rank") >= offset) & (F.col("rank") < offset + limit)).orderBy("rank")
 
+    def ranked(self) -> DataFrame:
+        """rank (from 0) and all rows; a row for each range is sent to every task."""
+        before = F.broadcast(self.ranges.select("lintel_range", "before"))
+        return self.rows.join(before, "lintel_range").select((F.col("lintel_place") + F.col("before")).alias("rank"), *self.columns)
+
     def count(self) -> int:
         return self.ranges.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

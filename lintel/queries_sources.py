@@ -215,12 +215,10 @@ walk(i, object_key, total, quota, kept) AS (
 SELECT object_key, CAST(kept AS BIGINT) AS findings FROM walk WHERE kept > 0""")
 def findings_run_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many findings each object keeps under a cap of 500 for the run, dealt out to chunks of eight objects."""
-    from pyspark.sql import Window
-
     from .queries import default_findings
 
     files = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("object_key")).distinct()
-    files = files.withColumn("file_idx", (F.row_number().over(Window.orderBy("object_key")) - 1).cast("long"))
+    files = rank_index.RankIndex(files, [F.col("object_key")]).ranked().withColumnRenamed("rank", "file_idx")
     kept, _ = paging.capped_by_chunks(default_findings(spark, sf_dir), files, _CAP)
     return kept.groupBy("object_key").agg(F.count("*").alias("findings"))
 
@@ -370,3 +368,13 @@ def decode_western(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "")
     content = F.concat(F.encode(text, "ISO-8859-1"), F.unhex(F.lit("8020E99C")))
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", readers.decoded(content).alias("decoded"))
+
+
+@query("profile_stored", f"""SELECT id AS rule_id FROM (VALUES {o.CATEGORY}) r(id, category, version, concrete, dflt, ord) LEFT JOIN (SELECT p_partkey % 34 AS ord, arg_max(p_partkey % 3 <> 0, p_partkey) AS now FROM part GROUP BY p_partkey % 34) USING (ord) WHERE concrete AND coalesce(now, dflt)""")
+def profile_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of a run whose store has had each rule switched on and off by the rows of a table."""
+    rules = catalog(spark).select("rule_id", F.col("is_default").alias("enabled"), "ord")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 34).cast("int").alias("ord"), (F.col("p_partkey") % 3 != 0).alias("enabled"), F.col("p_partkey").alias("at"))
+    changes = part.join(F.broadcast(rules.select("rule_id", "ord")), "ord").select("rule_id", "enabled", "at")
+    ids = store.chosen_profile(spark, rules=store.toggled(rules.select("rule_id", "enabled"), changes))
+    return spark.createDataFrame([(i,) for i in ids], "rule_id string")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexical import setting_type
 from ..operators.paging import keyset_page, retained, run_page
-from ..plans.catalog import catalog
+from ..plans.catalog import RULES, catalog, profile
 
 #: Columns by the version that added them.
 RUN_COLUMNS = {1: "id long, started timestamp, policy string, completion string, verdict string, total_findings long, errors long, warnings long, info long", 2: "snapshot string", 3: "counters string, reasons string"}
@@ -183,6 +183,11 @@ def with_enabled(rules: DataFrame, rule_id: str, enabled: bool) -> DataFrame:
     return rules.withColumn("enabled", F.when(F.col("rule_id") == rule_id, F.lit(enabled)).otherwise(F.col("enabled")))
 
 
+#: Line rules that the default profile has on or off; any other is on when a catalogue names it.
+SPOKEN_OF = (
+    "GX.1.1", "GX.1.2", "GX.1.3", "GX.1.3.1", "GX.1.3.2", "GX.1.3.3", "GX.1.4.1", "GX.1.4.2", "GX.1.4.3", "GX.1.5", "GX.1.6.1", "GX.1.6.2", "GX.1.7.1", "GX.1.7.2",
+    "GX.2.1", "GX.2.2", "GX.2.3", "GX.2.4", "GX.2.5", "GX.2.6", "GX.2.7.1", "GX.2.7.2", "GX.2.7.3",
+)
 #: Settings and their defaults.
 SETTINGS = {"max_error_pct": "10.0", "max_errors": "0", "max_warnings": "999999"}
 
@@ -213,6 +218,27 @@ def catalogue_csv(spark: SparkSession, path: str) -> tuple[DataFrame, float | No
     return catalogue_rows(rows), pct[0] if pct else None
 
 
+def imported(rules: DataFrame, found: DataFrame) -> DataFrame:
+    """rule_id, enabled of rules (rule_id, enabled) with those of a catalogue's rows (number, ...) that are line rules.
+
+    A rule that is there keeps its state; a new one has the default profile's, and is
+    enabled where that profile doesn't speak of it.  Numbers of groups and unknown ones add nothing.
+    """
+    states = [(r.id, r.default or r.id not in SPOKEN_OF) for r in RULES if not r.abstract and r.scope == "line"]
+    numbers = found.select(F.concat(F.lit("GX."), "number").alias("rule_id")).distinct()
+    new = rules.sparkSession.createDataFrame(states, "rule_id string, enabled boolean").join(numbers, "rule_id", "left_semi")
+    return rules.select("rule_id", "enabled").union(new.join(rules, "rule_id", "left_anti").select("rule_id", "enabled"))
+
+
+def chosen_profile(spark: SparkSession, enable: list[str] | None = None, disable: list[str] | None = None, csv: str | None = None, rules: DataFrame | None = None) -> list[str]:
+    """Concrete rule ids of a run: a whitelist, else a catalogue file's enabled rules, else those of stored rules, else the default profile; less what is disabled."""
+    if enable is None and (csv is not None or rules is not None):
+        if csv is not None:
+            rules = imported(spark.createDataFrame([], "rule_id string, enabled boolean"), catalogue_csv(spark, csv)[0])
+        enable = sorted({r["rule_id"] for r in rules.where("enabled").select("rule_id").collect()})  # a row for each rule
+    return profile(enable, disable)
+
+
 def toggled(rules: DataFrame, changes: DataFrame) -> DataFrame:
     """rule_id, enabled, updated_at after changes (rule_id, enabled, at): the last change of a rule counts; ids that are no rules change nothing."""
     last = changes.groupBy("rule_id").agg(F.max_by("enabled", "at").alias("now"), F.max("at").alias("at"))

@@ -129,6 +129,7 @@ def test_deep_pages_read_their_ranges(spark):
     assert index.count() == 2000
     for offset, limit in ((0, 10), (995, 20), (1990, 50), (5000, 10), (0, 2000), (7, 0)):
         assert [tuple(r) for r in index.page(offset, limit).collect()] == [(offset + k, *r) for k, r in enumerate(want[offset : offset + limit])]
+    assert sorted(tuple(r) for r in index.ranked().collect()) == [(k, *r) for k, r in enumerate(want)]
     page = index.page(1200, 10)
     assert 1 <= len({f.split("lintel_range=")[1].split("/")[0] for f in page.inputFiles()}) <= 8
     plan = page._jdf.queryExecution().executedPlan().toString()
@@ -216,3 +217,18 @@ def test_a_second_run_computes_what_changed_and_its_callers(spark, tmp_path):
         if k > 1:
             assert findings(found) == findings(project.analyze(rows(t), with_components=False)[0])
         assert cover.objects == len(t)
+
+
+def test_profiles_come_from_a_file_or_the_store(spark, tmp_path):
+    from lintel.plans.catalog import DEFAULT
+    from lintel.sources.store import chosen_profile
+
+    (tmp_path / "rules.csv").write_text(",1 Grupo,x,Error\n,1.1 Nombres,d,Advertencia\n,1.3 Bucles,d,Error\n,2.7.4 Sin uso,d,Error\n,9.9 Otra,d,Error\n,Porcentaje de Error,10,\n")
+    csv = f"file://{tmp_path}/rules.csv"
+    assert chosen_profile(spark, csv=csv) == ["GX.1.3", "GX.2.7.4"]  # 1.1 is off by default, 2.7.4 is not spoken of
+    stored = spark.createDataFrame([("GX.1.1", True), ("GX.1", True), ("GX.2.5", False), ("GX.2.6", True)], "rule_id string, enabled boolean")
+    assert chosen_profile(spark, rules=stored) == ["GX.1.1", "GX.2.6"]
+    assert chosen_profile(spark, csv=csv, rules=stored, disable=["GX.1.3"]) == ["GX.2.7.4"]
+    assert chosen_profile(spark, enable=["GX.2.5"], csv=csv) == ["GX.2.5"] and chosen_profile(spark) == list(DEFAULT)
+    with pytest.raises(ValueError):
+        chosen_profile(spark, rules=stored.where("not enabled"))
