@@ -378,3 +378,12 @@ def profile_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = part.join(F.broadcast(rules.select("rule_id", "ord")), "ord").select("rule_id", "enabled", "at")
     ids = store.chosen_profile(spark, rules=store.toggled(rules.select("rule_id", "enabled"), changes))
     return spark.createDataFrame([(i,) for i in ids], "rule_id string")
+
+
+@query("xml_layouts", "SELECT concat('/x/c', c_custkey, '.xml') AS path, 'unsupported layout' AS error FROM customer WHERE c_custkey % 3 = 0")
+def xml_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by turns without an object or code, with an object that has no code, and with code: only the first are of no known layout."""
+    k = F.col("c_custkey")
+    text = F.when(k % 3 == 0, "<a><b>text</b><events>no section</events></a>").when(k % 3 == 1, "<E><GXObject><X/></GXObject></E>").otherwise("<a><rules><![CDATA[parm();]]></rules></a>")
+    files = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("/x/c"), k.cast("string"), F.lit(".xml")).alias("path"), F.encode(text, "UTF-8").alias("content"))
+    return readers.read_objects(files)[1].select("path", F.substring_index("error", ":", 1).alias("error"))
