@@ -50,6 +50,8 @@ GENERAL, SPECIAL = 6144, 4096
 #: A toxic word stands between at least so many different neighbours, and is so much likelier in toxic text.
 CONTEXTS, ODDS = 6, 3.5
 SAVED = 4
+#: A text of more than this part of its class's bytes is learned from by a stretch of that length, at a place that its id's hash gives.
+STRETCH = 20
 THRESHOLD = 0.3
 CACHE = 200_000
 #: Characteristic words in one sample of the trainer.
@@ -293,7 +295,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = [marked.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(rows[y]) for y in (0, 1)]
     ids = picked[0].union(picked[1])  # at most sum(rows) rows are broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id").where("text is not null")
-    # Whole texts in the order of their hashes, as long as they fit; equal ones once.
+    # Texts in the order of their hashes, as long as they fit; equal ones once. No text takes so much room that others have none.
+    most = F.when(F.col("label") == 1, size[1] // STRETCH).otherwise(size[0] // STRETCH)
+    first = F.pmod(F.xxhash64("id"), F.greatest(F.length("text") - most, F.lit(1))) + 1
+    texts = texts.withColumn("text", F.when(F.length("text") <= most, F.col("text")).otherwise(F.substr("text", first.cast("int"), most)))
     ordered = texts.groupBy("label", "id", "text").agg(F.octet_length("text").cast("long").alias("bytes")).withColumn("hash", F.xxhash64("id"))
     upto = F.sum("bytes").over(Window.partitionBy("label").orderBy("hash", "id", "text"))
     fits = F.when(F.col("label") == 1, F.lit(size[1])).otherwise(F.lit(size[0]))

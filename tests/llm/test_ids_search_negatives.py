@@ -280,3 +280,23 @@ def test_a_page_that_closes_nothing(spark):
     got = html_text.extract(spark.createDataFrame([(1, "http://a.example/1", deep), (2, "http://a.example/2", "<p>x</p>")], "page_id long, url string, html string")).orderBy("page_id").collect()
     assert got[0].text.split("\n\n") == [f"text{i}" for i in range(20_000)] and got[1].text == "x"
     assert time.time() - began < 60
+
+
+# -- labelled texts beyond the sample's bytes -------------------------------------------
+
+
+def test_one_long_labelled_text_leaves_room_for_others(spark):
+    from lintel.llm import toxicity
+
+    rng = random.Random(12)
+    plain = [f"word{i}" for i in range(300)]
+    said = [(i, int(i % 3 == 0), " ".join(rng.choices(plain, k=40) + (["vile", "filthy"] if i % 3 == 0 else []))) for i in range(240)]
+    hashes = {r.id: r.h for r in spark.range(240).select("id", F.xxhash64("id").alias("h")).collect()}
+    first = min((i for i, y, _ in said if y), key=hashes.get)
+    said = [(i, y, " ".join(rng.choices(plain, k=60_000)) if i == first else t) for i, y, t in said]
+    docs = spark.createDataFrame([(i, t) for i, _, t in said], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, y, _ in said if i < 180], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, size=(200_000, 100_000))
+    assert model is not None
+    scores = {r.doc_id: r.score for r in toxicity.score(docs.where("doc_id >= 180"), model).collect()}
+    assert all((scores[i] >= toxicity.THRESHOLD) == bool(y) for i, y, _ in said if i >= 180)
