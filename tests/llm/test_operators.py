@@ -582,3 +582,22 @@ def test_operators_of_empty_and_repeated_rows(spark, tmp_path, name):
     assert queries.QUERIES[name](spark, f"{tmp_path}/none").count() == 0
     got = Counter(tuple(r) for r in queries.QUERIES[name](spark, f"{tmp_path}/some").collect())
     assert sum(got.values()) == 8 and len(got) == 4 and set(got.values()) == {2}
+
+
+#: The rules of op7's contract, word for word, and a page that each one decides.
+CONTRACT = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    import duckdb
+
+    pages = spark.createDataFrame([(i, f"http://{p if '.' in p else 'q.' + p}1") for i, p in enumerate(CONTRACT)], "page_id long, url string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, table in (("pages", pages), ("labels", labels)):
+        table.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.rule, r.verdict) for r in queries.op7_url_filter(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as con:
+        for name in ("pages", "labels"):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        said = con.sql(queries.ORACLE_SQL["op7_url_filter"]).fetchall()
+    assert got == set(CONTRACT.items()) == {(r[3], r[4]) for r in said}
