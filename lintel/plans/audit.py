@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decisions, semantics
+from ..operators import deal, decisions, semantics
 from ..operators.counters import Counters
 from ..operators.lines import parse_lines
 from ..operators.paging import capped, ordered
@@ -32,8 +32,9 @@ def findings(objects: DataFrame, ids: list[str] | tuple[str, ...] = DEFAULT, ret
     chosen = [i for i in CONCRETE if i in set(ids)]
     parts: list[DataFrame] = []
     on_lines = [i for i in chosen if i in LINE_RULES]
-    lines = parse_lines(objects)
-    marked = counters.objects(objects) if counters else objects
+    dealt = deal.by_text(objects) if on_lines or "GX.2.7.4" in chosen else objects
+    lines = parse_lines(dealt)
+    marked = counters.objects(dealt) if counters else dealt
     if on_lines:
         given = parse_lines(marked)
         parts.append(line_findings(counters.lines(given, on_lines) if counters else given, on_lines))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import oracles as o
 from .functions import lexical as x
-from .operators import decisions, paging, project, rules, semantics
+from .operators import deal, decisions, paging, project, rules, semantics
 from .operators.lines import FLAGS, parse_lines, split_lines
 from .operators.rules import LINE_RULES, line_findings, unused_variables
 from .plans import corpus
@@ -20,7 +20,7 @@ SHOWN = ("object_key", "rule_id", "severity", "line_number", "description", "lin
 
 def _rule(rule: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        lines = parse_lines(corpus.event_objects(spark, sf_dir))
+        lines = _lines(spark, sf_dir)
         found = unused_variables(lines) if rule == "GX.2.7.4" else line_findings(lines, [rule])
         return found.select(*SHOWN)
 
@@ -32,7 +32,7 @@ for _id in (*LINE_RULES, "GX.2.7.4"):
 
 
 def default_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_findings(parse_lines(corpus.event_objects(spark, sf_dir)), list(DEFAULT))
+    return line_findings(_lines(spark, sf_dir), list(DEFAULT))
 
 
 @query("findings_default", o.all_findings(DEFAULT))
@@ -45,11 +45,11 @@ _LINES = f"WITH {o.EVENTS}, {o.LINES}"
 
 @query("lines_view", f"{_LINES} SELECT object_key, CAST(line_no AS INTEGER) AS line_no, raw, stripped, lower, clean, clean_lower, code, code_lower FROM lines")
 def lines_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_lines(corpus.event_objects(spark, sf_dir)).select("object_key", "line_no", "raw", "stripped", "lower", "clean", "clean_lower", "code", "code_lower")
+    return _lines(spark, sf_dir).select("object_key", "line_no", "raw", "stripped", "lower", "clean", "clean_lower", "code", "code_lower")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_lines(corpus.event_objects(spark, sf_dir))
+    return parse_lines(deal.by_text(corpus.event_objects(spark, sf_dir)))
 
 
 @query("lex_mask", f"WITH {o.EVENTS}, {o.LINES} SELECT object_key, eval AS masked FROM masked")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import oracles as o
 from .functions import lexical as x
-from .operators import decisions, paging, rank_index, user_rules
+from .operators import deal, decisions, paging, rank_index, user_rules
 from .operators.lines import FLAGS
 from .plans import corpus
 from .plans.audit import audit
@@ -327,7 +327,7 @@ def user_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
             if self.best:
                 yield self.best[1], f"Bloque de {self.best[0]} líneas.", self.best[2]
 
-    found = registry.findings(parse_lines(corpus.event_objects(spark, sf_dir)))
+    found = registry.findings(parse_lines(deal.by_text(corpus.event_objects(spark, sf_dir))))
     return found.select("object_key", "line_number", "line_content", "description")
 
 
@@ -385,5 +385,6 @@ def xml_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by turns without an object or code, with an object that has no code, and with code: only the first are of no known layout."""
     k = F.col("c_custkey")
     text = F.when(k % 3 == 0, "<a><b>text</b><events>no section</events></a>").when(k % 3 == 1, "<E><GXObject><X/></GXObject></E>").otherwise("<a><rules><![CDATA[parm();]]></rules></a>")
-    files = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("/x/c"), k.cast("string"), F.lit(".xml")).alias("path"), F.encode(text, "UTF-8").alias("content"))
+    rows = deal.by_count(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey")
+    files = rows.select(F.concat(F.lit("/x/c"), k.cast("string"), F.lit(".xml")).alias("path"), F.encode(text, "UTF-8").alias("content"))
     return readers.read_objects(files)[1].select("path", F.substring_index("error", ":", 1).alias("error"))
