@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import deal
+
 TEMPLATES = (
     "for each Customer", "    where CustomerId = &Id", "endfor", "    where upper(CustomerName) = &Name and CustomerType = 'VIP'", "    defined by IdxCustomer",
     "if &a = 1 and &b = 2 and &c = 3 and &d = 4", "    &x = 1", "else", "endif", "do case", "    case &Kind = 1", "otherwise", "endcase", "parm(in:&Entrada, &Salida, out:&Total);", "sub 'Cargar'",
@@ -110,7 +112,7 @@ def xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.lit(f"{head}<ExportFile><GXObject><X/><Info><Name>n</Name></Info></GXObject></ExportFile>")
     kind = F.col("c_custkey") % 4
     text = F.when(kind == 0, whole).when(kind == 1, loose).when(kind == 2, F.lit("<ExportFile><GXObject>")).otherwise(bare)
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    rows = deal.by_count(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey")
     return rows.select(F.concat(F.lit("/x/c"), k, F.lit(".xml")).alias("path"), F.encode(text, "UTF-8").alias("content"))
 
 
@@ -167,5 +169,5 @@ def package_files(spark: SparkSession, sf_dir: str) -> str:
 
     folder = Rounds(spark, "packages").folder
     files = xml_files(spark, sf_dir).withColumn("g", F.floor(F.regexp_extract("path", r"c(\d+)", 1).cast("long") / 100))
-    files.groupBy("g").applyInArrow(_packed(folder), "files long").agg(F.sum("files")).collect()
+    deal.by_count(files, "g").groupBy("g").applyInArrow(_packed(folder), "files long").agg(F.sum("files")).collect()
     return folder

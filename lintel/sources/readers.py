@@ -118,16 +118,25 @@ def object_row(path: str, place: int, x: dict) -> dict:
     return x | {"path": path, "ord": place, "code_start_line": x["segments"][0]["member_start_line"] if x["segments"] else 1, "error": None}
 
 
+#: Rows and characters of text at which what was found goes on as a batch.
+BATCH_ROWS, BATCH_CHARS = 1_000, 1 << 20
+
+
 def _read(budget: Budget):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, chars = [], 0
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 found, error = _file_objects(path, content, budget)
-                rows = [object_row(path, i, x) for i, x in enumerate(found)]
+                rows += [object_row(path, i, x) for i, x in enumerate(found)]
+                chars += sum(len(x["text"]) for x in found)
                 if error:
                     rows.append(dict.fromkeys(("id", "object_type", "member", "package", "text", "code_start_line", "segments")) | {"path": path, "ord": -1, "error": error})
-                if rows:
+                if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
                     yield pa.RecordBatch.from_pylist(rows, OBJECT_SCHEMA)
+                    rows, chars = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, OBJECT_SCHEMA)
 
     return run
 

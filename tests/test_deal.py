@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lintel import queries as q
 from lintel.operators import deal
 from lintel.plans import corpus
+from lintel.sources import readers
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,3 +22,11 @@ def test_lines_come_in_shares_of_text(spark, monkeypatch):
     # No lines but those of the rows' own exchange: what adaptive execution reads is not merged.
     assert len(_tasks(q._lines(spark, SF))) > 4 and len(_tasks(q.default_findings(spark, SF))) > 4
     assert deal.by_text(objects.where("false")).count() == 0
+
+
+def test_files_come_in_shares_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(deal, "ROWS", 10)
+    files = corpus.xml_files(spark, SF)
+    assert len(_tasks(files)) > 4 and len(_tasks(readers.read_objects(files)[0])) > 4
+    monkeypatch.setattr(readers, "BATCH_ROWS", 3)
+    assert readers.read_objects(files)[0].count() == readers.read_objects(files)[0].select("path").distinct().count()
