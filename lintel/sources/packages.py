@@ -3,7 +3,8 @@
 ``spark.read.format("lintel_package").load(path)`` plans from the packages' central
 directories: a package of over ``splitBytes`` is cut into ranges of members of about
 that size, and each range is a partition of its own, so a large package is many tasks'
-work.  Smaller packages are not opened while planning and share partitions.  Filters on
+work; ranges share partitions where there would be more than ``PARTITIONS``.  Smaller
+packages are not opened while planning and share partitions.  Filters on
 path and member reach the plan (spark.sql.python.filterPushdown.enabled): packages that
 no filter admits are not opened, members that none admits are not inflated.
 
@@ -38,6 +39,8 @@ from .readers import OBJECT, OBJECT_SCHEMA, Budget, decode_bytes, object_row
 FORMAT = "lintel_package"
 SCHEMA = "path string, ord int, member string, bytes long, content binary, error string"
 SPLIT_BYTES = 16 * 1024 * 1024
+#: Most partitions of a plan, beyond which ranges share one, and the rows and bytes at which members go on as a batch.
+PARTITIONS, BATCH_ROWS, BATCH_BYTES = 2_000, 1_000, 1 << 20
 #: What a file that is no package raises; pyarrow's files raise a ValueError where a place before their beginning is asked for.
 UNREADABLE = (zipfile.BadZipFile, OSError, ValueError)
 _TESTS = {EqualTo: lambda x, v: x == v, In: lambda x, v: x in v, StringStartsWith: str.startswith, StringEndsWith: str.endswith, StringContains: lambda x, v: v in x}
@@ -130,7 +133,7 @@ class PackageReader(DataSourceReader):
                 small, size = [], 0
             small.append((path, 0, None))
             size += n
-        return [*out, Members(small)] if small or not out else out
+        return _shared([*out, Members(small)] if small or not out else out)
 
     def _ranges(self, path: str) -> Iterator[tuple[int, int | None]]:
         try:
@@ -148,6 +151,17 @@ class PackageReader(DataSourceReader):
         yield first, len(sizes)
 
     def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for row in self._rows(partition):
+            rows.append(row)
+            size += len(row[4] or b"")
+            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def _rows(self, partition: Members) -> Iterator[tuple]:
         for path, first, last in partition.parts:
             try:
                 with opened(path) as f, zipfile.ZipFile(f) as archive:
@@ -155,10 +169,10 @@ class PackageReader(DataSourceReader):
                     upto = list(accumulate(i.file_size for i in infos))
                     for k in range(first, len(infos) if last is None else last):
                         if self._admits("member", infos[k].filename):
-                            yield _batch(path, k, infos[k], *self._member(archive, infos[k], k, upto[k]))
+                            yield (path, k, infos[k].filename, infos[k].file_size, *self._member(archive, infos[k], k, upto[k]))
             except UNREADABLE as e:
                 if first == 0:
-                    yield _batch(path, -1, None, None, f"unreadable package: {e}")
+                    yield path, -1, None, None, None, f"unreadable package: {e}"
 
     def _member(self, archive: zipfile.ZipFile, info: zipfile.ZipInfo, k: int, upto: int) -> tuple[bytes | None, str | None]:
         members, member_bytes, expanded = self.limits
@@ -174,9 +188,25 @@ class PackageReader(DataSourceReader):
             return None, f"unreadable member: {e}"
 
 
-def _batch(path: str, k: int, info: zipfile.ZipInfo | None, content: bytes | None, error: str | None) -> pa.RecordBatch:
-    made = [(path, pa.string()), (k, pa.int32()), (info and info.filename, pa.string()), (info and info.file_size, pa.int64()), (content, pa.binary()), (error, pa.string())]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in made], [c.split()[0] for c in SCHEMA.split(", ")])
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
+
+
+def _shared(partitions: list[Members]) -> list[Members]:
+    """At most ``PARTITIONS`` of them; ranges of one package that meet become one."""
+    each = -(-len(partitions) // PARTITIONS)
+    if each <= 1:
+        return partitions
+    out = []
+    for at in range(0, len(partitions), each):
+        parts: list[tuple[str, int, int | None]] = []
+        for path, first, last in (x for m in partitions[at : at + each] for x in m.parts):
+            if parts and parts[-1][0] == path and parts[-1][2] == first:
+                first = parts.pop()[1]
+            parts.append((path, first, last))
+        out.append(Members(parts))
+    return out
 
 
 def read_members(spark: SparkSession, path: str, **options) -> DataFrame:

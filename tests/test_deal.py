@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lintel import queries as q
 from lintel.operators import deal
 from lintel.plans import corpus
-from lintel.sources import readers
+from lintel.sources import packages, readers
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +30,13 @@ def test_files_come_in_shares_of_rows(spark, monkeypatch):
     assert len(_tasks(files)) > 4 and len(_tasks(readers.read_objects(files)[0])) > 4
     monkeypatch.setattr(readers, "BATCH_ROWS", 3)
     assert readers.read_objects(files)[0].count() == readers.read_objects(files)[0].select("path").distinct().count()
+
+
+def test_ranges_of_members_share_partitions_beyond_a_number(monkeypatch):
+    ranges = [packages.Members([(f"p{i // 5}", i % 5 * 20, i % 5 * 20 + 20)]) for i in range(100)] + [packages.Members([("small", 0, None), ("last", 0, None)])]
+    assert packages._shared(ranges) == ranges
+    monkeypatch.setattr(packages, "PARTITIONS", 10)
+    got = packages._shared(ranges)
+    read = [(p, k) for m in got for p, a, b in m.parts for k in (range(a, b) if b else [None])]
+    assert len(got) == 10 and read == [(f"p{i // 5}", i % 5 * 20 + k) for i in range(100) for k in range(20)] + [("small", None), ("last", None)]
+    assert sum(len(m.parts) for m in got) < 40
