@@ -167,11 +167,21 @@ class Summaries:
 PLACE = ("seed", 0, "")
 
 
-def summarize(objects: DataFrame, known: DataFrame | None = None) -> Summaries:
-    """Summaries of objects (object_key, text), each seed followed inside its object.
+@dataclass
+class Reached:
+    """What the seeds of objects reach inside them."""
 
-    known: parameters of further objects that these may call.
-    """
+    model: taint.Model
+    calls: DataFrame
+    seeds: DataFrame
+    reached: DataFrame
+    #: object_key, param_idx, seed: input parameters of complete objects
+    takes: DataFrame
+    param_outs: DataFrame
+
+
+def followed(objects: DataFrame, known: DataFrame | None = None) -> Reached:
+    """Each seed of objects (object_key, text) followed inside its object, without traces and sinks."""
     model = taint.build(objects)
     keep = model.rounds.keep
     calls = keep(object_calls(model))
@@ -185,14 +195,22 @@ def summarize(objects: DataFrame, known: DataFrame | None = None) -> Summaries:
     reached = taint.reach(model, seeds, groups)
     takes = model.parameters.where(F.col("direction").isin("In", "InOut") & (F.col("param_idx") < FLOW_PARAMS)).join(model.complete, "object_key", "left_semi")
     takes = keep(takes.select("object_key", "param_idx", F.col("name").alias("seed")))
-    sinks = keep(taint.sinks(model, reached))
     outs = takes.join(reached.select("object_key", "seed", "name"), ["object_key", "seed"]).join(gives.select("object_key", F.col("param_idx").alias("to_param"), "name"), ["object_key", "name"])
+    return Reached(model, calls, seeds, reached, takes, keep(outs.select("object_key", F.col("param_idx").alias("from_param"), "to_param")))
+
+
+def summarize(objects: DataFrame, known: DataFrame | None = None) -> Summaries:
+    """Summaries of objects (object_key, text), each seed followed inside its object.
+
+    known: parameters of further objects that these may call.
+    """
+    f = followed(objects, known)
+    keep = f.model.rounds.keep
+    sinks = keep(taint.sinks(f.model, f.reached))
     place = F.array(step(PLACE[0], F.lit(PLACE[1]), F.lit(PLACE[2])))
-    paths = taint.traces(model, reached, seeds.withColumn("trace", place)).select("object_key", "seed", "name", "trace")
-    return Summaries(
-        calls, model.parameters, keep(paths), sinks, keep(sinks.join(takes, ["object_key", "seed"]).select("object_key", "param_idx", "seed", "line_no", "sink", "k")),
-        keep(outs.select("object_key", F.col("param_idx").alias("from_param"), "to_param")),
-    )
+    paths = taint.traces(f.model, f.reached, f.seeds.withColumn("trace", place)).select("object_key", "seed", "name", "trace")
+    into = keep(sinks.join(f.takes, ["object_key", "seed"]).select("object_key", "param_idx", "seed", "line_no", "sink", "k"))
+    return Summaries(f.calls, f.model.parameters, keep(paths), sinks, into, f.param_outs)
 
 
 def seed_edges(p: Summaries) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lintel import queries as q
-from lintel.operators import deal
+from lintel.operators import deal, project, taint
 from lintel.plans import corpus
 from lintel.sources import packages, readers
 
@@ -40,3 +40,14 @@ def test_ranges_of_members_share_partitions_beyond_a_number(monkeypatch):
     read = [(p, k) for m in got for p, a, b in m.parts for k in (range(a, b) if b else [None])]
     assert len(got) == 10 and read == [(f"p{i // 5}", i % 5 * 20 + k) for i in range(100) for k in range(20)] + [("small", None), ("last", None)]
     assert sum(len(m.parts) for m in got) < 40
+
+
+def test_param_outs_needs_no_traces(spark, monkeypatch):
+    want = {tuple(r) for r in project.summarize(corpus.chain_objects(spark, SF).where("object_key < 20")).param_outs.collect()}
+
+    def none(*_):
+        raise AssertionError("traces are not asked for")
+
+    monkeypatch.setattr(taint, "traces", none)
+    monkeypatch.setattr(corpus, "chain_objects", lambda spark, sf_dir, made=corpus.chain_objects: made(spark, sf_dir).where("object_key < 20"))
+    assert {tuple(r) for r in q.QUERIES["param_outs"](spark, SF).collect()} == want and want
