@@ -51,3 +51,24 @@ def test_param_outs_needs_no_traces(spark, monkeypatch):
     monkeypatch.setattr(taint, "traces", none)
     monkeypatch.setattr(corpus, "chain_objects", lambda spark, sf_dir, made=corpus.chain_objects: made(spark, sf_dir).where("object_key < 20"))
     assert {tuple(r) for r in q.QUERIES["param_outs"](spark, SF).collect()} == want and want
+
+
+def test_rule_2_7_3_holds_no_object_in_each_row(spark):
+    """A list of an object's hits in each of its lines would be a thousand MB here."""
+    from lintel.operators.lines import parse_lines
+    from lintel.operators.rules import CONDITIONS, line_findings
+
+    n = 6_000
+    lines = [f"{CONDITIONS[(i // 7 if i < 300 else i) % 5]} = {CONDITIONS[i * i % 5]} = 1" if i % 3 else f"{CONDITIONS[-(i // 40) % 5]} += 1" for i in range(n)]
+    seen, want = set(), []
+    for i, line in enumerate(lines):
+        met = [v for v in CONDITIONS if line.find(v) >= 0 and line[line.find(v) + len(v) :].lstrip().startswith(("=", "+=")) and not line[line.find(v) + len(v) :].lstrip().startswith("==")]
+        hit = next((v for v in met if v in seen), None)
+        seen.update(met if hit is None else met[: met.index(hit)])
+        want += [(i + 1, hit)] if hit else []
+    objects = spark.createDataFrame([(1, "\n".join(lines))], "object_key long, text string")
+    found = line_findings(parse_lines(objects), ["GX.2.7.3", "GX.2.5", "GX.1.3"]).where("rule_id = 'GX.2.7.3'")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(r273" not in plan
+    got = sorted((r.line_number, r.emit_line, r.line_content, next(v for v in sorted(CONDITIONS, key=len, reverse=True) if v in r.description)) for r in found.collect())
+    assert got == [(i, i, lines[i - 1], v) for i, v in want] and len(want) > n - 100
