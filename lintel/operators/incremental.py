@@ -2,7 +2,9 @@
 
 Summaries lie below a folder by versions.  A run tells by contents which objects are
 new, changed or gone, adds all that call these, directly or not (their returned values
-may differ), and summarizes no others: the rest is read back.  What flows between
+may differ), and summarizes no others: the rest is read back.  A summary depends on its
+object's text and on which parameters of the objects it calls are outputs, on nothing
+behind these; ``by_outputs`` adds callers only where that set is another one.  What flows between
 objects is then solved anew over all summaries, which are joins over small tables.
 A version counts once its last table, that of contents, is whole.
 """
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.rounds import Rounds
-from . import graph, project
+from . import graph, project, semantics
 from .project import Coverage, Limits, Summaries
 
 
@@ -45,9 +47,18 @@ class IncrementalProject:
     def _read(self, version: int, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{version}/{name}")
 
-    def analyze(self, objects: DataFrame, limits: Limits | None = None) -> tuple[DataFrame, Coverage, Work]:
+    def analyze(self, objects: DataFrame, limits: Limits | None = None, by_outputs: bool = False) -> tuple[DataFrame, Coverage, Work]:
         """GX.SEC.3 as ``project.analyze``, and what was done for it."""
-        limits, cover, rounds = limits or Limits(), Coverage(), Rounds(self.spark, "changes")
+        limits, cover = limits or Limits(), Coverage()
+        held, rows, work = self._stored(objects, limits, cover, by_outputs)
+        return project.solve(held, rows, limits, cover, with_components=False), cover, work
+
+    def update(self, objects: DataFrame, limits: Limits | None = None, by_outputs: bool = False) -> Work:
+        """A new version of the summaries, without the findings."""
+        return self._stored(objects, limits or Limits(), Coverage(), by_outputs)[2]
+
+    def _stored(self, objects: DataFrame, limits: Limits, cover: Coverage, by_outputs: bool) -> tuple[Summaries, DataFrame, Work]:
+        rounds = Rounds(self.spark, "changes")
         rows = rounds.keep(project.inputs(objects, limits, cover))
         contents = rows.select("object_key", F.sha2("text", 256).alias("content"))
         last = self._last()
@@ -56,21 +67,24 @@ class IncrementalProject:
             n = rows.count()
             work = Work(n, n, n)
         else:
-            found, work = self._merged(last, rows, contents, rounds)
+            found, work = self._merged(last, rows, contents, rounds, by_outputs)
         version = last + 1
         for name, table in found.tables().items():
             table.write.mode("overwrite").parquet(f"{self.folder}/{version}/{name}")
         contents.write.mode("overwrite").parquet(f"{self.folder}/{version}/contents")
-        held = Summaries(**{name: self._read(version, name) for name in found.tables()})
-        return project.solve(held, rows, limits, cover, with_components=False), cover, work
+        return Summaries(**{name: self._read(version, name) for name in found.tables()}), rows, work
 
-    def _merged(self, last: int, rows: DataFrame, contents: DataFrame, rounds: Rounds) -> tuple[Summaries, Work]:
+    def _merged(self, last: int, rows: DataFrame, contents: DataFrame, rounds: Rounds, by_outputs: bool) -> tuple[Summaries, Work]:
         before = self._read(last, "contents").withColumnRenamed("content", "was")
         changed = contents.join(before, "object_key", "full").where("content is null or was is null or content <> was").select(F.col("object_key").alias("node"))
         changed = rounds.keep(changed)
         # Edges to objects that were not there count too: they may be now.
         calls = self._read(last, "calls").select(F.col("callee").alias("a"), F.col("object_key").alias("b")).distinct()
-        redo = graph.reachable(rounds.keep(calls), changed, rounds).select(F.col("node").alias("object_key"))
+        if by_outputs:
+            others = self._other_outputs(last, rows, changed.withColumnRenamed("node", "object_key"))
+            redo = changed.select(F.col("node").alias("object_key")).union(calls.join(others.withColumnRenamed("object_key", "a"), "a", "left_semi").select(F.col("b").alias("object_key"))).distinct()
+        else:
+            redo = graph.reachable(rounds.keep(calls), changed, rounds).select(F.col("node").alias("object_key"))
         redo = rounds.keep(redo)
         again = rounds.keep(rows.select("object_key", "text").join(redo, "object_key", "left_semi"))
         rest = {name: self._read(last, name).join(redo, "object_key", "left_anti") for name in Summaries.__dataclass_fields__}
@@ -79,3 +93,11 @@ class IncrementalProject:
             return Summaries(**rest), work
         new = project.summarize(again, rest["parameters"]).tables()
         return Summaries(**{name: table.select(*new[name].columns).union(new[name]) for name, table in rest.items()}), work
+
+    def _other_outputs(self, last: int, rows: DataFrame, changed: DataFrame) -> DataFrame:
+        """object_key of the changed objects (object_key) whose output parameters are not at the places where they were."""
+        texts = rows.select("object_key", "text").join(changed, "object_key", "left_semi")
+        outs = lambda p: p.where("direction in ('Out', 'InOut')").select("object_key", "param_idx")
+        now = outs(semantics.parameters(semantics.model(texts))).withColumn("n", F.lit(1))
+        was = outs(self._read(last, "parameters").join(changed, "object_key", "left_semi")).withColumn("n", F.lit(-1))
+        return now.union(was).groupBy("object_key", "param_idx").agg(F.sum("n").alias("n")).where("n <> 0").select("object_key").distinct()

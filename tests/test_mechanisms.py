@@ -232,3 +232,31 @@ def test_profiles_come_from_a_file_or_the_store(spark, tmp_path):
     assert chosen_profile(spark, enable=["GX.2.5"], csv=csv) == ["GX.2.5"] and chosen_profile(spark) == list(DEFAULT)
     with pytest.raises(ValueError):
         chosen_profile(spark, rules=stored.where("not enabled"))
+
+
+def test_callers_of_objects_with_the_same_outputs_keep_their_summaries(spark, tmp_path):
+    from lintel.operators import project
+    from lintel.operators.incremental import IncrementalProject
+
+    texts = {
+        "Top": "parm(in:&a)\ncall('Mid', &a, &r)\n&file.Open(&r)", "Mid": "parm(in:&p, out:&q)\n&q = Trim(&p)\ncall('Leaf', &p)", "Leaf": "parm(in:&x)\n&cmd.Shell(&x)", "Alone": "parm(in:&z)\n&sql.Execute(&z)",
+    }
+
+    def rows(t):
+        return spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(t.items())], "object_key string, text string, ord long")
+
+    def findings(df):
+        return sorted((r.object_key, r.line_number, r.description, r.confidence, tuple(map(tuple, r.trace))) for r in df.collect())
+
+    store = IncrementalProject(spark, f"file://{tmp_path}/project")
+    first = store.update(rows(texts | {"Leaf": "parm(in:&x)"}))
+    assert (first.objects, first.changed, first.summarized) == (4, 4, 4)
+    without = texts | {"Mid": "parm(in:&p)\n&q = 1"}
+    for t, want in ((without, (4, 2, 3)), (texts, (4, 1, 2))):  # Leaf, Mid without its output, so Top; Mid with it, so Top again
+        found, _, work = store.analyze(rows(t), by_outputs=True)
+        assert (work.objects, work.changed, work.summarized) == want
+        got = findings(found)
+        assert any(f[:2] == ("top", 3) for f in got) == (t is texts)
+    assert got == findings(project.analyze(rows(texts), with_components=False)[0])
+    same = store.update(rows(texts | {"Leaf": "parm(in:&x)"}), by_outputs=True)
+    assert (same.changed, same.summarized) == (1, 1)  # its callers pass it what they did
