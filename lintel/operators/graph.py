@@ -9,12 +9,20 @@ from ..sources.rounds import Rounds
 
 
 def reachable(edges: DataFrame, starts: DataFrame, rounds: Rounds | None = None) -> DataFrame:
-    """node, level: the starts (node; level 0) and all that edges (a, b) lead to from them, with the fewest steps. Only new nodes are followed."""
+    """node, level: the starts (node; level 0) and all that edges (a, b) lead to from them, with the fewest steps. Only new nodes are followed.
+
+    Edges are computed once and kept.  Of new nodes only those that edges begin at are met
+    with them: where these are few, no round moves the edges.
+    """
     rounds = rounds or Rounds(edges.sparkSession, "reach")
+    edges = rounds.keep(edges.select("a", "b"))
+    begins = rounds.keep(edges.select("a").distinct())
     seen = new = rounds.keep(starts.select("node").distinct().withColumn("level", F.lit(0)))
-    while not new.isEmpty():
-        came = edges.join(new.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg((F.min("level") + 1).alias("level"))
-        new = rounds.keep(came.join(seen, "node", "left_anti"))
+    level = 0
+    while not (front := rounds.keep(begins.join(new.select(F.col("node").alias("a")), "a", "left_semi"))).isEmpty():
+        level += 1
+        came = edges.join(front, "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        new = rounds.keep(came.join(seen, "node", "left_anti").select("node", F.lit(level).alias("level")))
         seen = seen.union(new)
     return seen
 

@@ -84,7 +84,7 @@ class IncrementalProject:
             others = self._other_outputs(last, rows, changed.withColumnRenamed("node", "object_key"))
             redo = changed.select(F.col("node").alias("object_key")).union(calls.join(others.withColumnRenamed("object_key", "a"), "a", "left_semi").select(F.col("b").alias("object_key"))).distinct()
         else:
-            redo = graph.reachable(rounds.keep(calls), changed, rounds).select(F.col("node").alias("object_key"))
+            redo = graph.reachable(calls, changed, rounds).select(F.col("node").alias("object_key"))
         redo = rounds.keep(redo)
         again = rounds.keep(rows.select("object_key", "text").join(redo, "object_key", "left_semi"))
         rest = {name: self._read(last, name).join(redo, "object_key", "left_anti") for name in Summaries.__dataclass_fields__}

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field, fields, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexical import literal_value, trim
+from ..functions.lexical import let, literal_value, trim
 from ..plans.catalog import BY_ID, ORDER
 from ..sources.rounds import Rounds
 from . import graph, semantics, taint
@@ -58,9 +58,13 @@ class Coverage:
         self.reasons.append(reason)
 
 
-def called_name() -> Column:
+#: The closed literal of a line whose first tokens are a calling word, a parenthesis and that literal.
+DIRECT = r"""(?is)^[\s\p{Z}]*+(?:call|udp)[\s\p{Z}]*+\([\s\p{Z}]*+'((?:[^']|'')*+)'"""
+
+
+def called_name(tokens: str | Column = "tokens") -> Column:
     """The object that a line calls: its first literal."""
-    named = F.get(F.filter("tokens", lambda t: t["kind"] == "string"), F.lit(0))["text"]
+    named = F.get(F.filter(tokens, lambda t: t["kind"] == "string"), F.lit(0))["text"]
     return F.lower(trim(literal_value(named)))
 
 
@@ -80,17 +84,23 @@ def calls_object(tokens: Column) -> Column:
 
 
 def call_edges(objects: DataFrame) -> DataFrame:
-    """caller, callee, line_no: lines that call an object. Lines without a calling word are left out before they are read as tokens."""
-    lines = objects.select("object_key", F.posexplode(F.split("text", "\n", -1)).alias("at", "l"))
-    lines = lines.where(F.lower("l").rlike("call|udp")).select("object_key", (F.col("at") + 1).alias("line_no"), semantics.line_tokens(F.col("l")).alias("tokens"))
-    rows = lines.where(calls_object(F.col("tokens"))).select(F.lower("object_key").alias("caller"), called_name().alias("callee"), "line_no")
-    return rows.where("callee <> ''")
+    """caller, callee, line_no: lines that call an object. Lines without a calling word are left out, and those that begin with the call are told by their first tokens; only others are read as tokens."""
+    lines = objects.select(F.lower("object_key").alias("caller"), F.posexplode(F.split("text", "\n", -1)).alias("at", "l")).where(F.col("l").rlike("(?i)call|udp"))
+    direct = F.lower(trim(F.replace(F.regexp_extract("l", DIRECT, 1), F.lit("''"), F.lit("'"))))
+    rows = lines.select("caller", (F.col("at") + 1).alias("line_no"), "l", direct.alias("direct"))
+    other = let(semantics.line_tokens(F.col("l")), lambda ts: F.when(calls_object(ts), called_name(ts)))
+    # A condition on what is computed would compute it once more; on a generator's rows it does not.
+    callee = F.when(F.col("direct") != "", F.array("direct")).otherwise(F.filter(F.array(other), lambda c: c != ""))
+    return rows.select("caller", F.explode(callee).alias("callee"), "line_no")
 
 
 def dependencies(edges: DataFrame, objects: DataFrame) -> DataFrame:
-    """caller, callee: distinct edges to objects that are there."""
-    there = objects.select(F.lower("object_key").alias("callee")).distinct()
-    return edges.select("caller", "callee").distinct().join(there, "callee", "left_semi").select("caller", "callee")
+    """caller, callee: distinct edges to objects that are there. Edges are computed once; where they lead to few objects, they are not moved to these."""
+    rounds = Rounds(edges.sparkSession, "dependencies")
+    pairs = rounds.keep(edges.select("caller", "callee").distinct())
+    called = rounds.keep(pairs.select("callee").distinct())
+    there = rounds.keep(objects.select(F.lower("object_key").alias("callee")).join(called, "callee", "left_semi").distinct())
+    return pairs.join(there, "callee", "left_semi").select("caller", "callee")
 
 
 def in_degree(deps: DataFrame) -> DataFrame:

@@ -221,6 +221,32 @@ def test_flows_between_objects(spark):
     assert small.truncated and small.objects == 1
 
 
+def test_edges_of_the_call_graph_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(f"Obj{i}", f"call('obj{i + 1}', &v)\ncall('gone')", i) for i in range(4)], "object_key string, text string, ord long")
+    edges = project.call_edges(rows).mapInArrow(counted, "caller string, callee string, line_no int")
+    found = project.dependents(project.dependencies(edges, rows), ["obj2"])
+    assert sorted(r.object_key for r in found.collect()) == ["obj0", "obj1", "obj2"]
+    assert seen.value == 8
+
+
+def test_calls_that_lines_begin_with_are_those_of_their_tokens(spark):
+    said = {
+        "call('A', &v)": "a", "  CALL ( 'b''c' )": "b'c", "call('')": None, "call('ab\"": "ab", "udp (　' NÉ ')": "né", "callx('a')": None, "x = call('q')": "q", "call (/* c */ 'z')": "z", "call('u//v')": "u//v",
+        "// call('n')": None, "/* call('a') */ call('b')": "b", "call('a''": "a'", "call(&x, 'late')": "late", "call('  ', 'y')": None, "f(call('in'))": None, "&call('v')": None, "call.x('m')": None,
+        "call('')('p')": None, "call('cr')\r": "cr", "'s' call('t')": "s", "call('''')": "'", "\u0085call('nel')": "nel",
+    }
+    rows = spark.createDataFrame([(f"o{i}", "\n" + line) for i, line in enumerate(said)], "object_key string, text string")
+    got = {r.caller: (r.callee, r.line_no) for r in project.call_edges(rows).collect()}
+    assert got == {f"o{i}": (name, 2) for i, name in enumerate(said.values()) if name is not None}
+
+
 def test_flow_query_covers_all_objects_and_their_calls(spark, tmp_path):
     from lintel import queries
     from lintel.plans import corpus
