@@ -39,7 +39,33 @@ def _texts(pairs: Column) -> Column:
 
 
 def calls_in_lines(lines: DataFrame) -> DataFrame:
-    """object_key, line_no, pos, receiver, method, variables, strings, inner: the calls of lines (object_key, line_no, tokens)."""
+    """object_key, line_no, pos, receiver, method, variables, strings, inner: the calls of lines (object_key, line_no, tokens).
+
+    A line with one opening parenthesis has one call, which is read from its tokens as they are.
+    """
+    opens = F.size(F.filter("tokens", lambda t: t["text"] == "("))
+    return _single(lines.where(opens == 1)).union(_nested(lines.where(opens > 1)))
+
+
+def _single(lines: DataFrame) -> DataFrame:
+    """The call of each line with one opening parenthesis, if an identifier stands before that."""
+
+    rows = lines.select("object_key", "line_no", "tokens", F.transform("tokens", lambda t: t["text"]).alias("texts"))
+    rows = rows.withColumn("open", F.array_position("texts", "(").cast("int"))
+    name, of = F.get("tokens", F.col("open") - 2), F.get("tokens", F.col("open") - 4)
+    end = F.array_position(F.slice("texts", F.col("open") + 1, F.size("texts")), ")").cast("int")
+    inside = F.slice("tokens", F.col("open") + 1, F.when(end > 0, end - 1).otherwise(F.size("texts")))
+    rows = rows.select("object_key", "line_no", "tokens", "texts", "open", name.alias("name"), of.alias("of"), F.filter(inside, lambda t: t["kind"].isin("variable", "string")).alias("inside"))
+    receiver = F.when((F.get("texts", F.col("open") - 3) == ".") & F.col("of.kind").isin("variable", "ident"), F.lower("of.text"))
+    return rows.where("name.kind = 'ident'").select(
+        "object_key", "line_no", (F.col("open") - 2).alias("pos"), receiver.alias("receiver"), F.lower("name.text").alias("method"),
+        F.transform(F.filter("inside", lambda t: t["kind"] == "variable"), lambda t: F.lower(t["text"])).alias("variables"),
+        F.transform(F.filter("inside", lambda t: t["kind"] == "string"), lambda t: F.lower(literal_value(t["text"]))).alias("strings"), F.array().cast("array<string>").alias("inner"),
+    )
+
+
+def _nested(lines: DataFrame) -> DataFrame:
+    """The calls of lines in which calls may lie in others."""
     flat = lines.where(has_call(F.col("tokens"))).select("object_key", "line_no", F.posexplode("tokens").alias("pos", "t")).select("object_key", "line_no", "pos", "t.kind", "t.text")
     line = Window.partitionBy("object_key", "line_no").orderBy("pos")
     upto, earlier = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, -1)

@@ -53,6 +53,11 @@ class IncrementalProject:
         held, rows, work = self._stored(objects, limits, cover, by_outputs)
         return project.solve(held, rows, limits, cover, with_components=False), cover, work
 
+    def places(self, objects: DataFrame, by_outputs: bool = False) -> DataFrame:
+        """object_key, line_number, sink_class, cwe of the findings of ``analyze``, which are not told otherwise; a new version of the summaries as well."""
+        held, rows, _ = self._stored(objects, Limits(), Coverage(), by_outputs)
+        return project.places(held, rows)
+
     def update(self, objects: DataFrame, limits: Limits | None = None, by_outputs: bool = False) -> Work:
         """A new version of the summaries, without the findings."""
         return self._stored(objects, limits or Limits(), Coverage(), by_outputs)[2]

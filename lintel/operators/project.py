@@ -294,7 +294,7 @@ def solve(p: Summaries, rows: DataFrame, limits: Limits, cover: Coverage, with_c
     cover.edges = deps.count()
     if with_components:
         cover.sccs = components(deps, rows).select("component").distinct().count()
-    outer = p.parameters.where("direction in ('In', 'InOut')").select("object_key", F.col("name").alias("seed")).distinct().join(frontier(deps, rows), "object_key", "left_semi")
+    outer = _outer(p, deps, rows)
     outer = outer.select("object_key", "seed", F.array(step("source", F.lit(1), F.format_string("parm entrada %s (frontera del proyecto)", "seed"))).alias("base"))
     every = rows.select("object_key", F.lit("").alias("seed"), F.array().cast(f"array<{taint.STEP}>").alias("base"))
     active, cover.rounds = active_seeds(p, outer.union(every), rounds)
@@ -306,6 +306,28 @@ def solve(p: Summaries, rows: DataFrame, limits: Limits, cover: Coverage, with_c
     return _issues(found, rows)
 
 
+def _outer(p: Summaries, deps: DataFrame, rows: DataFrame) -> DataFrame:
+    """object_key, seed: input parameters of objects that no other calls."""
+    return p.parameters.where("direction in ('In', 'InOut')").select("object_key", F.col("name").alias("seed")).distinct().join(frontier(deps, rows), "object_key", "left_semi")
+
+
+def places(p: Summaries, rows: DataFrame) -> DataFrame:
+    """object_key, line_number, sink_class, cwe: where ``solve`` finds what, without limits and without the ways there.
+
+    A sink that an argument reaches in a called object is one of that object's own, by the
+    seed of the parameter that the call leads to; so seeds and their own sinks are all.
+    """
+    rounds = Rounds(rows.sparkSession, "places")
+    p = replace(p, calls=p.calls.join(rows.select(F.col("object_key").alias("callee")), "callee", "left_semi"))
+    # Seeds are names of variables or empty, so no two are told by one text.
+    node = lambda key, seed: F.concat(seed, F.lit(" "), key)
+    ways = seed_edges(p).select(node("object_key", "seed").alias("a"), node("to_object", "to_seed").alias("b")).where("a <> b").distinct()
+    starts = _outer(p, p.calls.select("callee"), rows).union(rows.select("object_key", F.lit("").alias("seed")))
+    active = graph.reachable(ways, starts.select(node("object_key", "seed").alias("node")), rounds)
+    found = p.sinks.select("object_key", "line_no", "sink", node("object_key", "seed").alias("node")).join(active, "node", "left_semi").select("object_key", "line_no", "sink").distinct()
+    return found.select("object_key", F.col("line_no").cast("int").alias("line_number"), F.col("sink").alias("sink_class"), weakness(F.col("sink")).alias("cwe"))
+
+
 def _inside(p: Summaries, active: DataFrame) -> DataFrame:
     """Sinks in the objects themselves that active seeds reach."""
     found = p.sinks.join(active, ["object_key", "seed"])

@@ -8,22 +8,31 @@ out by object once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexical import KEPT_LITERAL_OR_COMMENT, TOKEN, let, literal_value, redacted, trim
+from ..functions.lexical import KEPT_LITERAL_OR_COMMENT, TOKEN, has, let, literal_value, redacted, trim
 from .language import BLOCKS, CONDITIONS, KEYWORDS
 from .rules import by, depth, finding, text, within
 
 
 def kind(token: Column) -> Column:
-    first = F.substring(token, 1, 1)
+    """By the first character; its range is told by comparing the token, which takes no part of it."""
+
+    def begins(*marks: str) -> Column:
+        return reduce(lambda a, m: a | token.startswith(m), marks[1:], token.startswith(marks[0]))
+
+    latin = ((token >= "a") & (token < "{")) | ((token >= "A") & (token < "[")) | token.startswith("_")
+    letter = latin | ((token >= "\x80") & F.substring(token, 1, 1).rlike(r"\p{L}"))
     return (
-        F.when(first == "&", "variable")
-        .when(first.isin("'", '"'), "string")
-        .when(first.rlike("[0-9]"), "number")
-        .when(first.rlike(r"[\p{L}_]"), F.when(F.lower(token).isin(*KEYWORDS), "keyword").otherwise("ident"))
-        .when(first.isin("<", ">", "=", "!", "+", "-", "*", "/"), "operator")
+        F.when(begins("(", ")", ",", "."), "punct")
+        .when(begins("&"), "variable")
+        .when(begins("'", '"'), "string")
+        .when((token >= "0") & (token < ":"), "number")
+        .when(letter, F.when(F.lower(token).isin(*KEYWORDS), "keyword").otherwise("ident"))
+        .when(begins("<", ">", "=", "!", "+", "-", "*", "/"), "operator")
         .otherwise("punct")
     )
 
@@ -63,17 +72,24 @@ def statement(tokens: Column) -> Column:
     )
 
 
+def without_comments(raw: Column) -> Column:
+    """A line without its comments; most lines have none and need no pattern."""
+    return F.when(has(raw, "//") | has(raw, "/*"), F.regexp_replace(raw, KEPT_LITERAL_OR_COMMENT, "$1")).otherwise(raw)
+
+
 def line_tokens(raw: Column) -> Column:
     """The tokens (kind, text) of a line, without its comments."""
-    found = F.regexp_extract_all(F.regexp_replace(raw, KEPT_LITERAL_OR_COMMENT, "$1"), F.lit(TOKEN), 0)
+    found = F.regexp_extract_all(without_comments(raw), F.lit(TOKEN), 0)
     return F.transform(found, lambda t: F.struct(kind(t).alias("kind"), t.alias("text")))
 
 
 def model(objects: DataFrame) -> DataFrame:
     """object_key, line_no, raw, tokens (kind, text), statement: the lines that have tokens."""
     rows = objects.select("object_key", F.posexplode(F.split("text", "\n", -1)).alias("at", "l"))
-    rows = rows.select("object_key", (F.col("at") + 1).alias("line_no"), F.regexp_replace("l", r"\r+\z", "").alias("raw"))
-    rows = rows.withColumn("tokens", line_tokens(F.col("raw"))).where(F.size("tokens") > 0)
+    # Whatever is no white space is a token: asking for the tokens' number would make them twice.
+    rows = rows.where(without_comments(F.col("l")).rlike(r"[^\s\p{Z}]"))
+    raw = F.when(F.col("l").endswith("\r"), F.regexp_replace("l", r"\r+\z", "")).otherwise(F.col("l"))
+    rows = rows.select("object_key", (F.col("at") + 1).alias("line_no"), raw.alias("raw")).withColumn("tokens", line_tokens(F.col("raw")))
     return rows.withColumn("statement", statement(F.col("tokens")))
 
 
@@ -114,6 +130,12 @@ def coverage(lines: DataFrame) -> DataFrame:
     return out.select("object_key", F.col("u").cast("long").alias("unclosed_blocks"), F.col("m").alias("malformed_lines"), ((F.col("u") == 0) & (F.col("m") == 0)).alias("complete"))
 
 
+def complete(lines: DataFrame) -> DataFrame:
+    """object_key of the objects that ``coverage`` calls complete: only lines that open or close a block tell, an object without any is complete."""
+    blocks = lines.where(F.col("statement").isin(*BLOCKS, *BLOCKS.values()))
+    return lines.select("object_key").distinct().join(coverage(blocks).where("not complete"), "object_key", "left_anti")
+
+
 def accesses(lines: DataFrame) -> DataFrame:
     """object_key, name, line_no, tok_order, access, in_condition: an assignment's first variable is written, all others are read."""
     rows = tokens(lines).where("kind = 'variable'").join(lines.select("object_key", "line_no", "statement"), ["object_key", "line_no"])

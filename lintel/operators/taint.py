@@ -71,7 +71,7 @@ def build(objects: DataFrame) -> Model:
     calls = rounds.keep(calls_in_lines(lines.where("tokens is not null")))
     declared = lines.where("statement = 'Parm'").select("object_key", "line_no", F.explode("variables").alias("name")).groupBy("object_key", "name").agg(F.min("line_no").alias("line_no"))
     parameters = rounds.keep(semantics.parameters(lines).join(declared, ["object_key", "name"]).select("object_key", "param_idx", "name", "direction", "line_no"))
-    complete = rounds.keep(semantics.coverage(lines).where("complete").select("object_key"))
+    complete = rounds.keep(semantics.complete(lines))
     return Model(lines, calls, parameters, complete, rounds.keep(_assignments(lines, calls)), rounds)
 
 

@@ -260,3 +260,43 @@ def test_callers_of_objects_with_the_same_outputs_keep_their_summaries(spark, tm
     assert got == findings(project.analyze(rows(texts), with_components=False)[0])
     same = store.update(rows(texts | {"Leaf": "parm(in:&x)"}), by_outputs=True)
     assert (same.changed, same.summarized) == (1, 1)  # its callers pass it what they did
+
+
+def test_places_of_findings_need_no_ways_there(spark, tmp_path):
+    from lintel.operators import project
+    from lintel.operators.incremental import IncrementalProject
+
+    texts = {
+        "Top": "parm(in:&a, out:&o)\ncall('Mid', &a, &r)\n&file.Open(&r)\n&o = &r", "Mid": "parm(in:&p, out:&q)\n&q = Trim(&p)\ncall('Leaf', &p)\ncall('Mid', &q, &p)", "Leaf": "parm(in:&x)\n&cmd.Shell(&x)\ncall('Gone', &x)",
+        "Open": "if &a\nparm(in:&z)\n&sql.Execute(&z)", "Own": "&c = GetCookie('n')\n&html.Write(&c)\ncall('Open', &c)", "Idle": "parm(in:&u, out:&v)\n&v = 1\n&sql.Execute(&v)",
+    }
+
+    def rows(t):
+        return spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(t.items())], "object_key string, text string, ord long")
+
+    columns = ["object_key", "line_number", "sink_class", "cwe"]
+    want = sorted(map(tuple, project.analyze(rows(texts), with_components=False)[0].select(*columns).collect()))
+    assert {w[:2] for w in want} == {("leaf", 2), ("top", 3), ("own", 2), ("open", 3)}
+    store = IncrementalProject(spark, f"file://{tmp_path}/project")
+    store.update(rows(texts | {"Mid": "parm(in:&p)"}))
+    got = store.places(rows(texts), by_outputs=True)
+    assert got.columns == columns and sorted(map(tuple, got.collect())) == want
+
+
+def test_calls_of_lines_with_one_parenthesis_are_those_of_windows(spark):
+    from lintel.operators import calls, semantics
+
+    lines = ["call('p', &a, 'it''s')", "x)&b.Run(&A, \"q\")", "&r = Foo (&a", ") Foo(&a) + &b)", "1 (&a)", "if (&a)", "Foo()", "'('", "a.b.Load(&a", "&v.Foo(&w)", "Foo", "// Foo(&a)", "'x'.Foo(&a)", ".Foo(&a)"]
+    model = semantics.model(spark.createDataFrame([("o", "\n".join(lines))], "object_key string, text string"))
+    got = [tuple(map(str, r)) for r in calls.calls_in_lines(model).collect()]
+    assert sorted(got) == sorted(tuple(map(str, r)) for r in calls._nested(model).collect()) and len(got) == 9
+    assert sum("Window" in p for p in calls._single(model)._jdf.queryExecution().optimizedPlan().toString().split()) == 0
+
+
+def test_objects_are_complete_by_their_blocks(spark):
+    from lintel.operators import semantics
+
+    texts = ["&a = 1", "", "if &a\n&b = 1\nendif", "if &a\n&b = 1", "endif\n&a = 1", "for each\nendif\nendfor", "do case\nif &a\nendif\nendcase\n&z = 2", "\r\n  \n// x"]
+    model = semantics.model(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "object_key string, text string"))
+    got = sorted(r.object_key for r in semantics.complete(model).collect())
+    assert got == sorted(r.object_key for r in semantics.coverage(model).where("complete").collect()) == ["0", "2", "6"]
