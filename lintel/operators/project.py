@@ -227,11 +227,10 @@ def seed_edges(p: Summaries) -> DataFrame:
     """object_key, seed, to_object, to_seed, line_no, pos, i, j, arg: where a seed leads between objects; j is null for the way into the callee."""
     passed = p.calls.select("object_key", "line_no", "pos", "callee", "args", F.posexplode("args").alias("i", "arg"))
     met = passed.join(p.paths.select("object_key", "seed", F.col("name").alias("arg")), ["object_key", "arg"])
-    params = p.parameters.select(F.col("object_key").alias("callee"), F.col("param_idx").alias("i"), F.col("name").alias("to_seed"))
-    into = met.join(params, ["callee", "i"]).select("object_key", "seed", F.col("callee").alias("to_object"), "to_seed", "line_no", "pos", "i", F.lit(None).cast("int").alias("j"), "arg", "callee")
-    outs = p.param_outs.select(F.col("object_key").alias("callee"), F.col("from_param").alias("i"), F.col("to_param").alias("j"))
-    back = met.join(outs, ["callee", "i"]).withColumn("to_seed", F.get("args", F.col("j"))).where("to_seed is not null")
-    return into.union(back.select("object_key", "seed", F.col("object_key").alias("to_object"), "to_seed", "line_no", "pos", "i", "j", "arg", "callee"))
+    params = p.parameters.select(F.col("object_key").alias("callee"), F.col("param_idx").alias("i"), F.col("name").alias("into"), F.lit(None).cast("int").alias("j"))
+    outs = p.param_outs.select(F.col("object_key").alias("callee"), F.col("from_param").alias("i"), F.lit(None).cast("string").alias("into"), F.col("to_param").alias("j"))
+    ways = met.join(params.union(outs), ["callee", "i"]).withColumn("to_seed", F.when(F.col("j").isNull(), F.col("into")).otherwise(F.get("args", F.col("j")))).where("to_seed is not null")
+    return ways.select("object_key", "seed", F.when(F.col("j").isNull(), F.col("callee")).otherwise(F.col("object_key")).alias("to_object"), "to_seed", "line_no", "pos", "i", "j", "arg", "callee")
 
 
 def _longer(path: Column, *steps: Column) -> Column:

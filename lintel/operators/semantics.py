@@ -87,7 +87,8 @@ def model(objects: DataFrame) -> DataFrame:
     """object_key, line_no, raw, tokens (kind, text), statement: the lines that have tokens."""
     rows = objects.select("object_key", F.posexplode(F.split("text", "\n", -1)).alias("at", "l"))
     # Whatever is no white space is a token: asking for the tokens' number would make them twice.
-    rows = rows.where(without_comments(F.col("l")).rlike(r"[^\s\p{Z}]"))
+    plain = (F.col("l") >= "!") & (F.col("l") < "\x7f") & ~has(F.col("l"), "//") & ~has(F.col("l"), "/*")
+    rows = rows.where(plain | without_comments(F.col("l")).rlike(r"[^\s\p{Z}]"))
     raw = F.when(F.col("l").endswith("\r"), F.regexp_replace("l", r"\r+\z", "")).otherwise(F.col("l"))
     rows = rows.select("object_key", (F.col("at") + 1).alias("line_no"), raw.alias("raw")).withColumn("tokens", line_tokens(F.col("raw")))
     return rows.withColumn("statement", statement(F.col("tokens")))

@@ -76,14 +76,16 @@ def build(objects: DataFrame) -> Model:
 
 
 def _assignments(lines: DataFrame, calls: DataFrame) -> DataFrame:
-    ordered = calls.groupBy("object_key", "line_no").agg(F.array_sort(F.collect_list(F.struct("pos", "method", "inner"))).alias("c"))
-    outer, inner = F.col("c.method"), F.flatten("c.inner")
-    source = F.get(F.filter(outer, lambda m: m.isin(*SOURCES)), F.lit(0))
-    unknown = F.get(F.filter(F.concat(outer, inner), lambda m: ~m.isin(*NEUTRAL)), F.lit(0))
     target = F.get("variables", F.lit(0))
     reads = F.array_distinct(F.filter(F.slice("variables", 2, F.greatest(F.size("variables"), F.lit(1))), lambda n: n != target))
     rows = lines.where("statement = 'Assignment'").select("object_key", "line_no", target.alias("target"), reads.alias("reads"))
-    return rows.join(ordered.select("object_key", "line_no", source.alias("source"), unknown.alias("unknown")), ["object_key", "line_no"], "left")
+    # Calls of other lines go before they are put in order.
+    met = rows.join(calls.select("object_key", "line_no", F.struct("pos", "method", "inner").alias("call")), ["object_key", "line_no"], "left")
+    ordered = met.groupBy("object_key", "line_no", "target", "reads").agg(F.array_sort(F.collect_list("call")).alias("c"))
+    outer, inner = F.col("c.method"), F.flatten("c.inner")
+    source = F.get(F.filter(outer, lambda m: m.isin(*SOURCES)), F.lit(0))
+    unknown = F.get(F.filter(F.concat(outer, inner), lambda m: ~m.isin(*NEUTRAL)), F.lit(0))
+    return ordered.select("object_key", "line_no", "target", "reads", source.alias("source"), unknown.alias("unknown"))
 
 
 def next_time(time: Column, line: Column) -> Column:
